@@ -51,12 +51,12 @@ def timeline_segment(origin: Column, end: Column, after: Column, before: Column,
 
 
 def start_of_day(ts: Column) -> Column:
-    return F.date_trunc("day", ts)
+    return F.date_trunc("day", ts).cast("timestamp_ntz")
 
 
 def end_of_day(ts: Column) -> Column:
     """The last millisecond of the day."""
-    return F.date_trunc("day", ts) + F.expr("INTERVAL '23:59:59.999' HOUR TO SECOND")
+    return start_of_day(ts) + F.expr("INTERVAL '23:59:59.999' HOUR TO SECOND")
 
 
 def in_range(ts: Column, start=None, end=None) -> Column:

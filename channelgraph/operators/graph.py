@@ -11,7 +11,7 @@ from channelgraph.functions.text import excerpt, peer_label
 from channelgraph.operators.forwards import with_origin
 from channelgraph.operators.images import image_appearances, shared_images
 from channelgraph.operators.listing import newest
-from channelgraph.schemas import MEDIA_KINDS
+from channelgraph.schemas import MEDIA_KINDS, TABLES
 
 # Limits and size estimates.
 GRAPH_LIMIT = 40_000
@@ -20,26 +20,13 @@ CONFIRM_LIMITS = {"nodes": 80_000, "edges": 200_000, "bytes": 80 * 1024 * 1024}
 BYTES_PER_PEER, BYTES_PER_MESSAGE, BYTES_PER_EDGE = 220, 420, 80
 IMAGE_EDGE_FACTOR = 8
 
-# Columns every node and edge has, whatever it stands for.
-NODE_COLUMNS = (
-    "id", "kind", "external_id", "peer_type", "label", "username", "scraped", "is_scraping", "degree",
-    "forward_volume", "forwards_unique", "forwards_total", "media_kind", "date", "telegram_message_id", "stub",
-    "message_id", "phash",
-)
-EDGE_COLUMNS = ("source", "target", "kind", "count")
+EDGE_COLUMNS = TABLES["graph_edges"].fieldNames()
 
 
 def _nodes(df: DataFrame, **columns) -> DataFrame:
     """Fill up to the common node shape."""
-    empty = {
-        "id": "string", "kind": "string", "external_id": "bigint", "peer_type": "string", "label": "string",
-        "username": "string", "scraped": "boolean", "is_scraping": "boolean", "degree": "bigint",
-        "forward_volume": "bigint", "forwards_unique": "bigint", "forwards_total": "bigint", "media_kind": "string",
-        "date": "timestamp_ntz", "telegram_message_id": "bigint", "stub": "boolean", "message_id": "bigint",
-        "phash": "string",
-    }
     return df.select(
-        *[columns.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in empty.items()]
+        *[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES["graph_nodes"].fields]
     )
 
 

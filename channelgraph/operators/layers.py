@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from channelgraph.functions.predicates import MEDIA_KEYS
 from channelgraph.operators.graph import EDGE_COLUMNS
+from channelgraph.session import settle
 
 
 @dataclass(frozen=True)
@@ -84,6 +85,8 @@ def filter_graph(nodes: DataFrame, edges: DataFrame, layers: Layers = Layers())
     """The part of a graph that the layers show.
 
     A message needs both where it came from and who forwarded it, an image at least one peer; peers stand alone.
+    ``nodes`` and ``edges`` are used several times each, so they should be stored tables. The visible edges are
+    needed for both results and are written once.
     """
     kind = F.col("kind")
     live = F.col("scraped") | F.coalesce("is_scraping", F.lit(False))
@@ -97,7 +100,7 @@ def filter_graph(nodes: DataFrame, edges: DataFrame, layers: Layers = Layers())
     shown = nodes.filter(visible)
     if not layers.self_forwards:
         shown = shown.join(self_forwards(edges), "id", "left_anti")
-    lines = _both_ends(expand_edges(edges, layers), shown)
+    lines = settle(_both_ends(expand_edges(edges, layers), shown), "visible-edges")
     marks = (
         lines.filter(F.col("kind").isin("sent_to", "forwarded_from", "appeared_in"))
         .select(

@@ -65,7 +65,7 @@ def evidence_sums(evidence: DataFrame, scored: DataFrame) -> DataFrame:
         evidence.join(scored.select("phash", "r"), "phash")
         .groupBy("peer_external_id")
         .pivot("pile", ["scope", "forward"])
-        .agg(F.sum("r").alias("r"), F.count("*").alias("j"))
+        .agg(F.sum("r").alias("r"), F.count("phash").alias("j"))
     )
 
 

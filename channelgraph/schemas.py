@@ -104,6 +104,12 @@ TABLES: dict[str, T.StructType] = {
     "image_scope_scores": _struct(phash=_str, s=_dbl, r=_dbl, version=_int),
     "peer_scope_evidence": _struct(peer_external_id=_long, pile=_str, phash=_str),
     "peer_scope_forward_events": _struct(message_id=_long, phash=_str, origin_peer_id=_long),
+    "graph_nodes": _struct(
+        id=_str, kind=_str, external_id=_long, peer_type=_str, label=_str, username=_str, scraped=_bool,
+        is_scraping=_bool, degree=_long, forward_volume=_long, forwards_unique=_long, forwards_total=_long,
+        media_kind=_str, date=_ts, telegram_message_id=_long, stub=_bool, message_id=_long, phash=_str,
+    ),
+    "graph_edges": _struct(source=_str, target=_str, kind=_str, count=_long),
     "peer_counts": T.StructType(
         [T.StructField("peer_external_id", _long)] + [T.StructField(name, _long) for name in COUNT_COLUMNS]
     ),

@@ -13,7 +13,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from channelgraph.operators import forwards, images
+from channelgraph.operators import forwards, graph, images
 from channelgraph.operators.counts import peer_counts
 from channelgraph.session import shared_dir
 from channelgraph.sources.archive import Catalog, conform, parse_messages, write_table
@@ -260,6 +260,20 @@ class DerivedArchive(Catalog):
                     ELSE 5000000 END AS max_media_bytes""",
         )
 
+    def _graph(self) -> tuple[DataFrame, DataFrame]:
+        """Peers and forwarded messages in one graph."""
+        covered = self.peer_fetch_coverage
+        peers_, lines = graph.forward_graph(self.forward_edges, self.peers, covered)
+        forwarded = graph.scoped_forwards(self.forward_edge_messages, self.messages)
+        notes, note_lines = graph.message_layer(forwarded, self.messages)
+        return peers_.unionByName(notes), lines.unionByName(note_lines)
+
+    def _make_graph_nodes(self) -> DataFrame:
+        return self._graph()[0]
+
+    def _make_graph_edges(self) -> DataFrame:
+        return self._graph()[1]
+
     def _make_peer_counts(self) -> DataFrame:
         return peer_counts(
             self.messages, self.image_blob_messages, self.image_blobs, self.image_cache, self.forward_edges

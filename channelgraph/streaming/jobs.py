@@ -181,7 +181,7 @@ class RelevanceStream:
         evidence = self.evidence.all()
         sums = (
             evidence.groupBy("peer_external_id").pivot("pile", ["scope", "forward"])
-            .agg(F.sum("r").alias("r"), F.count("*").alias("j"))
+            .agg(F.sum("r").alias("r"), F.count("phash").alias("j"))
         )
         rows = sums.join(event_counts(self.events.all()), "peer_external_id", "full_outer").fillna(0)
         return with_scores(rows.withColumnRenamed("n", "forward_n_events"), self.params).select("peer_external_id", *SCORES)
