@@ -28,5 +28,7 @@ def is_valid(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length one; null where it has none. Padding is not needed: it never changes a cosine."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(is_valid(v), F.transform(v, lambda x: x.cast("double") / norm))
+    # the norm is bound once, outside the inner function, where it would be computed for every element
+    norms = F.array(F.sqrt(dot(v, v)))
+    scaled = F.transform(norms, lambda n: F.transform(v, lambda x: x.cast("double") / n))
+    return F.when(is_valid(v), F.get(scaled, F.lit(0)))

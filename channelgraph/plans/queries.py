@@ -498,7 +498,7 @@ def f17_usernames(a):
     return a.peers.select(
         "external_id", text.usernames_csv(F.col("usernames")).alias("csv"),
         F.array_join(F.transform(handles, lambda h: h["username"]), ",").alias("handles"),
-        handles[0]["active"].alias("first_active"),
+        F.get(handles, F.lit(0))["active"].alias("first_active"),
     )
 
 
@@ -1443,7 +1443,7 @@ def w1_message_stream(a):
     store = jobs.MessageStream(a.spark, scratch_path(a.spark, "w1"))
     _stream(a, store.on_batch)
     empty = a.spark.createDataFrame([], TABLES["messages"])
-    return _flat_message(store.merged(empty))
+    return _flat_message(store.merged(empty), "inserted")
 
 
 @query

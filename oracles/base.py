@@ -161,7 +161,7 @@ spans AS (SELECT peer_external_id, min(date) AS covered_after, max(date) AS cove
 fetch_cov AS (SELECT * FROM spans WHERE peer_external_id % 2 = 0),
 media_cov AS (
   SELECT *, peer_external_id % 2 = 0 AS videos_excluded, peer_external_id % 4 = 0 AS large_excluded,
-    CASE WHEN peer_external_id % 5 = 0 THEN 0 WHEN peer_external_id % 7 = 0 THEN NULL ELSE 5000000 END AS max_media_bytes
+    CAST(CASE WHEN peer_external_id % 5 = 0 THEN 0 WHEN peer_external_id % 7 = 0 THEN NULL ELSE 5000000 END AS BIGINT) AS max_media_bytes
   FROM spans WHERE peer_external_id % 3 = 0
 ),
 image_counts AS (
@@ -212,5 +212,5 @@ peer_counts AS (
 
 
 def over_archive(body: str, ctes: str = "") -> str:
-    """A query over the archive tables; ``ctes`` adds further WITH entries."""
+    """A query over the archive tables. ``ctes``, or a body that starts with a comma, adds WITH entries."""
     return ARCHIVE + (f", {ctes}\n" if ctes else "") + body
