@@ -529,7 +529,7 @@ def f21_relevance(a):
     scored = scope.image_scores(a.image_embeddings, a.scope_inputs, LOW_TAU)
     return scored.select(
         "phash", r6("s").alias("s"), r6("r").alias("r"), r6(scores.relevance(F.col("s"), scores.ScopeParams())).alias("r_default"),
-        r6(scores.relevance(F.col("s"), scores.ScopeParams(tau=1.0))).alias("r_closed"),
+        r6(scores.relevance(F.col("s"), scores.ScopeParams(tau=0.9, gamma=1.0))).alias("r_steep"),
     )
 
 

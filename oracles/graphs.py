@@ -179,7 +179,7 @@ def _expand(depth: int) -> str:
 ORACLES = {
     "f21_relevance": q(
         """SELECT phash, round(s, 6) AS s, round(r, 6) AS r, round(CASE WHEN s > 0.4 THEN pow((s - 0.4) / 0.6, 2) ELSE 0 END, 6) AS r_default,
-             CASE WHEN s > 1 THEN 1::DOUBLE ELSE 0 END AS r_closed FROM scored""",
+             round(CASE WHEN s > 0.9 THEN (s - 0.9) / 0.1 ELSE 0 END, 6) AS r_steep FROM scored""",
         LOW,
     ),
     "f28_node_size": q(
