@@ -29,6 +29,15 @@ def excerpt(c: Column) -> Column:
     return blank_to_null(F.left(c, F.lit(EXCERPT_CHARS)))
 
 
+def stored_has_text(columns: list[str]) -> Column:
+    """The stored flag where the table has one, so that the text column is not read."""
+    return F.col("has_text") if "has_text" in columns else has_text(F.col("content"))
+
+
+def stored_excerpt(columns: list[str]) -> Column:
+    return F.col("excerpt") if "excerpt" in columns else excerpt(F.col("content")).alias("excerpt")
+
+
 def norm_phash(c: Column) -> Column:
     low = F.lower(F.regexp_replace(c, r"^\s+|\s+\z", ""))
     return F.when(low.rlike(r"^[0-9a-f]{16}\z"), low)

@@ -14,7 +14,7 @@ from channelgraph.functions.media import (
     media_item_id,
     media_kind,
 )
-from channelgraph.functions.text import has_text, strip_to_null
+from channelgraph.functions.text import stored_has_text, strip_to_null
 from channelgraph.operators.images import blob_flags
 from channelgraph.schemas import COUNT_COLUMNS, MEDIA_KINDS
 
@@ -39,7 +39,7 @@ def with_kind(messages: DataFrame, *keep: str) -> DataFrame:
         media_kind(media).alias("kind"),
         is_downloaded(media).alias("downloaded"),
         has_phash(media).alias("hashed"),
-        has_text(F.col("content")).alias("text"),
+        stored_has_text(messages.columns).alias("text"),
     )
 
 

@@ -20,7 +20,7 @@ def forward_occurrences(
     ``unique_ids`` says that the input holds each message once, which saves a shuffle.
     """
     fwd = F.col("fwd_from")
-    occ = messages.filter(fwd.isNotNull() & F.col("date").isNotNull() & F.col("id").isNotNull()).select(
+    occ = messages.filter(is_occurrence()).select(
         F.col("peer_external_id").alias("from_external_id"),
         fwd_origin(fwd).alias("to_external_id"),
         F.col("id").alias("message_id"),
@@ -28,8 +28,6 @@ def forward_occurrences(
         "telegram_message_id",
         fwd_name(fwd).alias("from_name"),
     )
-    source, origin = F.col("from_external_id"), F.col("to_external_id")
-    occ = occ.filter(is_target(source) & is_target(origin) & (source != origin))
     if not unique_ids:
         occ = occ.dropDuplicates(OCCURRENCE_KEY)
     if stored is not None:
@@ -37,6 +35,13 @@ def forward_occurrences(
     return occ
 
 
+def is_occurrence() -> Column:
+    """Whether a message row is a forward that counts: between two different communities."""
+    source, origin = F.col("peer_external_id"), fwd_origin(F.col("fwd_from"))
+    known = F.col("fwd_from").isNotNull() & F.col("date").isNotNull() & F.col("id").isNotNull()
+    return known & is_target(source) & is_target(origin) & (source != origin)
+
+
 def forward_edges(occ: DataFrame) -> DataFrame:
     """One row per poster and origin, with its count, time span and newest name."""
     named = F.col("from_name").isNotNull()

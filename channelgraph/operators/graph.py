@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from channelgraph.functions.media import media_kind
 from channelgraph.functions.predicates import message_scope
-from channelgraph.functions.text import excerpt, peer_label
-from channelgraph.operators.forwards import with_origin
+from channelgraph.functions.text import peer_label, stored_excerpt
+from channelgraph.operators.forwards import is_occurrence, with_origin
 from channelgraph.operators.images import image_appearances, shared_images
 from channelgraph.operators.listing import newest
 from channelgraph.schemas import MEDIA_KINDS, TABLES
@@ -100,13 +100,16 @@ def forward_graph(
 
 # ---- messages
 
-def scoped_forwards(occ: DataFrame, messages: DataFrame, **scope) -> DataFrame:
-    """Forwarded messages inside a scope, with what the message layer needs of them."""
-    slim = messages.filter(message_scope(**scope)).select(
-        "id", "peer_external_id", "telegram_message_id", "date", excerpt(F.col("content")).alias("excerpt"),
-        "fwd_from", media_kind(F.col("media")).alias("media_kind"),
+def scoped_forwards(messages: DataFrame, **scope) -> DataFrame:
+    """Forwarded messages inside a scope, with what the message layer needs of them.
+
+    Whether a message counts as a forward is read from its own header, by the rule that fills the occurrence table;
+    joining that table instead would shuffle every message.
+    """
+    return messages.filter(message_scope(**scope) & is_occurrence()).select(
+        "id", "peer_external_id", "telegram_message_id", "date", stored_excerpt(messages.columns), "fwd_from",
+        media_kind(F.col("media")).alias("media_kind"),
     )
-    return slim.join(occ.select(F.col("message_id").alias("id")), "id", "left_semi")
 
 
 def message_layer(forwards: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +134,7 @@ def message_layer(forwards: DataFrame, messages: DataFrame) -> tuple[DataFrame,
     )
     originals = messages.select(
         F.col("peer_external_id").alias("origin_peer"), F.col("telegram_message_id").alias("origin_mid"),
-        F.col("id").alias("stored_id"), "date", excerpt(F.col("content")).alias("excerpt"),
+        F.col("id").alias("stored_id"), "date", stored_excerpt(messages.columns),
         media_kind(F.col("media")).alias("media_kind"),
     )
     rows = stubs.join(originals, key, "left")
@@ -177,11 +180,9 @@ def message_layer(forwards: DataFrame, messages: DataFrame) -> tuple[DataFrame,
     return nodes, posted.unionByName(forwarded).withColumn("count", F.lit(1).cast("bigint"))
 
 
-def message_graph(
-    occ: DataFrame, messages: DataFrame, limit: int = GRAPH_LIMIT, **scope
-) -> tuple[DataFrame, DataFrame]:
+def message_graph(messages: DataFrame, limit: int = GRAPH_LIMIT, **scope) -> tuple[DataFrame, DataFrame]:
     """The message layer of the newest ``limit`` forwards in scope, which is what a screen can show."""
-    chosen = newest(scoped_forwards(occ, messages, **scope), limit, [F.desc_nulls_last("date"), F.asc("id")])
+    chosen = newest(scoped_forwards(messages, **scope), limit, [F.desc_nulls_last("date"), F.asc("id")])
     return message_layer(chosen.drop("truncated"), messages)
 
 
@@ -265,8 +266,7 @@ def graph_stats(edges: DataFrame, occ: DataFrame, messages: DataFrame, **scope)
     if is_open(**scope) and scope.get("media") is None:
         scoped = occ.agg(F.count("*"))
     else:
-        inside = messages.filter(message_scope(**scope)).select(F.col("id").alias("message_id"))
-        scoped = occ.select("message_id").join(inside, "message_id", "left_semi").agg(F.count("*"))
+        scoped = messages.filter(message_scope(**scope) & is_occurrence()).agg(F.count("*"))
     counted = edges.sparkSession.range(1).select(
         ends.agg(F.count("*")).scalar().alias("peer_count"),
         edges.agg(F.count("*")).scalar().alias("peer_edge_count"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from channelgraph.functions.predicates import local_path
-from channelgraph.functions.text import has_text, is_dedupable
+from channelgraph.functions.text import is_dedupable, stored_has_text
 from channelgraph.functions.vectors import VECTOR_WIDTH
 
 # 1024 vectors of 1280 doubles are 10 MiB.
@@ -202,7 +202,7 @@ def _pending(rows: DataFrame, vectors: DataFrame, key: str, model: str) -> DataF
 
 def pending_text(messages: DataFrame, vectors: DataFrame, model: str, peer: int | None = None) -> DataFrame:
     """Messages with text that this model has not embedded."""
-    rows = messages.filter(has_text(F.col("content")))
+    rows = messages.filter(stored_has_text(messages.columns))
     if peer is not None:
         rows = rows.filter(F.col("peer_external_id") == peer)
     rows = rows.select(F.col("id").alias("message_id"), "content", "date")

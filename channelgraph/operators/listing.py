@@ -10,6 +10,7 @@ from channelgraph.functions.media import media_kind, media_preview
 from channelgraph.functions.text import peer_label, strip_to_null
 from channelgraph.operators.forwards import with_origin
 from channelgraph.schemas import MEDIA_KINDS
+from channelgraph.session import settle
 
 CONTENT_CHARS = 2000
 
@@ -145,9 +146,13 @@ def resolve_peer(peers: DataFrame, query: str) -> DataFrame:
 
 # ---- pages
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page in a total order. Spark keeps only offset + limit rows per task."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, with_total: bool = False) -> DataFrame:
+    """One page in a total order. Spark keeps only offset + limit rows per task.
+
+    ``with_total`` adds how many rows there are in all.
+    """
+    rows = df.orderBy(*order).offset(offset).limit(limit)
+    return rows.withColumn("total", df.agg(F.count("*")).scalar()) if with_total else rows
 
 
 def page_after(df: DataFrame, order_date: str, order_id: str, last: tuple, limit: int) -> DataFrame:
@@ -159,10 +164,9 @@ def page_after(df: DataFrame, order_date: str, order_id: str, last: tuple, limit
 
 
 def newest(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """The first ``n`` rows and a flag that says whether there were more."""
-    probe = df.orderBy(*order).limit(n + 1)
-    total = probe.agg(F.count("*") > n).scalar()
-    return probe.orderBy(*order).limit(n).withColumn("truncated", total)
+    """The first ``n`` rows and a flag that says whether there were more. The input is read once."""
+    probe = settle(df.orderBy(*order).limit(n + 1), "newest")
+    return probe.orderBy(*order).limit(n).withColumn("truncated", probe.agg(F.count("*") > n).scalar())
 
 
 # ---- messages

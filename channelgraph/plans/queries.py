@@ -859,7 +859,7 @@ def u2_edge_ends(a):
 @query
 def u3_node_kinds(a):
     peers_, _ = graph.forward_graph(a.forward_edges, a.peers, a.peer_fetch_coverage)
-    notes, _ = graph.message_layer(graph.scoped_forwards(a.forward_edge_messages, a.messages), a.messages)
+    notes, _ = graph.message_layer(graph.scoped_forwards(a.messages), a.messages)
     shared, _ = graph.shared_image_graph(a.image_blob_messages, a.peers, a.peer_fetch_coverage, limit=None)
     nodes = peers_.unionByName(notes).unionByName(shared.filter("kind = 'image'"))
     return nodes.groupBy("kind").agg(F.count("*").alias("nodes"))
@@ -870,7 +870,7 @@ def u3_node_kinds(a):
 @query
 def t1_message_page(a):
     rows = listing.list_messages(a.messages, a.peers).select("id", "date", "telegram_message_id", "peer_title")
-    return listing.page(rows, listing.message_order(), limit=50, offset=100)
+    return listing.page(rows, listing.message_order(), limit=50, offset=100, with_total=True)
 
 
 @query
@@ -936,7 +936,7 @@ def _forward_graph(a):
 
 
 def _message_layer(a, **limits):
-    return graph.message_layer(graph.scoped_forwards(a.forward_edge_messages, a.messages, **limits), a.messages)
+    return graph.message_layer(graph.scoped_forwards(a.messages, **limits), a.messages)
 
 
 def _whole_graph(a):
@@ -974,7 +974,7 @@ def g3_message_layer_edges(a):
 @query
 def g3_message_graph_newest(a):
     """The newest 500 forwards of a scope, as a screen with that limit would ask for."""
-    nodes, _ = graph.message_graph(a.forward_edge_messages, a.messages, limit=500, start=START, end=END)
+    nodes, _ = graph.message_graph(a.messages, limit=500, start=START, end=END)
     return nodes.select("id", "label", "date", "message_id")
 
 
@@ -1427,7 +1427,7 @@ def _deliveries(a):
     first = a.messages.withColumn("seq", F.col("id"))
     again = redelivered_messages(message_base(a.source)).withColumn("seq", F.col("id"))
     columns = jobs.DELIVERIES.fieldNames()
-    first.unionByName(again).select(*[F.col(f.name).cast(f.dataType) for f in jobs.DELIVERIES.fields]).select(*columns).write.parquet(path)
+    first.select(*columns).unionByName(again.select(*columns)).write.parquet(path)
     return path
 
 

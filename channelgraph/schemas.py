@@ -65,6 +65,9 @@ MESSAGES = _struct(
     fwd_from=FWD_FROM, media=MEDIA, text_embedded=_bool, image_embedded=_bool,
 )
 
+# What counting and graphs need of the text, stored beside it so that they never read the text itself.
+STORED_MESSAGES = T.StructType([*MESSAGES.fields, *_struct(has_text=_bool, excerpt=_str).fields])
+
 COUNT_COLUMNS = (
     "posts", "text_total", "text_embedded", "image_total", "image_hashed", "image_downloaded", "image_unique",
     "image_persisted", "image_embeddable", "image_embedded_unique", "video_total", "video_downloaded",
@@ -77,7 +80,7 @@ PEER_TYPES = ("channel", "megagroup", "chat", "user", "bot")
 
 TABLES: dict[str, T.StructType] = {
     "peers": PEERS,
-    "messages": MESSAGES,
+    "messages": STORED_MESSAGES,
     "peer_fetch_coverage": _struct(peer_external_id=_long, covered_after=_ts, covered_before=_ts),
     "peer_media_coverage": _struct(
         peer_external_id=_long, covered_after=_ts, covered_before=_ts,

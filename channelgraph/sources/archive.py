@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from channelgraph.functions.text import excerpt, has_text
 from channelgraph.schemas import FWD_FROM, MEDIA, TABLES
 
 # Rows that are read together lie together; a hot key still spreads over several files.
@@ -36,7 +37,12 @@ def load_catalog(spark: SparkSession, root: str) -> Catalog:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Cast to the table's schema; columns the input lacks become null."""
+    """Cast to the table's schema; columns the input lacks become null.
+
+    What messages store about their text always follows from the text they carry.
+    """
+    if table == "messages":
+        df = df.withColumns({"has_text": has_text(F.col("content")), "excerpt": excerpt(F.col("content"))})
     have = set(df.columns)
     return df.select(
         *[
@@ -46,12 +52,21 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def write_table(df: DataFrame, root: str, table: str, cluster: bool = True) -> str:
-    """Write one archive table. Big tables are range-clustered so that row groups can be skipped."""
+def clustered(df: DataFrame, table: str) -> DataFrame:
+    """Lay rows out by the table's keys. Ranges split a hot key over several files, which hashing would not."""
+    keys = CLUSTERING.get(table)
+    return df.repartitionByRange(*keys) if keys else df
+
+
+def write_table(df: DataFrame, root: str, table: str, is_clustered: bool = False) -> str:
+    """Write one archive table, big ones clustered so that row groups can be skipped.
+
+    ``is_clustered`` says that the rows lie in their ranges already and only need sorting.
+    """
     out = conform(df, table)
-    keys = CLUSTERING.get(table) if cluster else None
+    keys = CLUSTERING.get(table)
     if keys:
-        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        out = (out if is_clustered else clustered(out, table)).sortWithinPartitions(*keys)
     path = f"{root.rstrip('/')}/{table}"
     out.write.mode("overwrite").parquet(path)
     return path

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from channelgraph.operators import forwards, graph, images
 from channelgraph.operators.counts import peer_counts
 from channelgraph.session import shared_dir
-from channelgraph.sources.archive import Catalog, conform, parse_messages, write_table
+from channelgraph.sources.archive import Catalog, clustered, parse_messages, write_table
 
 PEER_ID = """CASE WHEN {k} % 10 = 9 THEN {k} + 1
                   WHEN {k} % 10 = 8 THEN -({k} + 1)
@@ -183,12 +183,14 @@ class DerivedArchive(Catalog):
             raise AttributeError(table)
         with self._lock:
             if table not in self._built and hasattr(type(self), f"_make_{table}"):
-                write_table(getattr(self, f"_make_{table}")(), self.root, table)
+                made = getattr(self, f"_make_{table}")()
+                write_table(made, self.root, table, is_clustered=table == "messages")
                 self._built.add(table)
         return super().__getattr__(table)
 
     def _make_messages(self) -> DataFrame:
-        return parse_messages(raw_messages(message_base(self.source)))
+        # clustered while still text, so that the sampling pass for the ranges does not parse
+        return parse_messages(clustered(raw_messages(message_base(self.source)), "messages"))
 
     def _make_peers(self) -> DataFrame:
         return peers(self.source)
@@ -264,8 +266,7 @@ class DerivedArchive(Catalog):
         """Peers and forwarded messages in one graph."""
         covered = self.peer_fetch_coverage
         peers_, lines = graph.forward_graph(self.forward_edges, self.peers, covered)
-        forwarded = graph.scoped_forwards(self.forward_edge_messages, self.messages)
-        notes, note_lines = graph.message_layer(forwarded, self.messages)
+        notes, note_lines = graph.message_layer(graph.scoped_forwards(self.messages), self.messages)
         return peers_.unionByName(notes), lines.unionByName(note_lines)
 
     def _make_graph_nodes(self) -> DataFrame:

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from channelgraph.functions.scores import ScopeParams
 from channelgraph.operators.counts import message_deltas
-from channelgraph.operators.forwards import forward_edges, forward_occurrences
+from channelgraph.operators.forwards import OCCURRENCE_KEY, forward_edges, forward_occurrences
 from channelgraph.operators.merge import MESSAGE_KEY, merge_messages
 from channelgraph.operators.scope import (
     SCORES,
@@ -50,6 +50,26 @@ def run_available(stream: DataFrame, on_batch: Callable[[DataFrame, int], None],
     query.awaitTermination()
 
 
+# ---- key buckets
+
+def bucket_of(peer: str) -> Column:
+    return F.pmod(F.xxhash64(peer), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def batch_buckets(batch: DataFrame) -> DataFrame:
+    return batch.select(bucket_of("peer_external_id").alias("bucket"))
+
+
+def buckets_in(rows: DataFrame) -> list[int]:
+    """Buckets a batch touches, at most KEY_BUCKETS numbers. A scrape works on few peers at a time, so most are left out."""
+    return [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+
+
+def by_bucket(rows: DataFrame, spread: str) -> DataFrame:
+    """Rows of a bucket lie together, a busy one over several files; readers skip the row groups of the others."""
+    return rows.repartitionByRange("bucket", F.xxhash64(spread)).sortWithinPartitions("bucket")
+
+
 # ---- messages
 
 class MessageStream:
@@ -90,13 +110,10 @@ class CounterStream:
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         first = batch.groupBy(*MESSAGE_KEY).agg(F.min_by(F.struct("content", "media"), "seq").alias("row"))
-        bucket = F.pmod(F.xxhash64("peer_external_id"), F.lit(KEY_BUCKETS)).cast("int")
-        rows = first.select(*MESSAGE_KEY, "row.*", bucket.alias("bucket"))
-        # at most KEY_BUCKETS numbers; a batch of a few peers then reads few row groups of the keys
-        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
-        seen = self.keys.before(batch_id).filter(F.col("bucket").isin(touched)).select(*MESSAGE_KEY)
+        rows = first.select(*MESSAGE_KEY, "row.*", bucket_of("peer_external_id").alias("bucket"))
+        seen = self.keys.before(batch_id).filter(F.col("bucket").isin(buckets_in(batch_buckets(batch)))).select(*MESSAGE_KEY)
         fresh = rows.join(seen, MESSAGE_KEY, "left_anti")
-        self.keys.write(fresh.repartition("bucket").sortWithinPartitions("bucket"), batch_id)
+        self.keys.write(by_bucket(fresh, "telegram_message_id"), batch_id)
         # the keys of this batch are settled now; count those rows
         own = self.keys.batch(batch_id).select(*MESSAGE_KEY)
         self.deltas.write(message_deltas(rows.join(own, MESSAGE_KEY, "left_semi")), batch_id)
@@ -108,17 +125,22 @@ class CounterStream:
 
 # ---- forwards
 
+_OCCURRENCES = T.StructType([*TABLES["forward_edge_messages"].fields, T.StructField("bucket", T.IntegerType())])
+
+
 class ForwardStream:
     """Occurrences and edges; a repeated forward adds nothing."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.log = BatchLog(spark, f"{path}/occurrences", TABLES["forward_edge_messages"])
+        self.log = BatchLog(spark, f"{path}/occurrences", _OCCURRENCES)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        self.log.write(forward_occurrences(batch, stored=self.log.before(batch_id)), batch_id)
+        occ = forward_occurrences(batch).withColumn("bucket", bucket_of("from_external_id"))
+        seen = self.log.before(batch_id).filter(F.col("bucket").isin(buckets_in(occ))).select(*OCCURRENCE_KEY)
+        self.log.write(by_bucket(occ.join(seen, OCCURRENCE_KEY, "left_anti"), "message_id"), batch_id)
 
     def occurrences(self) -> DataFrame:
-        return self.log.all().drop("batch_id")
+        return self.log.all().drop("batch_id", "bucket")
 
     def edges(self) -> DataFrame:
         return forward_edges(self.occurrences())

@@ -234,7 +234,7 @@ ORACLES = {
     "u2_edge_ends": q("SELECT count(*) AS peers FROM (SELECT from_id FROM edges UNION SELECT to_id FROM edges)"),
     # ---- orders and pages
     "t1_message_page": q(
-        """SELECT id, date, telegram_message_id, title AS peer_title FROM messages JOIN peers ON external_id = peer_external_id
+        """SELECT id, date, telegram_message_id, title AS peer_title, (SELECT count(*) FROM messages) AS total FROM messages JOIN peers ON external_id = peer_external_id
            ORDER BY date DESC, telegram_message_id DESC LIMIT 50 OFFSET 100"""
     ),
     "t1_message_page_after": q(
