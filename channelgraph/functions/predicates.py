@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from channelgraph.functions.forwards import origin_matches
 from channelgraph.functions.media import media_kind
-from channelgraph.functions.text import has_text
+from channelgraph.functions.text import stored_has_text
 from channelgraph.functions.timecov import bound
 from channelgraph.schemas import MEDIA_KINDS
 
@@ -58,12 +58,15 @@ def link_scope(start=None, end=None) -> Column:
     return date_window(F.col("message_date"), start, end)
 
 
-def export_scope(peer: int | None = None, start=None, end=None, text_only=False, media_only=False) -> Column:
+def export_scope(
+    peer: int | None = None, start=None, end=None, text_only=False, media_only=False, columns: Iterable[str] = ()
+) -> Column:
+    """Peer, dates, with text, with a stored media kind. ``columns`` tells whether the text flag is stored."""
     test = date_window(F.col("date"), start, end)
     if peer is not None:
         test = test & (F.col("peer_external_id") == peer)
     if text_only:
-        test = test & has_text(F.col("content"))
+        test = test & stored_has_text(list(columns))
     if media_only:
         test = test & F.col("media.kind").isNotNull()
     return test

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from channelgraph.functions.scores import ScopeParams, forward_score, mix, relevance
 from channelgraph.functions.vectors import is_valid, unit
 from channelgraph.operators.knn import best_match
+from channelgraph.session import settle
 
 SCORES = ("scope_r", "scope_j", "scope_score", "forward_r", "forward_j", "forward_n_events", "forward_score")
 
@@ -94,7 +95,8 @@ def rerank(
 ) -> dict[str, DataFrame]:
     """Rebuild all scores: ``images``, ``evidence``, ``events`` and ``peers``.
 
-    Without inputs everything is cleared and every peer scores zero.
+    Without inputs everything is cleared and every peer scores zero. Image scores and the images of forwards are each
+    needed several times, so both are written once.
     """
     ids = peers.select(F.col("external_id").alias("peer_external_id"))
     scored = image_scores(vectors, inputs, params)
@@ -109,7 +111,8 @@ def rerank(
             "events": spark.createDataFrame([], "message_id bigint, phash string, origin_peer_id bigint"),
             "peers": zero,
         }
-    forwarded = forwarded_images(occ, links, peers)
+    scored = settle(scored, "image-scores")
+    forwarded = settle(forwarded_images(occ, links, peers), "forwarded-images")
     evidence = evidence_pairs(links, forwarded, scored)
     events = forward_events(forwarded, scored)
     sums = evidence_sums(evidence, scored)
@@ -150,14 +153,15 @@ def score_increment(
     chosen = embedded_peers.select("peer_external_id").distinct()
     own = links.join(chosen, "peer_external_id", "left_semi")
     sent = occ.join(chosen.withColumnRenamed("peer_external_id", "from_external_id"), "from_external_id", "left_semi")
-    forwarded = forwarded_images(sent, links, peers)
+    forwarded = settle(forwarded_images(sent, links, peers), "forwarded-images")
     involved = own.select("phash").unionByName(forwarded.select("phash")).distinct()
     scored = image_scores(vectors.join(involved, "phash", "left_semi"), inputs, params)
     if scored is None:
         return {**state, "fresh_evidence": state["evidence"].limit(0), "fresh_events": state["events"].limit(0)}
+    scored = settle(scored, "image-scores")
     images = state["images"].join(scored.select("phash"), "phash", "left_anti").unionByName(scored)
     pairs = evidence_pairs(own, forwarded, scored)
-    fresh = pairs.join(state["evidence"], ["peer_external_id", "pile", "phash"], "left_anti")
+    fresh = settle(pairs.join(state["evidence"], ["peer_external_id", "pile", "phash"], "left_anti"), "evidence")
     events = forward_events(forwarded, vectors)
     fresh_events = events.join(state["events"], ["message_id", "phash"], "left_anti")
     sums = evidence_sums(fresh, scored).select(

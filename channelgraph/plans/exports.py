@@ -14,6 +14,7 @@ from channelgraph.operators.images import image_peers, image_rollup, images_of_p
 from channelgraph.operators.listing import attach_stats, first_phash, with_peer
 from channelgraph.operators.rollups import file_rollup, item_peers, video_rollup, with_peer_names
 from channelgraph.schemas import PEER_TYPES
+from channelgraph.sources.sinks import write_csv, write_json
 
 # Column orders of the export files.
 PEER_COLUMNS = [
@@ -49,6 +50,18 @@ FILE_COLUMNS = [
 FAN_COLUMNS = ["peer_external_id", "peer_type", "peer_title", "peer_username", "peer_usernames", "appearances", "forwarded"]
 
 
+def save(rows: DataFrame, path: str, order: list[Column], fmt: str = "csv", partition: str | None = None) -> None:
+    """Write an export in its order. Sorting by range spreads a big export over many files, in order of their names.
+
+    ``partition`` gives one folder per value, as for one file per peer type.
+    """
+    ordered = rows.orderBy(*order)
+    if fmt == "json":
+        write_json(ordered, path, partition)
+    else:
+        write_csv(ordered, path, rows.columns, partition)
+
+
 def peer_types(wanted: list[str] | None) -> list[str]:
     """The known types among those asked for; all of them if none is left."""
     return [t for t in wanted or [] if t in PEER_TYPES] or list(PEER_TYPES)
@@ -101,7 +114,7 @@ def edge_export_order() -> list[Column]:
 
 def _export_rows(messages: DataFrame, peers: DataFrame, links: DataFrame, scope: dict) -> DataFrame:
     linked = first_phash(links).withColumnsRenamed({"message_id": "id", "link_phash": "image_phash"})
-    return with_peer(messages.filter(export_scope(**scope)), peers).join(linked, "id", "left")
+    return with_peer(messages.filter(export_scope(**scope, columns=messages.columns)), peers).join(linked, "id", "left")
 
 
 def _media_text(name: str) -> Column:
@@ -159,7 +172,7 @@ def export_messages_nested(
         F.when(kind.isNotNull(), media).alias("media"), "text_embedded", "image_embedded",
     )
     counted = (
-        messages.filter(export_scope(**scope))
+        messages.filter(export_scope(**scope, columns=messages.columns))
         .groupBy(F.col("peer_external_id").alias("external_id"))
         .agg(F.count("*").alias("messages"))
     )

@@ -591,7 +591,7 @@ def p3_link_scope(a):
 
 @query
 def p4_export_scope(a):
-    return a.messages.filter(predicates.export_scope(None, START, END, text_only=True, media_only=True)).select("id")
+    return a.messages.filter(predicates.export_scope(None, START, END, text_only=True, media_only=True, columns=a.messages.columns)).select("id")
 
 
 @query
@@ -1361,6 +1361,17 @@ def x2_export_forward_edges(a):
     return exports.export_forward_edges(a.forward_edges, a.peers, a.peers)
 
 
+@query
+def x1_saved_peer_files(a):
+    """Peers saved as CSV, one folder per type, and read back."""
+    path = scratch_path(a.spark, "peers")
+    rows = exports.export_peers(a.peers, a.peer_counts, a.peer_fetch_coverage, a.peer_media_coverage, ["channel", "bot"])
+    exports.save(rows, path, exports.peer_export_order(), partition="peer_type")
+    schema = ", ".join([f"{c} string" for c in exports.PEER_COLUMNS] + ["by_peer_type string"])
+    back = a.spark.read.options(header=True, escape='"', multiLine=True).schema(schema).csv(path)
+    return back.groupBy("by_peer_type").agg(F.count("*").alias("peers"), F.count("posts").alias("with_posts"), F.max("embed_text").alias("embed_text"))
+
+
 @query
 def x3_export_messages(a):
     return exports.export_messages(a.messages, a.peers, a.image_blob_messages).withColumn("content", F.md5("content"))

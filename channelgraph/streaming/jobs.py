@@ -28,6 +28,7 @@ from channelgraph.operators.scope import (
     with_scores,
 )
 from channelgraph.schemas import COUNT_COLUMNS, MESSAGES, TABLES
+from channelgraph.session import settle
 from channelgraph.streaming.log import BatchLog
 
 DELIVERIES = T.StructType([*MESSAGES.fields, T.StructField("seq", T.LongType())])
@@ -192,6 +193,7 @@ class RelevanceStream:
         scored = image_scores(t["vectors"].join(involved, "phash", "left_semi"), t["inputs"], self.params)
         if scored is None:
             return
+        scored, forwarded = settle(scored, "image-scores"), settle(forwarded, "forwarded-images")
         key = ["peer_external_id", "pile", "phash"]
         pairs = evidence_pairs(own, forwarded, scored)
         fresh = pairs.join(self.evidence.before(batch_id).select(*key), key, "left_anti")

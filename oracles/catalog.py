@@ -328,6 +328,12 @@ ORACLES = {
              videos_excluded, large_excluded, max_media_bytes FROM shown_stats""",
         STATS,
     ),
+    "x1_saved_peer_files": q(
+        """SELECT peer_type AS by_peer_type, count(*) AS peers, count(*) FILTER (WHERE scraped) AS with_posts,
+             max(CASE WHEN scraped AND text_total > 0 THEN text_embedded || '/' || text_total END) AS embed_text
+           FROM shown_stats WHERE peer_type IN ('channel', 'bot') GROUP BY 1""",
+        STATS,
+    ),
     "x2_export_forward_edges": q(
         """SELECT from_id AS from_external_id, CASE WHEN from_id < -1000000000000 THEN 'channel' ELSE 'chat' END AS from_peer_type, a.title AS from_title,
              a.username AS from_username, to_id AS to_external_id, CASE WHEN to_id < -1000000000000 THEN 'channel' ELSE 'chat' END AS to_peer_type,
