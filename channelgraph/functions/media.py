@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from channelgraph.functions.text import strip_to_null
+from channelgraph.functions.text import strip, strip_to_null
 from channelgraph.schemas import MEDIA_KINDS
 
 # File extensions per kind.
@@ -53,9 +53,7 @@ def media_kind(media: Column) -> Column:
 
 
 def base_name(file_name: Column) -> Column:
-    return F.regexp_replace(
-        F.element_at(F.split(F.translate(file_name, "\\", "/"), "/"), -1), r"^\s+|\s+\z", ""
-    )
+    return strip(F.element_at(F.split(F.translate(file_name, "\\", "/"), "/"), -1))
 
 
 def kind_from_hints(mime_type: Column, file_name: Column, attributes: Column) -> Column:
@@ -122,7 +120,7 @@ def parse_item_id(c: Column) -> Column:
 
     Document ids are digits; message ids are UUIDs or, in archives with numeric keys, digits after ``msg:``.
     """
-    raw = F.regexp_replace(c, r"^\s+|\s+\z", "")
+    raw = strip(c)
     own = F.lower(raw).startswith("msg:")
     ident = F.when(own, F.substring(raw, 5, 2**31 - 1)).otherwise(raw)
     uuid = F.lower(ident).rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z")

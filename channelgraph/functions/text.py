@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 ZERO_HASH = "0" * 16
 EXCERPT_CHARS = 80
+# The characters Unicode counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -15,9 +20,13 @@ def blank_to_null(c: Column) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
+def strip(c: Column) -> Column:
+    """Without leading and trailing white space of any kind. Only the ends are looked at, however long the text."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
 def strip_to_null(c: Column) -> Column:
-    """All leading and trailing white space, not only spaces."""
-    stripped = F.regexp_replace(c, r"^\s+|\s+\z", "")
+    stripped = strip(c)
     return F.when(stripped != "", stripped)
 
 
@@ -39,7 +48,7 @@ def stored_excerpt(columns: list[str]) -> Column:
 
 
 def norm_phash(c: Column) -> Column:
-    low = F.lower(F.regexp_replace(c, r"^\s+|\s+\z", ""))
+    low = F.lower(strip(c))
     return F.when(low.rlike(r"^[0-9a-f]{16}\z"), low)
 
 
@@ -81,10 +90,7 @@ def node_title(kind: Column, label: Column, username: Column, external_id: Colum
 
 
 def canonical_handle(c: Column) -> Column:
-    return F.when(
-        F.regexp_replace(c, r"^\s+|\s+\z", "") != "",
-        F.nullif(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+\z", ""), r"^@+", ""), F.lit("")),
-    )
+    return F.nullif(F.ltrim(strip(c), F.lit("@")), F.lit(""))
 
 
 def _keep_first(rows: Column, key) -> Column:

@@ -92,15 +92,24 @@ def peer_counts(
     )
 
 
-def message_deltas(messages: DataFrame) -> DataFrame:
-    """Counters that new messages add, per peer. Text is what remains after all white space is stripped."""
+def insert_facts(messages: DataFrame, *keep: str) -> DataFrame:
+    """What counts about a new message. Text is what remains after all white space is stripped."""
     media = F.col("media")
-    facts = messages.select(
+    return messages.select(
         "peer_external_id",
+        *keep,
         media_kind(media).alias("kind"),
         is_downloaded(media).alias("downloaded"),
         strip_to_null(F.col("content")).isNotNull().alias("text"),
     )
+
+
+def message_deltas(messages: DataFrame) -> DataFrame:
+    """Counters that new messages add, per peer."""
+    return sum_facts(insert_facts(messages))
+
+
+def sum_facts(facts: DataFrame) -> DataFrame:
     flags = _flags(F.col("kind"), F.col("downloaded"), F.col("text"))
     return facts.groupBy("peer_external_id").agg(*_counted(flags))
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from channelgraph.functions.text import strip
+
 TEXT_BATCH = 16
 IMAGE_BATCH = 4
 
@@ -66,7 +68,7 @@ def _encoded(df: DataFrame, key: str, payload: str, factory: Callable[[], Encode
 
 def embed_text(pending: DataFrame, factory: Callable[[], Encoder], model: str) -> DataFrame:
     """Vectors of pending messages (message_id, content). The encoder is made once per task."""
-    stripped = pending.withColumn("content", F.regexp_replace("content", r"^\s+|\s+\z", ""))
+    stripped = pending.withColumn("content", strip(F.col("content")))
     return _encoded(
         stripped, "message_id", "content", factory, model, TEXT_BATCH, lambda t: prefix_texts(model, t, is_query=False)
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from channelgraph.functions.scores import ScopeParams
-from channelgraph.operators.counts import message_deltas
+from channelgraph.operators.counts import insert_facts, sum_facts
 from channelgraph.operators.forwards import OCCURRENCE_KEY, forward_edges, forward_occurrences
 from channelgraph.operators.merge import MESSAGE_KEY, merge_messages
 from channelgraph.operators.scope import (
@@ -57,10 +57,6 @@ def bucket_of(peer: str) -> Column:
     return F.pmod(F.xxhash64(peer), F.lit(KEY_BUCKETS)).cast("int")
 
 
-def batch_buckets(batch: DataFrame) -> DataFrame:
-    return batch.select(bucket_of("peer_external_id").alias("bucket"))
-
-
 def buckets_in(rows: DataFrame) -> list[int]:
     """Buckets a batch touches, at most KEY_BUCKETS numbers. A scrape works on few peers at a time, so most are left out."""
     return [r["bucket"] for r in rows.select("bucket").distinct().collect()]
@@ -110,14 +106,14 @@ class CounterStream:
         self.deltas = BatchLog(spark, f"{path}/deltas", _DELTAS)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy(*MESSAGE_KEY).agg(F.min_by(F.struct("content", "media"), "seq").alias("row"))
-        rows = first.select(*MESSAGE_KEY, "row.*", bucket_of("peer_external_id").alias("bucket"))
-        seen = self.keys.before(batch_id).filter(F.col("bucket").isin(buckets_in(batch_buckets(batch)))).select(*MESSAGE_KEY)
-        fresh = rows.join(seen, MESSAGE_KEY, "left_anti")
+        # a few facts per message leave the batch; its text is read once and goes no further
+        facts = insert_facts(batch, "telegram_message_id", "seq")
+        first = facts.groupBy(*MESSAGE_KEY).agg(F.min_by(F.struct("kind", "downloaded", "text"), "seq").alias("row"))
+        rows = settle(first.select(*MESSAGE_KEY, "row.*", bucket_of("peer_external_id").alias("bucket")), "facts")
+        seen = self.keys.before(batch_id).filter(F.col("bucket").isin(buckets_in(rows))).select(*MESSAGE_KEY)
+        fresh = settle(rows.join(seen, MESSAGE_KEY, "left_anti"), "fresh")
+        self.deltas.write(sum_facts(fresh), batch_id)
         self.keys.write(by_bucket(fresh, "telegram_message_id"), batch_id)
-        # the keys of this batch are settled now; count those rows
-        own = self.keys.batch(batch_id).select(*MESSAGE_KEY)
-        self.deltas.write(message_deltas(rows.join(own, MESSAGE_KEY, "left_semi")), batch_id)
 
     def counters(self) -> DataFrame:
         columns = [c for c in self.deltas.columns if c != "peer_external_id"]

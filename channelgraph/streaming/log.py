@@ -22,9 +22,6 @@ class BatchLog:
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
-    def batch(self, batch_id: int) -> DataFrame:
-        return self._read().filter(F.col("batch_id") == batch_id)
-
     def before(self, batch_id: int) -> DataFrame:
         return self._read().filter(F.col("batch_id") < batch_id)
 
