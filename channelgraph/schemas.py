@@ -31,7 +31,7 @@ MEDIA = T.StructType([T.StructField(name, _str) for name in MEDIA_FIELDS])
 HANDLE = _struct(username=_str, active=_bool, editable=_bool)
 RESTRICTION = _struct(platform=_str, reason=_str, text=_str)
 
-# Profile columns of a peer, in the order the merge and the export use them.
+# Profile columns of a peer, in the order the merge uses them.
 PROFILE_TYPES: dict[str, T.DataType] = {
     "title": _str, "first_name": _str, "last_name": _str, "username": _str,
     "usernames": T.ArrayType(HANDLE), "telegram_date": _ts, "verified": _bool, "scam": _bool, "fake": _bool,
@@ -68,6 +68,7 @@ MESSAGES = _struct(
 # What counting and graphs need of the text, stored beside it so that they never read the text itself.
 STORED_MESSAGES = T.StructType([*MESSAGES.fields, *_struct(has_text=_bool, excerpt=_str).fields])
 
+# The counters of a peer.
 COUNT_COLUMNS = (
     "posts", "text_total", "text_embedded", "image_total", "image_hashed", "image_downloaded", "image_unique",
     "image_persisted", "image_embeddable", "image_embedded_unique", "video_total", "video_downloaded",

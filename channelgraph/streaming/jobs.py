@@ -132,7 +132,7 @@ class ForwardStream:
         self.log = BatchLog(spark, f"{path}/occurrences", _OCCURRENCES)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        occ = forward_occurrences(batch).withColumn("bucket", bucket_of("from_external_id"))
+        occ = settle(forward_occurrences(batch).withColumn("bucket", bucket_of("from_external_id")), "occurrences")
         seen = self.log.before(batch_id).filter(F.col("bucket").isin(buckets_in(occ))).select(*OCCURRENCE_KEY)
         self.log.write(by_bucket(occ.join(seen, OCCURRENCE_KEY, "left_anti"), "message_id"), batch_id)
 
