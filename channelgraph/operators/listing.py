@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from channelgraph.functions.ids import is_target
 from channelgraph.functions.media import media_kind, media_preview
+from channelgraph.functions.predicates import date_window
 from channelgraph.functions.text import peer_label, strip_to_null
 from channelgraph.operators.forwards import with_origin
 from channelgraph.schemas import MEDIA_KINDS
@@ -196,6 +197,23 @@ def message_order() -> list[Column]:
     return [F.desc("date"), F.desc("telegram_message_id")]
 
 
+def message_page(
+    messages: DataFrame, peers: DataFrame, limit: int, offset: int = 0, peer: int | None = None
+) -> DataFrame:
+    """One page of the message listing, with the number of messages there are in all.
+
+    The page is chosen among ids and dates. Its dates then bound the second scan, the only one that reads texts.
+    """
+    chosen = messages if peer is None else messages.filter(F.col("peer_external_id") == peer)
+    known = peers.select(F.col("external_id").alias("peer_external_id"))
+    keys = chosen.select("id", "peer_external_id", "date", "telegram_message_id").join(known, "peer_external_id", "left_semi")
+    picked = settle(page(keys, message_order(), limit, offset).select("id", "date"), "page")
+    first, last = picked.agg(F.min("date"), F.max("date")).first()
+    near = chosen.filter(date_window(F.col("date"), first, last)).join(picked.select("id"), "id", "left_semi")
+    total = chosen.agg(F.count("*")).scalar()
+    return list_messages(near, peers).withColumn("total", total)
+
+
 def first_phash(links: DataFrame) -> DataFrame:
     """The smallest hash linked to each message."""
     return links.groupBy("message_id").agg(F.min("phash").alias("link_phash"))

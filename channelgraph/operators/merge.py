@@ -97,35 +97,32 @@ def merge_messages(
     was already stored loses its media where neither side knows a kind; that is what the stored procedure this
     reproduces does.
 
-    ``delta`` holds each message once, or ``order`` ranks its deliveries.
+    ``delta`` holds each message once, or ``order`` ranks its deliveries. Stored and new messages are treated apart:
+    a left join can broadcast a small delivery, so the stored texts then stay where they are, which a full outer join
+    could not; finding the new messages moves keys only.
     """
     if order is not None:
         delta = fold_versions(delta, order, strict_kind)
-    old = base.withColumn("stored", F.lit(True)).alias("o")
+    old = base.alias("o")
     new = delta.withColumn("sent", F.lit(True)).alias("n")
-    stored, sent = F.col("stored").isNotNull(), F.col("sent").isNotNull()
-    both = stored & sent
-
-    def kept(name: str) -> Column:
-        return F.when(stored, F.col(f"o.{name}")).otherwise(F.col(f"n.{name}")).alias(name)
-
-    media = (
-        F.when(both, _merged_media(F.col("o.media"), F.col("n.media"), strict_kind))
-        .when(stored, F.col("o.media"))
-        .otherwise(F.col("n.media"))
-    )
-    return old.join(new, MESSAGE_KEY, "full_outer").select(
-        kept("id"),
+    sent = F.col("sent").isNotNull()
+    media = F.when(sent, _merged_media(F.col("o.media"), F.col("n.media"), strict_kind)).otherwise(F.col("o.media"))
+    kept = old.join(new, MESSAGE_KEY, "left").select(
+        "o.id",
         *MESSAGE_KEY,
-        kept("date"),
+        "o.date",
         F.when(sent, F.col("n.content")).otherwise(F.col("o.content")).alias("content"),
-        kept("from_external_id"),
+        "o.from_external_id",
         F.coalesce("n.fwd_from", "o.fwd_from").alias("fwd_from"),
         media.alias("media"),
-        F.when(stored, F.col("o.text_embedded")).otherwise(F.lit(False)).alias("text_embedded"),
-        F.when(stored, F.col("o.image_embedded")).otherwise(F.lit(False)).alias("image_embedded"),
-        (~stored).alias("inserted"),
+        "o.text_embedded",
+        "o.image_embedded",
+        F.lit(False).alias("inserted"),
+    )
+    added = delta.join(base.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti").withColumns(
+        {"text_embedded": F.lit(False), "image_embedded": F.lit(False), "inserted": F.lit(True)}
     )
+    return kept.unionByName(added.select(*kept.columns))
 
 
 # ---- peers

@@ -113,8 +113,14 @@ def edge_export_order() -> list[Column]:
 
 
 def _export_rows(messages: DataFrame, peers: DataFrame, links: DataFrame, scope: dict) -> DataFrame:
+    """Messages in scope with their peer and first image hash.
+
+    Peer and hash are found for bare ids first, so that the text is moved once, by id, and not by a hot peer.
+    """
     linked = first_phash(links).withColumnsRenamed({"message_id": "id", "link_phash": "image_phash"})
-    return with_peer(messages.filter(export_scope(**scope, columns=messages.columns)), peers).join(linked, "id", "left")
+    chosen = messages.filter(export_scope(**scope, columns=messages.columns))
+    slim = with_peer(chosen.select("id", "peer_external_id"), peers).join(linked, "id", "left")
+    return chosen.drop("peer_external_id").join(slim, "id")
 
 
 def _media_text(name: str) -> Column:

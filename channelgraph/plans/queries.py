@@ -869,8 +869,8 @@ def u3_node_kinds(a):
 
 @query
 def t1_message_page(a):
-    rows = listing.list_messages(a.messages, a.peers).select("id", "date", "telegram_message_id", "peer_title")
-    return listing.page(rows, listing.message_order(), limit=50, offset=100, with_total=True)
+    rows = listing.message_page(a.messages, a.peers, limit=50, offset=100)
+    return rows.select("id", "date", "telegram_message_id", "peer_title", F.md5("content").alias("content"), "total")
 
 
 @query
@@ -881,7 +881,8 @@ def t1_message_page_after(a):
 
 @query
 def t2_image_page(a):
-    return listing.page(images.image_rollup(a.image_blobs, a.image_blob_messages), images.image_order("peers"), 50).select("phash", "unique_peers", "appearances")
+    rows = images.image_rollup(a.image_blobs, a.image_blob_messages)
+    return listing.page(rows, images.image_order("peers"), 50, with_total=True).select("phash", "unique_peers", "appearances", "total")
 
 
 @query

@@ -234,14 +234,14 @@ ORACLES = {
     "u2_edge_ends": q("SELECT count(*) AS peers FROM (SELECT from_id FROM edges UNION SELECT to_id FROM edges)"),
     # ---- orders and pages
     "t1_message_page": q(
-        """SELECT id, date, telegram_message_id, title AS peer_title, (SELECT count(*) FROM messages) AS total FROM messages JOIN peers ON external_id = peer_external_id
+        """SELECT id, date, telegram_message_id, title AS peer_title, md5(content[1:2000]) AS content, (SELECT count(*) FROM messages) AS total FROM messages JOIN peers ON external_id = peer_external_id
            ORDER BY date DESC, telegram_message_id DESC LIMIT 50 OFFSET 100"""
     ),
     "t1_message_page_after": q(
         "SELECT id, date, telegram_message_id FROM messages WHERE date < TIMESTAMP '2024-01-15' ORDER BY date DESC, telegram_message_id DESC LIMIT 50"
     ),
     "t2_image_page": q(
-        """SELECT phash, unique_peers, appearances FROM rollup_images ORDER BY unique_peers > 1 DESC, unique_peers < appearances DESC,
+        """SELECT phash, unique_peers, appearances, (SELECT count(*) FROM rollup_images) AS total FROM rollup_images ORDER BY unique_peers > 1 DESC, unique_peers < appearances DESC,
              unique_peers DESC, appearances DESC, last_seen_at DESC NULLS LAST, phash LIMIT 50""",
         ROLLUP,
     ),
