@@ -181,9 +181,16 @@ def message_layer(forwards: DataFrame, messages: DataFrame) -> tuple[DataFrame,
 
 
 def message_graph(messages: DataFrame, limit: int = GRAPH_LIMIT, **scope) -> tuple[DataFrame, DataFrame]:
-    """The message layer of the newest ``limit`` forwards in scope, which is what a screen can show."""
+    """The message layer of the newest ``limit`` forwards in scope, which is what a screen can show.
+
+    A request without peer and dates that has more forwards than that gets no messages rather than some of them.
+    """
     chosen = newest(scoped_forwards(messages, **scope), limit, [F.desc_nulls_last("date"), F.asc("id")])
-    return message_layer(chosen.drop("truncated"), messages)
+    return message_layer(_whole_or_scoped(chosen, **scope), messages)
+
+
+def _whole_or_scoped(chosen: DataFrame, **scope) -> DataFrame:
+    return (chosen.filter(~F.col("truncated")) if is_open(**scope) else chosen).drop("truncated")
 
 
 # ---- shared images
@@ -197,10 +204,14 @@ def shared_image_graph(
     end=None,
     limit: int | None = GRAPH_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
-    """Images that two or more peers show, linked to those peers. ``limit`` keeps the most shared ones."""
+    """Images that two or more peers show, linked to those peers.
+
+    ``limit`` keeps the most shared ones of a scoped request; an open one that has more gets none.
+    """
     shared = shared_images(links, peer, start, end)
     if limit is not None:
-        shared = shared.orderBy(F.desc("unique_peers"), F.desc("appearances"), "phash").limit(limit)
+        chosen = newest(shared, limit, [F.desc("unique_peers"), F.desc("appearances"), F.asc("phash")])
+        shared = _whole_or_scoped(chosen, peer=peer, start=start, end=end)
     shown = image_appearances(links, start, end).join(shared.select("phash"), "phash", "left_semi")
     metrics = shown.groupBy(F.col("peer_external_id").alias("peer_id")).agg(
         F.count("*").alias("degree"), F.sum("appearances").alias("volume"), F.count("*").alias("unique_out"),

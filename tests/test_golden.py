@@ -257,6 +257,26 @@ def test_message_layer_without_origin_post_is_empty(spark):
     assert nodes.count() == edges.count() == 0
 
 
+def test_open_request_over_the_limit_gets_no_messages(spark):
+    header = fwd_struct('{"from_id":{"_":"PeerChannel","channel_id":9},"channel_post":4}')
+    posted = spark.range(3).select(
+        "id", F.lit(-100).cast("bigint").alias("peer_external_id"), F.col("id").alias("telegram_message_id"),
+        timecov.bound("2024-01-01").alias("date"), F.lit("x").alias("content"), header.alias("fwd_from"),
+        F.lit(None).cast(MEDIA).alias("media"),
+    )
+    assert graph.message_graph(posted, limit=3)[0].count() == 1
+    assert graph.message_graph(posted, limit=2)[0].count() == 0
+    assert graph.message_graph(posted, limit=2, peer=-100)[0].count() == 1
+    links = spark.createDataFrame(
+        [(h, i, day("2024-01-01"), p, i) for i, (h, p) in enumerate([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), ("c", 1)])],
+        TABLES["image_blob_messages"],
+    )
+    shared = lambda **kw: {r["phash"] for r in graph.shared_image_graph(links, peer_rows(spark), covered(spark, "peer_fetch_coverage"), **kw)[0].collect()} - {None}
+    assert shared() == {"a", "b"}
+    assert shared(limit=1) == set()
+    assert shared(limit=1, peer=1) == {"b"}
+
+
 # ---- layers
 
 def small_graph(spark):
