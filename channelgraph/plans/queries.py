@@ -1443,11 +1443,9 @@ def _deliveries(a):
     return path
 
 
-def _stream(a, on_batch, path=None, transform=None, **options):
-    path = path or _deliveries(a)
-    stream = jobs.read_deliveries(a.spark, path, files_per_batch=4)
-    stream = transform(stream) if transform else stream
-    jobs.run_available(stream, on_batch, scratch_path(a.spark, "stream"), **options)
+def _stream(a, on_batch, path=None):
+    stream = jobs.read_deliveries(a.spark, path or _deliveries(a), files_per_batch=8)
+    jobs.run_available(stream, on_batch, scratch_path(a.spark, "stream"))
 
 
 @query
@@ -1482,7 +1480,7 @@ def w3_forward_stream(a):
 def w4_coverage_stream(a):
     store = jobs.CoverageStream(a.spark, scratch_path(a.spark, "w4"))
     _ = a.messages
-    _stream(a, store.on_batch, a.path("messages"), store.windows, outputMode="update")
+    _stream(a, store.on_batch, a.path("messages"))
     return store.coverage()
 
 

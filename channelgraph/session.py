@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+_local_dirs: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", app: str = "channelgraph") -> SparkSession:
     """A session for tests and the bench. On a cluster the session comes from spark-submit."""
@@ -29,14 +31,15 @@ def local_session(cores: int | str = "*", app: str = "channelgraph") -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names, or a local one where it names none."""
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="spark-channelgraph-")
-        spark.conf.set(CHECKPOINT_SETTING, configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
+    # the setting cannot change in a running session, so a local folder is remembered here
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-channelgraph-")
+    return _local_dirs[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from channelgraph.functions.scores import ScopeParams
 from channelgraph.operators.counts import insert_facts, sum_facts
+from channelgraph.operators.coverage import fetch_coverage
 from channelgraph.operators.forwards import OCCURRENCE_KEY, forward_edges, forward_occurrences
 from channelgraph.operators.merge import MESSAGE_KEY, merge_messages
 from channelgraph.operators.scope import (
@@ -42,13 +43,10 @@ def read_deliveries(
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_available(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, **options) -> None:
+def run_available(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Work through everything that is there now, batch by batch, and stop."""
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-    for name, value in options.items():
-        writer = getattr(writer, name)(value)
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 # ---- key buckets
@@ -151,14 +149,8 @@ class CoverageStream:
     def __init__(self, spark: SparkSession, path: str):
         self.log = BatchLog(spark, f"{path}/coverage", TABLES["peer_fetch_coverage"])
 
-    @staticmethod
-    def windows(stream: DataFrame) -> DataFrame:
-        return stream.groupBy("peer_external_id").agg(
-            F.min("date").alias("covered_after"), F.max("date").alias("covered_before")
-        )
-
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        self.log.write(batch, batch_id)
+        self.log.write(fetch_coverage(batch), batch_id)
 
     def coverage(self) -> DataFrame:
         return self.log.all().groupBy("peer_external_id").agg(
