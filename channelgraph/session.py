@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: int | str = "*", app: str = "channelgraph") -> SparkSession:
@@ -33,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
     # the setting cannot change in a running session, so a local folder is remembered here
     app = spark.sparkContext.applicationId
@@ -55,3 +58,35 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_settled(df: DataFrame) -> None:
+    """Delete the files of a settled result whose readers have all been written."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give every executor this package: Python functions in tasks import it by name.
+
+    A zip of the package folder is added to the application once. It does nothing where the package is not a plain
+    folder (an installed or zipped copy, which reached the executors some other way).
+    """
+    app = spark.sparkContext.applicationId
+    folder = os.path.dirname(os.path.abspath(__file__))
+    if app in _shipped or not os.path.isdir(folder):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), "channelgraph.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as packed:
+        for top, folders, names in os.walk(folder):
+            folders[:] = [f for f in folders if f != "__pycache__"]
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(top, name)
+                    packed.write(file, os.path.relpath(file, os.path.dirname(folder)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)

@@ -19,10 +19,10 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) - set(ORACLES) == WITHOUT_ORACLE
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_file.queries())
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) & set(QUERIES)))
 def test_matches_oracle(spark, duck, name):
     assert differences(entry_file.queries()[name](spark, SF_DIR), duck, ORACLES[name]) == []
 
