@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from channelgraph.llm import exact, mixing, packing, sharding
+from channelgraph.llm import ann, exact, licences, mixing, packing, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op3_content_sort": exact.op3_content_sort,
         "op4_stratified_shards": sharding.op4_stratified_shards,
+        "op5_rotated_codes": ann.op5_rotated_codes,
+        "op6_boosted_trees": quality.op6_boosted_trees,
         "op7_poisson_mixture": mixing.op7_poisson_mixture,
+        "op9_salvage_warc": warc.op9_salvage_warc,
+        "op10_rare_token_index": licences.op10_rare_token_index,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_content_sort": exact.ORACLE_OP3, "op7_poisson_mixture": mixing.ORACLE_OP7}
+    return {
+        "op3_content_sort": exact.ORACLE_OP3,
+        "op5_rotated_codes": ann.ORACLE_OP5,
+        "op7_poisson_mixture": mixing.ORACLE_OP7,
+        "op9_salvage_warc": warc.ORACLE_OP9,
+    }
