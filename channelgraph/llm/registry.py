@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from channelgraph.llm import ann, exact, licences, mixing, packing, quality, sharding, warc
+from channelgraph.llm import ann, exact, licences, mixing, neardup, packing, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_rotated_codes": ann.op5_rotated_codes,
         "op6_boosted_trees": quality.op6_boosted_trees,
         "op7_poisson_mixture": mixing.op7_poisson_mixture,
+        "op8_bottom_k": neardup.op8_bottom_k,
         "op9_salvage_warc": warc.op9_salvage_warc,
         "op10_rare_token_index": licences.op10_rare_token_index,
     }
@@ -27,5 +28,6 @@ def oracles() -> dict[str, str]:
         "op3_content_sort": exact.ORACLE_OP3,
         "op5_rotated_codes": ann.ORACLE_OP5,
         "op7_poisson_mixture": mixing.ORACLE_OP7,
+        "op8_bottom_k": neardup.op8_bottom_k,
         "op9_salvage_warc": warc.ORACLE_OP9,
     }
