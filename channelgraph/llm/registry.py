@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from channelgraph.llm import ann, exact, licences, mixing, neardup, packing, quality, sharding, warc
+from channelgraph.llm import ann, exact, licences, mixing, neardup, packing, quality, sharding, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_bwt_substrings": substrings.op2_bwt_substrings,
         "op3_content_sort": exact.op3_content_sort,
         "op4_stratified_shards": sharding.op4_stratified_shards,
         "op5_rotated_codes": ann.op5_rotated_codes,
