@@ -20,9 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from channelgraph.llm.common import byte_slices, documents, drop_settled, settle, utf8
 from channelgraph.llm.components import components
@@ -80,14 +79,14 @@ def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, sketch = [], [], [], []
-            for s in shingle_sets(utf8(batch.column(1)), size):
+            for s in shingle_sets(utf8(batch.column(2)), size):
                 n.append(len(s))
                 a.append(int(mixed(s).sum(dtype=np.uint64).astype(np.int64)))
                 b.append(int(mixed(s ^ U(0x5555555555555555)).sum(dtype=np.uint64).astype(np.int64)))
                 sketch.append(s[:K].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
-                ["id", "n", "a", "b", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
+                ["id", "th", "n", "a", "b", "sketch"],
             )
 
     return run
@@ -221,17 +220,22 @@ def _sets_of(size: int):
     return run
 
 
+def _text_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, set_a and set_b (a fingerprint of the set), component_id.
+    """One row per row of ``docs``: id, th (a hash of the text), n_shingles, group and component_id.
 
     Texts are lower-cased in A-Z and cut at the white space of ASCII; shingles are ``size`` words. Two rows are linked
-    when ``percent`` of the union of their sets is in both; component_id is the smallest id that links lead to, the own
-    one included. Null and blank texts have no shingles and are linked with nothing. Rows without id are linked like
-    others and never name a component unless it has no other. An empty table gives no rows.
+    when ``percent`` of the union of their sets is in both; rows that links
+    connect have the same group, a number, and component_id is the smallest id among them. Null and blank texts have no
+    shingles, no group, and are linked with nothing. Rows without id are linked like others and never name a component
+    unless it has no other. Repeated rows are one set. An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = settle(narrow.mapInArrow(_sketches(size), "id long, n long, a long, b long, sketch array<long>"), "near-sketches")
+    keyed = narrow.select("id", _text_hash("text").alias("th"), "text")
+    rows = settle(keyed.mapInArrow(_sketches(size), "id long, th long, n long, a long, b long, sketch array<long>"), "near-sketches")
     nodes = rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("first"), F.first("sketch").alias("sketch"))
     # numbered as they are written; from then on the numbers stand
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
@@ -270,12 +274,27 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id
     roots = components(links)
     groups = nodes.select("node", "a", "b", "n", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = groups.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = settle(groups.join(names, "root").select("a", "b", "n", "component_id"), "near-groups")
+    groups = settle(groups.join(names, "root").select("a", "b", "n", F.col("root").alias("group"), "component_id"), "near-groups")
     for done in (shared, pairs, entered, members, sets):
         drop_settled(done)
-    found = rows.select("id", "n", "a", "b").join(groups, ["a", "b", "n"], "left")
+    found = rows.select("id", "th", "n", "a", "b").join(groups, ["a", "b", "n"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return found.select("id", F.col("n").alias("n_shingles"), F.col("a").alias("set_a"), F.col("b").alias("set_b"), own.alias("component_id"))
+    return found.select("id", "th", F.col("n").alias("n_shingles"), "group", own.alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs``, one row of each group (see :func:`near_groups`): that of the smallest id, null ids last,
+    and of fully repeated rows one. Rows without shingles all stay."""
+    found = settle(near_groups(docs, size, percent, id_col, text_col), "near-rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")
+    firsts = found.filter(F.col("group").isNotNull()).groupBy("group").agg(first).select("first.id", "first.th", F.lit(True).alias("_one"))
+    bare = found.filter(F.col("group").isNull()).select("id", "th", F.lit(False).alias("_one")).distinct()
+    stay = firsts.unionByName(bare).select(F.col("id").alias("_stay_id"), F.col("th").alias("_stay_th"), "_one")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    held = held.select("row", F.col(f"row.`{id_col}`").cast("long").alias("_id"), _text_hash(f"row.`{text_col}`").alias("_th"))
+    kept = held.join(stay, F.col("_id").eqNullSafe(F.col("_stay_id")) & (F.col("_th") == F.col("_stay_th")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))
+    return kept.withColumn("_nth", nth).filter(~F.col("_one") | (F.col("_nth") == 1)).select("row.*")
 
 
 def op8_bottom_k(spark, sf_dir: str) -> DataFrame:

@@ -156,8 +156,12 @@ def train(features: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, lab
     one id the smallest counts). Without both labels the score is the share of label 1 (one half without any).
     """
     wanted = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label_col).alias("_label"))
+    wanted = settle(wanted, "quality-labels")
+    order = F.xxhash64("_id")
+    # thinned by the same hash before one task picks the smallest, so that it never sees many more than it keeps
+    share = min(1.0, 1.25 * rows / max(1, wanted.count()))
+    wanted = wanted.filter(order.cast("double") <= (2 * share - 1) * 2.0**63)
     joined = features.join(wanted, F.col("id") == F.col("_id"))
-    order = F.xxhash64("id")
     sample = joined.select("_label", *FEATURES, order.alias("_order")).orderBy("_order").limit(rows).drop("_order").toArrow()
     x = np.stack([sample.column(f).to_numpy() for f in FEATURES], axis=1) if sample.num_rows else np.zeros((0, len(FEATURES)))
     y = sample.column("_label").to_numpy().astype(float) if sample.num_rows else np.zeros(0)

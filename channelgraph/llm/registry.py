@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from channelgraph.llm import ann, exact, licences, mixing, neardup, packing, quality, sharding, substrings, warc
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bottom_k": neardup.op8_bottom_k,
         "op9_salvage_warc": warc.op9_salvage_warc,
         "op10_rare_token_index": licences.op10_rare_token_index,
+        "pipeline": corpus_pipeline.run,
     }
 
 
