@@ -31,6 +31,5 @@ def oracles() -> dict[str, str]:
         "op3_content_sort": exact.ORACLE_OP3,
         "op5_rotated_codes": ann.ORACLE_OP5,
         "op7_poisson_mixture": mixing.ORACLE_OP7,
-        "op8_bottom_k": neardup.op8_bottom_k,
         "op9_salvage_warc": warc.ORACLE_OP9,
     }
