@@ -30,6 +30,8 @@ ROLL_BYTES = 8 << 20
 REVISIT_BYTES = 100
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Checksum of the header lines before it, for records that have it; it stands last.
+HEAD_CHECK = "X-Head-Check"
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 FED = 4096
 
@@ -65,8 +67,8 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
         if refers_to is not None:
             fields.append(("X-Refers-To-Page", str(refers_to)))
     fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
-    text = "".join(f"{k}: {v}\r\n" for k, v in fields)
-    return VERSION + b"\r\n" + text.encode("utf-8") + b"\r\n" + block + b"\r\n\r\n"
+    text = VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8")
+    return text + f"{HEAD_CHECK}: {zlib.crc32(text):08x}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
 def member(record: bytes) -> bytes:
@@ -89,6 +91,9 @@ def parse_record(data: bytes | memoryview, at: int) -> tuple[Record, int]:
         if not colon:
             raise ValueError("header line without a colon")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+    said = headers.get(HEAD_CHECK.lower())
+    if said is not None and said != f"{zlib.crc32(data_bytes[at : end - len(lines[-1])]):08x}":
+        raise ValueError("header check differs")
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise ValueError("no content length")
@@ -222,7 +227,7 @@ READ = "file string, start long, end long, gap string, record_type string, page_
 
 def _read(with_payload: bool):
     def number(text: str | None) -> int | None:
-        return int(text) if text is not None else None
+        return int(text) if text is not None and text.lstrip("-").isdecimal() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in READ.split(", ")]
