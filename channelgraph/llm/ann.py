@@ -20,8 +20,8 @@ from channelgraph.llm.common import documents, settle
 
 QUERY_BLOCK = 1024
 #: Width of the probabilistic error bound in standard deviations; the certain bound is used where it is tighter.
-SIGMAS = 6.0
-ROWS, PAIRS = 2048, 1 << 17
+SIGMAS = 4.0
+ROWS, PAIRS = 2048, 1 << 15
 SEED = 7
 
 
@@ -73,7 +73,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array(total), pa.array([n] * dim, pa.int64())], ["at", "part", "n"])
 
-    parts = rows.select("vector").mapInArrow(sums, "at int, part double, n long")
+    parts = rows.select("vector").mapInArrow(sums, "at int, part double, n long").filter("n > 0")
     means = parts.groupBy("at").agg((F.sum("part") / F.sum("n")).alias("mean")).collect()  # one row per dimension
     centre = np.zeros(dim)
     for r in means:
@@ -92,12 +92,13 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return settle(index, "ann-index"), dim, centre
 
 
-def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Euclidean distances of paired rows, components added in order."""
-    total = np.zeros(len(left))
-    for d in range(left.shape[1]):
-        step = left[:, d] - right[:, d]
-        total += step * step
+def distances(left: np.ndarray, right: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Euclidean distances of left[:, row] and right[:, column], components added in order."""
+    total = np.zeros(len(row))
+    for one, other in zip(left, right, strict=True):
+        step = one[row] - other[column]
+        step *= step
+        total += step
     return np.sqrt(total)
 
 
@@ -105,7 +106,7 @@ class BlockSearch:
     """The k nearest of the vectors seen so far for each query of a block."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, k: int):
-        self.ids, self.queries, self.k, self.dim = ids, queries, k, queries.shape[1]
+        self.ids, self.queries, self.k, self.dim = ids, np.ascontiguousarray(queries.T), k, queries.shape[1]
         offsets = queries - centre
         self.length = np.sqrt((offsets * offsets).sum(axis=1))
         self.direction = (offsets / np.where(self.length > 0, self.length, 1)[:, None]) @ rotation(self.dim)
@@ -121,19 +122,23 @@ class BlockSearch:
         error = np.sqrt(np.maximum(0, 1 - fit**2))[:, None] / fit[:, None] * spread + 1e-5  # 1e-5: single precision above
         middle = length[:, None] ** 2 + self.length[None] ** 2
         scale = 2 * length[:, None] * self.length[None]
-        others = ids[:, None] != self.ids[None]
-        low = middle - scale * (inner + error)
-        high = np.where(others, middle - scale * (inner - error), np.inf)
-        limit = self.best[:, -1] ** 2
-        if len(ids) > self.k:
-            limit = np.minimum(limit, np.partition(high, self.k - 1, axis=0)[self.k - 1])
-        row, query = np.nonzero(others & (low <= limit[None] * (1 + 1e-9) + 1e-12))
+        todo = ids[:, None] != self.ids[None]
+        columns = np.ascontiguousarray(vectors.T)
+        if np.isinf(self.best[:, -1]).any() and len(ids) > self.k:
+            # nothing to measure against yet: begin with those that seem nearest
+            likely = np.argpartition(np.where(todo, middle - scale * inner, np.inf), self.k, axis=0)[: self.k]
+            query = np.broadcast_to(np.arange(len(self.ids)), likely.shape)
+            real = todo[likely, query]
+            self._compare(ids, columns, likely[real], query[real])
+            todo[likely, query] = False
+        todo &= middle - scale * (inner + error) <= self.best[:, -1][None] ** 2 * (1 + 1e-9) + 1e-12
+        row, query = np.nonzero(todo)
         for a in range(0, len(row), PAIRS):
-            self._compare(ids, vectors, row[a : a + PAIRS], query[a : a + PAIRS])
+            self._compare(ids, columns, row[a : a + PAIRS], query[a : a + PAIRS])
 
-    def _compare(self, ids: np.ndarray, vectors: np.ndarray, row: np.ndarray, query: np.ndarray) -> None:
+    def _compare(self, ids: np.ndarray, columns: np.ndarray, row: np.ndarray, query: np.ndarray) -> None:
         self.compared += len(row)
-        score = distances(vectors[row], self.queries[query])
+        score = distances(columns, self.queries, row, query)
         near = score <= self.best[query, -1]
         row, query, score = row[near], query[near], score[near]
         touched = np.unique(query)
