@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VECTOR_WIDTH = 1280
-
-
 def parse_vector(text: Column) -> Column:
     """``[a, b, c]`` or ``a, b, c`` to an array of floats."""
     body = F.regexp_replace(text, r"^\s*\[?|\]?\s*\z", "")
@@ -20,10 +17,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def is_valid(v: Column) -> Column:
-    """Non-empty, not wider than the slot, and not all zero."""
-    return F.coalesce(
-        F.size(v).between(1, VECTOR_WIDTH) & F.exists(v, lambda x: x != 0), F.lit(False)
-    )
+    """Non-empty and not all zero, of any width."""
+    return F.coalesce((F.size(v) > 0) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def unit(v: Column) -> Column:

@@ -11,6 +11,8 @@ from channelgraph.operators.listing import attach_stats
 from channelgraph.schemas import MEDIA_KINDS
 
 LAYERS = (*MEDIA_KINDS, "text_embed", "image_embed")
+#: A peer's messages meet its floor in so many parts, so that a channel with very many is not one task's work.
+FLOOR_PARTS = 32
 
 
 def media_windows(messages: DataFrame, links: DataFrame) -> DataFrame:
@@ -50,12 +52,19 @@ def fetch_coverage(messages: DataFrame, floor: DataFrame | None = None) -> DataF
     """Date window per peer. ``floor`` (peer_external_id, min_id) keeps a lone early message out of it."""
     rows = messages.select("peer_external_id", "telegram_message_id", "date")
     if floor is not None:
-        rows = rows.join(floor, "peer_external_id", "left").filter(
-            F.col("min_id").isNull() | (F.col("telegram_message_id") >= F.col("min_id"))
+        parts = F.explode(F.sequence(F.lit(0), F.lit(FLOOR_PARTS - 1))).alias("part")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("telegram_message_id"), F.lit(FLOOR_PARTS)).cast("int"))
+        rows = (
+            rows.join(floor.select("peer_external_id", "min_id", parts), ["peer_external_id", "part"], "left")
+            .filter(F.col("min_id").isNull() | (F.col("telegram_message_id") >= F.col("min_id")))
+            .groupBy("peer_external_id", "part")
+            .agg(F.min("date").alias("first"), F.max("date").alias("date"))
         )
+    else:
+        rows = rows.withColumn("first", F.col("date"))
     return (
         rows.groupBy("peer_external_id")
-        .agg(F.min("date").alias("covered_after"), F.max("date").alias("covered_before"))
+        .agg(F.min("first").alias("covered_after"), F.max("date").alias("covered_before"))
         .filter(F.col("covered_before").isNotNull())
     )
 
@@ -80,11 +89,13 @@ def media_coverage(messages: DataFrame, policy: DataFrame, stored: DataFrame | N
 
 def id_span(messages: DataFrame, peers: DataFrame) -> DataFrame:
     """Lowest and highest message number per peer, the first-message probe aside."""
-    probe = peers.select(F.col("external_id").alias("peer_external_id"), "first_message_id")
+    probe = peers.filter(F.col("first_message_id").isNotNull()).select(
+        F.col("external_id").alias("peer_external_id"), F.col("first_message_id").alias("telegram_message_id")
+    )
+    # joined on both columns, which spreads a busy peer
     return (
         messages.select("peer_external_id", "telegram_message_id")
-        .join(probe, "peer_external_id", "left")
-        .filter(~F.col("telegram_message_id").eqNullSafe(F.col("first_message_id")))
+        .join(probe, ["peer_external_id", "telegram_message_id"], "left_anti")
         .groupBy("peer_external_id")
         .agg(F.min("telegram_message_id").alias("lo"), F.max("telegram_message_id").alias("hi"))
     )

@@ -42,8 +42,11 @@ def is_occurrence() -> Column:
     return known & is_target(source) & is_target(origin) & (source != origin)
 
 
-def forward_edges(occ: DataFrame) -> DataFrame:
-    """One row per poster and origin, with its count, time span and newest name."""
+def forward_edges(occ: DataFrame, keep_named: bool = False) -> DataFrame:
+    """One row per poster and origin, with its count, time span and newest name.
+
+    ``keep_named`` adds ``named_by``, the date and id of the message that gave the name; merging needs it.
+    """
     named = F.col("from_name").isNotNull()
     latest = F.struct("message_date", "message_id")
     return (
@@ -53,6 +56,7 @@ def forward_edges(occ: DataFrame) -> DataFrame:
             F.min("message_date").alias("first_seen_at"),
             F.max("message_date").alias("last_seen_at"),
             F.max_by("from_name", F.when(named, latest)).alias("last_from_name"),
+            F.max(F.when(named, latest)).alias("named_by"),
         )
         .select(
             "from_external_id",
@@ -63,20 +67,25 @@ def forward_edges(occ: DataFrame) -> DataFrame:
             "forward_count",
             "first_seen_at",
             "last_seen_at",
+            *(["named_by"] if keep_named else []),
         )
     )
 
 
 def merge_edges(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Add edges of new occurrences to stored ones: counts add up, spans widen, the newest name stays."""
+    """Add edges of new occurrences to stored ones: counts add up, spans widen, the newest name stays.
+
+    Both sides come from ``forward_edges(..., keep_named=True)``, and so does the result.
+    """
     named = F.col("last_from_name").isNotNull()
     return stored.unionByName(fresh).groupBy("from_external_id", "to_external_id").agg(
         F.max("from_peer_type").alias("from_peer_type"),
         F.max("to_peer_type").alias("to_peer_type"),
-        F.max_by("last_from_name", F.when(named, F.col("last_seen_at"))).alias("last_from_name"),
+        F.max_by("last_from_name", F.when(named, F.col("named_by"))).alias("last_from_name"),
         F.sum("forward_count").alias("forward_count"),
         F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_seen_at").alias("last_seen_at"),
+        F.max("named_by").alias("named_by"),
     )
 
 

@@ -13,8 +13,8 @@ from channelgraph.operators.images import image_appearances, shared_images
 from channelgraph.operators.listing import newest
 from channelgraph.schemas import MEDIA_KINDS, TABLES
 
-# Limits and size estimates.
-GRAPH_LIMIT = 40_000
+# Limits and size estimates. They label what a screen can show; no graph is cut by them.
+SCREEN_LIMIT = 40_000
 AUTO_LIMITS = {"nodes": 25_000, "edges": 80_000, "bytes": 25 * 1024 * 1024}
 CONFIRM_LIMITS = {"nodes": 80_000, "edges": 200_000, "bytes": 80 * 1024 * 1024}
 BYTES_PER_PEER, BYTES_PER_MESSAGE, BYTES_PER_EDGE = 220, 420, 80
@@ -180,38 +180,40 @@ def message_layer(forwards: DataFrame, messages: DataFrame) -> tuple[DataFrame,
     return nodes, posted.unionByName(forwarded).withColumn("count", F.lit(1).cast("bigint"))
 
 
-def message_graph(messages: DataFrame, limit: int = GRAPH_LIMIT, **scope) -> tuple[DataFrame, DataFrame]:
-    """The message layer of the newest ``limit`` forwards in scope, which is what a screen can show.
+def message_graph(messages: DataFrame, **scope) -> tuple[DataFrame, DataFrame]:
+    """The message layer of all forwards in scope."""
+    return message_layer(scoped_forwards(messages, **scope), messages)
 
-    A request without peer and dates that has more forwards than that gets no messages rather than some of them.
-    """
-    chosen = newest(scoped_forwards(messages, **scope), limit, [F.desc_nulls_last("date"), F.asc("id")])
-    return message_layer(_whole_or_scoped(chosen, **scope), messages)
+
+def newest_message_graph(messages: DataFrame, n: int, **scope) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The message layer of the newest ``n`` forwards in scope, and one row ``truncated``: whether there were more."""
+    chosen = newest(scoped_forwards(messages, **scope), n, [F.desc_nulls_last("date"), F.asc("id")])
+    return *message_layer(chosen.drop("truncated"), messages), _truncated(chosen)
 
 
-def _whole_or_scoped(chosen: DataFrame, **scope) -> DataFrame:
-    return (chosen.filter(~F.col("truncated")) if is_open(**scope) else chosen).drop("truncated")
+def _truncated(chosen: DataFrame) -> DataFrame:
+    return chosen.agg(F.coalesce(F.max("truncated"), F.lit(False)).alias("truncated"))
 
 
 # ---- shared images
 
 def shared_image_graph(
-    links: DataFrame,
-    peers: DataFrame,
-    fetched: DataFrame,
-    peer: int | None = None,
-    start=None,
-    end=None,
-    limit: int | None = GRAPH_LIMIT,
+    links: DataFrame, peers: DataFrame, fetched: DataFrame, peer: int | None = None, start=None, end=None
 ) -> tuple[DataFrame, DataFrame]:
-    """Images that two or more peers show, linked to those peers.
+    """All images that two or more peers show, linked to those peers."""
+    return _image_graph(shared_images(links, peer, start, end), links, peers, fetched, start, end)
 
-    ``limit`` keeps the most shared ones of a scoped request; an open one that has more gets none.
-    """
+
+def top_shared_image_graph(
+    links: DataFrame, peers: DataFrame, fetched: DataFrame, n: int, peer: int | None = None, start=None, end=None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ``n`` most shared images with their peers, and one row ``truncated``: whether there were more."""
     shared = shared_images(links, peer, start, end)
-    if limit is not None:
-        chosen = newest(shared, limit, [F.desc("unique_peers"), F.desc("appearances"), F.asc("phash")])
-        shared = _whole_or_scoped(chosen, peer=peer, start=start, end=end)
+    chosen = newest(shared, n, [F.desc("unique_peers"), F.desc("appearances"), F.asc("phash")])
+    return *_image_graph(chosen.drop("truncated"), links, peers, fetched, start, end), _truncated(chosen)
+
+
+def _image_graph(shared: DataFrame, links: DataFrame, peers: DataFrame, fetched: DataFrame, start, end):
     shown = image_appearances(links, start, end).join(shared.select("phash"), "phash", "left_semi")
     metrics = shown.groupBy(F.col("peer_external_id").alias("peer_id")).agg(
         F.count("*").alias("degree"), F.sum("appearances").alias("volume"), F.count("*").alias("unique_out"),
@@ -265,7 +267,7 @@ def _band(open_scope: bool, peers: Column, items: Column, fixed_edges: Column, p
     if open_scope:
         edges = fixed_edges + items * per_item
         return budget_band(peers + items, edges, estimate_bytes(peers, items, edges))
-    capped = F.least(items, F.lit(GRAPH_LIMIT))
+    capped = F.least(items, F.lit(SCREEN_LIMIT))
     edges = fixed_edges + capped * per_item
     band = budget_band(peers + capped, edges, estimate_bytes(peers, capped, edges))
     return F.when(band == "block", "confirm").otherwise(band)
@@ -292,7 +294,7 @@ def graph_stats(edges: DataFrame, occ: DataFrame, messages: DataFrame, **scope)
         all_edges.alias("estimated_edges"),
         estimate_bytes(peers, items, all_edges).alias("bytes_estimate"),
         _band(is_open(**scope), peers, items, lines, 2).alias("band"),
-        (F.lit(is_open(**scope)) & (items > GRAPH_LIMIT)).alias("messages_omitted"),
+        (F.lit(is_open(**scope)) & (items > SCREEN_LIMIT)).alias("messages_omitted"),
     )
 
 
@@ -309,15 +311,15 @@ def shared_image_stats(links: DataFrame, peer: int | None = None, start=None, en
     if open_scope:
         band = budget_band(peers + images, lines, estimate_bytes(peers, images, lines))
     else:
-        kept = F.least(images, F.lit(GRAPH_LIMIT))
-        edges = F.least(lines, F.lit(GRAPH_LIMIT * IMAGE_EDGE_FACTOR))
+        kept = F.least(images, F.lit(SCREEN_LIMIT))
+        edges = F.least(lines, F.lit(SCREEN_LIMIT * IMAGE_EDGE_FACTOR))
         band = budget_band(peers + kept, edges, estimate_bytes(peers, kept, edges))
         band = F.when(band == "block", "confirm").otherwise(band)
     return sums.select(
         peers.alias("peer_count"), images.alias("image_count"), lines.alias("edge_count"),
         (peers + images).alias("estimated_nodes"), lines.alias("estimated_edges"),
         estimate_bytes(peers, images, lines).alias("bytes_estimate"), band.alias("band"),
-        (F.lit(open_scope) & (images > GRAPH_LIMIT)).alias("images_omitted"),
+        (F.lit(open_scope) & (images > SCREEN_LIMIT)).alias("images_omitted"),
     )
 
 

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from channelgraph.functions.predicates import local_path
 from channelgraph.functions.text import is_dedupable, stored_has_text
-from channelgraph.functions.vectors import VECTOR_WIDTH
 
 # 1024 vectors of 1280 doubles are 10 MiB.
 BLOCK = 1024
@@ -30,12 +29,10 @@ def unit_matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     values = np.nan_to_num(values, nan=0.0)
-    # rows wider than the slot stay zero here and so come out as not valid
     rows = np.repeat(np.arange(len(lengths)), lengths)
     cols = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    kept = np.repeat(lengths <= min(width, VECTOR_WIDTH), lengths)
     out = np.zeros((len(lengths), width))
-    out[rows[kept], cols[kept]] = values[kept]
+    out[rows, cols] = values
     norms = np.sqrt((out * out).sum(axis=1))
     valid = norms > 0
     out[valid] /= norms[valid, None]
@@ -53,7 +50,7 @@ def query_blocks(queries: DataFrame, key: str, size: int = BLOCK) -> Iterator[tu
 
     for row in queries.select(key, "embedding").toLocalIterator():
         vector = row["embedding"]
-        if vector and len(vector) <= VECTOR_WIDTH and any(vector):
+        if vector and any(vector):
             ids.append(row[key])
             rows.append(vector)
         if len(ids) == size:
@@ -66,7 +63,6 @@ def query_blocks(queries: DataFrame, key: str, size: int = BLOCK) -> Iterator[tu
 def _scored(column: pa.Array, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cosines of a batch against all questions. A vector wider than the questions loses only zeros of theirs."""
     width = max(matrix.shape[1], int(np.max(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), initial=1)))
-    width = min(width, VECTOR_WIDTH)
     unit, valid = unit_matrix(column, width)
     return unit[:, : matrix.shape[1]] @ matrix[:, :width].T, valid
 

@@ -13,9 +13,6 @@ from channelgraph.operators.forwards import with_origin
 from channelgraph.schemas import MEDIA_KINDS
 from channelgraph.session import settle
 
-CONTENT_CHARS = 2000
-
-
 # ---- peers
 
 def attach_stats(peers: DataFrame, counts: DataFrame, fetch: DataFrame, media: DataFrame) -> DataFrame:
@@ -181,12 +178,15 @@ def with_peer(messages: DataFrame, peers: DataFrame) -> DataFrame:
     return messages.join(side, "peer_external_id")
 
 
-def list_messages(messages: DataFrame, peers: DataFrame, peer: int | None = None) -> DataFrame:
-    """Rows of the message listing: text cut for display, forwarded flag, media kind, peer."""
+def list_messages(
+    messages: DataFrame, peers: DataFrame, peer: int | None = None, content_chars: int | None = None
+) -> DataFrame:
+    """Rows of the message listing: text (cut for display only where ``content_chars`` says so), flags, media kind, peer."""
     if peer is not None:
         messages = messages.filter(F.col("peer_external_id") == peer)
+    content = F.col("content") if content_chars is None else F.left("content", F.lit(content_chars))
     shown = messages.select(
-        "id", "telegram_message_id", "date", F.left("content", F.lit(CONTENT_CHARS)).alias("content"),
+        "id", "telegram_message_id", "date", content.alias("content"),
         "from_external_id", F.col("fwd_from").isNotNull().alias("forwarded"),
         media_kind(F.col("media")).alias("media_kind"), "peer_external_id",
     )
@@ -198,7 +198,7 @@ def message_order() -> list[Column]:
 
 
 def message_page(
-    messages: DataFrame, peers: DataFrame, limit: int, offset: int = 0, peer: int | None = None
+    messages: DataFrame, peers: DataFrame, limit: int, offset: int = 0, peer: int | None = None, content_chars: int | None = None
 ) -> DataFrame:
     """One page of the message listing, with the number of messages there are in all.
 
@@ -211,7 +211,7 @@ def message_page(
     first, last = picked.agg(F.min("date"), F.max("date")).first()
     near = chosen.filter(date_window(F.col("date"), first, last)).join(picked.select("id"), "id", "left_semi")
     total = chosen.agg(F.count("*")).scalar()
-    return list_messages(near, peers).withColumn("total", total)
+    return list_messages(near, peers, content_chars=content_chars).withColumn("total", total).orderBy(*message_order())
 
 
 def first_phash(links: DataFrame) -> DataFrame:

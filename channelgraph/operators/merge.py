@@ -34,7 +34,7 @@ def _merged_media(old: Column, new: Column, strict_kind: bool) -> Column:
 def fold_versions(delta: DataFrame, order: str, strict_kind: bool = True) -> DataFrame:
     """Several deliveries of a message become the one row that applying them in order would leave.
 
-    ``order`` ranks the deliveries of a message. With ``strict_kind`` the media seen before the first known kind
+    ``order`` ranks the deliveries of a message; the stored row, where there is one, is the first of them. With ``strict_kind`` the media seen before the first known kind
     survive only if the kind arrived with the very next delivery (see ``merge_messages``).
     """
     kind, rank = F.col("media.kind"), F.col(order)
@@ -102,7 +102,7 @@ def merge_messages(
     could not; finding the new messages moves keys only.
     """
     if order is not None:
-        delta = fold_versions(delta, order, strict_kind)
+        return _merge_ranked(base, delta, order, strict_kind)
     old = base.alias("o")
     new = delta.withColumn("sent", F.lit(True)).alias("n")
     sent = F.col("sent").isNotNull()
@@ -125,6 +125,31 @@ def merge_messages(
     return kept.unionByName(added.select(*kept.columns))
 
 
+def _merge_ranked(base: DataFrame, delta: DataFrame, order: str, strict_kind: bool) -> DataFrame:
+    """Several deliveries of a message over a stored table: the stored row is the version before all deliveries.
+
+    The text of a touched row is never that of the stored one, so stored texts are read for untouched rows only.
+    """
+    keys = delta.select(*MESSAGE_KEY).distinct()
+    columns = ["id", *MESSAGE_KEY, "date", "content", "from_external_id", "fwd_from", "media", "text_embedded", "image_embedded"]
+    kind = delta.schema[order].dataType
+    held = base.join(keys, MESSAGE_KEY, "left_semi").withColumns(
+        {"content": F.lit(None).cast("string"), "_rank": F.struct(F.lit(0).alias("delivered"), F.lit(None).cast(kind).alias("at"))}
+    )
+    sent = delta.withColumns(
+        {
+            "text_embedded": F.lit(False),
+            "image_embedded": F.lit(False),
+            "_rank": F.struct(F.lit(1).alias("delivered"), F.col(order).alias("at")),
+        }
+    )
+    folded = fold_versions(held.select(*columns, "_rank").unionByName(sent.select(*columns, "_rank")), "_rank", strict_kind)
+    fresh = held.select(*MESSAGE_KEY, F.lit(False).alias("fresh"))
+    folded = folded.join(fresh, MESSAGE_KEY, "left").withColumn("inserted", F.col("fresh").isNull()).drop("fresh")
+    untouched = base.join(keys, MESSAGE_KEY, "left_anti").withColumn("inserted", F.lit(False))
+    return untouched.select(*columns, "inserted").unionByName(folded.select(*columns, "inserted"))
+
+
 # ---- peers
 
 def fold_latest(delta: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
@@ -217,13 +242,13 @@ def purge_probe_only(messages: DataFrame, peers: DataFrame, fetched: DataFrame)
         .select(F.col("external_id").alias("peer_external_id"), "first_message_id")
         .join(fetched.select("peer_external_id"), "peer_external_id", "left_anti")
     )
-    rows = messages.select("peer_external_id", "telegram_message_id")
-    others = (
-        rows.join(probes, "peer_external_id")
-        .groupBy("peer_external_id")
-        .agg(F.max(~F.col("telegram_message_id").eqNullSafe(F.col("first_message_id"))).alias("more"))
-        .filter("more")
+    number = F.col("telegram_message_id")
+    spans = messages.groupBy("peer_external_id").agg(
+        F.min(number).alias("lo"), F.max(number).alias("hi"), F.max(number.isNull()).alias("unnumbered")
     )
+    probe = F.col("first_message_id")
+    others = spans.join(probes, "peer_external_id").filter(F.col("unnumbered") | (F.col("lo") != probe) | (F.col("hi") != probe))
+    others = others.select("peer_external_id")
     doomed = probes.join(others, "peer_external_id", "left_anti").select(
         "peer_external_id", F.col("first_message_id").alias("telegram_message_id")
     )

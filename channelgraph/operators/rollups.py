@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from channelgraph.functions.media import digits_or_null, is_persisted, media_item_id, media_kind
 
-SOURCES_KEPT = 16
-
-
 def media_items(messages: DataFrame, kind: str, peer: int | None = None) -> DataFrame:
     """Messages of one kind with the id of the item they carry, without their text.
 
@@ -103,19 +100,19 @@ def with_peer_names(fan: DataFrame, peers: DataFrame) -> DataFrame:
     return fan.join(side, "peer_external_id")
 
 
-def newest_sources(rows: DataFrame, key: str, date: str, tie: str, k: int = SOURCES_KEPT) -> DataFrame:
+def newest_sources(rows: DataFrame, key: str, date: str, tie: str, k: int) -> DataFrame:
     """The newest ``k`` rows per key. Spark limits each task's groups to ``k`` rows before the shuffle."""
     newest_first = Window.partitionBy(key).orderBy(F.desc_nulls_last(date), F.desc(tie))
     return rows.withColumn("rank", F.row_number().over(newest_first)).filter(F.col("rank") <= k)
 
 
-def media_sources(messages: DataFrame, kind: str, k: int = SOURCES_KEPT) -> DataFrame:
+def media_sources(messages: DataFrame, kind: str, k: int) -> DataFrame:
     """Messages a video or file can be fetched from."""
     items = media_items(messages, kind).select("item_id", "id", "peer_external_id", "telegram_message_id", "date")
     return newest_sources(items, "item_id", "date", "id", k)
 
 
-def image_sources(links: DataFrame, k: int = SOURCES_KEPT) -> DataFrame:
+def image_sources(links: DataFrame, k: int) -> DataFrame:
     """Messages an image can be fetched from."""
     usable = links.filter(F.col("telegram_message_id").isNotNull())
     return newest_sources(usable, "phash", "message_date", "message_id", k)

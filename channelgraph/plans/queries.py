@@ -27,7 +27,7 @@ from channelgraph.operators import (
     scope,
 )
 from channelgraph.plans import exports
-from channelgraph.schemas import MEDIA_FIELDS, MEDIA_KINDS, TABLES
+from channelgraph.schemas import MEDIA, MEDIA_FIELDS, MEDIA_KINDS, TABLES
 from channelgraph.session import scratch_path
 from channelgraph.sources import sinks
 from channelgraph.sources.archive import load_catalog
@@ -104,6 +104,35 @@ def i1_merge_messages_lenient(a):
     return _flat_message(merge.merge_messages(a.messages, delta, strict_kind=False), "inserted")
 
 
+def three_deliveries(base):
+    """Each message up to three times more, with and without kinds; one in four is new to the archive."""
+    once = redelivered_messages(base)
+    rank = F.col("id") - 10_000_000
+    kinds = [F.when(rank % 7 == 3, F.lit("image")), F.when(rank % 7 != 5, F.lit("audio")), F.when(rank % 3 == 1, F.lit("gif"))]
+    names = [F.when(rank % 2 == 0, F.lit("a.bin")), F.lit("b.bin"), F.when(rank % 5 == 0, F.lit("c.bin"))]
+    given = []
+    for n, (kind, name) in enumerate(zip(kinds, names, strict=True)):
+        media = F.struct(
+            *[
+                (kind if f == "kind" else name if f == "file_name" else F.when(rank % (n + 2) == 0, F.concat(F.lit(f"{f}{n}-"), rank.cast("string"))) if f in ("width", "path") else F.lit(None))
+                .cast(MEDIA[f].dataType).alias(f)
+                for f in MEDIA_FIELDS
+            ]
+        )
+        given.append(
+            once.filter((rank + n) % 4 < 3).withColumns(
+                {"media": F.when(rank % 11 != n, media), "content": F.concat_ws("/", F.lit(str(n)), "content"), "seq": F.lit(n)}
+            )
+        )
+    return given[0].unionByName(given[1]).unionByName(given[2])
+
+
+@query
+def i1_merge_deliveries(a):
+    """Three deliveries at once over the stored archive; the oracle applies them one by one."""
+    return _flat_message(merge.merge_messages(a.messages, three_deliveries(message_base(a.source)), order="seq"), "inserted")
+
+
 def _peer_deliveries(a):
     """Suppliers as two deliveries of profiles, half of them of peers that are already known."""
     s = a.source.supplier
@@ -178,6 +207,16 @@ def i7_forward_edges(a):
     return forwards.forward_edges(a.forward_edge_messages)
 
 
+@query
+def i7_merge_edges(a):
+    """Edges of two halves of the occurrences, put together."""
+    stored, fresh = (
+        forwards.forward_edges(a.forward_edge_messages.filter(F.pmod("message_id", F.lit(2)) == half), keep_named=True)
+        for half in (0, 1)
+    )
+    return forwards.merge_edges(stored, fresh).drop("named_by")
+
+
 @query
 def i7_recount_edges(a):
     doubled = a.forward_edges.withColumn("forward_count", F.col("forward_count") * 2)
@@ -191,6 +230,18 @@ def i8_image_links(a):
     return images.image_links(a.messages)
 
 
+@query
+def i8_merge_links(a):
+    """Stored links met by a later harvest that knows new dates, and numbers for those that have none."""
+    number = F.when(F.col("message_id") % 3 > 0, F.col("telegram_message_id"))
+    stored = a.image_blob_messages.withColumn("telegram_message_id", number).filter("message_id % 5 <> 0")
+    later = (F.col("message_date") + F.expr("INTERVAL 1 DAY")).alias("message_date")
+    fresh = a.image_blob_messages.filter("message_id % 2 = 0").select(
+        "phash", "message_id", later, "peer_external_id", F.when(F.col("message_id") % 4 > 0, F.col("telegram_message_id")).alias("telegram_message_id")
+    )
+    return images.merge_links(stored, fresh)
+
+
 @query
 def i9_image_blobs(a):
     harvests = a.messages.select(
@@ -860,7 +911,7 @@ def u2_edge_ends(a):
 def u3_node_kinds(a):
     peers_, _ = graph.forward_graph(a.forward_edges, a.peers, a.peer_fetch_coverage)
     notes, _ = graph.message_layer(graph.scoped_forwards(a.messages), a.messages)
-    shared, _ = graph.shared_image_graph(a.image_blob_messages, a.peers, a.peer_fetch_coverage, limit=None)
+    shared, _ = graph.shared_image_graph(a.image_blob_messages, a.peers, a.peer_fetch_coverage)
     nodes = peers_.unionByName(notes).unionByName(shared.filter("kind = 'image'"))
     return nodes.groupBy("kind").agg(F.count("*").alias("nodes"))
 
@@ -917,7 +968,7 @@ def t5_latest_sample(a):
 
 @query
 def t6_video_sources(a):
-    return rollups.media_sources(a.messages, "video").select("item_id", "id", "rank")
+    return rollups.media_sources(a.messages, "video", k=16).select("item_id", "id", "rank")
 
 
 @query
@@ -975,7 +1026,7 @@ def g3_message_layer_edges(a):
 @query
 def g3_message_graph_newest(a):
     """The newest 500 forwards of a scope, as a screen with that limit would ask for."""
-    nodes, _ = graph.message_graph(a.messages, limit=500, start=START, end=END)
+    nodes, _, _ = graph.newest_message_graph(a.messages, 500, start=START, end=END)
     return nodes.select("id", "label", "date", "message_id")
 
 
@@ -1332,6 +1383,12 @@ def c4_list_messages(a):
     return listing.list_messages(a.messages, a.peers).withColumn("content", F.md5("content")).drop("peer_usernames")
 
 
+@query
+def c4_list_messages_cut(a):
+    """The same as a screen asks for it, texts cut at 2000 characters."""
+    return listing.list_messages(a.messages, a.peers, content_chars=2000).select("id", F.md5("content").alias("content"))
+
+
 @query
 def c5_message_detail(a):
     rows = listing.message_detail(a.messages, a.image_blob_messages)
@@ -1456,6 +1513,17 @@ def w1_message_stream(a):
     return _flat_message(store.merged(empty), "inserted")
 
 
+@query
+def w1_message_stream_over_base(a):
+    """Three deliveries of each message, in mixed order, over an archive that holds half of the messages already."""
+    store = jobs.MessageStream(a.spark, scratch_path(a.spark, "w1"))
+    path = scratch_path(a.spark, "deliveries")
+    sent = three_deliveries(message_base(a.source)).withColumn("seq", F.col("seq").cast("long"))
+    sent.select(*jobs.DELIVERIES.fieldNames()).write.parquet(path)
+    _stream(a, store.on_batch, path)
+    return _flat_message(store.merged(a.messages.filter("id % 2 = 0")), "inserted")
+
+
 @query
 def w2_counter_stream(a):
     store = jobs.CounterStream(a.spark, scratch_path(a.spark, "w2"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from channelgraph.operators import forwards, graph, images
 from channelgraph.operators.counts import peer_counts
-from channelgraph.session import shared_dir
+from channelgraph.session import shared_dir, ship_package
 from channelgraph.sources.archive import Catalog, clustered, parse_messages, write_table
 
 PEER_ID = """CASE WHEN {k} % 10 = 9 THEN {k} + 1
@@ -288,5 +288,6 @@ def open_archive(spark: SparkSession, sf_dir: str) -> DerivedArchive:
     """The derived archive of this application, shared by all queries that run in it."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _archives:
+        ship_package(spark)
         _archives[key] = DerivedArchive(spark, sf_dir)
     return _archives[key]

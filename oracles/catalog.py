@@ -234,7 +234,7 @@ ORACLES = {
     "u2_edge_ends": q("SELECT count(*) AS peers FROM (SELECT from_id FROM edges UNION SELECT to_id FROM edges)"),
     # ---- orders and pages
     "t1_message_page": q(
-        """SELECT id, date, telegram_message_id, title AS peer_title, md5(content[1:2000]) AS content, (SELECT count(*) FROM messages) AS total FROM messages JOIN peers ON external_id = peer_external_id
+        """SELECT id, date, telegram_message_id, title AS peer_title, md5(content) AS content, (SELECT count(*) FROM messages) AS total FROM messages JOIN peers ON external_id = peer_external_id
            ORDER BY date DESC, telegram_message_id DESC LIMIT 50 OFFSET 100"""
     ),
     "t1_message_page_after": q(
@@ -296,9 +296,10 @@ ORACLES = {
         STATS + ", " + WINDOWS,
     ),
     "c4_list_messages": q(
-        """SELECT id, telegram_message_id, date, md5(content[1:2000]) AS content, from_external_id, fwd_from IS NOT NULL AS forwarded, media_kind,
+        """SELECT id, telegram_message_id, date, md5(content) AS content, from_external_id, fwd_from IS NOT NULL AS forwarded, media_kind,
              peer_external_id, peer_type, title AS peer_title, username AS peer_username FROM pm JOIN peers ON external_id = peer_external_id"""
     ),
+    "c4_list_messages_cut": q("SELECT id, md5(content[1:2000]) AS content FROM pm JOIN peers ON external_id = peer_external_id"),
     "c5_message_detail": q(
         """SELECT id, telegram_message_id, date, md5(CASE WHEN trim(content) <> '' THEN content END) AS content, media_kind,
              trim(mphash) AS phash, CASE WHEN msize IS NULL THEN NULL WHEN CAST(msize AS BIGINT) < 1024 THEN msize || ' B'

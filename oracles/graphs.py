@@ -2,6 +2,7 @@
 
 from oracles.base import over_archive as q
 from oracles.ingest import ORACLES as INGEST
+from oracles.ingest import deliveries
 
 TARGET_TYPE = "CASE WHEN {k} < -1000000000000 THEN 'channel' ELSE 'chat' END"
 
@@ -304,6 +305,7 @@ ORACLES = {
         "coalesce(m.text_embedded, false) AS text_embedded, coalesce(m.image_embedded, false) AS image_embedded",
         "false AS text_embedded, false AS image_embedded",
     ),
+    "w1_message_stream_over_base": deliveries("id % 2 = 0"),
     "w2_counter_stream": q(
         """SELECT peer_external_id, posts, text_total, image_total, image_downloaded, video_total, video_downloaded, audio_total,
              audio_downloaded, gif_total, gif_downloaded, document_total, document_downloaded FROM message_counts"""

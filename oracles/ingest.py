@@ -46,7 +46,48 @@ def _merged(strict: bool) -> str:
     )
 
 
+def deliveries(base_filter: str = "true") -> str:
+    """Three deliveries applied one after the other, each a full join of what is there and what comes."""
+    kinds = ("CASE WHEN r % 7 = 3 THEN 'image' END", "CASE WHEN r % 7 <> 5 THEN 'audio' END", "CASE WHEN r % 3 = 1 THEN 'gif' END")
+    names = ("CASE WHEN r % 2 = 0 THEN 'a.bin' END", "'b.bin'", "CASE WHEN r % 5 = 0 THEN 'c.bin' END")
+    given = {"kind": kinds, "file_name": names}
+    steps = [DELTA]
+    start = ", ".join(f"json_extract_string(media, '$.{f}') AS m_{f}" for f in ("kind", *FIELDS))
+    steps.append(
+        f"""s0 AS (SELECT id, peer_external_id, telegram_message_id, date, content, fwd_from, {start},
+          text_embedded, image_embedded, false AS inserted FROM messages WHERE {base_filter})"""
+    )
+    for n in range(3):
+        def sent(f: str) -> str:
+            if f in given:
+                return given[f][n]
+            return f"CASE WHEN r % {n + 2} = 0 THEN '{f}{n}-' || r END" if f in ("width", "path") else "NULL"
+
+        fields = ", ".join(f"CASE WHEN r % 11 <> {n} THEN {sent(f)} END AS n_{f}" for f in ("kind", *FIELDS))
+        steps.append(
+            f"""d{n} AS (SELECT id AS new_id, peer_external_id, telegram_message_id, date AS new_date,
+              concat_ws('/', '{n}', content) AS new_content, fwd_from AS new_fwd, {fields}
+            FROM (SELECT *, id - 10000000 AS r FROM delta) WHERE (r + {n}) % 4 < 3)"""
+        )
+        kept = "new_id IS NULL OR id IS NULL OR coalesce(n_kind, m_kind) IS NOT NULL"
+        merged = ", ".join(f"CASE WHEN {kept} THEN coalesce(m_{f}, n_{f}) END AS m_{f}" for f in FIELDS)
+        steps.append(
+            f"""s{n + 1} AS (SELECT coalesce(id, new_id) AS id, peer_external_id, telegram_message_id, coalesce(date, new_date) AS date,
+              CASE WHEN new_id IS NULL THEN content ELSE new_content END AS content, coalesce(new_fwd, fwd_from) AS fwd_from,
+              coalesce(n_kind, m_kind) AS m_kind, {merged}, coalesce(text_embedded, false) AS text_embedded,
+              coalesce(image_embedded, false) AS image_embedded, coalesce(inserted, true) AS inserted
+            FROM s{n} FULL JOIN d{n} USING (peer_external_id, telegram_message_id))"""
+        )
+    return q(
+        f"""SELECT peer_external_id, telegram_message_id, id, date, md5(content) AS content_md5,
+          json_extract_string(fwd_from, '$.from_name') AS from_name, json_extract_string(fwd_from, '$.channel_post') AS channel_post,
+          {", ".join("m_" + f for f in ("kind", *FIELDS))}, text_embedded, image_embedded, inserted FROM s3""",
+        ", ".join(steps),
+    )
+
+
 ORACLES = {
+    "i1_merge_deliveries": deliveries(),
     "s1_catalog_scan": q(
         """SELECT strftime(date, '%Y-%m-%d') AS day, count(*) AS messages, count(DISTINCT peer_external_id) AS peers
            FROM messages GROUP BY 1"""
@@ -101,10 +142,22 @@ ORACLES = {
              CASE WHEN to_id < -1000000000000 THEN 'channel' ELSE 'chat' END AS to_peer_type,
              last_name AS last_from_name, n AS forward_count, first_seen AS first_seen_at, last_seen AS last_seen_at FROM edges"""
     ),
+    "i7_merge_edges": q(
+        """SELECT from_id AS from_external_id, to_id AS to_external_id,
+             CASE WHEN from_id < -1000000000000 THEN 'channel' ELSE 'chat' END AS from_peer_type,
+             CASE WHEN to_id < -1000000000000 THEN 'channel' ELSE 'chat' END AS to_peer_type,
+             last_name AS last_from_name, n AS forward_count, first_seen AS first_seen_at, last_seen AS last_seen_at FROM edges"""
+    ),
     "i7_recount_edges": q(
         """SELECT from_id AS from_external_id, to_id AS to_external_id,
              CASE WHEN from_id IN (SELECT peer_external_id FROM fetch_cov) THEN n ELSE 2 * n END AS forward_count FROM edges"""
     ),
+    "i8_merge_links": q(
+        """SELECT phash, message_id, CASE WHEN message_id % 2 = 0 THEN message_date + INTERVAL 1 DAY ELSE message_date END AS message_date,
+             peer_external_id, CASE WHEN message_id % 2 = 0 AND message_id % 4 > 0 THEN telegram_message_id
+               WHEN message_id % 5 <> 0 AND message_id % 3 > 0 THEN telegram_message_id END AS telegram_message_id
+           FROM links WHERE message_id % 2 = 0 OR message_id % 5 <> 0"""
+    ),
     "i8_image_links": q("SELECT phash, message_id, message_date, peer_external_id, telegram_message_id FROM links"),
     "i9_image_blobs": q(
         """SELECT phash, canonical_path, refcount FROM (

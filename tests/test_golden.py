@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from channelgraph.functions import forwards as fwd
 from channelgraph.functions import ids, media, predicates, scores, text, timecov, vectors
-from channelgraph.operators import expand, graph, images, layers, listing, merge
+from channelgraph.operators import coverage, expand, graph, images, knn, layers, listing, merge
+from channelgraph.operators import forwards as forward_ops
 from channelgraph.plans import exports
 from channelgraph.schemas import FWD_FROM, MEDIA, MESSAGES, PEERS, TABLES
 from channelgraph.sources import sinks
@@ -165,7 +166,7 @@ def test_vectors(spark):
     assert one(spark, vectors.unit(vectors.parse_vector(F.lit("[3.0,4.0,0.0]")))) == pytest.approx([0.6, 0.8, 0.0])
     assert one(spark, vectors.unit(floats(0, 0))) is None
     assert one(spark, vectors.unit(F.array().cast("array<float>"))) is None
-    assert one(spark, vectors.unit(F.array_repeat(F.lit(1.0), 1281))) is None
+    assert len(one(spark, vectors.unit(F.array_repeat(F.lit(1.0), 1281)))) == 1281
     assert len(one(spark, vectors.unit(F.array_repeat(F.lit(1.0), 1152)))) == 1152
 
 
@@ -257,24 +258,109 @@ def test_message_layer_without_origin_post_is_empty(spark):
     assert nodes.count() == edges.count() == 0
 
 
-def test_open_request_over_the_limit_gets_no_messages(spark):
+def test_graphs_are_whole_and_tops_say_so(spark):
     header = fwd_struct('{"from_id":{"_":"PeerChannel","channel_id":9},"channel_post":4}')
     posted = spark.range(3).select(
         "id", F.lit(-100).cast("bigint").alias("peer_external_id"), F.col("id").alias("telegram_message_id"),
         timecov.bound("2024-01-01").alias("date"), F.lit("x").alias("content"), header.alias("fwd_from"),
         F.lit(None).cast(MEDIA).alias("media"),
     )
-    assert graph.message_graph(posted, limit=3)[0].count() == 1
-    assert graph.message_graph(posted, limit=2)[0].count() == 0
-    assert graph.message_graph(posted, limit=2, peer=-100)[0].count() == 1
+    assert graph.message_graph(posted)[0].count() == 1
+    for n, more in ((1, True), (2, True), (3, False)):
+        nodes, _, truncated = graph.newest_message_graph(posted, n)
+        assert nodes.count() == 1 and [tuple(r) for r in truncated.collect()] == [(more,)]
     links = spark.createDataFrame(
         [(h, i, day("2024-01-01"), p, i) for i, (h, p) in enumerate([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), ("c", 1)])],
         TABLES["image_blob_messages"],
     )
-    shared = lambda **kw: {r["phash"] for r in graph.shared_image_graph(links, peer_rows(spark), covered(spark, "peer_fetch_coverage"), **kw)[0].collect()} - {None}
-    assert shared() == {"a", "b"}
-    assert shared(limit=1) == set()
-    assert shared(limit=1, peer=1) == {"b"}
+    tables = links, peer_rows(spark), covered(spark, "peer_fetch_coverage")
+
+    def shown(nodes):
+        return {r["phash"] for r in nodes.collect()} - {None}
+
+    assert shown(graph.shared_image_graph(*tables)[0]) == {"a", "b"}
+    for n, kept, more in ((1, {"b"}, True), (2, {"a", "b"}, False)):
+        nodes, _, truncated = graph.top_shared_image_graph(*tables, n)
+        assert shown(nodes) == kept and truncated.first()["truncated"] == more
+    assert shown(graph.top_shared_image_graph(*tables, 1, peer=1)[0]) == {"b"}
+
+
+def test_more_images_than_any_screen_shows(spark):
+    """50 000 shared images give 50 000 nodes."""
+    pairs = spark.range(100_000).select(
+        F.format_string("%016x", F.floor(F.col("id") / 2) + 1).alias("phash"), F.col("id").alias("message_id"),
+        timecov.bound("2024-01-01").alias("message_date"), (F.col("id") % 2 + 1).alias("peer_external_id"), F.col("id").alias("telegram_message_id"),
+    )
+    nodes, edges = graph.shared_image_graph(pairs, peer_rows(spark), covered(spark, "peer_fetch_coverage"))
+    assert nodes.filter("kind = 'image'").count() == 50_000 and edges.count() == 100_000
+
+
+def test_vectors_of_any_width_are_found(spark):
+    wide = [(i, [0.0] * (1279 + i) + [1.0]) for i in range(3)] + [(9, [1.0])]
+    vectors = spark.createDataFrame(wide, "message_id long, embedding array<float>")
+    asked = spark.createDataFrame([(0, [0.0] * 1280 + [2.0])], "query_id long, embedding array<float>")
+    hits = [tuple(r)[1:3] for r in knn.nearest(vectors, asked, 4, "message_id").orderBy("rank").collect()]
+    assert hits[0] == (1, 1.0) and len(hits) == 4
+
+
+def test_names_of_merged_edges_are_those_of_one_build(spark):
+    rows = [(1, -1, -2, "A", day("2024-01-01")), (2, -1, -2, "B", day("2024-01-03")), (3, -1, -2, None, day("2024-01-09")), (4, -1, -2, "C", day("2024-01-02"))]
+    occ = spark.createDataFrame(rows, "message_id long, from_external_id long, to_external_id long, from_name string, message_date timestamp_ntz")
+    whole = forward_ops.forward_edges(occ, keep_named=True).collect()
+    for cut in (1, 2, 3):
+        halves = [forward_ops.forward_edges(occ.filter(f), keep_named=True) for f in (f"message_id <= {cut}", f"message_id > {cut}")]
+        for a, b in (halves, halves[::-1]):
+            assert forward_ops.merge_edges(a, b).select(*whole[0].asDict()).collect() == whole
+    assert whole[0]["last_from_name"] == "B"
+
+
+def partial_below_peer_shuffle(df):
+    """Whether rows are aggregated before they are dealt out by peer alone."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    last = [line for line in plan.splitlines() if "hashpartitioning(peer_external_id" in line][0]
+    after = plan[plan.index(last) + len(last) :].splitlines()
+    return "part" in last.split("hashpartitioning")[1].split(")")[0] or "HashAggregate" in after[1] and "partial_" in after[1]
+
+
+def test_busy_peers_are_split(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame(
+            [(1, 5, day("2024-01-01")), (1, 6, day("2024-01-02")), (2, 7, day("2024-01-03"))], "peer_external_id long, telegram_message_id long, date timestamp_ntz"
+        )
+        peers = spark.createDataFrame([(1, 5), (2, 7)], "external_id long, first_message_id long")
+        spans = coverage.id_span(rows, peers)
+        assert [tuple(r) for r in spans.collect()] == [(1, 6, 6)] and partial_below_peer_shuffle(spans)
+        floor = spark.createDataFrame([(1, 6)], "peer_external_id long, min_id long")
+        covered_ = coverage.fetch_coverage(rows, floor)
+        assert {r[0]: r[1] for r in covered_.collect()} == {1: day("2024-01-02"), 2: day("2024-01-03")} and partial_below_peer_shuffle(covered_)
+        fetched = spark.createDataFrame([(9,)], "peer_external_id long")
+        left = merge.purge_probe_only(rows, peers, fetched)
+        assert {tuple(r)[:2] for r in left.collect()} == {(1, 5), (1, 6)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_executors_get_the_package(tmp_path):
+    """Vector search from another folder, where workers do not find the package by chance."""
+    import os
+    import subprocess
+    import sys
+    import textwrap
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+        import sys
+        sys.path.insert(0, {root!r})
+        import __spark_entry__ as e
+        from channelgraph.session import local_session
+        spark = local_session(4)
+        assert e.queries()["v1_knn_messages"](spark, "/root/testdata/sf0.001").count() > 0
+        print("found", "neighbours")
+    """
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=280)
+    assert "found neighbours" in done.stdout, done.stderr[-2000:]
 
 
 # ---- layers
