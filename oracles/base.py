@@ -7,6 +7,12 @@ checked by other means.
 PEER = """CASE WHEN {k} % 10 = 9 THEN {k} + 1 WHEN {k} % 10 = 8 THEN -({k} + 1)
                ELSE -(1000000000000 + {k} + 1) END"""
 
+KIND_COUNTS = [f"{kind}_{what}" for kind in ("image", "video", "audio", "gif", "document") for what in ("total", "downloaded")]
+ALL_COUNTS = [
+    "posts", "text_total", "text_embedded", "image_hashed", "image_unique", "image_persisted", "image_embeddable", "image_embedded_unique",
+    "unique_forwards", "total_forwards", *KIND_COUNTS,
+]
+
 ARCHIVE = (
     """WITH
 n_docs AS (SELECT count(*) AS n FROM documents),
@@ -97,20 +103,24 @@ fwd_ids AS (
     CAST(json_extract_string(fwd_from, '$.saved_from_msg_id') AS BIGINT) AS saved_id
   FROM mj
 ),
+suffix_kinds AS (
+  SELECT unnest(string_split(suffixes, ' ')) AS suffix, kind FROM (VALUES
+    ('gif', 'gif'), ('image', 'jpg jpeg png webp bmp tif tiff heic heif avif jfif'),
+    ('video', 'mp4 m4v mov mkv webm avi 3gp mpeg mpg'), ('audio', 'mp3 m4a ogg oga flac wav opus aac')) t(kind, suffixes)
+),
+kind_hints AS (
+  -- what each part of the record says of the kind, in the order in which it is believed
+  SELECT f.*, [
+    if(mkind <> 'document' AND list_contains(['image', 'gif', 'video', 'audio'], mkind), mkind, NULL),
+    if(mime = 'image/gif', 'gif', if(regexp_matches(mime, '^(video|audio)/|^image/') AND NOT regexp_matches(mime, '^image/.*(svg|dwg)'), split_part(mime, '/', 1), NULL)),
+    s.kind,
+    if(mkind = 'document', mkind, NULL),
+    MAP {'MessageMediaPhoto': 'image', 'MessageMediaDocument': 'document'}[tl]
+  ] AS hints
+  FROM fwd_ids f LEFT JOIN suffix_kinds s ON s.suffix = lower(split_part(fname, '.', -1)) AND contains(fname, '.')
+),
 pm AS (
-  SELECT *,
-    coalesce(
-      CASE WHEN mkind IN ('image', 'gif', 'video', 'audio') THEN mkind END,
-      CASE WHEN mime = 'image/gif' THEN 'gif'
-           WHEN mime LIKE 'image/%' AND mime NOT LIKE '%svg%' AND mime NOT LIKE '%dwg%' THEN 'image'
-           WHEN mime LIKE 'video/%' THEN 'video' WHEN mime LIKE 'audio/%' THEN 'audio' END,
-      CASE WHEN lower(fname) LIKE '%.gif' THEN 'gif'
-           WHEN regexp_matches(fname, '(?i)\\.(jpe?g|png|webp|bmp|tiff?|heic|heif|avif|jfif)$') THEN 'image'
-           WHEN regexp_matches(fname, '(?i)\\.(mp4|m4v|mov|mkv|webm|avi|3gp|mpeg|mpg)$') THEN 'video'
-           WHEN regexp_matches(fname, '(?i)\\.(mp3|m4a|ogg|oga|flac|wav|opus|aac)$') THEN 'audio' END,
-      CASE WHEN mkind = 'document' THEN 'document' END,
-      CASE tl WHEN 'MessageMediaPhoto' THEN 'image' WHEN 'MessageMediaDocument' THEN 'document' END
-    ) AS media_kind,
+  SELECT * EXCLUDE (hints), list_filter(hints, lambda h: h IS NOT NULL)[1] AS media_kind,
     coalesce(o1, o2) AS origin_peer,
     CASE WHEN post > 0 THEN post WHEN saved_id > 0 THEN saved_id END AS origin_mid,
     nullif(trim(json_extract_string(fwd_from, '$.from_name')), '') AS fwd_name,
@@ -118,7 +128,7 @@ pm AS (
     coalesce(trim(mphash) <> '', false) AS has_phash,
     CASE WHEN regexp_full_match(lower(trim(mphash)), '[0-9a-f]{16}') THEN lower(trim(mphash)) END AS nhash,
     coalesce(nullif(docid, ''), 'msg:' || id) AS item_id
-  FROM fwd_ids
+  FROM kind_hints
 ),
 occ AS (
   SELECT peer_external_id AS from_id, origin_peer AS to_id, id AS message_id, date AS message_date,
@@ -164,48 +174,38 @@ media_cov AS (
     CAST(CASE WHEN peer_external_id % 5 = 0 THEN 0 WHEN peer_external_id % 7 = 0 THEN NULL ELSE 5000000 END AS BIGINT) AS max_media_bytes
   FROM spans WHERE peer_external_id % 3 = 0
 ),
+blob_facts AS (
+  SELECT phash, 1 AS shown, CAST(length(canonical_path) > 0 AS INT) AS stored, CAST(image_embedded AS INT) AS embedded,
+    CAST(length(trim(canonical_path)) > 0 OR cache_path IS NOT NULL OR image_embedded AS INT) AS able
+  FROM blobs LEFT JOIN image_cache USING (phash)
+),
 image_counts AS (
-  SELECT l.peer_external_id, count(DISTINCT l.phash) AS image_unique,
-    count(DISTINCT l.phash) FILTER (WHERE nullif(b.canonical_path, '') IS NOT NULL) AS image_persisted,
-    count(DISTINCT l.phash) FILTER (WHERE b.image_embedded OR nullif(trim(b.canonical_path), '') IS NOT NULL
-      OR b.phash IN (SELECT phash FROM image_cache)) AS image_embeddable,
-    count(DISTINCT l.phash) FILTER (WHERE b.image_embedded) AS image_embedded_unique
-  FROM links l JOIN blobs b USING (phash) GROUP BY 1
+  SELECT peer_external_id, sum(shown) AS image_unique, sum(stored) AS image_persisted, sum(able) AS image_embeddable, sum(embedded) AS image_embedded_unique
+  FROM (SELECT DISTINCT peer_external_id, phash FROM links) JOIN blob_facts USING (phash) GROUP BY 1
+),
+message_facts AS (
+  SELECT peer_external_id, media_kind, downloaded, has_phash, has_text, text_embedded, count(*) AS n FROM pm GROUP BY ALL
+),
+kind_counts AS (
+  PIVOT (SELECT peer_external_id, media_kind, n, n * CAST(downloaded AS INT) AS done FROM message_facts)
+  ON media_kind IN ('image', 'video', 'audio', 'gif', 'document') USING sum(n) AS total, sum(done) AS downloaded GROUP BY peer_external_id
 ),
 message_counts AS (
-  SELECT peer_external_id, count(*) AS posts, count(*) FILTER (WHERE has_text) AS text_total,
-    count(*) FILTER (WHERE has_text AND text_embedded) AS text_embedded,
-    count(*) FILTER (WHERE media_kind = 'image') AS image_total,
-    count(*) FILTER (WHERE media_kind = 'image' AND has_phash) AS image_hashed,
-    count(*) FILTER (WHERE media_kind = 'image' AND downloaded) AS image_downloaded,
-    count(*) FILTER (WHERE media_kind = 'video') AS video_total,
-    count(*) FILTER (WHERE media_kind = 'video' AND downloaded) AS video_downloaded,
-    count(*) FILTER (WHERE media_kind = 'audio') AS audio_total,
-    count(*) FILTER (WHERE media_kind = 'audio' AND downloaded) AS audio_downloaded,
-    count(*) FILTER (WHERE media_kind = 'gif') AS gif_total,
-    count(*) FILTER (WHERE media_kind = 'gif' AND downloaded) AS gif_downloaded,
-    count(*) FILTER (WHERE media_kind = 'document') AS document_total,
-    count(*) FILTER (WHERE media_kind = 'document' AND downloaded) AS document_downloaded
-  FROM pm GROUP BY 1
+  SELECT peer_external_id, * EXCLUDE (peer_external_id) REPLACE (""" + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in KIND_COUNTS) + """)
+  FROM (
+    SELECT peer_external_id, CAST(sum(n) AS BIGINT) AS posts, CAST(sum(if(has_text, n, 0)) AS BIGINT) AS text_total,
+      CAST(sum(if(has_text AND text_embedded, n, 0)) AS BIGINT) AS text_embedded,
+      CAST(sum(if(has_phash AND media_kind = 'image', n, 0)) AS BIGINT) AS image_hashed
+    FROM message_facts GROUP BY 1) JOIN kind_counts USING (peer_external_id)
 ),
 edge_counts AS (SELECT from_id AS peer_external_id, count(*) AS unique_forwards, sum(n) AS total_forwards FROM edges GROUP BY 1),
 spine AS (
-  SELECT peer_external_id FROM messages UNION SELECT peer_external_id FROM links UNION SELECT from_id FROM edges
+  SELECT DISTINCT unnest(p) AS peer_external_id FROM (
+    SELECT list(peer_external_id) AS p FROM messages UNION ALL SELECT list(peer_external_id) FROM links UNION ALL SELECT list(from_id) FROM edges)
 ),
 peer_counts AS (
-  SELECT peer_external_id,
-    coalesce(posts, 0) AS posts, coalesce(text_total, 0) AS text_total, coalesce(text_embedded, 0) AS text_embedded,
-    coalesce(image_total, 0) AS image_total, coalesce(image_hashed, 0) AS image_hashed,
-    coalesce(image_downloaded, 0) AS image_downloaded, coalesce(image_unique, 0) AS image_unique,
-    coalesce(image_persisted, 0) AS image_persisted, coalesce(image_embeddable, 0) AS image_embeddable,
-    coalesce(image_embedded_unique, 0) AS image_embedded_unique, coalesce(video_total, 0) AS video_total,
-    coalesce(video_downloaded, 0) AS video_downloaded, coalesce(audio_total, 0) AS audio_total,
-    coalesce(audio_downloaded, 0) AS audio_downloaded, coalesce(gif_total, 0) AS gif_total,
-    coalesce(gif_downloaded, 0) AS gif_downloaded, coalesce(document_total, 0) AS document_total,
-    coalesce(document_downloaded, 0) AS document_downloaded, coalesce(unique_forwards, 0) AS unique_forwards,
-    CAST(coalesce(total_forwards, 0) AS BIGINT) AS total_forwards
-  FROM spine LEFT JOIN message_counts USING (peer_external_id) LEFT JOIN image_counts USING (peer_external_id)
-    LEFT JOIN edge_counts USING (peer_external_id)
+  SELECT peer_external_id, """ + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ALL_COUNTS) + """
+  FROM spine LEFT JOIN (message_counts FULL JOIN image_counts USING (peer_external_id) FULL JOIN edge_counts USING (peer_external_id)) USING (peer_external_id)
 )
 """
 )

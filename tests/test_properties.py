@@ -50,6 +50,8 @@ def test_fold_equals_one_by_one(spark, archive, strict):
     from_nothing = core(merge.merge_messages(empty, start.withColumn("seq", F.lit(0)).unionByName(deliveries), "seq", strict))
     flags = ("text_embedded", "image_embedded")
     assert rows(from_nothing.drop(*flags)) == rows(step.drop(*flags))
+    over_stored = core(merge.merge_messages(start, deliveries, "seq", strict))
+    assert rows(over_stored) == rows(step)
 
 
 def test_deltas_add_up_to_the_recount(spark, archive):
