@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,18 @@ def expand(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
 
     ``via`` is the peer that led there, the lowest id where several did. ``max_depth`` 0 gives the seeds alone,
     ``None`` goes on until nothing new turns up. Every round is written to the shared folder as one partition of the
-    visited table, so plans stay short and a lost executor costs at most the running round.
+    visited table, so plans stay short and a lost executor costs at most the running round. The edges are filtered and
+    dealt out by poster once, into buckets; a round then moves its frontier only.
     """
     spark = edges.sparkSession
     path = scratch_path(spark, "expand")
     lines = edges.select(
         F.col("from_external_id").alias("peer_id"), F.col("to_external_id").alias("next")
     ).filter(is_target(F.col("next")))
+    table = f"expand_{uuid.uuid4().hex}"
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines.write.bucketBy(parts, "peer_id").sortBy("peer_id").option("path", f"{path}-lines").saveAsTable(table)
+    lines = spark.table(table)
     seeds.select("peer_id", F.lit(None).cast("bigint").alias("via")).distinct().write.parquet(f"{path}/depth=0")
     schema = "peer_id bigint, via bigint, depth int"
     depth = 0
@@ -38,6 +45,7 @@ def expand(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
         found.write.parquet(f"{path}/depth={depth}")
         if spark.read.schema("peer_id bigint").parquet(f"{path}/depth={depth}").isEmpty():
             break
+    spark.sql(f"DROP TABLE {table}")
     return spark.read.schema(schema).parquet(path)
 
 

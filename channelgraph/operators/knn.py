@@ -1,7 +1,8 @@
 """Exact nearest neighbours and best matches of vectors, in NumPy over Arrow batches inside Spark tasks.
 
 The vectors to search stay partitioned where Spark has them. The questions asked of them are broadcast in blocks of a
-fixed size, one pass per block, so that nothing broadcast grows with the data.
+fixed size, one pass per block. Where there is more than one block, each pass writes its small result and gives its
+broadcast back before the next begins, so that one block at most is held at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from channelgraph.functions.predicates import local_path
 from channelgraph.functions.text import is_dedupable, stored_has_text
+from channelgraph.session import drop_settled, settle
 
 # 1024 vectors of 1280 doubles are 10 MiB.
 BLOCK = 1024
@@ -92,9 +94,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key:
     id_type = pa.int64() if isinstance(kinds[key], T.LongType) else pa.string()
     query_type = pa.int64() if isinstance(kinds[query_key], T.LongType) else pa.string()
 
-    def pass_over(block: tuple[list, np.ndarray]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+    best_first = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
 
+    def pass_over(shared) -> DataFrame:
         def search(batches):
             asked, matrix = shared.value
             best: list = [(np.empty(0), None)] * len(asked)
@@ -121,14 +123,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key:
                         names=[query_key, key, "score"],
                     )
 
-        return slim.mapInArrow(search, out)
+        found = slim.mapInArrow(search, out)
+        return found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 
-    passes = [pass_over(block) for block in query_blocks(queries, query_key)]
+    # a question is in one block only, so the passes need no merging
+    passes = list(_passes(spark, query_blocks(queries, query_key), pass_over, "nearest"))
     if not passes:
         return spark.createDataFrame([], out.add("rank", T.IntegerType()))
-    found = reduce(DataFrame.unionByName, passes)
-    best_first = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
-    return found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _passes(spark, blocks: Iterator, pass_over, name: str) -> Iterator[DataFrame]:
+    """The result of each block. A lone block stays a plan; of several, each is written before the next is sent."""
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
+        shared = spark.sparkContext.broadcast(block)
+        result = pass_over(shared)
+        if after is not None or name.endswith("-more"):
+            result = settle(result, name)
+            shared.unpersist()
+            name = name.removesuffix("-more") + "-more"
+        yield result
+        block = after
 
 
 def best_match(vectors: DataFrame, inputs: DataFrame, key: str, input_key: str = "id") -> DataFrame | None:
@@ -138,11 +155,9 @@ def best_match(vectors: DataFrame, inputs: DataFrame, key: str, input_key: str =
     out = T.StructType([T.StructField(key, kind), T.StructField("s", T.DoubleType())])
     slim = vectors.select(key, "embedding")
 
-    def pass_over(block: tuple[list, np.ndarray]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block[1])
-
+    def pass_over(shared) -> DataFrame:
         def score(batches):
-            matrix = shared.value
+            matrix = shared.value[1]
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
@@ -154,10 +169,17 @@ def best_match(vectors: DataFrame, inputs: DataFrame, key: str, input_key: str =
 
         return slim.mapInArrow(score, out)
 
-    passes = [pass_over(block) for block in query_blocks(inputs, input_key)]
-    if len(passes) < 2:
-        return passes[0] if passes else None
-    return reduce(DataFrame.unionByName, passes).groupBy(key).agg(F.max("s").alias("s"))
+    best = None
+    for found in _passes(spark, query_blocks(inputs, input_key), pass_over, "best-match"):
+        if best is None:
+            best = found
+            continue
+        # one row per vector is carried from pass to pass, however many there are
+        folded = settle(best.unionByName(found).groupBy(key).agg(F.max("s").alias("s")), "best-match")
+        drop_settled(best)
+        drop_settled(found)
+        best = folded
+    return best
 
 
 # ---- search over the archive

@@ -303,6 +303,34 @@ def test_vectors_of_any_width_are_found(spark):
     assert hits[0] == (1, 1.0) and len(hits) == 4
 
 
+def test_several_blocks_of_questions(spark, monkeypatch):
+    """Blocks of two: the same hits, and no more than one broadcast held at a time."""
+    vectors_ = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "message_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(7)], "query_id long, embedding array<float>")
+
+    def found(df):
+        return sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+
+    whole = found(knn.nearest(vectors_, asked, 3, "message_id"))
+    best = found(knn.best_match(vectors_, asked, "message_id", "query_id"))
+    plain = knn.query_blocks
+    live, most = set(), []
+    send = type(spark.sparkContext).broadcast
+
+    def sent(self, value):
+        shared = send(self, value)
+        live.add(id(shared))
+        most.append(len(live))
+        give_back = shared.unpersist
+        shared.unpersist = lambda: (live.discard(id(shared)), give_back())
+        return shared
+
+    monkeypatch.setattr(knn, "query_blocks", lambda q, key: plain(q, key, 2))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", sent)
+    assert found(knn.nearest(vectors_, asked, 3, "message_id")) == whole and max(most) == 1
+    assert found(knn.best_match(vectors_, asked, "message_id", "query_id")) == best and max(most) == 1
+
+
 def test_names_of_merged_edges_are_those_of_one_build(spark):
     rows = [(1, -1, -2, "A", day("2024-01-01")), (2, -1, -2, "B", day("2024-01-03")), (3, -1, -2, None, day("2024-01-09")), (4, -1, -2, "C", day("2024-01-02"))]
     occ = spark.createDataFrame(rows, "message_id long, from_external_id long, to_external_id long, from_name string, message_date timestamp_ntz")
