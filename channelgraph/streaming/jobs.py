@@ -29,7 +29,8 @@ from channelgraph.operators.scope import (
     with_scores,
 )
 from channelgraph.schemas import COUNT_COLUMNS, MESSAGES, TABLES
-from channelgraph.session import settle
+from channelgraph.session import drop_settled, settle
+from channelgraph.sources.archive import conform
 from channelgraph.streaming.log import BatchLog
 
 DELIVERIES = T.StructType([*MESSAGES.fields, T.StructField("seq", T.LongType())])
@@ -51,17 +52,17 @@ def run_available(stream: DataFrame, on_batch: Callable[[DataFrame, int], None],
 
 # ---- key buckets
 
-def bucket_of(peer: str) -> Column:
-    return F.pmod(F.xxhash64(peer), F.lit(KEY_BUCKETS)).cast("int")
+def bucket_of(peer: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(peer), F.lit(buckets)).cast("int")
 
 
 def buckets_in(rows: DataFrame) -> list[int]:
-    """Buckets a batch touches, at most KEY_BUCKETS numbers. A scrape works on few peers at a time, so most are left out."""
+    """Buckets a batch touches, at most as many numbers as there are buckets. A scrape works on few peers at a time, so most are left out."""
     return [r["bucket"] for r in rows.select("bucket").distinct().collect()]
 
 
 def by_bucket(rows: DataFrame, spread: str) -> DataFrame:
-    """Rows of a bucket lie together, a busy one over several files; readers skip the row groups of the others."""
+    """Rows of a bucket lie together, a busy one over several files."""
     return rows.repartitionByRange("bucket", F.xxhash64(spread)).sortWithinPartitions("bucket")
 
 
@@ -77,9 +78,21 @@ class MessageStream:
         self.log.write(batch, batch_id)
 
     def merged(self, base: DataFrame) -> DataFrame:
-        """The archive's messages now. Writing this as the new base is the compaction."""
+        """The archive's messages now."""
         return merge_messages(base, self.log.all().drop("batch_id"), order="seq")
 
+    def compact(self, base: DataFrame, path: str) -> DataFrame:
+        """Folds all batches but the newest into a new base at ``path`` and drops them from the log.
+
+        What is in the base counts as older than every delivery that follows, so compact where deliveries of a message
+        come in the order of ``seq``.
+        """
+        newest = self.log.all().agg(F.max("batch_id")).first()[0]
+        folded = merge_messages(base, self.log.before(newest or 0).drop("batch_id"), order="seq")
+        conform(folded, "messages").write.parquet(path)
+        self.log.compact(lambda rows: rows.limit(0))
+        return self.log.spark.read.schema(TABLES["messages"]).parquet(path)
+
 
 # ---- counters
 
@@ -99,7 +112,8 @@ _DELTAS = T.StructType(
 class CounterStream:
     """Per-peer counters from messages seen for the first time."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = KEY_BUCKETS):
+        self.buckets = buckets
         self.keys = BatchLog(spark, f"{path}/keys", _KEYS)
         self.deltas = BatchLog(spark, f"{path}/deltas", _DELTAS)
 
@@ -107,15 +121,25 @@ class CounterStream:
         # a few facts per message leave the batch; its text is read once and goes no further
         facts = insert_facts(batch, "telegram_message_id", "seq")
         first = facts.groupBy(*MESSAGE_KEY).agg(F.min_by(F.struct("kind", "downloaded", "text"), "seq").alias("row"))
-        rows = settle(first.select(*MESSAGE_KEY, "row.*", bucket_of("peer_external_id").alias("bucket")), "facts")
-        seen = self.keys.before(batch_id).filter(F.col("bucket").isin(buckets_in(rows))).select(*MESSAGE_KEY)
+        rows = settle(first.select(*MESSAGE_KEY, "row.*", bucket_of("peer_external_id", self.buckets).alias("bucket")), "facts")
+        seen = self.keys.before(batch_id, buckets_in(rows)).select(*MESSAGE_KEY)
         fresh = settle(rows.join(seen, MESSAGE_KEY, "left_anti"), "fresh")
         self.deltas.write(sum_facts(fresh), batch_id)
         self.keys.write(by_bucket(fresh, "telegram_message_id"), batch_id)
 
+        drop_settled(rows)
+        drop_settled(fresh)
+
     def counters(self) -> DataFrame:
+        return self._summed(self.deltas.all())
+
+    def _summed(self, rows: DataFrame) -> DataFrame:
         columns = [c for c in self.deltas.columns if c != "peer_external_id"]
-        return self.deltas.all().groupBy("peer_external_id").agg(*[F.sum(c).alias(c) for c in columns])
+        return rows.groupBy("peer_external_id").agg(*[F.sum(c).alias(c) for c in columns])
+
+    def compact(self) -> None:
+        self.deltas.compact(self._summed)
+        self.keys.compact()
 
 
 # ---- forwards
@@ -126,13 +150,18 @@ _OCCURRENCES = T.StructType([*TABLES["forward_edge_messages"].fields, T.StructFi
 class ForwardStream:
     """Occurrences and edges; a repeated forward adds nothing."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = KEY_BUCKETS):
+        self.buckets = buckets
         self.log = BatchLog(spark, f"{path}/occurrences", _OCCURRENCES)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        occ = settle(forward_occurrences(batch).withColumn("bucket", bucket_of("from_external_id")), "occurrences")
-        seen = self.log.before(batch_id).filter(F.col("bucket").isin(buckets_in(occ))).select(*OCCURRENCE_KEY)
+        occ = settle(forward_occurrences(batch).withColumn("bucket", bucket_of("from_external_id", self.buckets)), "occurrences")
+        seen = self.log.before(batch_id, buckets_in(occ)).select(*OCCURRENCE_KEY)
         self.log.write(by_bucket(occ.join(seen, OCCURRENCE_KEY, "left_anti"), "message_id"), batch_id)
+        drop_settled(occ)
+
+    def compact(self) -> None:
+        self.log.compact()
 
     def occurrences(self) -> DataFrame:
         return self.log.all().drop("batch_id", "bucket")
@@ -153,23 +182,32 @@ class CoverageStream:
         self.log.write(fetch_coverage(batch), batch_id)
 
     def coverage(self) -> DataFrame:
-        return self.log.all().groupBy("peer_external_id").agg(
+        return self._widest(self.log.all())
+
+    def compact(self) -> None:
+        self.log.compact(self._widest)
+
+    @staticmethod
+    def _widest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("peer_external_id").agg(
             F.min("covered_after").alias("covered_after"), F.max("covered_before").alias("covered_before")
         )
 
 
 # ---- relevance
 
-_EVIDENCE = T.StructType([*TABLES["peer_scope_evidence"].fields, T.StructField("r", T.DoubleType())])
+_BUCKET = T.StructField("bucket", T.IntegerType())
+_EVIDENCE = T.StructType([*TABLES["peer_scope_evidence"].fields, T.StructField("r", T.DoubleType()), _BUCKET])
+_EVENTS = T.StructType([*TABLES["peer_scope_forward_events"].fields, _BUCKET])
 
 
 class RelevanceStream:
     """Scores that grow as the images of peers are embedded. Input: ids of peers that just were."""
 
-    def __init__(self, spark: SparkSession, path: str, tables: dict[str, DataFrame], params: ScopeParams = ScopeParams()):
-        self.tables, self.params = tables, params
+    def __init__(self, spark: SparkSession, path: str, tables: dict[str, DataFrame], params: ScopeParams = ScopeParams(), buckets: int = KEY_BUCKETS):
+        self.tables, self.params, self.buckets = tables, params, buckets
         self.evidence = BatchLog(spark, f"{path}/evidence", _EVIDENCE)
-        self.events = BatchLog(spark, f"{path}/events", TABLES["peer_scope_forward_events"])
+        self.events = BatchLog(spark, f"{path}/events", _EVENTS)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         t = self.tables
@@ -183,11 +221,22 @@ class RelevanceStream:
             return
         scored, forwarded = settle(scored, "image-scores"), settle(forwarded, "forwarded-images")
         key = ["peer_external_id", "pile", "phash"]
-        pairs = evidence_pairs(own, forwarded, scored)
-        fresh = pairs.join(self.evidence.before(batch_id).select(*key), key, "left_anti")
-        self.evidence.write(fresh.join(scored.select("phash", "r"), "phash"), batch_id)
-        known = self.events.before(batch_id).select("message_id", "phash")
-        self.events.write(forward_events(forwarded, t["vectors"]).join(known, ["message_id", "phash"], "left_anti"), batch_id)
+        bucket = bucket_of("peer_external_id", self.buckets)
+        pairs = settle(evidence_pairs(own, forwarded, scored).withColumn("bucket", bucket), "evidence")
+        known = self.evidence.before(batch_id, buckets_in(pairs)).select(*key)
+        fresh = pairs.join(known, key, "left_anti").join(scored.select("phash", "r"), "phash")
+        self.evidence.write(by_bucket(fresh, "phash"), batch_id)
+        # a message has one origin, so its events are all in that peer's bucket
+        events = forward_events(forwarded, t["vectors"]).withColumn("bucket", bucket_of("origin_peer_id", self.buckets))
+        events = settle(events, "events")
+        known = self.events.before(batch_id, buckets_in(events)).select("message_id", "phash")
+        self.events.write(by_bucket(events.join(known, ["message_id", "phash"], "left_anti"), "phash"), batch_id)
+        for done in (pairs, events, scored, forwarded):
+            drop_settled(done)
+
+    def compact(self) -> None:
+        self.evidence.compact()
+        self.events.compact()
 
     def peer_scores(self) -> DataFrame:
         evidence = self.evidence.all()

@@ -2,31 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 class BatchLog:
-    """Parquet folder partitioned by ``batch_id``.
+    """Parquet folder partitioned by ``batch_id``, and by ``bucket`` above it where the schema has that column.
 
-    A batch that runs again after a failure overwrites its own partition, and readers inside a batch look only at
-    earlier ones, so every batch counts once.
+    A batch that runs again after a failure overwrites its own partitions, and readers inside a batch look only at
+    earlier ones, so every batch counts once. A filter on buckets leaves the folders of all others out. ``compact`` puts
+    all batches but the newest, the only one that can run again, into one; it writes a new generation of the folder and
+    then deletes the one before, so a failure in between leaves the old one in use.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.columns = spark, path, schema.fieldNames()
+        self.spark, self.root, self.columns = spark, path, schema.fieldNames()
         self.schema = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-        spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/batch_id=-1")
+        self.parts = ["bucket", "batch_id"] if "bucket" in self.columns else ["batch_id"]
+        done = [g for g in self._generations() if self._exists(f"{self._folder(g)}/_SUCCESS")]
+        self.generation = max(done, default=0)
+        if not done:
+            self._save(spark.createDataFrame([], self.schema), self._folder(0), "static")
 
     def write(self, df: DataFrame, batch_id: int) -> None:
-        df.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        self._save(df.select(*self.columns).withColumn("batch_id", F.lit(batch_id).cast("long")), self._folder(self.generation), "dynamic")
 
-    def before(self, batch_id: int) -> DataFrame:
-        return self._read().filter(F.col("batch_id") < batch_id)
+    def before(self, batch_id: int, buckets: list[int] | None = None) -> DataFrame:
+        rows = self.all().filter(F.col("batch_id") < batch_id)
+        return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
     def all(self) -> DataFrame:
-        return self._read()
+        return self.spark.read.schema(self.schema).parquet(self._folder(self.generation))
+
+    def compact(self, fold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """``fold`` may put rows of old batches together, as long as readers cannot tell the difference."""
+        newest = self.all().agg(F.max("batch_id")).first()[0]
+        if newest is None:
+            return
+        old = fold(self.all().filter(F.col("batch_id") < newest)).select(*self.columns)
+        rows = old.withColumn("batch_id", F.lit(newest - 1).cast("long")).unionByName(self.all().filter(F.col("batch_id") == newest))
+        target = self._folder(self.generation + 1)
+        self._save(rows.repartitionByRange(*self.parts, F.xxhash64(*self.columns)), target, "static")
+        before, self.generation = self._folder(self.generation), self.generation + 1
+        self._files(before).delete(self._path(before), True)
+
+    def _save(self, df: DataFrame, folder: str, mode: str) -> None:
+        """A static write ends with the mark of a whole generation; a dynamic one replaces its own partitions only."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*self.parts).parquet(folder)
+
+    def _folder(self, generation: int) -> str:
+        return f"{self.root}/g{generation:06d}"
+
+    def _generations(self) -> list[int]:
+        if not self._exists(self.root):
+            return []
+        names = [s.getPath().getName() for s in self._files(self.root).listStatus(self._path(self.root))]
+        return [int(n[1:]) for n in names if n.startswith("g")]
+
+    def _exists(self, name: str) -> bool:
+        return self._files(name).exists(self._path(name))
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
 
-    def _read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+    def _files(self, name: str):
+        return self._path(name).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
