@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from channelgraph.functions.media import has_phash, media_kind
@@ -156,6 +156,18 @@ def image_peers(links: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
+def hit_peers(hits: DataFrame, links: DataFrame, messages: DataFrame, peers: DataFrame) -> DataFrame:
+    """The peers of each image that was found, most appearances first, then the newest, then the smaller id.
+
+    ``hits`` holds (query_id, phash); only links of hits are counted.
+    """
+    fan = image_peers(links.join(hits.select("phash").distinct(), "phash", "left_semi"), messages)
+    known = peers.select(F.col("external_id").alias("peer_external_id"), "peer_type", F.col("title").alias("peer_title"))
+    order = Window.partitionBy("query_id", "phash").orderBy(F.desc("appearances"), F.desc("last_seen_at"), F.asc("peer_external_id"))
+    rows = hits.select("query_id", "phash").join(fan, "phash").join(known, "peer_external_id")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
 def shared_images(links: DataFrame, peer: int | None = None, start=None, end=None, min_peers: int = 2) -> DataFrame:
     """Images that appear in at least two peers inside the dates, with counts and first date."""
     per_peer = image_appearances(links, start, end)

@@ -6,13 +6,14 @@ write the result to a new place or to the touched partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channelgraph.functions.ids import infer_type
 from channelgraph.functions.media import is_downloaded, media_kind
-from channelgraph.functions.text import is_dedupable, norm_phash
+from channelgraph.functions.text import excerpt, has_text, is_dedupable, norm_phash
 from channelgraph.schemas import MEDIA, MEDIA_FIELDS, PROFILE_COLUMNS
+from channelgraph.session import drop_settled, settle
 
 MESSAGE_KEY = ["peer_external_id", "telegram_message_id"]
 
@@ -150,6 +151,38 @@ def _merge_ranked(base: DataFrame, delta: DataFrame, order: str, strict_kind: bo
     return untouched.select(*columns, "inserted").unionByName(folded.select(*columns, "inserted"))
 
 
+def month_of(date: str = "date") -> Column:
+    return F.coalesce(F.date_format(date, "yyyy-MM"), F.lit("none"))
+
+
+def write_by_month(messages: DataFrame, path: str) -> None:
+    """The layout that :func:`write_back` keeps up: one folder per month, rows in order of peer."""
+    rows = messages.withColumn("month", month_of()).repartitionByRange("month", "peer_external_id").sortWithinPartitions("month", "peer_external_id", "date")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def write_back(spark: SparkSession, path: str, delta: DataFrame, order: str | None = None, strict_kind: bool = True) -> DataFrame:
+    """Merge deliveries into messages stored by month, rewriting only the months in which something changes.
+
+    A stored message keeps its date, so its month is found from keys alone; new messages belong to the month of their
+    own date. The new months are complete before the first old one goes. Returns (month) of what was rewritten.
+    """
+    stored = spark.read.parquet(path)
+    schema = stored.drop("month").schema
+    keys = delta.select(*MESSAGE_KEY).distinct()
+    old = stored.select(*MESSAGE_KEY, "month").join(keys, MESSAGE_KEY, "left_semi").select("month")
+    months = settle(old.unionByName(delta.select(month_of().alias("month"))).distinct(), "months")
+    names = [r["month"] for r in months.collect()]  # one string per month of history
+    touched = stored.filter(F.col("month").isin(names)).drop("month")
+    merged = merge_messages(touched, delta, order, strict_kind).drop("inserted")
+    for column in set(schema.fieldNames()) - set(merged.columns):
+        merged = merged.withColumn(column, {"has_text": has_text, "excerpt": excerpt}[column](F.col("content")))
+    fresh = settle(merged.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), "rewritten")
+    write_by_month(fresh, path)
+    drop_settled(fresh)
+    return months
+
+
 # ---- peers
 
 def fold_latest(delta: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:

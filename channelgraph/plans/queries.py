@@ -127,6 +127,15 @@ def three_deliveries(base):
     return given[0].unionByName(given[1]).unionByName(given[2])
 
 
+@query
+def i1_write_back(a):
+    """The later delivery merged into an archive stored by month, and the whole read back."""
+    path = scratch_path(a.spark, "by-month")
+    merge.write_by_month(a.messages, path)
+    merge.write_back(a.spark, path, redelivered_messages(message_base(a.source)))
+    return _flat_message(a.spark.read.parquet(path))
+
+
 @query
 def i1_merge_deliveries(a):
     """Three deliveries at once over the stored archive; the oracle applies them one by one."""
@@ -941,6 +950,18 @@ def t2_image_page_by_date(a):
     return listing.page(images.image_rollup(a.image_blobs, a.image_blob_messages), images.image_order("date"), 50, 10).select("phash", "last_seen_at")
 
 
+@query
+def t1_video_page(a):
+    rows = rollups.video_rollup(a.messages)
+    return listing.page(rows, rollups.item_order(), 50, 5, with_total=True).select("item_id", "appearances", "unique_peers", "last_seen_at", "total")
+
+
+@query
+def t1_file_page(a):
+    rows = rollups.file_rollup(a.messages)
+    return listing.page(rows, rollups.item_order(), 50, with_total=True).select("item_id", "appearances", "unique_peers", "last_seen_at", "total")
+
+
 @query
 def t3_newest_with_flag(a):
     rows = a.messages.select("id", "date")
@@ -1082,6 +1103,16 @@ def g6_filter_graph_edges(a):
     return layers.filter_graph(*_whole_graph(a), WITH_MESSAGES)[1].select("source", "target", "kind", "count")
 
 
+@query
+def g6_default_layers(a):
+    return layers.filter_graph(*_whole_graph(a), layers.PRESETS["peer-forwards"])[0].select("id", "kind")
+
+
+@query
+def g6_default_layer_edges(a):
+    return layers.filter_graph(*_whole_graph(a))[1].select("source", "target", "kind", "count")
+
+
 @query
 def g6_shared_image_preset(a):
     return layers.filter_graph(*_shared_graph(a), layers.PRESETS["shared-images"])[0].select("id", "kind")
@@ -1120,6 +1151,12 @@ def g10_forwarders(a):
     return layers.neighbours(nodes, edges, "forwarded_from")
 
 
+@query
+def g10_sent_to(a):
+    nodes, edges = _whole_graph(a)
+    return layers.neighbours(nodes, edges, "sent_to")
+
+
 @query
 def g10_appeared_in(a):
     return layers.neighbours(*_shared_graph(a), "appeared_in")
@@ -1190,6 +1227,13 @@ def v3_hydrate_images(a):
     )
 
 
+@query
+def v3_hit_peers(a):
+    hits = knn.knn_images(a.image_embeddings, _questions(a), 20, "m0")
+    found = images.hit_peers(hits, a.image_blob_messages, a.messages, a.peers)
+    return found.select("query_id", "phash", "peer_external_id", "peer_title", "appearances", "forwarded", "last_seen_at", "place")
+
+
 @query
 def v4_pending_text(a):
     return knn.pending_text(a.messages, a.message_text_embeddings, "t0").select("message_id", "date")

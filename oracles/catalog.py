@@ -240,6 +240,14 @@ ORACLES = {
     "t1_message_page_after": q(
         "SELECT id, date, telegram_message_id FROM messages WHERE date < TIMESTAMP '2024-01-15' ORDER BY date DESC, telegram_message_id DESC LIMIT 50"
     ),
+    "t1_video_page": q(
+        f"""SELECT item_id, appearances, unique_peers, last_seen_at, count(*) OVER () AS total FROM ({_items("video", VIDEO_EXTRA)})
+           ORDER BY last_seen_at DESC NULLS LAST, item_id LIMIT 50 OFFSET 5"""
+    ),
+    "t1_file_page": q(
+        f"""SELECT item_id, appearances, unique_peers, last_seen_at, count(*) OVER () AS total FROM ({_items("document", "")})
+           ORDER BY last_seen_at DESC NULLS LAST, item_id LIMIT 50"""
+    ),
     "t2_image_page": q(
         """SELECT phash, unique_peers, appearances, (SELECT count(*) FROM rollup_images) AS total FROM rollup_images ORDER BY unique_peers > 1 DESC, unique_peers < appearances DESC,
              unique_peers DESC, appearances DESC, last_seen_at DESC NULLS LAST, phash LIMIT 50""",

@@ -215,6 +215,8 @@ ORACLES = {
     "g6_filter_graph_edges": q(
         "SELECT source, target, kind, count FROM ve WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)", VISIBLE
     ),
+    "g6_default_layers": q("SELECT id, kind FROM peer_nodes", FORWARD_GRAPH),
+    "g6_default_layer_edges": q("SELECT source, target, kind, count FROM peer_edges", FORWARD_GRAPH),
     "g6_shared_image_preset": q("SELECT id, kind FROM shared_nodes", SHARED),
     "g7_self_forwards": q(
         """, f AS (SELECT target AS id, source AS peer FROM message_edges WHERE kind = 'forwarded_from' AND CAST(source AS BIGINT) % 4 = 3
@@ -236,6 +238,16 @@ ORACLES = {
         "SELECT e.target AS id, e.source AS peer, p.label AS peer_label FROM message_edges e JOIN peer_nodes p ON p.id = e.source WHERE e.kind = 'forwarded_from'",
         f"{FORWARD_GRAPH}, {LAYER}",
     ),
+    "g10_sent_to": q(
+        "SELECT e.source AS id, e.target AS peer, p.label AS peer_label FROM message_edges e JOIN peer_nodes p ON p.id = e.target WHERE e.kind = 'sent_to'",
+        f"{FORWARD_GRAPH}, {LAYER}",
+    ),
+    "g9_graph_fingerprint": q(
+        """SELECT (SELECT count(*) FROM peer_nodes) AS nodes, (SELECT count(*) FROM peer_edges) AS edges, md5(
+             (SELECT CAST(coalesce(sum(('0x' || md5(id || '|' || kind || '|' || scraped || '|' || is_scraping || '|' || degree || '|' || forward_volume || '|')[1:15])::BIGINT), 0) AS VARCHAR) FROM peer_nodes)
+             || '|' || (SELECT CAST(coalesce(sum(('0x' || md5(source || '|' || kind || '|' || target || '|' || count)[1:15])::BIGINT), 0) AS VARCHAR) FROM peer_edges)) AS fingerprint""",
+        FORWARD_GRAPH,
+    ),
     "g10_appeared_in": q(
         "SELECT e.source AS id, e.target AS peer, p.label AS peer_label FROM shared_edges e JOIN shared_nodes p ON p.id = e.target", SHARED
     ),
@@ -265,6 +277,17 @@ ORACLES = {
              (SELECT count(DISTINCT peer_external_id) FROM links l WHERE l.phash = hits.phash) AS unique_peers FROM hits JOIN blobs USING (phash)""",
         knn("image_embeddings", "phash", "m0", 20),
     ),
+    "v3_hit_peers": q(
+        """SELECT query_id, phash, peer_external_id, title AS peer_title, appearances, forwarded, last_seen_at,
+             row_number() OVER (PARTITION BY query_id, phash ORDER BY appearances DESC, last_seen_at DESC, peer_external_id) AS place
+           FROM hits JOIN (SELECT l.phash, l.peer_external_id, count(*) AS appearances, count(m.fwd_from) AS forwarded, max(l.message_date) AS last_seen_at
+             FROM links l JOIN messages m ON m.id = l.message_id GROUP BY 1, 2) USING (phash) JOIN peers ON external_id = peer_external_id""",
+        knn("image_embeddings", "phash", "m0", 20),
+    ),
+    "v6_embed_images": q(
+        """SELECT phash, 'm9' AS model_id, CAST(64 AS BIGINT) AS dim FROM blobs
+           WHERE (trim(canonical_path) <> '' AND canonical_path NOT LIKE '%://%') OR phash IN (SELECT phash FROM image_cache)"""
+    ),
     "v4_pending_text": q(
         "SELECT id AS message_id, date FROM pm WHERE has_text AND id NOT IN (SELECT message_id FROM text_embeddings WHERE model_id = 't0')"
     ),

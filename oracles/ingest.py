@@ -93,6 +93,7 @@ ORACLES = {
            FROM messages GROUP BY 1"""
     ),
     "i1_merge_messages": _merged(True),
+    "i1_write_back": _merged(True).replace(",\n    m.id IS NULL AS inserted", ""),
     "i1_merge_messages_lenient": _merged(False),
     "i2_merge_peers": q(
         """SELECT coalesce(p.external_id, s.ext) AS external_id,

@@ -8,8 +8,8 @@ import __spark_entry__ as entry_file
 from channelgraph.plans.queries import QUERIES
 
 ORACLES = entry_file.oracle_sql()
-# results that SQL cannot give: a hash of its own kind, an encoder, a cosine transform
-WITHOUT_ORACLE = {"g9_graph_fingerprint", "v6_embed_images", "v6_embed_text", "v11_hash_images"}
+# results that SQL cannot give: an encoder, a cosine transform
+WITHOUT_ORACLE = {"v6_embed_text", "v11_hash_images"}
 
 
 @pytest.fixture(scope="module")

@@ -261,3 +261,23 @@ def test_message_export_is_written_in_order(spark, archive, tmp_path):
     assert len(seen) == archive.messages.count()
     expected = [str(r["id"]) for r in flat.orderBy(*exports.message_export_order()).select("id").collect()]
     assert seen == expected
+
+
+def test_write_back_leaves_other_months_alone(spark, archive, tmp_path):
+    """Only months that a delivery touches get new files, and the whole equals the merge."""
+    import os
+
+    path = str(tmp_path / "by-month")
+    merge.write_by_month(archive.messages, path)
+
+    def files():
+        return {m: sorted(os.listdir(f"{path}/{m}")) for m in os.listdir(path) if m.startswith("month=")}
+
+    before = files()
+    month = sorted(before)[0].removeprefix("month=")
+    delta = redelivered_messages(message_base(archive.source)).filter(F.date_format("date", "yyyy-MM") == month)
+    want = core(merge.merge_messages(archive.messages, delta))
+    touched = [r["month"] for r in merge.write_back(spark, path, delta).collect()]
+    after = files()
+    assert touched == [month] and all((before[m] == after[m]) == (m != f"month={month}") for m in before)
+    assert rows(core(spark.read.parquet(path))) == rows(want)
