@@ -31,7 +31,7 @@ GRAM = 40
 TOGETHER, DIVIDE = 512, 8
 SLICE = 2 << 20
 #: Bytes of texts whose suffixes are sorted at once.
-SORTED = 2 << 20
+SORTED = 1 << 20
 SEGMENT = "id long, th long, start long, m int, anchor int, key long, same long"
 
 
@@ -201,7 +201,8 @@ def repeated_starts(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     """id, th, a, b: the strings of ``least`` bytes that start in [a, b) of this text start elsewhere too."""
     texts = _texts(docs, id_col, text_col)
     segments = settle(texts.mapInArrow(_segments(least), SEGMENT), "repeat-segments")
-    often = segments.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # written first: a join of two tables as they stand can split the rows of an anchor that is everywhere
+    often = settle(segments.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeat-anchors")
     segments_left = settle(segments.join(often, "key"), "repeat-candidates")
     drop_settled(segments)
     place = F.struct("id", "th", "start", "anchor")
