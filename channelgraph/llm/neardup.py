@@ -7,8 +7,10 @@ start. The first INDEXED values of each node's sketch are inverted into lists.
   two sketches estimates it high enough; each such pair is compared on its full sets.
 * Common values are in lists of any length, and no pairs are made of those. A node can have a partner with which it shares
   common values alone only if common values make up much of its own sketch; just such nodes enter, for the first COMMON of
-  their common values. A list is dealt out in blocks of bounded size, a task compares the full sets of two blocks at once
-  by a matrix product, and returns a spanning forest of the links it found.
+  their common values. A list is dealt out in blocks of bounded size; a task compares the full sets of two blocks at once
+  by a matrix product and returns a spanning forest of the links it found. First all blocks meet the list's first block.
+  What that does not tie to the list's largest group then meets the whole list, so a family of many near copies costs in
+  proportion to its size, and only sets that stand apart in it cost more.
 
 Every link is thus confirmed on full sets. Two sets of similarity 0.8 share each sketch value with probability 0.8 at
 least, so that they share fewer values than these rules need with probability below 1e-7; more similar ones far below.
@@ -204,6 +206,38 @@ def _compare(percent: int):
     return run
 
 
+def _links_within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the nodes of each group (kind, key, i, j)."""
+    grouped = members.join(sets, "node").select("kind", "key", "i", "j", "node", "own")
+    grouped = grouped.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j", "node")
+    return grouped.mapInArrow(_compare(percent), "u long, v long")
+
+
+def _apart(dealt: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Groups in which the nodes of each long list that are not in its largest group meet all of the list.
+
+    Together with what the first round compared, every two nodes of a list have then met or are connected.
+    """
+    labelled = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = settle(labelled, "near-labelled")
+    sizes = labelled.groupBy("value", "root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    largest = sizes.groupBy("value").agg(
+        F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("all_size"), F.sum("shingles").alias("all_shingles"),
+        F.max_by("shingles", F.struct("size", "root")).alias("most_shingles"),
+    )
+    left, left_shingles = F.col("all_size") - F.col("most.size"), F.col("all_shingles") - F.col("most_shingles")
+    piles = F.greatest(F.ceil(left / BLOCK_NODES), F.ceil(left_shingles / BLOCK_SHINGLES)).cast("int")
+    largest = settle(largest.filter(left > 0).select("value", F.col("most.root").alias("main"), piles.alias("piles")), "near-largest")
+    if largest.isEmpty():
+        return None
+    rows = labelled.join(largest, "value")
+    pile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("piles")).cast("int")
+    rest = rows.filter(F.col("root") != F.col("main")).select("value", "node", pile.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    everyone = rows.select("value", "node", F.explode(F.sequence(F.lit(0), F.col("piles") - 1)).alias("i"), F.col("block").alias("j"))
+    met = rest.unionByName(everyone).distinct()
+    return settle(met.select(F.lit(2).alias("kind"), F.col("value").alias("key"), "i", "j", "node"), "near-apart")
+
+
 def _sets_of(size: int):
     """Full sets of the wanted documents; a row whose text has another set than the wanted one is passed over."""
 
@@ -241,7 +275,8 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     posted = nodes.select("node", "n", F.explode(F.slice("sketch", 1, INDEXED)).alias("value"))
-    common = posted.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    # written first: a join of two tables as they stand can split the rows of a value that is everywhere
+    common = settle(posted.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "near-values")
     shared = settle(posted.join(common, "value"), "near-postings")
 
     listed = shared.filter(F.col("df") <= RARE).select("value", "node").join(nodes.select("node", "n", "sketch"), "node")
@@ -257,9 +292,9 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id
     weight = entered.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = entered.join(weight.filter("members > 1").select("value", blocks.alias("blocks")), "value")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    in_blocks = dealt.select(F.lit(1).alias("kind"), F.col("value").alias("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node")
+    dealt = settle(dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-dealt")
+    meets = F.when(F.col("block") == 0, F.sequence(F.least(F.lit(1), F.col("blocks") - 1), F.col("blocks") - 1)).otherwise(F.array("block"))
+    in_blocks = dealt.select(F.lit(1).alias("kind"), F.col("value").alias("key"), F.lit(0).alias("i"), F.explode(meets).alias("j"), "node")
     star = F.explode(F.array("u", "v"))
     in_stars = pairs.select(F.lit(0).alias("kind"), F.col("v").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), star.alias("node")).distinct()
     members = settle(in_stars.unionByName(in_blocks), "near-members")
@@ -267,15 +302,16 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id
     wanted = members.select("node").distinct().join(nodes.select("node", "first", "a", "b"), "node")
     texts = narrow.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("text", "node", "a", "b")
     sets = settle(texts.mapInArrow(_sets_of(size), "node long, own binary"), "near-sets")
-    grouped = members.join(sets, "node").select("kind", "key", "i", "j", "node", "own")
-    grouped = grouped.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j", "node")
-    links = grouped.mapInArrow(_compare(percent), "u long, v long")
-
+    links = settle(_links_within(members, sets, percent), "near-links")
     roots = components(links)
+    apart = _apart(dealt.filter("blocks > 1"), roots)
+    if apart is not None:
+        links = links.unionByName(_links_within(apart, sets, percent))
+        roots = components(links)
     groups = nodes.select("node", "a", "b", "n", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = groups.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = settle(groups.join(names, "root").select("a", "b", "n", F.col("root").alias("group"), "component_id"), "near-groups")
-    for done in (shared, pairs, entered, members, sets):
+    for done in (common, shared, pairs, entered, dealt, members, sets):
         drop_settled(done)
     found = rows.select("id", "th", "n", "a", "b").join(groups, ["a", "b", "n"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
