@@ -40,9 +40,12 @@ def _cdf(mean: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | None = None, source_col: str = "source") -> DataFrame:
-    """source, n, rate, whole (copies that every document gets) and cdf (of the rest). Sources that ``weights`` does not
-    name have rate 0, names that no document has take no share; without weights a source counts by its size to the power TEMPERATURE. ``rows``: expected rows
-    drawn, the number of documents where it is None."""
+    """source, n, rate, whole (copies that every document gets) and cdf (of the rest).
+
+    Sources that ``weights`` does not name have rate 0, and names that no document has take no share. Without weights a
+    source counts by its size to the power TEMPERATURE. ``rows``: expected rows drawn, the number of documents where it
+    is None.
+    """
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         counts = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))
