@@ -29,7 +29,7 @@ LEAST = 200
 GRAM = 40
 #: Different texts of an anchor that one task sorts together; more are divided, DIVIDE ways a step.
 TOGETHER, DIVIDE = 512, 8
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Bytes of texts whose suffixes are sorted at once.
 SORTED = 1 << 20
 SEGMENT = "id long, th long, start long, m int, anchor int, key long, same long"
@@ -108,14 +108,15 @@ def _bodies(least: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             held = 0
-            for z, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for z, listed in zip(batch.column(0), batch.column(1), strict=True):
+                wanted = listed.as_py()
                 text = expand.decompress(z.as_buffer()) if wanted else b""
                 for w in wanted:
                     for i, name in enumerate(("root", "m", "anchor", "key")):
                         out[i].append(w[name])
                     out[4].append(text[w["start"] : w["start"] + w["m"] + least - 1])
                     held += len(out[4][-1])
-                if held > 4 << 20:
+                if held > 2 << 20:
                     yield _body_batch(out)
                     out, held = [[], [], [], [], []], 0
             if out[0]:
