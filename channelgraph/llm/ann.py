@@ -20,7 +20,7 @@ from channelgraph.llm.common import documents, settle
 
 QUERY_BLOCK = 1024
 #: Width of the probabilistic error bound in standard deviations; the certain bound is used where it is tighter.
-SIGMAS = 4.0
+SIGMAS = 6.0
 ROWS, PAIRS = 2048, 1 << 15
 SEED = 7
 

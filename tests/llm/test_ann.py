@@ -50,6 +50,27 @@ def test_codes_leave_most_vectors_out():
     assert search.compared < 0.15 * 80_000
 
 
+def test_a_neighbour_five_deviations_off_its_estimate_is_found():
+    dim, off = 64, 0.68  # 0.68 * sqrt(63): 5.4 deviations
+    turn, draw = ann.rotation(dim), np.random.default_rng(2)
+    signs = np.where(draw.random(dim) < 0.5, -1.0, 1.0)
+    near = np.abs(draw.normal(size=dim)) * signs
+    near /= np.linalg.norm(near)
+    code = signs / math.sqrt(dim)
+    # what the code of the vector leaves out, and a direction apart from both
+    rest = near - (near @ code) * code
+    rest /= np.linalg.norm(rest)
+    apart = draw.normal(size=dim)
+    apart -= (apart @ code) * code + (apart @ rest) * rest
+    apart /= np.linalg.norm(apart)
+    asked = off * rest + math.sqrt(1 - off**2) * apart
+    other = asked - (np.linalg.norm(asked - near) + 0.005) * apart
+    data = np.stack([near, other]) @ turn.T
+    search = ann.BlockSearch(np.array([0]), (asked @ turn.T)[None], np.zeros(dim), 1)
+    search.add(np.array([1, 2]), data, *ann.encode(data, turn))
+    assert search.found.tolist() == [[1]]
+
+
 def test_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
     rows = [(i * 10, v) for i, v in vectors(300, 8)]
