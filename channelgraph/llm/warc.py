@@ -9,11 +9,12 @@ next place at which a whole valid record starts, goes on from there, and logs th
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,7 +33,7 @@ DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Checksum of the header lines before it, for records that have it; it stands last.
 HEAD_CHECK = "X-Head-Check"
-START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+START, PLAIN = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n"), re.compile(rb"WARC/1\.[01]\r\n")
 FED = 4096
 
 
@@ -111,22 +112,70 @@ def parse_record(data: bytes | memoryview, at: int) -> tuple[Record, int]:
     return Record(headers, payload), stop + 4
 
 
-def _record_at(data: bytes, at: int) -> tuple[Record, int]:
-    if data[at : at + 2] != b"\x1f\x8b":
-        return parse_record(data, at)
+def _content(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at ``at``, the place after it, and where it is damaged the reason; the content then
+    goes as far as it could be read."""
     unzip, parts, fed = zlib.decompressobj(31), [], at
     while not unzip.eof:
         if fed >= len(data):
-            raise ValueError("member is cut short")
+            return b"".join(parts), fed, "member is cut short"
         try:
             parts.append(unzip.decompress(data[fed : fed + FED]))
         except zlib.error as wrong:
-            raise ValueError(str(wrong)) from wrong
+            again = zlib.decompressobj(31)
+            parts = [again.decompress(data[at:fed])]
+            with contextlib.suppress(zlib.error):
+                for i in range(fed, fed + FED):
+                    parts.append(again.decompress(data[i : i + 1]))
+            return b"".join(parts), fed, str(wrong)
         fed = min(fed + FED, len(data))
-    record, end = parse_record(raw := b"".join(parts), 0)
-    if end != len(raw):
-        raise ValueError("member has more than one record")
-    return record, fed - len(unzip.unused_data)
+    return b"".join(parts), fed - len(unzip.unused_data), None
+
+
+def _records_at(data: bytes, at: int) -> tuple[list[Record | str], int, str | None]:
+    """The records of the member at ``at`` (the plain record there), the place after it, and the reason where the member
+    is damaged. ValueError where there is none.
+
+    Stretches of a sound member that are given up stand as reasons between its records. Of a damaged member only records
+    with a block digest count, as the member's own checksum does not speak for the others.
+    """
+    if data[at : at + 2] != b"\x1f\x8b":
+        record, end = parse_record(data, at)
+        return [record], end, None
+    raw, end, wrong = _content(data, at)
+    rows = list(_walk(raw, lambda d, a: ([(r := parse_record(d, a))[0]], r[1], None), PLAIN))
+    if wrong is None:
+        got = [f"{one}: bytes {a} to {b} of the member's content" if isinstance(one, str) and len(rows) > 1 else one for a, b, one in rows]
+    else:
+        got = [one for _, _, one in rows if isinstance(one, Record) and one.headers.get("warc-block-digest", "").startswith("sha256:")]
+    if not any(isinstance(one, Record) for one in got):
+        raise ValueError(wrong or (got[0] if got else "member is empty"))
+    return got, end, wrong
+
+
+def _walk(data: bytes, records_at: Callable, places: re.Pattern) -> Iterator[tuple[int, int, Record | str]]:
+    at = given_up = 0
+    reason = None  # of the bytes from given_up on
+    while at < len(data):
+        try:
+            got, end, wrong = records_at(data, at)
+        except ValueError as failed:
+            got, wrong = [], str(failed)
+        if got and at > given_up:
+            yield given_up, at, reason
+        if got:
+            for one in got[:-1]:
+                yield at, at, one
+            yield at, at if wrong else end, got[-1]
+            given_up, reason = at, None
+        if wrong is None:
+            at = given_up = end
+            continue
+        reason = wrong if reason is None else reason
+        found = places.search(data, at + 1)
+        at = found.start() if found else len(data)
+    if at > given_up:
+        yield given_up, at, reason
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
@@ -134,26 +183,10 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
 
     Files may hold gzip members, plain records, or both. A damaged stretch is left at the first later place where a
     record passes all its checks; a valid record that stands inside the damaged one's payload would be taken for a record.
+    A member may hold any number of records; its content is held whole. All its rows have its start; the last one has its
+    end, the others end where they start. Records of a damaged member stand so before the row of the bytes given up.
     """
-    at = 0
-    while at < len(data):
-        try:
-            record, end = _record_at(data, at)
-        except ValueError as wrong:
-            reason, gap = str(wrong), at
-            found = START.search(data, at + 1)
-            while found:
-                try:
-                    record, end = _record_at(data, found.start())
-                    break
-                except ValueError:
-                    found = START.search(data, found.start() + 1)
-            at = found.start() if found else len(data)
-            yield gap, at, reason
-            if not found:
-                return
-        yield at, end, record
-        at = end
+    yield from _walk(data, _records_at, START)
 
 
 def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

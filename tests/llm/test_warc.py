@@ -65,6 +65,36 @@ def test_mixed_members_and_plain_records():
     assert gzip.decompress(member(record(9))) == record(9)
 
 
+def test_members_of_several_records():
+    texts = [record(i) for i in range(12)]
+    whole = member(b"".join(texts))
+    assert found(whole) == list(range(12)) and gaps(whole) == []
+    assert found(member(b"".join(texts[:3])) + member(texts[3]) + member(b"".join(texts[4:]))) == list(range(12))
+    rows = list(salvage(member(texts[0] + texts[1]) + texts[2]))
+    assert {a for a, _, _ in rows[:2]} == {0} and rows[1][1] == rows[2][0] == len(member(texts[0] + texts[1]))
+    # a record that is wrong inside a sound member, and bytes after the last one
+    hurt = bytearray(b"".join(texts))
+    hurt[len(texts[0]) + len(texts[1]) - 20] ^= 1
+    assert found(member(bytes(hurt))) == [0, *range(2, 12)] and len(gaps(member(bytes(hurt)))) == 1
+    assert found(member(texts[0] + b"tail")) == [0] and len(gaps(member(texts[0] + b"tail"))) == 1
+    assert found(member(b"")) == found(member(b"tail")) == []
+
+
+def test_a_damaged_member_keeps_the_records_before_the_damage():
+    draw = random.Random(3)
+    whole = member(b"".join(record(i, draw.randbytes(900)) for i in range(30)))
+    half = len(whole) // 2
+    after = member(record(99))
+    for data in (whole[:half], whole[:half] + after, whole[:half] + bytes([whole[half] ^ 255]) + whole[half + 1 :] + after, whole[:-8] + bytes(8) + after):
+        got = [i for i in found(data) if i != 99]
+        assert got == sorted(got) and got[:13] == list(range(13)) and len(gaps(data)) == 1
+        assert (found(data)[-1] == 99) == data.endswith(after)
+    # without a digest nothing speaks for a record of such a member
+    bare = member(b"".join(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" for _ in range(3)))
+    assert sum(isinstance(r, Record) for _, _, r in salvage(bare)) == 3
+    assert not any(isinstance(r, Record) for _, _, r in salvage(bare[:-8] + bytes(8)))
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
