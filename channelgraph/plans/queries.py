@@ -1196,6 +1196,44 @@ def v1_knn_messages(a):
     return knn.knn_messages(a.message_text_embeddings, _questions(a), 20, "t0").select("query_id", "message_id", r6("score").alias("score"), "rank")
 
 
+def _every_hundredth(a):
+    """The vectors whose id is divisible by 100: as questions they grow with the table."""
+    return a.source.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query
+def v1_knn_messages_whole(a):
+    return knn.knn_messages(a.message_text_embeddings, _every_hundredth(a), 20, "t0").select("query_id", "message_id", r6("score").alias("score"), "rank")
+
+
+@query
+def v2_knn_images_whole(a):
+    return knn.knn_images(a.image_embeddings, _every_hundredth(a), 20, "m0").select("query_id", "phash", r6("score").alias("score"), "rank")
+
+
+@query
+def v3_hydrate_messages_whole(a):
+    hits = knn.knn_messages(a.message_text_embeddings, _every_hundredth(a), 20, "t0").withColumnRenamed("message_id", "id")
+    rows = listing.list_messages(a.messages, a.peers)
+    return knn.hydrate(hits, rows, "id").select("query_id", "id", "rank", "score", "peer_title", "media_kind", "forwarded")
+
+
+@query
+def v3_hydrate_images_whole(a):
+    hits = knn.knn_images(a.image_embeddings, _every_hundredth(a), 20, "m0")
+    shown = a.image_blob_messages.join(hits.select("phash"), "phash", "left_semi")
+    return knn.hydrate(hits, images.image_rollup(a.image_blobs, shown), "phash").select(
+        "query_id", "phash", "rank", "score", "appearances", "unique_peers"
+    )
+
+
+@query
+def v3_hit_peers_whole(a):
+    hits = knn.knn_images(a.image_embeddings, _every_hundredth(a), 20, "m0")
+    found = images.hit_peers(hits, a.image_blob_messages, a.messages, a.peers)
+    return found.select("query_id", "phash", "peer_external_id", "peer_title", "appearances", "forwarded", "last_seen_at", "place")
+
+
 @query
 def v1_knn_messages_of_peer(a):
     return knn.knn_messages(a.message_text_embeddings, _questions(a), 5, "t0", a.messages, FOCUS).select("query_id", "message_id", "rank")

@@ -337,3 +337,10 @@ ORACLES = {
     "w4_coverage_stream": q("SELECT * FROM spans"),
     "w5_relevance_stream": q(SCORE_ROWS + " WHERE sj > 0 OR fj > 0 OR n > 0", LOW + ", " + peer_scores()),
 }
+
+# the same searches with the vectors as questions whose id is divisible by 100
+HUNDREDTH = "hundredth AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0),\n"
+ORACLES |= {
+    f"{name}_whole": ORACLES[name].replace("hits AS (", HUNDREDTH + "hits AS (").replace("scope_inputs b", "hundredth b")
+    for name in ("v1_knn_messages", "v2_knn_images", "v3_hydrate_messages", "v3_hydrate_images", "v3_hit_peers")
+}

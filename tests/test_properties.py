@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from channelgraph.functions.scores import ScopeParams
 from channelgraph.operators import counts, encode, expand, knn, merge, scope
 from channelgraph.plans import exports
+from channelgraph.plans.queries import QUERIES
 from channelgraph.schemas import COUNT_COLUMNS, MESSAGES, TABLES
 from channelgraph.sources.derived import message_base, redelivered_messages
 from channelgraph.streaming import jobs
@@ -281,3 +282,12 @@ def test_write_back_leaves_other_months_alone(spark, archive, tmp_path):
     after = files()
     assert touched == [month] and all((before[m] == after[m]) == (m != f"month={month}") for m in before)
     assert rows(core(spark.read.parquet(path))) == rows(want)
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_whole_searches_ask_every_hundredth_vector(spark, archive, monkeypatch, block):
+    monkeypatch.setattr(knn.query_blocks, "__defaults__", (block,))
+    asked = {r[0] for r in archive.source.embeddings.filter("vec_id % 100 = 0").select("vec_id").collect()}
+    for name in ("v1_knn_messages_whole", "v2_knn_images_whole"):
+        found = [r["query_id"] for r in QUERIES[name](archive).select("query_id").collect()]
+        assert set(found) == asked and len(found) == 20 * len(asked) and len(asked) > 2
