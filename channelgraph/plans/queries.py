@@ -27,7 +27,7 @@ from channelgraph.operators import (
     scope,
 )
 from channelgraph.plans import exports
-from channelgraph.schemas import MEDIA, MEDIA_FIELDS, MEDIA_KINDS, TABLES
+from channelgraph.schemas import MEDIA, MEDIA_FIELDS, MEDIA_KINDS, PROFILE_COLUMNS, TABLES
 from channelgraph.session import scratch_path
 from channelgraph.sources import sinks
 from channelgraph.sources.archive import load_catalog
@@ -1496,6 +1496,43 @@ def x1_export_peers(a):
     )
 
 
+def _profiled_peers(a):
+    """The peers with all profile columns, as the flattening of entities gives them."""
+    k = "c_custkey"
+
+    def struct(fields: dict[str, str]) -> Column:
+        return F.struct(*[F.expr(e.format(k=k)).alias(n) for n, e in fields.items()])
+
+    entity = {
+        "id": "{k}", "title": "CASE WHEN {k} % 3 = 0 THEN ' ' || c_name || ' ' WHEN {k} % 3 = 1 THEN '  ' END",
+        "first_name": "CASE WHEN {k} % 4 <> 0 THEN 'Ann' END", "last_name": "CASE WHEN {k} % 5 = 0 THEN ' Lee' END",
+        "username": "CASE WHEN {k} % 2 = 0 THEN '@n' || {k} END",
+        "usernames": """array(named_struct('username', 'x' || {k}, 'active', true, 'editable', false),
+                              named_struct('username', 'N' || {k}, 'active', CAST(NULL AS BOOLEAN), 'editable', true))""",
+        "date": "CAST('2023-05-' || lpad(CAST({k} % 28 + 1 AS STRING), 2, '0') || ' 00:00:00' AS TIMESTAMP_NTZ)",
+        "restriction_reason": """CASE WHEN {k} % 9 = 0 THEN array(named_struct('platform', 'ios', 'reason', 'porn', 'text', ' blocked '),
+                              named_struct('platform', '', 'reason', 'terms', 'text', 'terms')) END""",
+        "linked_monoforum_id": "{k} % 4 - 1", "migrated_to_channel_id": "{k} % 5 - 2", "participants_count": "CAST({k} AS INT)",
+    } | {f: f"CASE WHEN {{k}} % 5 <> 4 THEN ({{k}} + {n}) % {n + 2} = 0 END" for n, f in enumerate(profile.ENTITY_FLAGS)}
+    full = {
+        "about": "c_mktsegment", "linked_chat_id": "CASE WHEN {k} % 2 = 0 THEN {k} ELSE {k} + 5 END", "migrated_from_chat_id": "{k} % 3",
+        "participants_count": "CASE WHEN {k} % 6 = 0 THEN 99 END", "hidden_prehistory": "{k} % 3 = 0",
+        "participants_hidden": "CASE WHEN {k} % 2 = 0 THEN {k} % 4 = 0 END",
+        "location": "CASE WHEN {k} % 7 = 0 THEN named_struct('address', ' here ', 'geo_point', named_struct('lat', c_acctbal, 'long', 1.5D)) END",
+    } | {f: f"CASE WHEN {{k}} % 7 <> {n % 7} THEN {{k}} * 10 + {n} END" for n, f in enumerate(profile.FULL_NUMBERS)}
+    raw = a.source.customer.select(
+        F.expr(PEER_ID.format(k=k)).alias("external_id"), struct(entity).alias("entity"), struct(full).alias("full"),
+        F.expr(f"CASE WHEN {k} % 2 = 0 THEN CAST('2024-04-' || lpad(CAST({k} % 28 + 1 AS STRING), 2, '0') || ' 00:00:00' AS TIMESTAMP_NTZ) END").alias("last_message_at"),
+    )
+    return a.peers.drop(*PROFILE_COLUMNS, "last_message_at").join(profile.flatten_profile(raw), "external_id")
+
+
+@query
+def x1_export_peers_whole(a):
+    """All 63 columns, over peers with whole profiles."""
+    return exports.export_peers(_profiled_peers(a), a.peer_counts, a.peer_fetch_coverage, a.peer_media_coverage)
+
+
 @query
 def x2_export_forward_edges(a):
     return exports.export_forward_edges(a.forward_edges, a.peers, a.peers)

@@ -337,6 +337,50 @@ ORACLES = {
              videos_excluded, large_excluded, max_media_bytes FROM shown_stats""",
         STATS,
     ),
+    "x1_export_peers_whole": q(
+        """SELECT external_id, peer_type,
+             CASE WHEN k % 3 = 0 THEN c_name WHEN k % 4 <> 0 AND k % 5 = 0 THEN 'Ann Lee' WHEN k % 4 <> 0 THEN 'Ann' WHEN k % 5 = 0 THEN 'Lee' END AS title,
+             CASE WHEN k % 4 <> 0 THEN 'Ann' END AS first_name, CASE WHEN k % 5 = 0 THEN 'Lee' END AS last_name,
+             CASE WHEN k % 2 = 0 THEN '@n' || k END AS username,
+             CASE WHEN k % 2 = 0 THEN 'N' || k || ';x' || k ELSE 'x' || k || ';N' || k END AS usernames, c_mktsegment AS about,
+             CAST('2023-05-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0') || ' 00:00:00' AS TIMESTAMP) AS telegram_date, created_at, updated_at,
+             CASE WHEN k % 2 = 0 THEN CAST('2024-04-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0') || ' 00:00:00' AS TIMESTAMP) END AS last_message_at,
+             CAST(CASE WHEN k % 6 = 0 THEN 99 ELSE k END AS BIGINT) AS participants_count, CASE WHEN scraped THEN shown END AS posts,
+             CASE WHEN has_forwards THEN coalesce(unique_forwards, 0) END AS forwards_unique,
+             CASE WHEN has_forwards THEN coalesce(total_forwards, 0) END AS forwards_total,
+             CASE WHEN show_image THEN coalesce(image_unique, 0) END AS images_unique, CASE WHEN show_image THEN kept END AS images_persisted,
+             CASE WHEN show_video THEN coalesce(video_total, 0) END AS videos_total, CASE WHEN show_video THEN coalesce(video_downloaded, 0) END AS videos_downloaded,
+             CASE WHEN show_audio THEN coalesce(audio_total, 0) END AS audio_total, CASE WHEN show_gif THEN coalesce(gif_total, 0) END AS gif_total,
+             CASE WHEN show_document THEN coalesce(document_total, 0) END AS document_total, """
+        + ", ".join(
+            f"CASE WHEN k % 5 <> 4 THEN (k + {n}) % {n + 2} = 0 END AS {c}"
+            for n, c in enumerate(
+                """verified scam fake restricted noforwards forum gigagroup join_to_send join_request has_link has_geo deleted premium
+                deactivated slowmode_enabled""".split()
+            )
+        )
+        + ", "
+        + ", ".join(
+            f"CAST(CASE WHEN k % 7 <> {n % 7} THEN k * 10 + {n} END AS BIGINT) AS {c}"
+            for n, c in enumerate(
+                """slowmode_seconds available_min_id admins_count kicked_count banned_count online_count ttl_period pinned_msg_id
+                common_chats_count""".split()
+            )
+        )
+        + """, CASE WHEN k % 9 = 0 THEN 'ios:porn: blocked; terms' ELSE '' END AS restriction_reason, k % 3 = 0 AS hidden_prehistory,
+             CASE WHEN k % 2 = 0 THEN k % 4 = 0 END AS participants_hidden,
+             CASE WHEN k % 2 = 1 THEN -(1000000000000 + k + 5) END AS linked_chat_id,
+             CASE WHEN k % 4 - 1 > 0 THEN -(1000000000000 + k % 4 - 1) END AS linked_monoforum_id,
+             CASE WHEN k % 3 > 0 THEN -(k % 3) END AS migrated_from_chat_id,
+             CASE WHEN k % 5 - 2 > 0 THEN -(1000000000000 + k % 5 - 2) END AS migrated_to_channel_id,
+             CASE WHEN k % 7 = 0 THEN 'here' END AS location_address, CASE WHEN k % 7 = 0 THEN c_acctbal END AS location_lat,
+             CASE WHEN k % 7 = 0 THEN CAST(1.5 AS DOUBLE) END AS location_lng,
+             has_fetch AS has_fetch_coverage, CASE WHEN scraped AND text_total > 0 THEN text_embedded || '/' || text_total END AS embed_text,
+             CASE WHEN scraped AND image_embeddable > 0 THEN image_embedded_unique || '/' || image_embeddable END AS embed_images,
+             videos_excluded, large_excluded, max_media_bytes
+           FROM shown_stats JOIN (SELECT c_custkey AS k, c_name, c_mktsegment, c_acctbal FROM customer) ON k = c_custkey""",
+        STATS,
+    ),
     "x1_saved_peer_files": q(
         """SELECT peer_type AS by_peer_type, count(*) AS peers, count(*) FILTER (WHERE scraped) AS with_posts,
              max(CASE WHEN scraped AND text_total > 0 THEN text_embedded || '/' || text_total END) AS embed_text

@@ -291,3 +291,10 @@ def test_whole_searches_ask_every_hundredth_vector(spark, archive, monkeypatch,
     for name in ("v1_knn_messages_whole", "v2_knn_images_whole"):
         found = [r["query_id"] for r in QUERIES[name](archive).select("query_id").collect()]
         assert set(found) == asked and len(found) == 20 * len(asked) and len(asked) > 2
+
+
+def test_the_whole_peer_export_has_all_columns_filled(archive):
+    out = QUERIES["x1_export_peers_whole"](archive)
+    assert out.columns == exports.PEER_COLUMNS and len(out.columns) == 63
+    filled = out.agg(*[F.count_distinct(c).alias(c) for c in out.columns]).first().asDict()
+    assert [c for c, n in filled.items() if n < 1] == []
