@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from channelgraph.llm import ann, exact, licences, mixing, neardup, packing, quality, sharding, substrings, warc
+from channelgraph.llm import ann, exact, licences, lines, mixing, neardup, packing, periodic, quality, sharding, substrings, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bottom_k": neardup.op8_bottom_k,
         "op9_salvage_warc": warc.op9_salvage_warc,
         "op10_rare_token_index": licences.op10_rare_token_index,
+        "op11_feast_whitening": whitening.op11_feast_whitening,
+        "op12_shared_lines": lines.op12_shared_lines,
+        "op13_dyadic_runs": periodic.op13_dyadic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,4 +35,5 @@ def oracles() -> dict[str, str]:
         "op5_rotated_codes": ann.ORACLE_OP5,
         "op7_poisson_mixture": mixing.ORACLE_OP7,
         "op9_salvage_warc": warc.ORACLE_OP9,
+        "op12_shared_lines": lines.ORACLE_OP12,
     }

@@ -16,5 +16,5 @@ def test_matches_oracle(spark, name):
 
 def test_one_query_for_each_operator():
     names = list(registry.queries())
-    assert sorted(int(n.split("_")[0][2:]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names
