@@ -57,19 +57,25 @@ def _located(diagonal: np.ndarray, off: np.ndarray, low: float, high: float, ste
     return (a + b) / 2
 
 
-def _cuts(values: np.ndarray, wanted: int, low: float, high: float) -> list[float]:
-    """Falling numbers between eigenvalues, the first above all: GROUP at most lie between two where gaps allow it."""
-    cuts, at, n = [high], 0, len(values)
-    gaps = np.append(values[:-1] - values[1:], values[-1] - low)
+def _intervals(values: np.ndarray, wanted: int, low: float, high: float) -> list[tuple[float, float]]:
+    """Intervals around groups of neighbouring eigenvalues, from the top down: GROUP at most in each where gaps allow it.
+
+    An interval is about as wide as its group, so that its ends are clear of the eigenvalues on both sides.
+    """
+    out, at, n = [], 0, len(values)
+    gaps = np.append(values[:-1] - values[1:], np.inf)
     least = 1e-9 * (high - low)
+    above = np.inf
     while at < min(wanted, n):
         ends = np.arange(at, min(at + GROUP, n))
         end = int(ends[np.argmax(gaps[ends])])
         while gaps[end] <= least and end < n - 1:
             end += 1
-        cuts.append(float(values[end] - gaps[end] / 2))
-        at = end + 1
-    return cuts
+        below, spread = float(gaps[end]), float(values[at] - values[end])
+        up, down = min(above / 2, max(spread, below / 2)), min(below / 2, max(spread, above / 2))
+        out.append((max(low, float(values[end]) - down), min(high, float(values[at]) + up)))
+        at, above = end + 1, below
+    return out
 
 
 def _interval(v: np.ndarray, low: float, high: float, count: int, rng: np.random.Generator, exact: float) -> tuple[np.ndarray, np.ndarray]:
@@ -79,18 +85,19 @@ def _interval(v: np.ndarray, low: float, high: float, count: int, rng: np.random
     turn = np.exp(-1j * np.pi / 2 * (nodes - 1))
     middle, radius = (low + high) / 2, (high - low) / 2
     shifted = [np.linalg.inv((middle + radius * t) * np.eye(n) - v) for t in turn]
-    block = rng.standard_normal((n, min(n, count + max(4, count // 2))))
-    for _ in range(ROUNDS):
+    block, true = rng.standard_normal((n, min(n, count + max(4, count // 2)))), np.zeros(1, dtype=bool)
+    for _ in range(ROUNDS if count else 0):
         projected = sum(w / 2 * np.real(radius * t * (s @ block)) for w, t, s in zip(weights, turn, shifted, strict=True))
-        q, _ = np.linalg.qr(projected)
+        # what the projector takes away is rounding error only and must not come back as a direction
+        q, kept, _ = np.linalg.svd(projected, full_matrices=False)
+        q = q[:, kept > 1e-8 * kept[0]]
         ritz, inner = np.linalg.eigh(q.T @ v @ q)
         block = q @ inner
-        inside = (ritz > low) & (ritz < high)
-        if inside.sum() == count:
-            error = np.abs(v @ block[:, inside] - block[:, inside] * ritz[inside]).max(initial=0)
-            if error <= exact:
-                return ritz[inside], block[:, inside]
-    raise ArithmeticError(f"{int(inside.sum())} of {count} eigenvalues found between {low} and {high}")
+        # mixtures of vectors from both sides can have Ritz values inside, but are no eigenvectors
+        true = (ritz > low) & (ritz < high) & (np.abs(v @ block - block * ritz).max(axis=0) <= exact)
+        if true.sum() == count:
+            return ritz[true], block[:, true]
+    raise ArithmeticError(f"{int(true.sum())} of {count} eigenvalues found between {low} and {high}")
 
 
 def leading(v: np.ndarray, wanted: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -107,19 +114,15 @@ def leading(v: np.ndarray, wanted: int, seed: int = 11) -> tuple[np.ndarray, np.
     v = v / size
     diagonal, off = tridiagonal(v)
     low, high = -1.01, 1.01
-    cuts = _cuts(_located(diagonal, off, low, high), wanted, low, high)
-    counts = count_above(diagonal, off, np.array(cuts))
+    ends = _intervals(_located(diagonal, off, low, high), wanted, low, high)
+    counts = count_above(diagonal, off, np.array(ends).ravel()).reshape(-1, 2)
     rng = np.random.default_rng(seed)
-    found = [
-        _interval(v, below, above, int(more - less), rng, 1e3 * np.finfo(float).eps)
-        for above, below, less, more in zip(cuts, cuts[1:], counts, counts[1:])
-        if more > less
-    ]
+    found = [_interval(v, a, b, int(more - less), rng, 1e3 * np.finfo(float).eps) for (a, b), (more, less) in zip(ends, counts, strict=True)]
     # one more Rayleigh-Ritz step over all intervals makes the vectors orthogonal to each other
     q, _ = np.linalg.qr(np.concatenate([f[1] for f in found], axis=1))
     values, inner = np.linalg.eigh(q.T @ v @ q)
-    if len(values) != counts[-1]:
-        raise ArithmeticError(f"{len(values)} of {counts[-1]} eigenvalues found")
+    if len(values) != counts[-1, 0]:
+        raise ArithmeticError(f"{len(values)} of {counts[-1, 0]} eigenvalues found")
     order = np.argsort(-values, kind="stable")[:wanted]
     values, vectors = values[order], (q @ inner)[:, order]
     largest = np.abs(vectors).argmax(axis=0)
