@@ -69,7 +69,7 @@ def _scored(column: pa.Array, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return unit[:, : matrix.shape[1]] @ matrix[:, :width].T, valid
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def best_positions(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best, smaller ids first among equals."""
     if len(scores) > k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -110,7 +110,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key:
                     held, names = best[q]
                     merged = np.concatenate([held, scores[:, q]])
                     both = ids if names is None else np.concatenate([names, ids])
-                    at = _top(merged, both, k)
+                    at = best_positions(merged, both, k)
                     best[q] = (merged[at], both[at])
             for q, (held, names) in enumerate(best):
                 if names is not None and len(held):

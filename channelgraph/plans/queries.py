@@ -25,6 +25,7 @@ from channelgraph.operators import (
     profile,
     rollups,
     scope,
+    vector_index,
 )
 from channelgraph.plans import exports
 from channelgraph.schemas import MEDIA, MEDIA_FIELDS, MEDIA_KINDS, PROFILE_COLUMNS, TABLES
@@ -1234,6 +1235,28 @@ def v3_hit_peers_whole(a):
     return found.select("query_id", "phash", "peer_external_id", "peer_title", "appearances", "forwarded", "last_seen_at", "place")
 
 
+def _indexed(a, vectors, key, probes=None):
+    """The whole search through an inverted file built for it."""
+    index = vector_index.build_index(vectors, key, scratch_path(a.spark, "vector-index"))
+    found = vector_index.search(index, _every_hundredth(a), 20, probes)
+    return found.select("query_id", key, r6("score").alias("score"), "rank")
+
+
+@query
+def v1_index_messages(a):
+    return _indexed(a, a.message_text_embeddings.filter("model_id = 't0'"), "message_id")
+
+
+@query
+def v1_index_messages_all_cells(a):
+    return _indexed(a, a.message_text_embeddings.filter("model_id = 't0'"), "message_id", vector_index.MOST_CELLS)
+
+
+@query
+def v2_index_images(a):
+    return _indexed(a, a.image_embeddings.filter("model_id = 'm0'"), "phash")
+
+
 @query
 def v1_knn_messages_of_peer(a):
     return knn.knn_messages(a.message_text_embeddings, _questions(a), 5, "t0", a.messages, FOCUS).select("query_id", "message_id", "rank")

@@ -344,3 +344,46 @@ ORACLES |= {
     f"{name}_whole": ORACLES[name].replace("hits AS (", HUNDREDTH + "hits AS (").replace("scope_inputs b", "hundredth b")
     for name in ("v1_knn_messages", "v2_knn_images", "v3_hydrate_messages", "v3_hydrate_images", "v3_hit_peers")
 }
+
+
+def indexed(table: str, key: str, model: str, rounds: int = 4, k: int = 20) -> str:
+    """The exact search within the cells of a k-means by cosine that starts from the vectors with the smallest hash of their id.
+
+    As many cells are asked as hold 95 of 100 exact neighbours of 128 stored vectors."""
+    cosine = "list_cosine_similarity({a}, {b})"
+    steps = [
+        f"vv AS (SELECT {key} AS key, v, sqrt(list_inner_product(v, v)) AS norm FROM {table} WHERE model_id = '{model}')",
+        "nn AS (SELECT greatest(1, least(4096, CAST(round(sqrt(count(*))) AS BIGINT))) AS cells FROM vv)",
+        "c0 AS (SELECT row_number() OVER (ORDER BY md5(CAST(key AS VARCHAR)), key) - 1 AS cell, v AS c FROM vv QUALIFY cell < (SELECT cells FROM nn))",
+    ]
+    for n in range(rounds + 1):
+        near = cosine.format(a="v", b="c")
+        steps.append(f"a{n} AS MATERIALIZED (SELECT key, v, norm, cell FROM vv, c{n} QUALIFY row_number() OVER (PARTITION BY key ORDER BY {near} DESC, cell) = 1)")
+        steps.append(
+            f"""c{n + 1} AS MATERIALIZED (SELECT cell, list(m ORDER BY pos) AS c FROM (
+  SELECT cell, pos, avg(v[pos] / norm) AS m FROM a{n}, range(1, (SELECT max(len(v)) + 1 FROM vv)) t(pos) GROUP BY cell, pos) GROUP BY cell
+  UNION ALL SELECT cell, c FROM c{n} WHERE cell NOT IN (SELECT cell FROM a{n}))"""
+        )
+    other = COSINE.replace("a.v", "o.v").replace("b.v", "m.v")
+    asked, hit = cosine.format(a="b.v", b="c"), COSINE.replace("b.v", "p.v")
+    steps += [
+        f"measured AS MATERIALIZED (SELECT key, v FROM a{rounds} ORDER BY md5(CAST(key AS VARCHAR)), key LIMIT 128)",
+        f"""neighbours AS (SELECT m.key, o.cell FROM measured m JOIN a{rounds} o ON m.key <> o.key
+  QUALIFY row_number() OVER (PARTITION BY m.key ORDER BY {other} DESC, o.key) <= 10)""",
+        f"""cell_order AS (SELECT b.key, cell, row_number() OVER (PARTITION BY b.key ORDER BY {cosine.format(a="b.v", b="c")} DESC, cell) AS place
+  FROM measured b, c{rounds})""",
+        "needed AS (SELECT place, row_number() OVER (ORDER BY place) AS n, count(*) OVER () AS total FROM neighbours JOIN cell_order USING (key, cell))",
+        "probes AS (SELECT coalesce(min(place), 1) AS probes FROM needed WHERE n >= 0.95 * total)",
+        f"""asked AS (SELECT b.id, b.v, cell FROM hundredth b, c{rounds}
+  QUALIFY row_number() OVER (PARTITION BY b.id ORDER BY {asked} DESC, cell) <= (SELECT probes FROM probes))""",
+        f"""hits AS (SELECT p.id AS query_id, a.key, {hit} AS score, row_number() OVER (PARTITION BY p.id ORDER BY {hit} DESC, a.key) AS rank
+  FROM asked p JOIN a{rounds} a ON a.cell = p.cell QUALIFY rank <= {k})""",
+    ]
+    return HUNDREDTH + ",\n".join(steps)
+
+
+ORACLES |= {
+    "v1_index_messages": q("SELECT query_id, key AS message_id, round(score, 6) AS score, rank FROM hits", indexed("text_embeddings", "message_id", "t0")),
+    "v1_index_messages_all_cells": ORACLES["v1_knn_messages_whole"],
+    "v2_index_images": q("SELECT query_id, key AS phash, round(score, 6) AS score, rank FROM hits", indexed("image_embeddings", "phash", "m0")),
+}
