@@ -40,7 +40,7 @@ from channelgraph.sources.derived import (
     open_archive,
     redelivered_messages,
 )
-from channelgraph.streaming import jobs
+from channelgraph.streaming import engine, jobs
 
 NOW = "2024-02-15 00:00:00"
 START, END = "2024-01-08 00:00:00", "2024-01-20 23:59:59.999"
@@ -1676,6 +1676,29 @@ def w2_counter_stream(a):
     return store.counters()
 
 
+def _delivered_twice(a):
+    """Every message in two deliveries, as files for a stream."""
+    path = scratch_path(a.spark, "deliveries")
+    twice = a.messages.withColumn("seq", F.col("id"))
+    twice.unionByName(twice.withColumn("seq", F.col("seq") + 10**9)).write.parquet(path)
+    return jobs.read_deliveries(a.spark, path, files_per_batch=8)
+
+
+@query
+def w2_counter_state(a):
+    """The counters by state that the engine keeps."""
+    store = engine.counter_store(a.spark, scratch_path(a.spark, "w2-state"))
+    store.run(engine.counter_totals(_delivered_twice(a)), scratch_path(a.spark, "stream"))
+    return store.totals()
+
+
+@query
+def w3_forward_state(a):
+    store = engine.edge_store(a.spark, scratch_path(a.spark, "w3-state"))
+    store.run(engine.edge_totals(_delivered_twice(a)), scratch_path(a.spark, "stream"))
+    return store.totals()
+
+
 @query
 def w3_forward_stream(a):
     store = jobs.ForwardStream(a.spark, scratch_path(a.spark, "w3"))

@@ -87,10 +87,10 @@ class MessageStream:
         What is in the base counts as older than every delivery that follows, so compact where deliveries of a message
         come in the order of ``seq``.
         """
-        newest = self.log.all().agg(F.max("batch_id")).first()[0]
-        folded = merge_messages(base, self.log.before(newest or 0).drop("batch_id"), order="seq")
+        cutoff = self.log.newest() or 0
+        folded = merge_messages(base, self.log.before(cutoff).drop("batch_id"), order="seq")
         conform(folded, "messages").write.parquet(path)
-        self.log.compact(lambda rows: rows.limit(0))
+        self.log.compact(lambda rows: rows.limit(0), cutoff)
         return self.log.spark.read.schema(TABLES["messages"]).parquet(path)
 
 

@@ -387,3 +387,5 @@ ORACLES |= {
     "v1_index_messages_all_cells": ORACLES["v1_knn_messages_whole"],
     "v2_index_images": q("SELECT query_id, key AS phash, round(score, 6) AS score, rank FROM hits", indexed("image_embeddings", "phash", "m0")),
 }
+
+ORACLES |= {"w2_counter_state": ORACLES["w2_counter_stream"], "w3_forward_state": ORACLES["w3_forward_stream"]}
