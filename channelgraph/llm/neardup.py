@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from channelgraph.llm.common import byte_slices, documents, drop_settled, settle, utf8
+from channelgraph.llm.common import byte_slices, documents, drop_settled, settle, ship_package, utf8
 from channelgraph.llm.components import components
-from channelgraph.llm.hashing import U, Stretches, lowered, mixed
+from channelgraph.llm.hashing import U, digests, lowered, mixed, numbered_words
 
 SHINGLE, PERCENT = 5, 80
 K, INDEXED, RARE, COMMON = 48, 32, 16, 10
@@ -40,29 +40,15 @@ BLOCK_NODES, BLOCK_SHINGLES = 1024, 400_000
 SLICE = 2 << 20
 PAD = np.uint32(0xFFFFFFFF)
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """For each text (binary) the sorted distinct 63-bit hashes of its shingles of ``size`` words; fewer words are one
-    shingle, no words none."""
+    shingle, no words none. Words are hashed one by one and their hashes mixed in order."""
     for a, b in byte_slices(texts, texts, SLICE):
         ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset + a : texts.offset + b + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
-        ends -= ends[0]
-        data = lowered(data)
-        inside = ~_SPACE[data]
-        edge = np.zeros(len(data) + 1, dtype=bool)
-        edge[ends] = True
-        before = np.zeros(len(data), dtype=bool)
-        before[1:] = inside[:-1]
-        starts = np.flatnonzero(inside & (~before | edge[:-1]))
-        after = np.zeros(len(data), dtype=bool)
-        after[:-1] = inside[1:]
-        stops = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        words = Stretches(data)(starts, stops) if len(starts) else np.zeros(0, np.uint64)
-        first = np.searchsorted(starts, ends)  # words before each text's end
+        kinds, numbers, first = numbered_words(lowered(data), ends - ends[0])
+        words = digests(kinds)[numbers]
         hashes = np.zeros(max(0, len(words) - size + 1), dtype=np.uint64)
         for j in range(size):
             hashes = mixed(hashes * U(0x100000001B3) + words[j : len(words) - size + 1 + j]) if len(hashes) else hashes
@@ -152,7 +138,7 @@ def block_links(node: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple
     size, n = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
     owner = np.repeat(np.arange(size), n)
     _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.zeros((size, size), dtype=np.float32)
+    shared = np.zeros((size, size))
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     begin = np.cumsum(df) - df
@@ -265,12 +251,17 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id
     when ``percent`` of the union of their sets is in both; rows that links
     connect have the same group, a number, and component_id is the smallest id among them. Null and blank texts have no
     shingles, no group, and are linked with nothing. Rows without id are linked like others and never name a component
-    unless it has no other. Repeated rows are one set. An empty table gives no rows. Other columns are not read.
+    unless it has no other. Repeated rows are one set. Very long texts are read whole, and compared on all their shingles.
+    An empty table gives no rows. Other columns are not read.
     """
+    ship_package(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keyed = narrow.select("id", _text_hash("text").alias("th"), "text")
     rows = settle(keyed.mapInArrow(_sketches(size), "id long, th long, n long, a long, b long, sketch array<long>"), "near-sketches")
-    nodes = rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("first"), F.first("sketch").alias("sketch"))
+    # the text of a node is that of its smallest id, null ids last
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    nodes = rows.filter("n > 0").groupBy("a", "b", "n").agg(first.alias("first"), F.first("sketch").alias("sketch"))
+    nodes = nodes.select("a", "b", "n", "sketch", F.col("first.id").alias("first"), F.col("first.th").alias("first_th"))
     # numbered as they are written; from then on the numbers stand
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
@@ -299,8 +290,8 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id
     in_stars = pairs.select(F.lit(0).alias("kind"), F.col("v").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), star.alias("node")).distinct()
     members = settle(in_stars.unionByName(in_blocks), "near-members")
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "first", "a", "b"), "node")
-    texts = narrow.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("text", "node", "a", "b")
+    wanted = members.select("node").distinct().join(nodes.select("node", "first", "first_th", "a", "b"), "node")
+    texts = keyed.join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("th") == F.col("first_th"))).select("text", "node", "a", "b")
     sets = settle(texts.mapInArrow(_sets_of(size), "node long, own binary"), "near-sets")
     links = settle(_links_within(members, sets, percent), "near-links")
     roots = components(links)

@@ -20,15 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from channelgraph.llm.common import byte_slices, documents, ship_package, utf8
-from channelgraph.llm.hashing import U, mixed
+from channelgraph.llm.hashing import U, mixed, numbered_words
 
 #: A run has at least this many periods and words.
 LEAST_PERIODS, LEAST_WORDS = 4, 6
 SLICE = 4 << 20
 #: Words that are appended to a stream at once.
 PIECE = 1 << 18
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
 
@@ -168,21 +166,6 @@ def runs_in(stream: np.ndarray, longest: int | None = None) -> tuple[np.ndarray,
         salt += 1
 
 
-def numbered_words(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The different words (binary) of texts put end to end, the number of each word, and the words before each text's end."""
-    inside = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[ends] = True
-    apart = np.ones(len(data), dtype=bool)
-    apart[1:] = ~inside[:-1] | edge[1:-1]
-    starts = np.flatnonzero(inside & apart)
-    held = np.cumsum(inside)
-    offsets = np.append(held[starts] - 1, held[-1] if len(held) else 0).astype(np.int32)
-    values = np.ascontiguousarray(data[inside])
-    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)]).dictionary_encode()
-    return words.dictionary, words.indices.to_numpy(), np.searchsorted(starts, ends)
-
-
 def _streams(words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Texts of similar length as one stream with a mark of its own after each: texts, their places, words, longest."""
     n = np.diff(first)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from channelgraph.llm.common import byte_slices, documents, drop_settled, settle, utf8
-from channelgraph.llm.hashing import U, Stretches, mixed
+from channelgraph.llm.hashing import U, Stretches, digests
 from channelgraph.llm.suffixes import sharing
 
 LEAST = 200
@@ -32,7 +32,7 @@ TOGETHER, DIVIDE = 512, 8
 SLICE = 1 << 20
 #: Bytes of texts whose suffixes are sorted at once.
 SORTED = 1 << 20
-SEGMENT = "id long, th long, start long, m int, anchor int, key long, same long"
+SEGMENT = "id long, th long, start long, m int, anchor int, key long, same long, left long, right long"
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,7 +72,8 @@ def _segments(least: int):
                     continue
                 data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
                 ends = ends - ends[0]
-                grams = Stretches(data).fixed(GRAM)
+                hashed = Stretches(data)
+                grams = hashed.fixed(GRAM)
                 # a hash's lower bits give way to its place, so that the least one is also the first of equals
                 bits = U(int(len(grams)).bit_length())
                 placed = ((grams >> bits) << bits) | np.arange(len(grams), dtype=np.uint64)
@@ -87,14 +88,20 @@ def _segments(least: int):
                     continue
                 serial = np.cumsum(new) - 1
                 m = np.bincount(serial[own], minlength=len(start))
-                same = Stretches(data, salt=1)(start, start + m + (least - 1))
+                stop = start + m + (least - 1)
+                held = data.tobytes()
+                same = digests([held[i:j] for i, j in zip(start.tolist(), stop.tolist(), strict=True)])
+                # the bytes on either side of the anchor: a string of which half the rest lies on that side holds them
+                at, side = anchors[start], (least - GRAM + 1) // 2
+                left = pa.array(hashed(np.maximum(at - side, 0), at).view(np.int64), mask=at - side < start)
+                right = pa.array(hashed(at + GRAM, np.minimum(at + GRAM + side, len(data))).view(np.int64), mask=at + GRAM + side > stop)
                 row = pa.array(a + doc[start])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(row), batch.column(1).take(row), pa.array(start - ends[doc[start]]), pa.array(m.astype(np.int32)),
-                        pa.array((anchors[start] - start).astype(np.int32)), pa.array(grams[anchors[start]].view(np.int64)), pa.array(same.view(np.int64)),
+                        pa.array((anchors[start] - start).astype(np.int32)), pa.array(grams[anchors[start]].view(np.int64)), pa.array(same.view(np.int64)), left, right,
                     ],
-                    ["id", "th", "start", "m", "anchor", "key", "same"],
+                    ["id", "th", "start", "m", "anchor", "key", "same", "left", "right"],
                 )
 
     return run
@@ -146,17 +153,14 @@ def _divided(least: int):
             out: list[list] = [[] for _ in names]
             for r in batch.to_pylist():
                 step = -(-(r["high"] - r["low"]) // DIVIDE)
-                data = np.frombuffer(r["body"], dtype=np.uint8)
-                hashed, again = Stretches(data), Stretches(data, salt=1)
                 for low in range(r["low"], r["high"], step):
                     high = min(low + step, r["high"])
                     first, last = max(0, r["anchor"] - high + 1), min(r["m"], r["anchor"] - low + 1)
                     if first >= last:
                         continue
-                    a, b = np.array([r["anchor"] - low]), np.array([r["anchor"] + least - high + 1])
-                    key = mixed(hashed(a, b) + U(low * 1000 + high))[0].astype(np.int64)
+                    common = r["body"][r["anchor"] - low : r["anchor"] + least - high + 1]
                     body = r["body"][first : last + least - 1]
-                    same = again(np.array([first]), np.array([last + least - 1]))[0].astype(np.int64)
+                    key, same = digests([b"%d %d " % (low, high) + common, body]).astype(np.int64)
                     row = (r["root"], r["lead"] + first, last - first, r["anchor"] - first, low, high, int(key), int(same), r["count"], body)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
@@ -207,12 +211,16 @@ def repeated_starts(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     segments_left = settle(segments.join(often, "key"), "repeat-candidates")
     drop_settled(segments)
     place = F.struct("id", "th", "start", "anchor")
-    roots = segments_left.groupBy("key", "same", "m").agg(F.count("*").alias("count"), F.min(place).alias("place"))
+    sides = [F.first(c).alias(c) for c in ("left", "right")]
+    roots = segments_left.groupBy("key", "same", "m").agg(F.count("*").alias("count"), F.min(place).alias("place"), *sides)
     roots = settle(roots.withColumn("root", F.monotonically_increasing_id()), "repeat-roots")
 
-    # a text that stands several times repeats whole; only keys with different texts need their suffixes sorted
-    kinds = roots.groupBy("key").agg(F.count("*").alias("kinds"))
-    several = roots.join(kinds.filter("kinds > 1").select("key"), "key", "left_semi")
+    # a text that stands several times repeats whole. Others share a string only with texts of the same anchor that agree with
+    # them on one side of it at least, so the rest need not be moved and sorted; unequal hashes prove unequal bytes
+    ends = roots.select("root", "key", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("left").alias("side")), F.struct(F.lit(1).alias("at"), F.col("right").alias("side")))).alias("end"))
+    ends = ends.select("root", "key", "end.*").filter(F.col("side").isNotNull())
+    met = ends.groupBy("key", "at", "side").agg(F.count("*").alias("n")).filter("n > 1").select("key", "at", "side")
+    several = roots.join(ends.join(met, ["key", "at", "side"], "left_semi").select("root").distinct(), "root", "left_semi")
     wanted = several.groupBy("place.id", "place.th").agg(F.collect_list(F.struct("root", "m", "place.anchor", "place.start", "key", "count")).alias("wanted"))
     wanted = wanted.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "wanted")
     # rows that agree in id and text are one text; each segment is cut out of one of them

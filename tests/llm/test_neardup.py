@@ -121,3 +121,23 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(50)}, 1999: 1999, 2000: 1999}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_patterned_words_are_told_apart(docs_of):
+    """A word after Thue and Morse and its complement cancel in sums of powers, whatever the base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = "".join("ba"[bin(i).count("1") % 2] for i in range(1024))
+    rows = neardup.near_groups(docs_of([(1, one), (2, two), (3, f"{one} x y z w"), (4, f"{two} x y z w")])).collect()
+    assert sorted((r["id"], r["component_id"]) for r in rows) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_texts_of_rows_without_id(spark, docs_of):
+    """Each of many rows without id is read for itself, not for every other one."""
+    draw = random.Random(8)
+    texts = [" ".join(words(draw, 30)) for _ in range(400)]
+    texts += [t + " tail" for t in texts]
+    found = neardup.near_groups(docs_of([(None, t) for t in texts]))
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r["group"], []).append(r["n_shingles"])
+    assert len(groups) == 400 and all(len(g) == 2 for g in groups.values())

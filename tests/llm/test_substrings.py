@@ -88,3 +88,16 @@ def test_query(spark, small, docs_of):
         got = (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
         n = len((texts[r["doc_id"]] or "").encode())
         assert got == (n, n - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
+
+
+def test_patterned_texts_are_told_apart(docs_of):
+    """Texts after Thue and Morse and their complements cancel in sums of powers: only bytes that repeat go."""
+    def pattern(n, letters):
+        return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+    draw = random.Random(2)
+    anchor = words(draw, 60)[:240]
+    texts = [pattern(512, "ab"), pattern(512, "ba"), pattern(1024, "cd"), pattern(1024, "dc")]
+    texts += [pattern(256, x) + anchor + pattern(256, y) for x in ("ef", "fe") for y in ("gh", "hg")]
+    rows = substrings.without_repeats(docs_of(list(enumerate(texts)))).collect()
+    compare(sorted(rows, key=lambda r: r["id"]), texts)
