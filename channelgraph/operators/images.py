@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from channelgraph.functions.media import has_phash, media_kind
 from channelgraph.functions.predicates import link_scope, local_path
 from channelgraph.functions.text import is_dedupable, norm_phash
+from channelgraph.operators.ranking import ranked_within
 
 SNAPSHOT_FLAGS = ("image_unique", "image_persisted", "image_embeddable", "image_embedded_unique")
 
@@ -163,9 +164,10 @@ def hit_peers(hits: DataFrame, links: DataFrame, messages: DataFrame, peers: Dat
     """
     fan = image_peers(links.join(hits.select("phash").distinct(), "phash", "left_semi"), messages)
     known = peers.select(F.col("external_id").alias("peer_external_id"), "peer_type", F.col("title").alias("peer_title"))
-    order = Window.partitionBy("query_id", "phash").orderBy(F.desc("appearances"), F.desc("last_seen_at"), F.asc("peer_external_id"))
-    rows = hits.select("query_id", "phash").join(fan, "phash").join(known, "peer_external_id")
-    return rows.withColumn("place", F.row_number().over(order))
+    # the order of an image's peers does not depend on who asked, and a viral image has very many of them
+    order = [F.desc("appearances"), F.desc("last_seen_at"), F.asc("peer_external_id")]
+    ranked = ranked_within(fan.join(known, "peer_external_id"), ["phash"], order, "place")
+    return hits.select("query_id", "phash").join(ranked, "phash")
 
 
 def shared_images(links: DataFrame, peer: int | None = None, start=None, end=None, min_peers: int = 2) -> DataFrame:

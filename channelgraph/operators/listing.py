@@ -153,12 +153,13 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, with_t
     return rows.withColumn("total", df.agg(F.count("*")).scalar()) if with_total else rows
 
 
-def page_after(df: DataFrame, order_date: str, order_id: str, last: tuple, limit: int) -> DataFrame:
-    """The next page of a newest-first listing, found by the last row seen instead of by counting off rows."""
-    date, key = last
-    when = F.lit(str(date)).cast("timestamp_ntz")
-    older = (F.col(order_date) < when) | ((F.col(order_date) == when) & (F.col(order_id) < key))
-    return df.filter(older).orderBy(F.desc(order_date), F.desc(order_id)).limit(limit)
+def page_after(df: DataFrame, order: list[str], last: tuple, limit: int) -> DataFrame:
+    """The next page of a listing that falls in all columns of ``order``, found by the last row seen instead of by counting off rows."""
+    older, equal = F.lit(False), F.lit(True)
+    for name, value in zip(order, last, strict=True):
+        seen = F.lit(value).cast(df.schema[name].dataType)
+        older, equal = older | (equal & (F.col(name) < seen)), equal & (F.col(name) == seen)
+    return df.filter(older).orderBy(*[F.desc(c) for c in order]).limit(limit)
 
 
 def newest(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
@@ -194,7 +195,8 @@ def list_messages(
 
 
 def message_order() -> list[Column]:
-    return [F.desc("date"), F.desc("telegram_message_id")]
+    """Newest first; two peers can share a date and a number, so the id decides last."""
+    return [F.desc("date"), F.desc("telegram_message_id"), F.desc("id")]
 
 
 def message_page(

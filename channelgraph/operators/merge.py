@@ -156,8 +156,9 @@ def month_of(date: str = "date") -> Column:
 
 
 def write_by_month(messages: DataFrame, path: str) -> None:
-    """The layout that :func:`write_back` keeps up: one folder per month, rows in order of peer."""
-    rows = messages.withColumn("month", month_of()).repartitionByRange("month", "peer_external_id").sortWithinPartitions("month", "peer_external_id", "date")
+    """The layout that :func:`write_back` keeps up: one folder per month, rows in order of peer. A busy peer lies in several files."""
+    order = ["month", "peer_external_id", "date", "telegram_message_id"]
+    rows = messages.withColumn("month", month_of()).repartitionByRange(*order).sortWithinPartitions(*order)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 

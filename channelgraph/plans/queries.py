@@ -40,7 +40,7 @@ from channelgraph.sources.derived import (
     open_archive,
     redelivered_messages,
 )
-from channelgraph.streaming import engine, jobs
+from channelgraph.streaming import engine, jobs, live
 
 NOW = "2024-02-15 00:00:00"
 START, END = "2024-01-08 00:00:00", "2024-01-20 23:59:59.999"
@@ -937,7 +937,7 @@ def t1_message_page(a):
 @query
 def t1_message_page_after(a):
     rows = a.messages.select("id", "date", "telegram_message_id")
-    return listing.page_after(rows, "date", "telegram_message_id", ("2024-01-15 00:00:00", 0), 50)
+    return listing.page_after(rows, ["date", "telegram_message_id", "id"], ("2024-01-15 00:00:00", 0, 0), 50)
 
 
 @query
@@ -1632,6 +1632,10 @@ def x6_export_file_peers(a):
 
 # ---- streams
 
+#: Folders a key log is dealt out to; each is a file or more a batch, so archives of this size want few.
+STREAM_BUCKETS = 16
+
+
 def _deliveries(a):
     """The archive delivered once, then everything again with edits, as files for a stream."""
     path = scratch_path(a.spark, "deliveries")
@@ -1668,7 +1672,7 @@ def w1_message_stream_over_base(a):
 
 @query
 def w2_counter_stream(a):
-    store = jobs.CounterStream(a.spark, scratch_path(a.spark, "w2"))
+    store = jobs.CounterStream(a.spark, scratch_path(a.spark, "w2"), STREAM_BUCKETS)
     path = scratch_path(a.spark, "deliveries")
     twice = a.messages.withColumn("seq", F.col("id"))
     twice.unionByName(twice.withColumn("seq", F.col("seq") + 10**9)).write.parquet(path)
@@ -1692,6 +1696,18 @@ def w2_counter_state(a):
     return store.totals()
 
 
+@query
+def w2_live_counters(a):
+    """All twenty counters, kept by deltas and bitmaps while messages arrive twice and the images' facts beside them."""
+    store = live.LiveCounters(a.spark, scratch_path(a.spark, "w2-live"), STREAM_BUCKETS)
+    jobs.run_available(_delivered_twice(a), store.on_batch, scratch_path(a.spark, "stream"))
+    path = scratch_path(a.spark, "blobs")
+    images.blob_flags(a.image_blobs, a.image_cache, trim_paths=False).repartition(2).write.parquet(path)
+    blobs = jobs.read_deliveries(a.spark, path, 1, live.FLAGS)
+    jobs.run_available(blobs, store.on_blobs, scratch_path(a.spark, "stream"))
+    return store.counters()
+
+
 @query
 def w3_forward_state(a):
     store = engine.edge_store(a.spark, scratch_path(a.spark, "w3-state"))
@@ -1701,7 +1717,7 @@ def w3_forward_state(a):
 
 @query
 def w3_forward_stream(a):
-    store = jobs.ForwardStream(a.spark, scratch_path(a.spark, "w3"))
+    store = jobs.ForwardStream(a.spark, scratch_path(a.spark, "w3"), STREAM_BUCKETS)
     path = scratch_path(a.spark, "deliveries")
     twice = a.messages.withColumn("seq", F.col("id"))
     twice.unionByName(twice.withColumn("seq", F.col("seq") + 10**9)).write.parquet(path)

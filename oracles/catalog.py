@@ -235,10 +235,10 @@ ORACLES = {
     # ---- orders and pages
     "t1_message_page": q(
         """SELECT id, date, telegram_message_id, title AS peer_title, md5(content) AS content, (SELECT count(*) FROM messages) AS total FROM messages JOIN peers ON external_id = peer_external_id
-           ORDER BY date DESC, telegram_message_id DESC LIMIT 50 OFFSET 100"""
+           ORDER BY date DESC, telegram_message_id DESC, id DESC LIMIT 50 OFFSET 100"""
     ),
     "t1_message_page_after": q(
-        "SELECT id, date, telegram_message_id FROM messages WHERE date < TIMESTAMP '2024-01-15' ORDER BY date DESC, telegram_message_id DESC LIMIT 50"
+        "SELECT id, date, telegram_message_id FROM messages WHERE date < TIMESTAMP '2024-01-15' ORDER BY date DESC, telegram_message_id DESC, id DESC LIMIT 50"
     ),
     "t1_video_page": q(
         f"""SELECT item_id, appearances, unique_peers, last_seen_at, count(*) OVER () AS total FROM ({_items("video", VIDEO_EXTRA)})

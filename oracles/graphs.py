@@ -1,6 +1,7 @@
 """Oracles for graphs, search, relevance and streams."""
 
 from oracles.base import over_archive as q
+from oracles.catalog import ORACLES as CATALOG
 from oracles.ingest import ORACLES as INGEST
 from oracles.ingest import deliveries
 
@@ -388,4 +389,4 @@ ORACLES |= {
     "v2_index_images": q("SELECT query_id, key AS phash, round(score, 6) AS score, rank FROM hits", indexed("image_embeddings", "phash", "m0")),
 }
 
-ORACLES |= {"w2_counter_state": ORACLES["w2_counter_stream"], "w3_forward_state": ORACLES["w3_forward_stream"]}
+ORACLES |= {"w2_counter_state": ORACLES["w2_counter_stream"], "w3_forward_state": ORACLES["w3_forward_stream"], "w2_live_counters": CATALOG["a1_peer_counts"]}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from channelgraph.operators.counts import message_deltas
 from channelgraph.operators.forwards import forward_edges, forward_occurrences
-from channelgraph.streaming import engine, jobs
+from channelgraph.operators.images import blob_flags
+from channelgraph.streaming import engine, jobs, live
 from channelgraph.streaming.log import BatchLog
 
 
@@ -114,3 +115,23 @@ def test_message_base_and_log_miss_no_batch(spark, archive, tmp_path, monkeypatc
     base = store.compact(archive.messages.limit(0), str(tmp_path / "base"))
     assert store.merged(base).count() == archive.messages.count()
     assert sorted({r[0] for r in store.log.all().select("batch_id").distinct().collect()}) == [2, 3]
+
+
+def test_live_counters_over_replays_and_compaction(spark, archive, tmp_path):
+    """Batches that overlap, run twice and are compacted in between leave the twenty counters of the full recount."""
+    messages = archive.messages.withColumn("seq", F.col("id"))
+    flags = blob_flags(archive.image_blobs, archive.image_cache, trim_paths=False)
+    store = live.LiveCounters(spark, str(tmp_path / "live"), buckets=2)
+    # facts first know less, then all; and of some images they come before the messages
+    early = flags.filter("phash < '8'").withColumns({"embedded": F.lit(False), "persisted": F.lit(None).cast("boolean")})
+    store.on_blobs(early, 0)
+    for n, batch_id in ((0, 0), (1, 1), (1, 1), (2, 2)):
+        store.on_batch(messages.filter(F.pmod(F.xxhash64("id"), F.lit(3)) <= n), batch_id)
+        if n == 1:
+            store.compact()
+    store.on_blobs(flags, 1)
+    store.on_blobs(flags, 1)
+    again = live.LiveCounters(spark, str(tmp_path / "live"), buckets=2)
+    assert rows(again.counters()) == rows(archive.peer_counts)
+    numbers = [r["number"] for r in again.images.numbers.all().collect()]
+    assert sorted(numbers) == list(range(1, len(numbers) + 1))
