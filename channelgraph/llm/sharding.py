@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from channelgraph.llm.common import RANK_BUCKETS, md5_key, ranked, settle
+from channelgraph.operators.ranking import ranked_within
 
 
 def _hex_bucket(key: str) -> Column:
@@ -22,7 +23,8 @@ def interleave(docs: DataFrame, shards: int, seed: str = "shards", id_col: str =
     """One row per row of ``docs``: id, source, size (UTF-8 bytes + 1), text_crc32, shard and slot.
 
     Null text has size 1 and the checksum of no bytes; a null source is a source of its own. Repeated rows each get a
-    place; rows that agree in id, text and source may swap places, which cannot be seen. An empty table gives no rows.
+    place; rows that agree in id, text and source may swap places, which cannot be seen. A very long text is read where it
+    is, only its size and checksum move. An empty table gives no rows.
     Other columns of ``docs`` are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -39,10 +41,9 @@ def interleave(docs: DataFrame, shards: int, seed: str = "shards", id_col: str =
     tie = ["key", "doc_id", "size", "text_crc32"]
     placed = ranked(narrow, ["source"], _hex_bucket("key"), tie, "rank", "n_source")
     placed = settle(placed.withColumn("fraction", (2 * F.col("rank") - 1) / (2 * F.col("n_source"))), "shard-fractions")
-    placed = placed.withColumn("everything", F.lit(0))
-    cut = ranked(
-        placed, ["everything"], F.floor(F.col("fraction") * RANK_BUCKETS), ["fraction", F.col("source").asc_nulls_first(), *tie], "place", "n_all"
-    )
+    # ranges of the whole order: rows of equal fraction (all sources of one row have one half) lie in several
+    cut = ranked_within(placed, [], [F.col("fraction"), F.col("source").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in tie]], "place")
+    cut = cut.withColumn("n_all", F.lit(placed.count()))
     place = F.col("place") - 1
     cut = cut.withColumn("shard", F.floor(place * shards / F.col("n_all")).cast("int"))
     # the first place p of shard s is the smallest with p * shards >= s * n

@@ -1,7 +1,9 @@
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from channelgraph.llm import mixing, sharding
@@ -29,6 +31,37 @@ def test_shards(docs_of, clashing):
         assert max(shares) - min(shares) <= 2, (source, n, shares)
 
 
+def brute_shards(rows, shards):
+    """id, size, checksum, shard and slot by sorting everything at once."""
+    keyed = []
+    for i, text, source in rows:
+        data = (text or "").encode()
+        key = hashlib.md5(f"shards:{'' if i is None else i}".encode()).hexdigest()
+        keyed.append((source, (key, i is not None, i or 0, len(data) + 1, zlib.crc32(data))))
+    placed = []
+    for source in {s for s, _ in keyed}:
+        own = sorted(t for s, t in keyed if s == source)
+        placed += [((2 * r - 1) / (2 * len(own)), source is not None, source or "", t) for r, t in enumerate(own, 1)]
+    out, seen = [], Counter()
+    for place, (_, _, _, (_, known, i, size, crc)) in enumerate(sorted(placed)):
+        shard = place * shards // len(placed)
+        out.append((i if known else None, size, crc, shard, seen[shard]))
+        seen[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("shards", [16, 7])
+def test_shards_against_one_sort(spark, docs_of, shards):
+    """Also with very long texts and with a thousand sources of one row, which all stand at one half."""
+    rows = ROWS + [(5000 + i, f"only {i}", f"single {i}") for i in range(1000)] + [(9000, "long " * 100_000, "hot")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sharding.interleave(docs_of(rows), shards).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_shards(rows, shards)))
+
+
 def test_shards_of_few_rows(docs_of):
     assert sharding.interleave(docs_of([]), 16).collect() == []
     rows = sharding.interleave(docs_of([(1, "a"), (2, "b")]), 16).collect()
