@@ -22,6 +22,7 @@ from channelgraph.operators import (
     layers,
     listing,
     merge,
+    partials,
     profile,
     rollups,
     scope,
@@ -137,6 +138,26 @@ def i1_write_back(a):
     return _flat_message(a.spark.read.parquet(path))
 
 
+def _partials_after_write_back(a):
+    """Partials of the archive by month, kept up while the later delivery is written back."""
+    path = scratch_path(a.spark, "by-month")
+    merge.write_by_month(a.messages, path)
+    kept = partials.MonthlyPartials(a.spark, path, scratch_path(a.spark, "partials"))
+    kept.rebuild()
+    kept.write_back(redelivered_messages(message_base(a.source)))
+    return kept
+
+
+@query
+def a1_monthly_partials(a):
+    return _partials_after_write_back(a).peers()
+
+
+@query
+def a8_monthly_partials(a):
+    return _partials_after_write_back(a).images()
+
+
 @query
 def i1_merge_deliveries(a):
     """Three deliveries at once over the stored archive; the oracle applies them one by one."""

@@ -22,7 +22,7 @@ FIELDS = (
 )
 
 
-def _merged(strict: bool) -> str:
+def _merged_rows(strict: bool = True) -> str:
     def j(side: str, f: str) -> str:
         return f"json_extract_string({side}.media, '$.{f}')"
 
@@ -31,8 +31,7 @@ def _merged(strict: bool) -> str:
     media = ",\n    ".join(
         f"CASE WHEN {keep} THEN coalesce({j('m', f)}, {j('d', f)}) END AS m_{f}" for f in FIELDS
     )
-    return q(
-        f"""SELECT coalesce(m.peer_external_id, d.peer_external_id) AS peer_external_id,
+    return f"""SELECT coalesce(m.peer_external_id, d.peer_external_id) AS peer_external_id,
     coalesce(m.telegram_message_id, d.telegram_message_id) AS telegram_message_id,
     coalesce(m.id, d.id) AS id, coalesce(m.date, d.date) AS date,
     md5(CASE WHEN d.id IS NOT NULL THEN d.content ELSE m.content END) AS content_md5,
@@ -41,9 +40,11 @@ def _merged(strict: bool) -> str:
     {new_kind} AS m_kind, {media},
     coalesce(m.text_embedded, false) AS text_embedded, coalesce(m.image_embedded, false) AS image_embedded,
     m.id IS NULL AS inserted
-  FROM messages m FULL JOIN delta d USING (peer_external_id, telegram_message_id)""",
-        DELTA,
-    )
+  FROM messages m FULL JOIN delta d USING (peer_external_id, telegram_message_id)"""
+
+
+def _merged(strict: bool) -> str:
+    return q(_merged_rows(strict), DELTA)
 
 
 def deliveries(base_filter: str = "true") -> str:
@@ -358,3 +359,40 @@ ORACLES = {
         """SELECT phash FROM blobs WHERE (trim(canonical_path) <> '' AND canonical_path NOT LIKE '%://%') OR phash IN (SELECT phash FROM image_cache)"""
     ),
 }
+
+
+# the full recount of what the later delivery leaves
+LEFT = DELTA + ",\nkept AS (" + _merged_rows() + """),
+kept_hints AS (
+  SELECT k.*, [
+    if(m_kind <> 'document' AND list_contains(['image', 'gif', 'video', 'audio'], m_kind), m_kind, NULL),
+    if(lower(m_mime_type) = 'image/gif', 'gif', if(regexp_matches(lower(m_mime_type), '^(video|audio)/|^image/') AND NOT regexp_matches(lower(m_mime_type), '^image/.*(svg|dwg)'), split_part(lower(m_mime_type), '/', 1), NULL)),
+    s.kind, if(m_kind = 'document', m_kind, NULL), MAP {'MessageMediaPhoto': 'image', 'MessageMediaDocument': 'document'}[m_tl]
+  ] AS hints
+  FROM kept k LEFT JOIN suffix_kinds s ON s.suffix = lower(split_part(m_file_name, '.', -1)) AND contains(m_file_name, '.')
+),
+kept_facts AS (
+  SELECT *, list_filter(hints, lambda h: h IS NOT NULL)[1] AS media_kind, coalesce(m_downloaded IN ('true', 't', '1'), false) AS done,
+    coalesce(trim(m_phash) <> '', false) AS hashed, coalesce(content_md5 NOT IN (md5('   '), md5('')), false) AS has_text
+  FROM kept_hints
+)"""
+_KINDS = ("image", "video", "audio", "gif", "document")
+_TESTS = {k: f"media_kind = '{k}' AND done" for k in _KINDS} | {
+    "image": "media_kind = 'image' AND hashed", "text_embed": "has_text AND text_embedded", "image_embed": "media_kind = 'image' AND image_embedded",
+}
+ORACLES |= {
+    "a1_monthly_partials": q(
+        "SELECT peer_external_id, count(*) AS posts, count(*) FILTER (has_text) AS text_total, count(*) FILTER (has_text AND text_embedded) AS text_embedded, "
+        + "count(*) FILTER (media_kind = 'image' AND hashed) AS image_hashed, "
+        + ", ".join(f"count(*) FILTER (media_kind = '{k}') AS {k}_total, count(*) FILTER (media_kind = '{k}' AND done) AS {k}_downloaded" for k in _KINDS)
+        + ", min(date) AS covered_after, max(date) AS covered_before, "
+        + ", ".join(f"min(date) FILTER ({t}) AS {k}_after, max(date) FILTER ({t}) AS {k}_before" for k, t in _TESTS.items())
+        + " FROM kept_facts GROUP BY 1",
+        LEFT,
+    ),
+    "a8_monthly_partials": q(
+        """SELECT lower(trim(m_phash)) AS phash, count(*) AS appearances, count(DISTINCT peer_external_id) AS unique_peers, max(date) AS last_seen_at
+           FROM kept WHERE regexp_full_match(lower(trim(m_phash)), '[0-9a-f]{16}') AND lower(trim(m_phash)) <> '0000000000000000' GROUP BY 1""",
+        LEFT,
+    ),
+}
