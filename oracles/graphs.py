@@ -390,3 +390,29 @@ ORACLES |= {
 }
 
 ORACLES |= {"w2_counter_state": ORACLES["w2_counter_stream"], "w3_forward_state": ORACLES["w3_forward_stream"], "w2_live_counters": CATALOG["a1_peer_counts"]}
+
+
+def hashed_vectors(payloads: str) -> str:
+    """``vectors``: the vector of each payload (columns c, payload as BLOB): counts of hashed triples of neighbouring bytes in 64 cells."""
+    return f"""payloads AS MATERIALIZED ({payloads}),
+bytes AS MATERIALIZED (SELECT c, list_transform(regexp_extract_all('0000' || hex(payload), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM payloads),
+triples AS (SELECT c, unnest(list_transform(range(1, len(b) - 1), lambda i: b[i] * 65536 + b[i + 1] * 256 + b[i + 2])) AS t FROM bytes),
+cells AS (SELECT c, ((t * 2654435761) % 4294967296 // 256) % 64 AS k, count(*) AS n FROM triples GROUP BY ALL),
+vectors AS (
+  SELECT p.c, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY k) AS vector
+  FROM payloads p CROSS JOIN range(64) t(k) LEFT JOIN cells USING (c, k) GROUP BY p.c
+)"""
+
+
+ORACLES |= {
+    # each text is encoded once, however many messages carry it
+    "v6_embed_text": q(
+        "SELECT id AS message_id, 'multilingual-e5-small' AS model_id, CAST(64 AS BIGINT) AS dim, vector FROM pm JOIN vectors ON c = content WHERE has_text",
+        hashed_vectors("SELECT content AS c, encode('passage: ' || trim(content, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS payload FROM (SELECT DISTINCT content FROM pm WHERE has_text)"),
+    ),
+    "v6_embed_images": q(
+        """SELECT phash, 'm9' AS model_id, CAST(64 AS BIGINT) AS dim, vector FROM blobs JOIN vectors ON c = phash
+           WHERE (trim(canonical_path) <> '' AND canonical_path NOT LIKE '%://%') OR phash IN (SELECT phash FROM image_cache)""",
+        hashed_vectors("SELECT substring(md5(text), 1, 16) AS c, encode(any_value(text)) AS payload FROM documents WHERE text <> '' GROUP BY 1"),
+    ),
+}

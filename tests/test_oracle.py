@@ -8,8 +8,8 @@ import __spark_entry__ as entry_file
 from channelgraph.plans.queries import QUERIES
 
 ORACLES = entry_file.oracle_sql()
-# results that SQL cannot give: an encoder, a cosine transform
-WITHOUT_ORACLE = {"v6_embed_text", "v11_hash_images"}
+# what SQL does not give: a cosine transform
+WITHOUT_ORACLE = {"v11_hash_images"}
 
 
 @pytest.fixture(scope="module")
