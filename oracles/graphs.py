@@ -416,3 +416,28 @@ ORACLES |= {
         hashed_vectors("SELECT substring(md5(text), 1, 16) AS c, encode(any_value(text)) AS payload FROM documents WHERE text <> '' GROUP BY 1"),
     ),
 }
+
+
+ORACLES |= {
+    # an 8 x 8 image is resampled to 32 x 32 along rows, then columns; of its cosine transform the low 8 x 8 are held against their median
+    "v11_hash_images": """WITH
+pixels AS (
+  SELECT vec_id, i // 8 AS y, i % 8 AS s, greatest(0, least(255, round(x * 255::FLOAT + 128::FLOAT)))::DOUBLE AS g
+  FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings)
+),
+offsets AS (SELECT t, s, s + 0.5::DOUBLE - (t + 0.5::DOUBLE) / 4 AS x FROM range(32) a(t), range(8) b(s)),
+raw_weights AS (
+  SELECT t, s, CASE WHEN x = 0 THEN 1 WHEN abs(x) < 3 THEN sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) ELSE 0 END AS w FROM offsets
+),
+weights AS (SELECT t, s, w / sum(w) OVER (PARTITION BY t) AS w FROM raw_weights),
+wide AS (SELECT vec_id, y, t, greatest(0, least(255, round_even(sum(g * w), 0))) AS g FROM pixels JOIN weights USING (s) GROUP BY ALL),
+full_size AS (
+  SELECT vec_id, c.t AS u, wide.t, greatest(0, least(255, round_even(sum(g * w), 0))) AS g FROM wide JOIN weights c ON c.s = wide.y GROUP BY ALL
+),
+cosines AS (SELECT k, n, 2 * cos(pi() * k * (2 * n + 1) / 64) AS c FROM range(8) a(k), range(32) b(n)),
+half AS (SELECT vec_id, u, k AS l, sum(g * c) AS v FROM full_size JOIN cosines ON n = t GROUP BY ALL),
+low AS (SELECT vec_id, k, l, sum(v * c) AS v FROM half JOIN cosines ON n = u GROUP BY ALL),
+bits AS (SELECT vec_id, k * 8 + l AS i, CAST(v > median(v) OVER (PARTITION BY vec_id) AS INTEGER) AS b FROM low),
+digits AS (SELECT vec_id, i // 4 AS d, sum(b << (3 - i % 4)::INTEGER) AS digit FROM bits GROUP BY ALL)
+SELECT vec_id, string_agg(printf('%x', digit::INTEGER), '' ORDER BY d) AS phash FROM digits GROUP BY vec_id""",
+}

@@ -8,8 +8,6 @@ import __spark_entry__ as entry_file
 from channelgraph.plans.queries import QUERIES
 
 ORACLES = entry_file.oracle_sql()
-# what SQL does not give: a cosine transform
-WITHOUT_ORACLE = {"v11_hash_images"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +16,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_ORACLE
+    assert set(QUERIES) <= set(ORACLES)
     assert set(QUERIES) <= set(entry_file.queries())
 
 
@@ -27,10 +25,5 @@ def test_matches_oracle(spark, duck, name):
     assert differences(entry_file.queries()[name](spark, SF_DIR), duck, ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_ORACLE))
-def test_runs(spark, name):
-    assert entry_file.queries()[name](spark, SF_DIR).count() > 0
-
-
 def test_entry(spark):
     assert entry_file.entry(spark).count() > 0
