@@ -38,10 +38,13 @@ class VectorIndex:
     spark: SparkSession
     root: str
     key: str
+    schema: T.StructType | None = None
 
     @property
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/vectors")
+        # an index without vectors has no file that tells its columns
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        return reader.parquet(f"{self.root}/vectors")
 
     @property
     def centroids(self) -> np.ndarray:
@@ -77,7 +80,7 @@ def _assigned(column: pa.Array, centroids: np.ndarray, count: int = 1) -> tuple[
     """The nearest cells of each vector, nearest first, smaller cells first among equals; unit vectors; which are valid."""
     unit, valid = unit_matrix(column, max(centroids.shape[1], int(np.max(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), initial=1))))
     near = unit[:, : centroids.shape[1]] @ centroids.T
-    if count == 1:
+    if count == 1 and len(centroids):
         return near.argmax(axis=1)[:, None], unit, valid
     return np.argsort(-near, axis=1, kind="stable")[:, :count], unit, valid
 
@@ -163,7 +166,7 @@ def build_index(
     placed = slim.mapInArrow(assign, T.StructType([*slim.schema.fields, T.StructField("cell", T.IntegerType())]))
     # a crowded cell lies in several files
     placed.repartitionByRange("cell", F.xxhash64(key)).sortWithinPartitions("cell").write.partitionBy("cell").parquet(f"{root}/vectors")
-    index = VectorIndex(spark, root, key)
+    index = VectorIndex(spark, root, key, placed.schema)
     spark.createDataFrame([(probes_for(index, recall), recall)], "probes int, recall double").coalesce(1).write.parquet(f"{root}/settings")
     return index
 
