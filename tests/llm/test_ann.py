@@ -37,17 +37,54 @@ def test_all_neighbours_are_found(spark, dim):
     assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-14, atol=0)
 
 
+def search(data, asked, ids, centre, k, batch=2000):
+    """The passes of the operator over one block, without Spark: seeds, their bounds, marks, rerank."""
+    turn, places = ann.rotation(data.shape[1]), range(0, len(data), batch)
+    codes = {a: ann.encode(data[a : a + batch] - centre, turn) for a in places}
+    number = np.arange(len(data))
+    block = ann.QueryPlanes(ids, asked, centre)
+    seeds = ann.Seeds(block, k)
+    for a in places:
+        seeds.add(number[a : a + batch], number[a : a + batch], *codes[a])
+    within = np.sqrt(((data[seeds.row] - asked[None]) ** 2).sum(axis=2)).max(axis=0)
+    within = np.where((seeds.row >= 0).all(axis=0), within, np.inf)
+    found, compared = ann.Rerank(ids, asked, k), 0
+    for a in places:
+        marked = ann.marks(block, within, number[a : a + batch], *codes[a])
+        compared += marked.sum()
+        found.add(number[a : a + batch], data[a : a + batch], marked)
+    return found, compared
+
+
 def test_codes_leave_most_vectors_out():
     draw = np.random.default_rng(1)
     data = draw.normal(size=(20, 128))[draw.integers(0, 20, 8000)] + 0.2 * draw.normal(size=(8000, 128))
-    search = ann.BlockSearch(np.arange(10), data[:10], data.mean(axis=0), 10)
-    for a in range(0, 8000, 2000):
-        code, length, fit = ann.encode(data[a : a + 2000] - data.mean(axis=0), ann.rotation(128))
-        search.add(np.arange(a, a + 2000), data[a : a + 2000], code, length, fit)
+    found, compared = search(data, data[:10], np.arange(10), data.mean(axis=0), 10)
     exact = np.sqrt(((data[:10, None] - data[None]) ** 2).sum(axis=2))
     np.fill_diagonal(exact, np.inf)
-    assert (search.found == np.argsort(exact, axis=1)[:, :10]).all()
-    assert search.compared < 0.15 * 80_000
+    assert (found.found == np.argsort(exact, axis=1)[:, :10]).all()
+    assert compared < 0.15 * 80_000
+
+
+@pytest.mark.parametrize("dim", [1, 3, 64, 70, 130])
+def test_counted_bits_are_inner_products_with_codes(dim):
+    draw = np.random.default_rng(dim)
+    data, asked = draw.normal(size=(50, dim)), draw.normal(size=(9, dim))
+    block, turn = ann.QueryPlanes(np.arange(9), asked, np.zeros(dim)), ann.rotation(dim)
+    code, length, fit = ann.encode(data, turn)
+    signs = np.where(data @ turn >= 0, 1, -1) / math.sqrt(dim)
+    exact = signs @ (asked / np.linalg.norm(asked, axis=1)[:, None] @ turn).T
+    assert (np.abs(block.with_code(code) - exact) <= block.off[None] + 1e-12).all()
+    assert block.off.max() < 0.1
+    # the smallest possible distance is never above the true one
+    true = ((data[:, None] - asked[None]) ** 2).sum(axis=2)
+    assert (block.squares(code, length, fit)[1] <= true + 1e-9).all()
+
+
+def test_passes_over_codes_read_no_vectors(spark):
+    index, _, _ = ann.build_index(table(spark, vectors(50, 8)))
+    read = index.select(*ann.CODES)._jdf.queryExecution().executedPlan().toString()
+    assert "code" in read and "vector" not in read
 
 
 def test_a_neighbour_five_deviations_off_its_estimate_is_found():
@@ -66,9 +103,10 @@ def test_a_neighbour_five_deviations_off_its_estimate_is_found():
     asked = off * rest + math.sqrt(1 - off**2) * apart
     other = asked - (np.linalg.norm(asked - near) + 0.005) * apart
     data = np.stack([near, other]) @ turn.T
-    search = ann.BlockSearch(np.array([0]), (asked @ turn.T)[None], np.zeros(dim), 1)
-    search.add(np.array([1, 2]), data, *ann.encode(data, turn))
-    assert search.found.tolist() == [[1]]
+    found, _ = search(data, (asked @ turn.T)[None], np.array([-1]), np.zeros(dim), 1)
+    assert found.found.tolist() == [[0]]
+    block = ann.QueryPlanes(np.array([-1]), (asked @ turn.T)[None], np.zeros(dim))
+    assert ann.marks(block, np.array([np.linalg.norm(asked - other)]), np.array([0, 1]), *ann.encode(data, turn))[0, 0]
 
 
 def test_several_blocks(spark, monkeypatch):
