@@ -65,3 +65,22 @@ def origin_matches(fwd: Column, peer_id: int) -> Column:
         )
 
     return F.coalesce(header("from_id"), F.lit(False)) | F.coalesce(header("saved_from_peer"), F.lit(False))
+
+
+def header_origins(fwd: Column) -> Column:
+    """The peers that :func:`origin_matches` finds in a header, none to two, each once."""
+
+    def exact(peer: Column) -> Column:
+        tag = F.coalesce(peer["_"], peer["tl"])
+
+        def raw(name: str) -> Column:
+            return F.when(peer[name].rlike(r"^[0-9]+\z"), peer[name].try_cast("bigint"))
+
+        channel, chat = raw("channel_id"), raw("chat_id")
+        return (
+            F.when((tag == "PeerChannel") & (channel > 0), -(F.lit(CHANNEL_MARK) + channel))
+            .when((tag == "PeerChat") & (chat > 0) & (chat <= CHANNEL_MARK), -chat)
+            .when(tag == "PeerUser", raw("user_id"))
+        )
+
+    return F.array_distinct(F.array_compact(F.array(*[exact(fwd[name]) for name in _HEADERS])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from channelgraph.functions.forwards import fwd_name, fwd_origin, fwd_origin_msg, origin_matches
+from channelgraph.functions.forwards import fwd_name, fwd_origin, fwd_origin_msg
 from channelgraph.functions.ids import infer_type, is_target
 
 OCCURRENCE_KEY = ["from_external_id", "to_external_id", "message_id"]
@@ -119,10 +119,6 @@ def origin_keys(messages: DataFrame) -> DataFrame:
     )
 
 
-def forwards_from(messages: DataFrame, peer_id: int) -> DataFrame:
-    return messages.filter(origin_matches(F.col("fwd_from"), peer_id))
-
-
 def edge_titles(edges: DataFrame, peers: DataFrame) -> DataFrame:
     """Edges with title and handle of both ends; ends that are not in the catalog stay, without them."""
 

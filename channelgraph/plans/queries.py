@@ -22,7 +22,9 @@ from channelgraph.operators import (
     layers,
     listing,
     merge,
+    origin_index,
     partials,
+    peer_search,
     profile,
     rollups,
     scope,
@@ -661,6 +663,49 @@ def p1_message_scope_media(a):
     return a.messages.filter(predicates.message_scope(media=predicates.parse_media("gif,document"))).select("id")
 
 
+def _origin_index(a):
+    """Messages by month with the postings of origins beside them."""
+    path = scratch_path(a.spark, "by-month")
+    merge.write_by_month(a.messages, path)
+    index = origin_index.OriginIndex(a.spark, path, scratch_path(a.spark, "origins"))
+    index.rebuild()
+    return index
+
+
+@query
+def p1_indexed_scope(a):
+    """As p1_message_scope, from one peer's messages and its postings."""
+    return _origin_index(a).scope(FOCUS, START, END, {"none", "image", "video"}).select("id")
+
+
+@query
+def p1_indexed_scopes(a):
+    """Per peer of the catalog, how many messages and images it posted or others forwarded from it, and when."""
+    found = _origin_index(a).scopes(a.peers, START, END)
+    return found.groupBy("external_id").agg(
+        F.count("*").alias("messages"),
+        F.count(F.when(F.col("media_kind") == "image", 1)).alias("images"),
+        F.count(F.when(F.col("peer_external_id") != F.col("external_id"), 1)).alias("forwarded"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+    )
+
+
+@query
+def p1_indexed_scopes_after_write_back(a):
+    """The same after a delivery whose months alone were indexed again, over all dates."""
+    index = _origin_index(a)
+    index.write_back(redelivered_messages(message_base(a.source)))
+    return index.scopes(a.peers).groupBy("external_id").agg(F.count("*").alias("messages"), F.sum("id").alias("ids"))
+
+
+@query
+def p1_indexed_messages(a):
+    """The stored messages of a scope, whole."""
+    index = _origin_index(a)
+    return index.whole(index.scope(FOCUS, START, END)).select("id", "telegram_message_id", F.md5("content").alias("content_md5"))
+
+
 @query
 def p2_origin_matches(a):
     return a.messages.filter(fwd.origin_matches(F.col("fwd_from"), FOCUS - 1)).select("id")
@@ -681,6 +726,22 @@ def p5_peer_matches(a):
     return a.peers.filter(predicates.peer_matches(" @U12")).select("external_id")
 
 
+def _needles(a):
+    """Search texts out of the peers themselves: pieces of titles, handles, ids and types, and what nobody has."""
+    part = F.array(
+        F.right("title", F.lit(3)), F.concat(F.lit("@"), F.upper("username")), F.right(F.col("external_id").cast("string"), F.lit(2)),
+        F.substring("title", 3, 9), F.substring("peer_type", 2, 4), F.concat("title", F.lit("?")), F.concat(F.lit(" "), F.left("username", F.lit(1))),
+    )
+    return a.peers.filter(F.abs("external_id") % 50 == 1).select(F.explode(part).alias("needle")).filter("needle IS NOT NULL")
+
+
+@query
+def p5_indexed_matches(a):
+    """Many searches at once through the index of short strings."""
+    index = peer_search.PeerIndex(a.spark, scratch_path(a.spark, "peer-index")).build(a.peers)
+    return index.search(_needles(a))
+
+
 @query
 def p6_resolve_peer_id(a):
     return listing.resolve_peer(a.peers, str(FOCUS))

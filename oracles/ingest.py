@@ -342,6 +342,22 @@ ORACLES = {
              AND date >= TIMESTAMP '2024-01-08' AND date <= TIMESTAMP '2024-01-20 23:59:59.999'
              AND (media_kind IS NULL OR media_kind IN ('image', 'video'))"""
     ),
+    "p1_indexed_scope": q(
+        """SELECT id FROM pm WHERE -1000000000001 IN (peer_external_id, coalesce(o1, 0), coalesce(o2, 0))
+             AND date BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-20 23:59:59.999' AND coalesce(media_kind, 'none') IN ('none', 'image', 'video')"""
+    ),
+    "p1_indexed_scopes": q(
+        """SELECT external_id, count(*) AS messages, count(*) FILTER (media_kind = 'image') AS images,
+             count(*) FILTER (peer_external_id <> external_id) AS forwarded, min(date) AS first_date, max(date) AS last_date
+           FROM (SELECT DISTINCT id, peer_external_id, media_kind, date, unnest([peer_external_id, o1, o2]) AS external_id FROM pm)
+             JOIN peers USING (external_id)
+           WHERE date BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-20 23:59:59.999' GROUP BY 1"""
+    ),
+    "p1_indexed_messages": q(
+        """SELECT id, telegram_message_id, md5(content) AS content_md5 FROM pm
+           WHERE -1000000000001 IN (peer_external_id, coalesce(o1, 0), coalesce(o2, 0))
+             AND date BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-20 23:59:59.999'"""
+    ),
     "p1_message_scope_media": q("SELECT id FROM pm WHERE media_kind IN ('gif', 'document')"),
     "p2_origin_matches": q("SELECT id FROM pm WHERE o1 = -1000000000002 OR o2 = -1000000000002"),
     "p3_link_scope": q(
@@ -353,6 +369,16 @@ ORACLES = {
     "p5_peer_matches": q(
         "SELECT external_id FROM peers WHERE title ILIKE '%u12%' OR username ILIKE '%u12%' OR peer_type LIKE '%u12%' OR CAST(external_id AS VARCHAR) LIKE '%u12%'"
     ),
+    "p5_indexed_matches": q(
+        """SELECT DISTINCT needle, external_id FROM (SELECT needle, ltrim(lower(trim(needle)), '@') AS part FROM needles)
+             JOIN peers ON contains(lower(concat_ws(chr(0), title, username, peer_type, external_id)), part)""",
+        """needles AS (
+  SELECT DISTINCT needle FROM (
+    SELECT unnest([right(title, 3), '@' || upper(username), right(CAST(external_id AS VARCHAR), 2), substr(title, 3, 9), substr(peer_type, 2, 4),
+                   title || '?', ' ' || left(username, 1)]) AS needle
+    FROM peers WHERE abs(external_id) % 50 = 1)
+  WHERE needle IS NOT NULL)""",
+    ),
     "p6_resolve_peer_id": q("SELECT external_id, username FROM peers WHERE external_id = -1000000000001"),
     "p6_resolve_peer_handle": q("SELECT external_id, username FROM peers WHERE handles[1] = 'alt41'"),
     "p7_has_pixels": q(
@@ -390,6 +416,15 @@ ORACLES |= {
         + " FROM kept_facts GROUP BY 1",
         LEFT,
     ),
+    "p1_indexed_scopes_after_write_back": q(
+        # headers of the delivery name nobody
+        """SELECT external_id, count(*) AS messages, CAST(sum(id) AS BIGINT) AS ids FROM (
+             SELECT DISTINCT coalesce(m.id, d.id) AS id,
+               unnest([peer_external_id, CASE WHEN d.fwd_from IS NULL THEN o1 END, CASE WHEN d.fwd_from IS NULL THEN o2 END]) AS external_id
+             FROM pm m FULL JOIN delta d USING (peer_external_id, telegram_message_id))
+           JOIN peers USING (external_id) GROUP BY 1""",
+        DELTA,
+    ),
     "a8_monthly_partials": q(
         """SELECT lower(trim(m_phash)) AS phash, count(*) AS appearances, count(DISTINCT peer_external_id) AS unique_peers, max(date) AS last_seen_at
            FROM kept WHERE regexp_full_match(lower(trim(m_phash)), '[0-9a-f]{16}') AND lower(trim(m_phash)) <> '0000000000000000' GROUP BY 1""",
