@@ -10,23 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from channelgraph.functions.forwards import header_origins
 from channelgraph.functions.media import media_kind
 from channelgraph.functions.predicates import date_window, media_in
 from channelgraph.functions.timecov import bound
-from channelgraph.operators.merge import write_back
-from channelgraph.schemas import STORED_MESSAGES
-from channelgraph.session import drop_settled, settle
+from channelgraph.operators.side_tables import SideTable
 
-STORED = T.StructType([*STORED_MESSAGES.fields, T.StructField("month", T.StringType())])
 FOUND = ["id", "peer_external_id", "telegram_message_id", "date", "media_kind", "month"]
-SCHEMA = (
-    "origin long, id long, peer_external_id long, telegram_message_id long, date timestamp_ntz, media_kind string, month string"
-)
 
 
 def postings(messages: DataFrame) -> DataFrame:
@@ -47,39 +40,14 @@ def months_between(start=None, end=None) -> Column:
     return test
 
 
-class OriginIndex:
+class OriginIndex(SideTable):
     """The postings of the messages stored by month at ``messages``, kept at ``root``."""
 
-    def __init__(self, spark: SparkSession, messages: str, root: str):
-        self.spark, self.messages, self.root = spark, messages, root
-
-    def stored(self) -> DataFrame:
-        return self.spark.read.schema(STORED).parquet(self.messages)
-
-    def postings(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.root).filter(F.col("origin").isNotNull())
-
-    def rebuild(self) -> None:
-        """All months."""
-        self._write([r["month"] for r in self.stored().select("month").distinct().collect()])
-
-    def write_back(self, delta: DataFrame, order: str | None = None, strict_kind: bool = True) -> list[str]:
-        """Merge a delivery into the messages and write the postings of the months it touched anew. Returns these months."""
-        months = write_back(self.spark, self.messages, delta, order, strict_kind)
-        names = sorted(r["month"] for r in months.collect())  # one string per month of history
-        self._write(names)
-        return names
-
-    def _write(self, names: list[str]) -> None:
-        rows = postings(self.stored().filter(F.col("month").isin(names)))
-        # a row without an origin for each month, so that a month that has no posting left is overwritten too
-        marks = self.spark.createDataFrame([(n,) for n in names], "month string")
-        fresh = settle(rows.unionByName(marks, allowMissingColumns=True), "postings")
-        order = ["month", "origin", "date", "id"]
-        # ranges split an origin that very many forward from over several files
-        laid = fresh.repartitionByRange(*order).sortWithinPartitions(*order)
-        laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.root)
-        drop_settled(fresh)
+    schema = "origin long, id long, peer_external_id long, telegram_message_id long, date timestamp_ntz, media_kind string, month string"
+    order = ("origin", "date", "id")
+
+    def rows(self, messages: DataFrame) -> DataFrame:
+        return postings(messages)
 
     def _own(self, window: Column) -> DataFrame:
         """Messages by their poster, in the columns of postings."""
@@ -90,7 +58,7 @@ class OriginIndex:
         """id, peer, number, date, kind and month of the messages posted by the peer or forwarded from it, each once."""
         window = date_window(F.col("date"), start, end) & months_between(start, end)
         own = self._own(window & (F.col("peer_external_id") == peer))
-        named = self.postings().filter((F.col("origin") == peer) & window & ~F.col("peer_external_id").eqNullSafe(peer))
+        named = self.table().filter((F.col("origin") == peer) & window & ~F.col("peer_external_id").eqNullSafe(peer))
         found = own.unionByName(named.drop("origin"))
         return found if media is None else found.filter(media_in(F.col("media_kind"), media))
 
@@ -99,7 +67,7 @@ class OriginIndex:
         window = date_window(F.col("date"), start, end) & months_between(start, end)
         wanted = peers.select("external_id").filter("external_id IS NOT NULL").distinct()
         own = self._own(window).withColumn("external_id", F.col("peer_external_id"))
-        named = self.postings().filter(window & ~F.col("peer_external_id").eqNullSafe(F.col("origin")))
+        named = self.table().filter(window & ~F.col("peer_external_id").eqNullSafe(F.col("origin")))
         found = own.unionByName(named.withColumnRenamed("origin", "external_id"))
         found = found if media is None else found.filter(media_in(F.col("media_kind"), media))
         return found.join(wanted, "external_id", "left_semi")

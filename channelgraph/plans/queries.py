@@ -22,6 +22,7 @@ from channelgraph.operators import (
     layers,
     listing,
     merge,
+    offset_index,
     origin_index,
     partials,
     peer_search,
@@ -1080,6 +1081,21 @@ def t6_image_sources(a):
     return rollups.image_sources(a.image_blob_messages, k=4).select("phash", "message_id", "rank")
 
 
+@query
+def t1_indexed_pages(a):
+    """A page of seven at every 997th place of the listing, and of every peer the third to fifth newest, found by counts."""
+    path = scratch_path(a.spark, "by-month")
+    merge.write_by_month(a.messages, path)
+    index = offset_index.OffsetIndex(a.spark, path, scratch_path(a.spark, "offsets"))
+    index.rebuild()
+    places = a.messages.agg(F.explode(F.sequence(F.lit(0), F.count("*"), F.lit(997))).alias("offset"))
+    of_all = places.select(F.concat(F.lit("all:"), "offset").alias("page"), F.lit(None).cast("long").alias("peer"), "offset", F.lit(7).alias("limit"))
+    of_peers = a.peers.select(
+        F.concat(F.lit("peer:"), "external_id").alias("page"), F.col("external_id").alias("peer"), F.lit(2).alias("offset"), F.lit(3).alias("limit")
+    )
+    return index.pages(of_all.unionByName(of_peers), a.peers).select("page", "place", "id", "date")
+
+
 @query
 def t7_type_ahead(a):
     return a.peers.filter(predicates.peer_matches("Customer#0000001")).orderBy("external_id").limit(8).select("external_id", "title")

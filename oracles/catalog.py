@@ -282,6 +282,17 @@ ORACLES = {
     "t6_image_sources": q(
         "SELECT phash, message_id, row_number() OVER (PARTITION BY phash ORDER BY message_date DESC, message_id DESC) AS rank FROM links QUALIFY rank <= 4"
     ),
+    "t1_indexed_pages": q(
+        """SELECT page, place, id, date FROM (
+             SELECT id, date, row_number() OVER (ORDER BY date DESC NULLS LAST, telegram_message_id DESC, id DESC) - 1 AS place,
+               'all:' || (place - place % 997) AS page, place % 997 < 7 AS shown
+             FROM messages JOIN peers ON external_id = peer_external_id
+             UNION ALL
+             SELECT id, date, row_number() OVER (PARTITION BY peer_external_id ORDER BY date DESC NULLS LAST, telegram_message_id DESC, id DESC) - 1 AS place,
+               'peer:' || peer_external_id AS page, place BETWEEN 2 AND 4 AS shown
+             FROM messages JOIN peers ON external_id = peer_external_id)
+           WHERE shown"""
+    ),
     "t7_type_ahead": q(
         "SELECT external_id, title FROM peers WHERE title ILIKE '%customer#0000001%' ORDER BY external_id LIMIT 8"
     ),

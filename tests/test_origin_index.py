@@ -37,7 +37,7 @@ def test_scopes_equal_the_filter_for_every_kind_of_peer(spark, archive, tmp_path
     index = OriginIndex(spark, str(tmp_path / "messages"), str(tmp_path / "origins"))
     index.rebuild()
     messages = index.stored()
-    busiest = index.postings().groupBy("origin").count().orderBy(F.desc("count"))
+    busiest = index.table().groupBy("origin").count().orderBy(F.desc("count"))
     peers = [r["origin"] for r in busiest.limit(3).collect()]
     peers += [r["peer_external_id"] for r in messages.filter("peer_external_id > -1000000000000").select("peer_external_id").distinct().limit(3).collect()]
     for peer in [*peers, 999_999_999]:
@@ -69,7 +69,7 @@ def test_only_months_of_the_window_and_of_a_delivery_are_touched(spark, archive,
     other = lambda names: {f for f in names if f"month={FIRST}" not in f}
     assert other(before) == other(after) and other(before) and before != after
     fresh = postings(index.stored())
-    assert sorted(map(repr, index.postings().select(*sorted(fresh.columns)).collect())) == sorted(map(repr, fresh.select(*sorted(fresh.columns)).collect()))
+    assert sorted(map(repr, index.table().select(*sorted(fresh.columns)).collect())) == sorted(map(repr, fresh.select(*sorted(fresh.columns)).collect()))
 
 
 def test_a_month_without_postings_left_is_emptied(spark, archive, tmp_path):
@@ -77,11 +77,11 @@ def test_a_month_without_postings_left_is_emptied(spark, archive, tmp_path):
     stored_by_month(archive, path)
     index = OriginIndex(spark, path, str(tmp_path / "origins"))
     index.rebuild()
-    assert index.postings().filter(F.col("month") == FIRST).count() > 0
+    assert index.table().filter(F.col("month") == FIRST).count() > 0
     bare = archive.messages.withColumn("fwd_from", F.lit(None).cast(FWD_FROM)).filter(merge.month_of() == FIRST)
     merge.write_by_month(bare, path)
-    index._write([FIRST])
-    assert index.postings().filter(F.col("month") == FIRST).count() == 0 < index.postings().count()
+    index.refresh([FIRST])
+    assert index.table().filter(F.col("month") == FIRST).count() == 0 < index.table().count()
 
 
 def test_header_origins_are_what_origin_matches_finds(spark):
