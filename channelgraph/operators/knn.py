@@ -182,6 +182,56 @@ def best_match(vectors: DataFrame, inputs: DataFrame, key: str, input_key: str =
     return best
 
 
+def best_inputs(vectors: DataFrame, inputs: DataFrame, key: str, n: int, input_key: str = "id") -> DataFrame | None:
+    """For every valid vector its ``n`` inputs of highest cosine, as ``best`` (array of s and input, best first).
+
+    ``None`` when there is no valid input. Inputs come in blocks, and one list per vector is carried from block to block.
+    """
+    kind = vectors.schema[key].dataType
+    out = T.StructType([T.StructField(key, kind), T.StructField("best", INPUT_LIST)])
+    slim = vectors.select(key, "embedding")
+
+    def pass_over(shared) -> DataFrame:
+        def score(batches):
+            asked, matrix = shared.value
+            ids = np.array(asked, dtype=np.int64)
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                scores, valid = _scored(batch.column(1), matrix)
+                scores = scores[valid]
+                first = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=-1)[:, :n]
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array(np.take_along_axis(scores, first, axis=1).ravel(), pa.float64()), pa.array(ids[first].ravel(), pa.int64())], ["s", "input"]
+                )
+                ends = pa.array(np.arange(len(first) + 1) * first.shape[1], pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pairs)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(valid)), lists], names=[key, "best"])
+
+        return slim.mapInArrow(score, out)
+
+    best = None
+    for found in _passes(vectors.sparkSession, query_blocks(inputs, input_key), pass_over, "best-inputs"):
+        if best is None:
+            best = found
+            continue
+        both = best.join(found.withColumnRenamed("best", "more"), key)
+        folded = settle(both.select(key, F.slice(best_first(F.concat("best", "more")), 1, n).alias("best")), "best-inputs")
+        drop_settled(best)
+        drop_settled(found)
+        best = folded
+    return best
+
+
+INPUT_LIST = T.ArrayType(T.StructType([T.StructField("s", T.DoubleType()), T.StructField("input", T.LongType())]))
+
+
+def best_first(pairs):
+    """A list of s and input in order of falling s, smaller ids first among equals."""
+    turned = F.transform(pairs, lambda p: F.struct((-p["s"]).alias("t"), p["input"].alias("input")))
+    return F.transform(F.array_sort(turned), lambda p: F.struct((-p["t"]).alias("s"), p["input"].alias("input")))
+
+
 # ---- search over the archive
 
 def knn_messages(

@@ -92,14 +92,16 @@ def rerank(
     occ: DataFrame,
     peers: DataFrame,
     params: ScopeParams = ScopeParams(),
+    scored: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Rebuild all scores: ``images``, ``evidence``, ``events`` and ``peers``.
 
     Without inputs everything is cleared and every peer scores zero. Image scores and the images of forwards are each
-    needed several times, so both are written once.
+    needed several times, so both are written once. ``scored`` gives image scores that are known already
+    (:func:`channelgraph.operators.input_lists.scores`); vectors and inputs are then not read.
     """
     ids = peers.select(F.col("external_id").alias("peer_external_id"))
-    scored = image_scores(vectors, inputs, params)
+    scored = image_scores(vectors, inputs, params) if scored is None else scored
     if scored is None:
         spark = vectors.sparkSession
         zero = ids.select("peer_external_id", *[F.lit(0.0).alias(c) for c in SCORES])

@@ -18,6 +18,7 @@ from channelgraph.operators import (
     forwards,
     graph,
     images,
+    input_lists,
     knn,
     layers,
     listing,
@@ -1475,6 +1476,19 @@ def v7_no_inputs(a):
     return _rounded_scores(cleared["peers"])
 
 
+@query
+def v7_changed_inputs(a):
+    """Scores after inputs were added and others deleted, by lists of each image's closest inputs."""
+    source = a.source.embeddings.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), "embedding")
+    first, added, gone = source.filter("id % 3 <> 0"), source.filter("id % 3 = 0"), source.filter("id % 4 = 0")
+    lists = input_lists.build(a.image_embeddings, first, kept=2)
+    lists = input_lists.add(lists, a.image_embeddings, first, added, kept=2)
+    lists = input_lists.remove(lists, a.image_embeddings, source.filter("id % 4 <> 0"), gone, kept=2)
+    known = input_lists.scores(lists, LOW_TAU)
+    again = scope.rerank(a.image_embeddings, source, a.image_blob_messages, a.forward_edge_messages, a.peers, LOW_TAU, scored=known)
+    return _rounded_scores(again["peers"])
+
+
 @query
 def v8_score_increment(a):
     """From an empty state, the fetched peers are embedded first and the others after them."""

@@ -53,8 +53,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later steps use to the shared folder, and go on from there.
 
-    The plan starts anew, the work is done once, and it survives the loss of executors.
+    The plan starts anew, the work is done once, and it survives the loss of executors. Python functions in the plan find
+    this package on every executor.
     """
+    ship_package(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

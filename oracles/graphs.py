@@ -306,6 +306,11 @@ ORACLES = {
     "v7_forward_events": q("SELECT * FROM events_of", LOW),
     "v7_peer_scores": q(SCORE_ROWS, LOW + ", " + peer_scores()),
     "v7_peer_scores_default": q(SCORE_ROWS, scored(0.4) + ", " + peer_scores()),
+    "v7_changed_inputs": q(
+        SCORE_ROWS,
+        "changed_inputs AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0 AND vec_id % 4 <> 0), "
+        + LOW.replace("scope_inputs b", "changed_inputs b") + ", " + peer_scores(),
+    ),
     "v7_no_inputs": q(
         """SELECT external_id AS peer_external_id, 0::DOUBLE AS scope_r, 0::BIGINT AS scope_j, 0::DOUBLE AS scope_score, 0::DOUBLE AS forward_r,
              0::BIGINT AS forward_j, 0::BIGINT AS forward_n_events, 0::DOUBLE AS forward_score FROM peers"""
