@@ -31,6 +31,7 @@ from channelgraph.operators import (
     rollups,
     scope,
     vector_index,
+    whole_headers,
 )
 from channelgraph.plans import exports
 from channelgraph.schemas import MEDIA, MEDIA_FIELDS, MEDIA_KINDS, PROFILE_COLUMNS, TABLES
@@ -43,6 +44,7 @@ from channelgraph.sources.derived import (
     message_base,
     ntz,
     open_archive,
+    raw_messages,
     redelivered_messages,
 )
 from channelgraph.streaming import engine, jobs, live
@@ -162,6 +164,43 @@ def a8_monthly_partials(a):
     return _partials_after_write_back(a).images()
 
 
+def _whole_headers(a):
+    """Headers with keys that no struct has, and JSON nulls, through two deliveries."""
+    more = F.expr("""',"views":' || CAST(telegram_message_id % 7 AS STRING) || CASE WHEN telegram_message_id % 5 = 0 THEN ',"note":null' ELSE '' END ||
+        CASE WHEN telegram_message_id % 4 = 0 THEN ',"extra":{"a":[1,' || CAST(telegram_message_id AS STRING) || ']}' ELSE '' END || '}'""")
+
+    def opened(text):
+        return F.left(text, F.length(text) - 1)
+
+    def sent(rows, media, seq):
+        return rows.select(*merge.MESSAGE_KEY, whole_headers.whole(F.col("header")).alias("fwd_from"), whole_headers.whole(media).alias("media"), F.lit(seq).alias("seq"))
+
+    base = message_base(a.source)
+    first = raw_messages(base).withColumnRenamed("fwd_from", "header")
+    second = redelivered_messages(base).withColumn("header", F.to_json("fwd_from")).withColumn("text", F.to_json("media"))
+    third = second.filter("telegram_message_id % 2 = 0").withColumn("header", F.lit(None).cast("string"))
+    late = F.expr("""CASE WHEN telegram_message_id % 4 = 0 THEN '{"kind":null,"late":true}' WHEN telegram_message_id % 3 > 0 THEN '{"kind":"gif","views":-1}' END""")
+    stored = sent(first, F.concat(opened(F.col("media")), more), 0)
+    delta = sent(second, F.concat(opened(F.col("text")), F.lit(',"views":100,"note":"n"}')), 1).unionByName(sent(third, late, 2))
+    path = scratch_path(a.spark, "whole-headers")
+    stored.drop("seq").write.parquet(path)
+    return whole_headers.merge_headers(a.spark.read.parquet(path), delta, "seq")
+
+
+@query
+def i1_whole_headers(a):
+    """Every key of every media header after the deliveries; a message without media has one row without a key."""
+    rows = _whole_headers(a).select(*merge.MESSAGE_KEY, F.explode_outer(whole_headers.keys_of(F.col("media"))).alias("key", "value"))
+    return rows.select(*merge.MESSAGE_KEY, "key", F.is_variant_null("value").alias("is_null"), F.try_variant_get("value", "$", "string").alias("value"))
+
+
+@query
+def i1_whole_headers_typed(a):
+    """The structs read back from whole headers."""
+    rows = whole_headers.typed(_whole_headers(a))
+    return rows.select(*merge.MESSAGE_KEY, "media.kind", "media.mime_type", "media.size_bytes", F.col("fwd_from.from_name").alias("from_name"))
+
+
 @query
 def i1_merge_deliveries(a):
     """Three deliveries at once over the stored archive; the oracle applies them one by one."""

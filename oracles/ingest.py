@@ -387,6 +387,48 @@ ORACLES = {
 }
 
 
+# whole headers as maps of JSON values, the deliveries applied one after the other
+def _step(old: str, new: str) -> str:
+    kind = "CASE WHEN list_contains(map_keys({0}), 'kind') THEN MAP {{'kind': {0}['kind']}} ELSE MAP {{}}::MAP(VARCHAR, JSON) END"
+    whole = f"coalesce({old}, MAP {{}}::MAP(VARCHAR, JSON))", f"coalesce({new}, MAP {{}}::MAP(VARCHAR, JSON))"
+    known = f"list_contains(map_keys({whole[0]}), 'kind') OR list_contains(map_keys({whole[1]}), 'kind')"
+    return f"CASE WHEN {known} THEN map_concat({whole[1]}, {whole[0]}, {kind.format(whole[1])}) END"
+
+
+WHOLE = DELTA + """,
+w0 AS (
+  SELECT peer_external_id, telegram_message_id, fwd_from, CAST(CAST(left(media, length(media) - 1) || ',"views":' || telegram_message_id % 7 ||
+    CASE WHEN telegram_message_id % 5 = 0 THEN ',"note":null' ELSE '' END ||
+    CASE WHEN telegram_message_id % 4 = 0 THEN ',"extra":{"a":[1,' || telegram_message_id || ']}' ELSE '' END || '}' AS JSON) AS MAP(VARCHAR, JSON)) AS w
+  FROM messages
+),
+w1 AS (
+  SELECT peer_external_id, telegram_message_id, coalesce(d.fwd_from, m.fwd_from) AS fwd_from,
+    CASE WHEN m.peer_external_id IS NULL THEN n WHEN d.peer_external_id IS NULL THEN w ELSE """ + _step("w", "n") + """ END AS w, d.peer_external_id IS NOT NULL AS again
+  FROM w0 m FULL JOIN (
+    SELECT *, CAST(CAST(left(media, length(media) - 1) || ',"views":100,"note":"n"}' AS JSON) AS MAP(VARCHAR, JSON)) AS n FROM delta
+  ) d USING (peer_external_id, telegram_message_id)
+),
+w2 AS (
+  SELECT peer_external_id, telegram_message_id, fwd_from, CASE WHEN again AND telegram_message_id % 2 = 0 THEN """ + _step("w", "n") + """ ELSE w END AS w
+  FROM (SELECT *, CAST(CAST(CASE WHEN telegram_message_id % 4 = 0 THEN '{"kind":null,"late":true}'
+                                 WHEN telegram_message_id % 3 > 0 THEN '{"kind":"gif","views":-1}' END AS JSON) AS MAP(VARCHAR, JSON)) AS n FROM w1)
+)"""
+ORACLES |= {
+    "i1_whole_headers": q(
+        """SELECT peer_external_id, telegram_message_id, e.key AS key, e.value IS NULL OR e.value = 'null' AS is_null, e.value ->> '$' AS value
+           FROM (SELECT peer_external_id, telegram_message_id, unnest(map_entries(w)) AS e FROM w2)
+           UNION ALL SELECT peer_external_id, telegram_message_id, NULL, false, NULL FROM w2 WHERE w IS NULL""",
+        WHOLE,
+    ),
+    "i1_whole_headers_typed": q(
+        """SELECT peer_external_id, telegram_message_id, w['kind'] ->> '$' AS kind, w['mime_type'] ->> '$' AS mime_type, w['size_bytes'] ->> '$' AS size_bytes,
+             json_extract_string(fwd_from, '$.from_name') AS from_name FROM w2""",
+        WHOLE,
+    ),
+}
+
+
 # the full recount of what the later delivery leaves
 LEFT = DELTA + ",\nkept AS (" + _merged_rows() + """),
 kept_hints AS (
