@@ -116,6 +116,37 @@ def test_block_links_against_all_pairs():
     assert all((find(i) == find(j)) == (want[i] == want[j]) for i in range(len(sets)) for j in range(i))
 
 
+@pytest.mark.parametrize("n", [10, 45, 90, 900])
+def test_links_just_at_the_threshold_are_not_lost_by_sketches(n):
+    """120 000 pairs of sets of n values with a similarity of 0.8 (0.82 for ten), through both ways in which pairs meet."""
+    pairs, alone = 30_000, max(1, n // 9)
+    draw = np.random.default_rng(n)
+    few = min(neardup.COMMON, n * 20 // 100 + 1)
+    lost = 0
+    for _ in range(4):
+        # of all values of a pair only the smallest K of each side matter
+        both = draw.integers(0, 2**63, (pairs, n - alone), dtype=np.uint64)
+        sides = []
+        for _ in range(2):
+            own = draw.integers(0, 2**63, (pairs, alone), dtype=np.uint64)
+            sides.append(np.sort(np.concatenate([both, own], axis=1), axis=1)[:, : neardup.K])
+        kept = [np.pad((x >> np.uint64(31)).astype(np.uint32), ((0, 0), (0, neardup.K - x.shape[1])), constant_values=neardup.PAD) for x in sides]
+        close = neardup.union_estimate(*kept) >= neardup.LEAST_ESTIMATE
+        first = [x[:, : neardup.INDEXED] for x in sides]
+
+        def met(width, first=first):
+            """Which pairs have one of their first values in common, and how many."""
+            together = np.sort(np.concatenate([f[:, :width] for f in first], axis=1), axis=1)
+            return (together[:, 1:] == together[:, :-1]).sum(axis=1)
+
+        shared = met(neardup.INDEXED)
+        # a pair whose shared values are all common has at least that many, enough to enter common lists, and meets in one
+        enough = shared >= neardup.COMMON_SHARE * min(neardup.INDEXED, n)
+        in_lists = enough & (met(few) > 0)
+        lost += int((~(close & (shared > 0))).sum() + (~in_lists).sum())
+    assert lost == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (2000, 1999), (1999, 2000)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
