@@ -28,6 +28,7 @@ from channelgraph.operators import (
     partials,
     peer_search,
     profile,
+    reach,
     rollups,
     scope,
     vector_index,
@@ -1308,6 +1309,13 @@ def g11_expand(a):
     return expand.expand(a.forward_edges, seeds, max_depth=5)
 
 
+@query
+def g11_reach(a):
+    """All rounds out from a tenth of the peers, visited ones held as bitmaps."""
+    seeds = a.peers.filter("external_id < 0 AND abs(external_id) % 10 = 1").select(F.col("external_id").alias("peer_id"))
+    return reach.reach(a.forward_edges, seeds)
+
+
 def _frontier(a):
     """Peers that forwards point to, waiting in the order in which they were first seen."""
     seen = a.forward_edges.groupBy(F.col("to_external_id").alias("peer_id")).agg(F.min("first_seen_at").alias("seq"))
