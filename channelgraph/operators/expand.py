@@ -28,24 +28,26 @@ def expand(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lines.write.bucketBy(parts, "peer_id").sortBy("peer_id").option("path", f"{path}-lines").saveAsTable(table)
     lines = spark.table(table)
-    seeds.select("peer_id", F.lit(None).cast("bigint").alias("via")).distinct().write.parquet(f"{path}/depth=0")
     schema = "peer_id bigint, via bigint, depth int"
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        visited = spark.read.schema(schema).parquet(path)
-        frontier = visited.filter(F.col("depth") == depth).select("peer_id")
-        found = (
-            lines.join(frontier, "peer_id")
-            .groupBy("next")
-            .agg(F.min("peer_id").alias("via"))
-            .withColumnRenamed("next", "peer_id")
-            .join(visited.select("peer_id"), "peer_id", "left_anti")
-        )
-        depth += 1
-        found.write.parquet(f"{path}/depth={depth}")
-        if spark.read.schema("peer_id bigint").parquet(f"{path}/depth={depth}").isEmpty():
-            break
-    spark.sql(f"DROP TABLE {table}")
+    try:
+        seeds.select("peer_id", F.lit(None).cast("bigint").alias("via")).distinct().write.parquet(f"{path}/depth=0")
+        depth = 0
+        while max_depth is None or depth < max_depth:
+            visited = spark.read.schema(schema).parquet(path)
+            frontier = visited.filter(F.col("depth") == depth).select("peer_id")
+            found = (
+                lines.join(frontier, "peer_id")
+                .groupBy("next")
+                .agg(F.min("peer_id").alias("via"))
+                .withColumnRenamed("next", "peer_id")
+                .join(visited.select("peer_id"), "peer_id", "left_anti")
+            )
+            depth += 1
+            found.write.parquet(f"{path}/depth={depth}")
+            if spark.read.schema("peer_id bigint").parquet(f"{path}/depth={depth}").isEmpty():
+                break
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     return spark.read.schema(schema).parquet(path)
 
 

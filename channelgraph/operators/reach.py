@@ -8,6 +8,8 @@ neither read nor moved.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,19 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     numbered = settle(ranked_within(peers, [], [F.col("peer_id")], "number"), "reach-numbers")
     by_number = lines.join(numbered.select(F.col("peer_id").alias("a"), F.col("number").alias("source")), "a")
     by_number = by_number.join(numbered.select(F.col("peer_id").alias("b"), F.col("number").alias("target")), "b")
-    by_number = settle(by_number.select("source", "target").distinct().repartition("source").sortWithinPartitions("source"), "reach-edges")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"reach_{uuid.uuid4().hex}"
+    laid = by_number.select("source", "target").distinct().repartition(parts, "source")
+    laid.write.bucketBy(parts, "source").sortBy("source").option("path", scratch_path(spark, "reach-edges")).saveAsTable(table)
+    try:
+        return _rounds(spark.table(table), start, numbered, max_depth)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
 
+def _rounds(by_number: DataFrame, start: DataFrame, numbered: DataFrame, max_depth: int | None) -> DataFrame:
+    """Round after round over edges (source, target) in buckets by source; a round moves its frontier only."""
+    spark = by_number.sparkSession
     path, schema = scratch_path(spark, "reach"), "number bigint, via bigint, depth int"
 
     def written(found: DataFrame, depth: int) -> DataFrame:

@@ -62,3 +62,26 @@ def test_nothing_to_start_from(spark):
     edges = spark.createDataFrame([(-1, -2)], EDGES)
     assert got(reach.reach(edges, spark.createDataFrame([], SEEDS))) == {}
     assert got(reach.reach(edges.limit(0), spark.createDataFrame([(-4,)], SEEDS))) == {-4: (None, 0)}
+
+
+def test_a_round_moves_its_frontier_only(spark, archive, monkeypatch):
+    """Edges lie in buckets by poster: their side of the join is neither sent nor sorted. Tables go when the rounds fail too."""
+    plans = []
+
+    def rounds(lines, start, numbered, max_depth):
+        frontier = start.join(numbered, "peer_id").select(F.col("number").alias("source")).hint("shuffle_merge")
+        plans.append(spark._jvm.PythonSQLUtils.explainString(lines.join(frontier, "source")._jdf.queryExecution(), "simple"))
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(reach, "_rounds", rounds)
+    before = {t.name for t in spark.catalog.listTables()}
+    seeds = archive.peers.select(F.col("external_id").alias("peer_id"))
+    try:
+        reach.reach(archive.forward_edges, seeds)
+    except RuntimeError:
+        pass
+    assert {t.name for t in spark.catalog.listTables()} == before
+    # the side of the edges, which stands first under the last join
+    side = plans[0].split("SortMergeJoin", 1)[1]
+    edges = side[: side.index("Scan parquet spark_catalog")]
+    assert "Exchange" not in edges
