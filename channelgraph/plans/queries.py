@@ -1452,7 +1452,7 @@ def v5_pending_images(a):
     return knn.pending_images(a.image_blobs, a.image_embeddings, a.image_cache, "m0", exclude=skip).select("phash")
 
 
-def _listed(embedding):
+def _numbers_text(embedding):
     """A vector of whole numbers as text, every component of it."""
     return F.array_join(F.transform(embedding, lambda x: x.cast("bigint").cast("string")), ",")
 
@@ -1461,7 +1461,7 @@ def _listed(embedding):
 def v6_embed_text(a):
     pending = knn.pending_text(a.messages, a.message_text_embeddings, "multilingual-e5-small")
     done = encode.embed_text(pending, encode.HashingEncoder, "multilingual-e5-small")
-    return done.select("message_id", "model_id", "dim", _listed(F.col("embedding")).alias("vector"))
+    return done.select("message_id", "model_id", "dim", _numbers_text(F.col("embedding")).alias("vector"))
 
 
 @query
@@ -1470,7 +1470,7 @@ def v6_embed_images(a):
     content = a.source.documents.select(F.substring(F.md5("text"), 1, 16).alias("phash"), F.encode("text", "UTF-8").alias("content"))
     content = content.dropDuplicates(["phash"])
     done = encode.embed_images(pending.join(content, "phash"), encode.HashingEncoder, "m9")
-    return done.select("phash", "model_id", "dim", _listed(F.col("embedding")).alias("vector"))
+    return done.select("phash", "model_id", "dim", _numbers_text(F.col("embedding")).alias("vector"))
 
 
 @query
