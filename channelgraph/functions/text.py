@@ -38,13 +38,33 @@ def excerpt(c: Column) -> Column:
     return blank_to_null(F.left(c, F.lit(EXCERPT_CHARS)))
 
 
+def _referred(columns: list[str], field: str, own: Column) -> Column:
+    """What the reference says of a shared text; ``own`` for messages that carry theirs."""
+    if "text_ref" not in columns:
+        return own
+    return F.when(F.col("text_ref").isNotNull(), F.col(f"text_ref.{field}")).otherwise(own)
+
+
+def any_has_text(columns: list[str]) -> Column:
+    return _referred(columns, "has_text", has_text(F.col("content")))
+
+
+def any_excerpt(columns: list[str]) -> Column:
+    return _referred(columns, "excerpt", excerpt(F.col("content")))
+
+
+def has_words(columns: list[str]) -> Column:
+    """Whether anything remains after all white space is stripped."""
+    return _referred(columns, "has_words", strip_to_null(F.col("content")).isNotNull())
+
+
 def stored_has_text(columns: list[str]) -> Column:
     """The stored flag where the table has one, so that the text column is not read."""
-    return F.col("has_text") if "has_text" in columns else has_text(F.col("content"))
+    return F.col("has_text") if "has_text" in columns else any_has_text(columns)
 
 
 def stored_excerpt(columns: list[str]) -> Column:
-    return F.col("excerpt") if "excerpt" in columns else excerpt(F.col("content")).alias("excerpt")
+    return F.col("excerpt") if "excerpt" in columns else any_excerpt(columns).alias("excerpt")
 
 
 def norm_phash(c: Column) -> Column:

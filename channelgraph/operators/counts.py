@@ -14,7 +14,7 @@ from channelgraph.functions.media import (
     media_item_id,
     media_kind,
 )
-from channelgraph.functions.text import stored_has_text, strip_to_null
+from channelgraph.functions.text import has_words, stored_has_text
 from channelgraph.operators.images import blob_flags
 from channelgraph.schemas import COUNT_COLUMNS, MEDIA_KINDS
 
@@ -100,7 +100,7 @@ def insert_facts(messages: DataFrame, *keep: str) -> DataFrame:
         *keep,
         media_kind(media).alias("kind"),
         is_downloaded(media).alias("downloaded"),
-        strip_to_null(F.col("content")).isNotNull().alias("text"),
+        has_words(messages.columns).alias("text"),
     )
 
 

@@ -9,10 +9,11 @@ from channelgraph.functions.timecov import bound, layer_fill
 from channelgraph.operators.counts import with_kind
 from channelgraph.operators.listing import attach_stats
 from channelgraph.schemas import MEDIA_KINDS
+from channelgraph.session import settle
 
 LAYERS = (*MEDIA_KINDS, "text_embed", "image_embed")
-#: A peer's messages meet its floor in so many parts, so that a channel with very many is not one task's work.
-FLOOR_PARTS = 32
+#: Messages of a peer that meet its floor in one task; a channel with more meets it in several parts.
+FLOOR_ROWS = 1_000_000
 
 
 def media_windows(messages: DataFrame, links: DataFrame) -> DataFrame:
@@ -49,13 +50,23 @@ def media_windows(messages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def fetch_coverage(messages: DataFrame, floor: DataFrame | None = None) -> DataFrame:
-    """Date window per peer. ``floor`` (peer_external_id, min_id) keeps a lone early message out of it."""
+    """Date window per peer. ``floor`` (peer_external_id, min_id) keeps a lone early message out of it.
+
+    Floors are repeated for busy peers only, once for each part, so all repetitions together are at most one for each
+    ``FLOOR_ROWS`` messages.
+    """
     rows = messages.select("peer_external_id", "telegram_message_id", "date")
     if floor is not None:
-        parts = F.explode(F.sequence(F.lit(0), F.lit(FLOOR_PARTS - 1))).alias("part")
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("telegram_message_id"), F.lit(FLOOR_PARTS)).cast("int"))
+        counted = rows.groupBy("peer_external_id").agg(F.count("*").alias("n")).filter(F.col("n") > FLOOR_ROWS)
+        busy = counted.select("peer_external_id", F.ceil(F.col("n") / FLOOR_ROWS).cast("int").alias("parts"))
+        busy = settle(busy.filter(F.col("peer_external_id").isNotNull()), "busy-peers")
+        number = F.coalesce(F.pmod(F.xxhash64("telegram_message_id"), "parts").cast("int"), F.lit(0))
+        rows = rows.join(F.broadcast(busy), "peer_external_id", "left").withColumn("part", number).drop("parts")
+        last = F.coalesce("parts", F.lit(1)) - 1
+        floors = floor.select("peer_external_id", "min_id").join(F.broadcast(busy), "peer_external_id", "left")
+        floors = floors.select("peer_external_id", "min_id", F.explode(F.sequence(F.lit(0), last)).alias("part"))
         rows = (
-            rows.join(floor.select("peer_external_id", "min_id", parts), ["peer_external_id", "part"], "left")
+            rows.join(floors, ["peer_external_id", "part"], "left")
             .filter(F.col("min_id").isNull() | (F.col("telegram_message_id") >= F.col("min_id")))
             .groupBy("peer_external_id", "part")
             .agg(F.min("date").alias("first"), F.max("date").alias("date"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from channelgraph.functions.predicates import local_path
 from channelgraph.functions.text import is_dedupable, stored_has_text
+from channelgraph.operators.texts import with_texts
 from channelgraph.session import drop_settled, settle
 
 # 1024 vectors of 1280 doubles are 10 MiB.
@@ -268,13 +269,16 @@ def _pending(rows: DataFrame, vectors: DataFrame, key: str, model: str) -> DataF
     return rows.join(done, key, "left").filter(~F.col("done_by").eqNullSafe(F.lit(model))).drop("done_by")
 
 
-def pending_text(messages: DataFrame, vectors: DataFrame, model: str, peer: int | None = None) -> DataFrame:
-    """Messages with text that this model has not embedded."""
+def pending_text(
+    messages: DataFrame, vectors: DataFrame, model: str, peer: int | None = None, texts: DataFrame | None = None
+) -> DataFrame:
+    """Messages with text that this model has not embedded. ``texts`` (text_id, content) resolves references of those."""
     rows = messages.filter(stored_has_text(messages.columns))
     if peer is not None:
         rows = rows.filter(F.col("peer_external_id") == peer)
-    rows = rows.select(F.col("id").alias("message_id"), "content", "date")
-    return _pending(rows, vectors, "message_id", model)
+    carried = ["content"] if texts is None else ["content", "text_ref"]
+    rows = _pending(rows.select(F.col("id").alias("message_id"), *carried, "date"), vectors, "message_id", model)
+    return rows if texts is None else with_texts(rows, texts)
 
 
 def pending_images(

@@ -10,6 +10,7 @@ from channelgraph.functions.media import media_kind, media_preview
 from channelgraph.functions.predicates import date_window
 from channelgraph.functions.text import peer_label, strip_to_null
 from channelgraph.operators.forwards import with_origin
+from channelgraph.operators.texts import with_few_texts, with_texts
 from channelgraph.schemas import MEDIA_KINDS
 from channelgraph.session import settle
 
@@ -180,18 +181,31 @@ def with_peer(messages: DataFrame, peers: DataFrame) -> DataFrame:
 
 
 def list_messages(
-    messages: DataFrame, peers: DataFrame, peer: int | None = None, content_chars: int | None = None
+    messages: DataFrame, peers: DataFrame, peer: int | None = None, content_chars: int | None = None, texts: DataFrame | None = None
 ) -> DataFrame:
-    """Rows of the message listing: text (cut for display only where ``content_chars`` says so), flags, media kind, peer."""
+    """Rows of the message listing: text (cut for display only where ``content_chars`` says so), flags, media kind, peer.
+
+    ``texts`` (text_id, content) resolves references, after all other joins.
+    """
     if peer is not None:
         messages = messages.filter(F.col("peer_external_id") == peer)
-    content = F.col("content") if content_chars is None else F.left("content", F.lit(content_chars))
     shown = messages.select(
-        "id", "telegram_message_id", "date", content.alias("content"),
+        "id", "telegram_message_id", "date", *_carried(messages, content_chars, texts),
         "from_external_id", F.col("fwd_from").isNotNull().alias("forwarded"),
         media_kind(F.col("media")).alias("media_kind"), "peer_external_id",
     )
-    return with_peer(shown, peers)
+    listed = with_peer(shown, peers)
+    return listed if texts is None else _cut(with_texts(listed, texts), content_chars)
+
+
+def _carried(messages: DataFrame, content_chars: int | None, texts: DataFrame | None) -> list[Column | str]:
+    """The text on its way to a listing: a long one of its own is cut before it moves, a shared one goes as its reference."""
+    own = F.col("content") if content_chars is None else F.left("content", F.lit(content_chars)).alias("content")
+    return [own] if texts is None else [own, "text_ref"]
+
+
+def _cut(rows: DataFrame, content_chars: int | None) -> DataFrame:
+    return rows if content_chars is None else rows.withColumn("content", F.left("content", F.lit(content_chars)))
 
 
 def message_order() -> list[Column]:
@@ -200,11 +214,13 @@ def message_order() -> list[Column]:
 
 
 def message_page(
-    messages: DataFrame, peers: DataFrame, limit: int, offset: int = 0, peer: int | None = None, content_chars: int | None = None
+    messages: DataFrame, peers: DataFrame, limit: int, offset: int = 0, peer: int | None = None, content_chars: int | None = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """One page of the message listing, with the number of messages there are in all.
 
     The page is chosen among ids and dates. Its dates then bound the second scan, the only one that reads texts.
+    ``texts`` (text_id, content) resolves references of the page.
     """
     chosen = messages if peer is None else messages.filter(F.col("peer_external_id") == peer)
     known = peers.select(F.col("external_id").alias("peer_external_id"))
@@ -213,6 +229,8 @@ def message_page(
     first, last = picked.agg(F.min("date"), F.max("date")).first()
     near = chosen.filter(date_window(F.col("date"), first, last)).join(picked.select("id"), "id", "left_semi")
     total = chosen.agg(F.count("*")).scalar()
+    if texts is not None:
+        near = with_few_texts(settle(near, "page-rows"), texts)
     return list_messages(near, peers, content_chars=content_chars).withColumn("total", total).orderBy(*message_order())
 
 
@@ -221,20 +239,24 @@ def first_phash(links: DataFrame) -> DataFrame:
     return links.groupBy("message_id").agg(F.min("phash").alias("link_phash"))
 
 
-def message_detail(messages: DataFrame, links: DataFrame) -> DataFrame:
-    """Whole text and media preview; the hash comes from the media record or else from the links."""
+def message_detail(messages: DataFrame, links: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Whole text and media preview; the hash comes from the media record or else from the links.
+
+    ``texts`` (text_id, content) resolves references, after the other join.
+    """
     media = F.col("media")
     rows = messages.select(
-        "id", "telegram_message_id", "date", F.when(strip_to_null(F.col("content")).isNotNull(), F.col("content"))
-        .alias("content"), media_kind(media).alias("media_kind"), "media",
+        "id", "telegram_message_id", "date", *_carried(messages, None, texts), media_kind(media).alias("media_kind"), "media",
     )
     linked = first_phash(links).withColumnRenamed("message_id", "id")
     phash = F.when(
         F.col("media_kind") == "image", F.coalesce(strip_to_null(media["phash"]), strip_to_null(F.col("link_phash")))
     )
-    return rows.join(linked, "id", "left").select(
-        "id", "telegram_message_id", "date", "content", "media_kind",
-        media_preview(media, phash, F.col("media_kind")).alias("media"),
+    found = rows.join(linked, "id", "left")
+    found = found if texts is None else with_texts(found, texts)
+    return found.select(
+        "id", "telegram_message_id", "date", F.when(strip_to_null(F.col("content")).isNotNull(), F.col("content")).alias("content"),
+        "media_kind", media_preview(media, phash, F.col("media_kind")).alias("media"),
     )
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from channelgraph.functions.ids import infer_type
 from channelgraph.functions.media import is_downloaded, media_kind
-from channelgraph.functions.text import excerpt, has_text, is_dedupable, norm_phash
-from channelgraph.schemas import MEDIA, MEDIA_FIELDS, PROFILE_COLUMNS
+from channelgraph.functions.text import any_excerpt, any_has_text, is_dedupable, norm_phash
+from channelgraph.operators.texts import with_reference
+from channelgraph.schemas import MEDIA, MEDIA_FIELDS, PROFILE_COLUMNS, TEXT_REF
 from channelgraph.session import drop_settled, settle
 
 MESSAGE_KEY = ["peer_external_id", "telegram_message_id"]
@@ -20,6 +21,16 @@ MESSAGE_KEY = ["peer_external_id", "telegram_message_id"]
 
 # ---- messages
 
+def _text_columns(*tables: DataFrame) -> list[str]:
+    """What the text of a message is: its own, and the reference to a shared one where a table has such."""
+    return ["content", "text_ref"] if any("text_ref" in t.columns for t in tables) else ["content"]
+
+
+def _alike(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """All with the column of references as soon as one has it."""
+    return tuple(with_reference(t) for t in tables) if "text_ref" in _text_columns(*tables) else tables
+
+
 def _merged_media(old: Column, new: Column, strict_kind: bool) -> Column:
     """Old fields win, except the kind, where the new one does."""
     parts = []
@@ -39,10 +50,11 @@ def fold_versions(delta: DataFrame, order: str, strict_kind: bool = True) -> Dat
     survive only if the kind arrived with the very next delivery (see ``merge_messages``).
     """
     kind, rank = F.col("media.kind"), F.col(order)
+    texts = _text_columns(delta)
     versions = delta.groupBy(*MESSAGE_KEY).agg(
         F.count("*").alias("versions"),
         F.min_by(F.struct("id", "date", "from_external_id", "media", "text_embedded", "image_embedded"), rank).alias("first"),
-        F.max_by(F.struct("content"), rank).alias("last"),
+        F.max_by(F.struct(*texts), rank).alias("last"),
         F.max_by("fwd_from", F.when(F.col("fwd_from").isNotNull(), rank)).alias("fwd_from"),
         F.max_by(kind, F.when(kind.isNotNull(), rank)).alias("kind"),
         F.min(F.when(kind.isNotNull(), rank)).alias("known_from"),
@@ -79,7 +91,7 @@ def fold_versions(delta: DataFrame, order: str, strict_kind: bool = True) -> Dat
         F.col("first.id").alias("id"),
         *MESSAGE_KEY,
         F.col("first.date").alias("date"),
-        F.col("last.content").alias("content"),
+        *[F.col(f"last.{c}").alias(c) for c in texts],
         F.col("first.from_external_id").alias("from_external_id"),
         "fwd_from",
         F.when(single, F.col("first.media")).otherwise(several).cast(MEDIA).alias("media"),
@@ -102,6 +114,7 @@ def merge_messages(
     a left join can broadcast a small delivery, so the stored texts then stay where they are, which a full outer join
     could not; finding the new messages moves keys only.
     """
+    base, delta = _alike(base, delta)
     if order is not None:
         return _merge_ranked(base, delta, order, strict_kind)
     old = base.alias("o")
@@ -112,7 +125,7 @@ def merge_messages(
         "o.id",
         *MESSAGE_KEY,
         "o.date",
-        F.when(sent, F.col("n.content")).otherwise(F.col("o.content")).alias("content"),
+        *[F.when(sent, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in _text_columns(base)],
         "o.from_external_id",
         F.coalesce("n.fwd_from", "o.fwd_from").alias("fwd_from"),
         media.alias("media"),
@@ -132,10 +145,12 @@ def _merge_ranked(base: DataFrame, delta: DataFrame, order: str, strict_kind: bo
     The text of a touched row is never that of the stored one, so stored texts are read for untouched rows only.
     """
     keys = delta.select(*MESSAGE_KEY).distinct()
-    columns = ["id", *MESSAGE_KEY, "date", "content", "from_external_id", "fwd_from", "media", "text_embedded", "image_embedded"]
+    texts = _text_columns(base)
+    columns = ["id", *MESSAGE_KEY, "date", *texts, "from_external_id", "fwd_from", "media", "text_embedded", "image_embedded"]
     kind = delta.schema[order].dataType
     held = base.join(keys, MESSAGE_KEY, "left_semi").withColumns(
-        {"content": F.lit(None).cast("string"), "_rank": F.struct(F.lit(0).alias("delivered"), F.lit(None).cast(kind).alias("at"))}
+        {c: F.lit(None).cast(TEXT_REF if c == "text_ref" else "string") for c in texts}
+        | {"_rank": F.struct(F.lit(0).alias("delivered"), F.lit(None).cast(kind).alias("at"))}
     )
     sent = delta.withColumns(
         {
@@ -170,6 +185,8 @@ def write_back(spark: SparkSession, path: str, delta: DataFrame, order: str | No
     """
     stored = spark.read.parquet(path)
     schema = stored.drop("month").schema
+    if "text_ref" in delta.columns and "text_ref" not in schema.fieldNames():
+        raise ValueError("the stored messages hold no references to texts: resolve those of the delivery first")
     keys = delta.select(*MESSAGE_KEY).distinct()
     old = stored.select(*MESSAGE_KEY, "month").join(keys, MESSAGE_KEY, "left_semi").select("month")
     months = settle(old.unionByName(delta.select(month_of().alias("month"))).distinct(), "months")
@@ -177,7 +194,7 @@ def write_back(spark: SparkSession, path: str, delta: DataFrame, order: str | No
     touched = stored.filter(F.col("month").isin(names)).drop("month")
     merged = merge_messages(touched, delta, order, strict_kind).drop("inserted")
     for column in set(schema.fieldNames()) - set(merged.columns):
-        merged = merged.withColumn(column, {"has_text": has_text, "excerpt": excerpt}[column](F.col("content")))
+        merged = merged.withColumn(column, {"has_text": any_has_text, "excerpt": any_excerpt}[column](merged.columns))
     fresh = settle(merged.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), "rewritten")
     write_by_month(fresh, path)
     drop_settled(fresh)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from channelgraph.operators.merge import write_back
-from channelgraph.schemas import STORED_MESSAGES
+from channelgraph.schemas import SLIM_MESSAGES
 from channelgraph.session import drop_settled, settle
 
-STORED = T.StructType([*STORED_MESSAGES.fields, T.StructField("month", T.StringType())])
+STORED = T.StructType([*SLIM_MESSAGES.fields, T.StructField("month", T.StringType())])
 
 
 class SideTable:

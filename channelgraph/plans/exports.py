@@ -13,6 +13,7 @@ from channelgraph.operators.forwards import edge_titles
 from channelgraph.operators.images import image_peers, image_rollup, images_of_peer
 from channelgraph.operators.listing import attach_stats, first_phash, with_peer
 from channelgraph.operators.rollups import file_rollup, item_peers, video_rollup, with_peer_names
+from channelgraph.operators.texts import with_texts
 from channelgraph.schemas import PEER_TYPES
 from channelgraph.sources.sinks import write_csv, write_json
 
@@ -112,15 +113,17 @@ def edge_export_order() -> list[Column]:
     return [F.desc("forward_count"), F.asc("from_external_id"), F.asc("to_external_id")]
 
 
-def _export_rows(messages: DataFrame, peers: DataFrame, links: DataFrame, scope: dict) -> DataFrame:
+def _export_rows(messages: DataFrame, peers: DataFrame, links: DataFrame, scope: dict, texts: DataFrame | None) -> DataFrame:
     """Messages in scope with their peer and first image hash.
 
-    Peer and hash are found for bare ids first, so that the text is moved once, by id, and not by a hot peer.
+    Peer and hash are found for bare ids first, so that the text is moved once, by id, and not by a hot peer. ``texts``
+    (text_id, content) resolves references, last.
     """
     linked = first_phash(links).withColumnsRenamed({"message_id": "id", "link_phash": "image_phash"})
     chosen = messages.filter(export_scope(**scope, columns=messages.columns))
     slim = with_peer(chosen.select("id", "peer_external_id"), peers).join(linked, "id", "left")
-    return chosen.drop("peer_external_id").join(slim, "id")
+    rows = chosen.drop("peer_external_id").join(slim, "id")
+    return rows if texts is None else with_texts(rows, texts)
 
 
 def _media_text(name: str) -> Column:
@@ -128,7 +131,7 @@ def _media_text(name: str) -> Column:
 
 
 def export_messages(
-    messages: DataFrame, peers: DataFrame, links: DataFrame, forwards: bool = True, **scope
+    messages: DataFrame, peers: DataFrame, links: DataFrame, forwards: bool = True, texts: DataFrame | None = None, **scope
 ) -> DataFrame:
     """The flat message table of 24 columns."""
     fwd = F.col("fwd_from")
@@ -145,7 +148,7 @@ def export_messages(
     }
     for c in ("document_id", "mime_type", "file_name", "size_bytes", "duration", "width", "height"):
         flat[f"media_{c}"] = _media_text(c)
-    rows = _export_rows(messages, peers, links, scope)
+    rows = _export_rows(messages, peers, links, scope, texts)
     return rows.select(*[flat.get(c, F.col(c)).alias(c) for c in MESSAGE_COLUMNS])
 
 
@@ -156,14 +159,14 @@ def message_export_order() -> list[Column]:
 
 
 def export_messages_nested(
-    messages: DataFrame, peers: DataFrame, links: DataFrame, forwards: bool = True, **scope
+    messages: DataFrame, peers: DataFrame, links: DataFrame, forwards: bool = True, texts: DataFrame | None = None, **scope
 ) -> tuple[DataFrame, DataFrame]:
     """Peer headers with their number of messages, and one nested record per message.
 
     A busy channel can hold a large share of all messages, so they are never gathered into one value per peer:
     sorted by peer and date they lie together in the output, one line each.
     """
-    rows = _export_rows(messages, peers, links, scope)
+    rows = _export_rows(messages, peers, links, scope, texts)
     fwd, kind = F.col("fwd_from"), media_kind(F.col("media"))
     media = F.struct(
         kind.alias("kind"),

@@ -31,12 +31,13 @@ from channelgraph.operators import (
     reach,
     rollups,
     scope,
+    texts,
     vector_index,
     whole_headers,
 )
 from channelgraph.plans import exports
 from channelgraph.schemas import MEDIA, MEDIA_FIELDS, MEDIA_KINDS, PROFILE_COLUMNS, TABLES
-from channelgraph.session import scratch_path
+from channelgraph.session import scratch_path, settle
 from channelgraph.sources import sinks
 from channelgraph.sources.archive import load_catalog
 from channelgraph.sources.derived import (
@@ -87,9 +88,9 @@ def r6(c) -> Column:
 
 @query
 def s1_catalog_scan(a):
-    _ = a.messages
+    _ = a.slim_messages
     catalog = load_catalog(a.spark, a.root)
-    return catalog.messages.groupBy(F.to_date("date").cast("string").alias("day")).agg(
+    return catalog.slim_messages.groupBy(F.to_date("date").cast("string").alias("day")).agg(
         F.count("*").alias("messages"), F.count_distinct("peer_external_id").alias("peers")
     )
 
@@ -102,15 +103,20 @@ def _flat_message(df, *extra):
     )
 
 
+def _flat_shared(a, df, *extra):
+    """The same of messages that refer to texts."""
+    return _flat_message(texts.with_texts(df, a.message_texts), *extra)
+
+
 @query
 def i1_merge_messages(a):
-    return _flat_message(merge.merge_messages(a.messages, redelivered_messages(message_base(a.source))), "inserted")
+    return _flat_shared(a, merge.merge_messages(a.slim_messages, redelivered_messages(message_base(a.source))), "inserted")
 
 
 @query
 def i1_merge_messages_lenient(a):
     delta = redelivered_messages(message_base(a.source))
-    return _flat_message(merge.merge_messages(a.messages, delta, strict_kind=False), "inserted")
+    return _flat_shared(a, merge.merge_messages(a.slim_messages, delta, strict_kind=False), "inserted")
 
 
 def three_deliveries(base):
@@ -140,15 +146,15 @@ def three_deliveries(base):
 def i1_write_back(a):
     """The later delivery merged into an archive stored by month, and the whole read back."""
     path = scratch_path(a.spark, "by-month")
-    merge.write_by_month(a.messages, path)
+    merge.write_by_month(a.slim_messages, path)
     merge.write_back(a.spark, path, redelivered_messages(message_base(a.source)))
-    return _flat_message(a.spark.read.parquet(path))
+    return _flat_shared(a, a.spark.read.parquet(path))
 
 
 def _partials_after_write_back(a):
     """Partials of the archive by month, kept up while the later delivery is written back."""
     path = scratch_path(a.spark, "by-month")
-    merge.write_by_month(a.messages, path)
+    merge.write_by_month(a.slim_messages, path)
     kept = partials.MonthlyPartials(a.spark, path, scratch_path(a.spark, "partials"))
     kept.rebuild()
     kept.write_back(redelivered_messages(message_base(a.source)))
@@ -205,7 +211,7 @@ def i1_whole_headers_typed(a):
 @query
 def i1_merge_deliveries(a):
     """Three deliveries at once over the stored archive; the oracle applies them one by one."""
-    return _flat_message(merge.merge_messages(a.messages, three_deliveries(message_base(a.source)), order="seq"), "inserted")
+    return _flat_shared(a, merge.merge_messages(a.slim_messages, three_deliveries(message_base(a.source)), order="seq"), "inserted")
 
 
 def _peer_deliveries(a):
@@ -254,7 +260,7 @@ def i4_discover_peers(a):
 
 @query
 def i5_first_message(a):
-    probes = a.messages.select(
+    probes = a.slim_messages.select(
         F.col("peer_external_id").alias("external_id"), F.col("telegram_message_id").alias("message_id"), "date"
     )
     return merge.first_message(a.peers, probes).select("external_id", "first_message_id", "first_message_at")
@@ -267,14 +273,14 @@ def i5_first_message_missing(a):
 
 @query
 def i6_forward_occurrences(a):
-    return forwards.forward_occurrences(a.messages)
+    return forwards.forward_occurrences(a.slim_messages)
 
 
 @query
 def i6_forward_occurrences_new(a):
     covered = a.peer_fetch_coverage.select(F.col("peer_external_id").alias("from_external_id"))
     stored = a.forward_edge_messages.join(covered, "from_external_id", "left_semi")
-    return forwards.forward_occurrences(a.messages, stored=stored)
+    return forwards.forward_occurrences(a.slim_messages, stored=stored)
 
 
 @query
@@ -302,7 +308,7 @@ def i7_recount_edges(a):
 
 @query
 def i8_image_links(a):
-    return images.image_links(a.messages)
+    return images.image_links(a.slim_messages)
 
 
 @query
@@ -319,7 +325,7 @@ def i8_merge_links(a):
 
 @query
 def i9_image_blobs(a):
-    harvests = a.messages.select(
+    harvests = a.slim_messages.select(
         F.col("media.phash").alias("phash"), F.col("media.path").alias("canonical_path"), F.col("date").alias("seen_at")
     )
     return images.image_blobs(a.image_blob_messages, harvests)
@@ -334,13 +340,13 @@ def _fresh_text_vectors(a):
 
 @query
 def i10_merge_text_embeddings(a):
-    merged, _ = merge.merge_text_embeddings(a.message_text_embeddings, _fresh_text_vectors(a), a.messages)
+    merged, _ = merge.merge_text_embeddings(a.message_text_embeddings, _fresh_text_vectors(a), a.slim_messages)
     return merged.select("message_id", "model_id", "dim", r6(F.col("embedding")[0].cast("double")).alias("x0"))
 
 
 @query
 def i10_text_embedded_flags(a):
-    _, flagged = merge.merge_text_embeddings(a.message_text_embeddings, _fresh_text_vectors(a), a.messages)
+    _, flagged = merge.merge_text_embeddings(a.message_text_embeddings, _fresh_text_vectors(a), a.slim_messages)
     return flagged.select("id", "text_embedded")
 
 
@@ -350,7 +356,7 @@ def _image_embedding_merge(a):
         .withColumn("phash", F.concat(F.lit(" "), F.upper("phash")))
         .withColumn("model_id", F.lit("m2"))
     )
-    return merge.merge_image_embeddings(a.image_embeddings, fresh, a.image_blobs, a.image_blob_messages, a.messages)
+    return merge.merge_image_embeddings(a.image_embeddings, fresh, a.image_blobs, a.image_blob_messages, a.slim_messages)
 
 
 @query
@@ -370,7 +376,7 @@ def i10_image_embedded_flags(a):
 
 @query
 def i11_reset_text(a):
-    vectors_, messages, counters = merge.reset_text_embeddings(a.message_text_embeddings, a.messages, a.peer_counts)
+    vectors_, messages, counters = merge.reset_text_embeddings(a.message_text_embeddings, a.slim_messages, a.peer_counts)
     flagged = messages.groupBy("peer_external_id").agg(F.count(F.when(F.col("text_embedded"), 1)).alias("flagged"))
     left = vectors_.groupBy(F.col("message_id").alias("peer_external_id")).agg(F.count("*").alias("vectors"))
     return (
@@ -383,14 +389,14 @@ def i11_reset_text(a):
 @query
 def i11_reset_images(a):
     *_, counters = merge.reset_image_embeddings(
-        a.image_embeddings, a.image_blobs, a.messages, a.peer_counts, a.image_blob_messages, a.image_cache
+        a.image_embeddings, a.image_blobs, a.slim_messages, a.peer_counts, a.image_blob_messages, a.image_cache
     )
     return counters.select("peer_external_id", "image_embeddable", "image_embedded_unique", "image_unique")
 
 
 def _marked(a):
     stored = a.image_blobs.filter(F.trim("canonical_path") != "").select("phash")
-    return merge.mark_downloaded(a.messages, a.image_blob_messages, stored, False, "gone/x")
+    return merge.mark_downloaded(a.slim_messages, a.image_blob_messages, stored, False, "gone/x")
 
 
 @query
@@ -405,7 +411,7 @@ def i12_download_flips(a):
 
 @query
 def i13_reclassify_media(a):
-    return merge.reclassify_media(a.messages).select("id", F.col("media.kind").alias("kind"), F.col("media.tl").alias("tl"))
+    return merge.reclassify_media(a.slim_messages).select("id", F.col("media.kind").alias("kind"), F.col("media.tl").alias("tl"))
 
 
 @query
@@ -502,12 +508,12 @@ def k3_write_partitioned(a):
 
 @query
 def f1_media_kind(a):
-    return a.messages.select("id", media.media_kind(F.col("media")).alias("kind"))
+    return a.slim_messages.select("id", media.media_kind(F.col("media")).alias("kind"))
 
 
 @query
 def f1_media_kind_by_hints(a):
-    return a.messages.select("id", media.media_kind_by_hints(F.col("media")).alias("kind"))
+    return a.slim_messages.select("id", media.media_kind_by_hints(F.col("media")).alias("kind"))
 
 
 @query
@@ -534,22 +540,22 @@ def f3_signed_ids(a):
 
 @query
 def f4_fwd_origin(a):
-    return a.messages.select("id", fwd.fwd_origin(F.col("fwd_from")).alias("origin"))
+    return a.slim_messages.select("id", fwd.fwd_origin(F.col("fwd_from")).alias("origin"))
 
 
 @query
 def f5_fwd_origin_msg(a):
-    return a.messages.select("id", fwd.fwd_origin_msg(F.col("fwd_from")).alias("origin_mid"))
+    return a.slim_messages.select("id", fwd.fwd_origin_msg(F.col("fwd_from")).alias("origin_mid"))
 
 
 @query
 def f6_fwd_name(a):
-    return a.messages.select("id", fwd.fwd_name(F.col("fwd_from")).alias("name"))
+    return a.slim_messages.select("id", fwd.fwd_name(F.col("fwd_from")).alias("name"))
 
 
 @query
 def f7_phash(a):
-    return a.messages.select("id", text.norm_phash(F.col("media")["phash"]).alias("phash"), text.is_dedupable(F.col("media")["phash"]).alias("usable"))
+    return a.slim_messages.select("id", text.norm_phash(F.col("media")["phash"]).alias("phash"), text.is_dedupable(F.col("media")["phash"]).alias("usable"))
 
 
 @query
@@ -564,7 +570,7 @@ def f9_has_text(a):
 
 @query
 def f10_guarded_numbers(a):
-    return a.messages.select(
+    return a.slim_messages.select(
         "id", media.digits_or_null(F.col("media")["size_bytes"]).alias("size"), media.digits_or_null(F.col("media")["duration"], "double").alias("duration"),
         media.digits_or_null(F.col("media")["duration"]).alias("whole"), media.digits_or_null(F.col("media")["mime_type"]).alias("none"),
     )
@@ -572,14 +578,14 @@ def f10_guarded_numbers(a):
 
 @query
 def f11_is_downloaded(a):
-    return a.messages.select("id", media.is_downloaded(F.col("media")).alias("downloaded"))
+    return a.slim_messages.select("id", media.is_downloaded(F.col("media")).alias("downloaded"))
 
 
 @query
 def f12_media_item_id(a):
     item = media.media_item_id(F.col("media"), F.col("id"))
     parsed = media.parse_item_id(item)
-    return a.messages.select("id", item.alias("item"), parsed["kind"].alias("kind"), parsed["ident"].alias("ident"))
+    return a.slim_messages.select("id", item.alias("item"), parsed["kind"].alias("kind"), parsed["ident"].alias("ident"))
 
 
 @query
@@ -590,7 +596,7 @@ def f13_format_bytes(a):
 
 @query
 def f14_coverage_ratio(a):
-    spans = a.messages.groupBy("peer_external_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    spans = a.slim_messages.groupBy("peer_external_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     known = a.peers.select(F.col("external_id").alias("peer_external_id"), "first_message_at")
     return spans.join(known, "peer_external_id").select(
         "peer_external_id", timecov.layer_fill(F.col("first_message_at"), timecov.bound(NOW), F.col("hi")).alias("fill")
@@ -676,7 +682,7 @@ def f23_forward_score(a):
 @query
 def f25_media_preview(a):
     p = media.media_preview(F.col("media"), F.lit(None).cast("string"))
-    return a.messages.select("id", p.alias("p")).select("id", *[F.col(f"p.{f}").alias(f) for f in (
+    return a.slim_messages.select("id", p.alias("p")).select("id", *[F.col(f"p.{f}").alias(f) for f in (
         "kind", "phash", "size_bytes", "size_label", "mime_type", "file_name", "duration", "width", "height")])
 
 
@@ -690,25 +696,25 @@ def f28_node_size(a):
 def f30_in_range(a):
     lo = timecov.start_of_day(timecov.bound("2024-01-10 13:00:00"))
     hi = timecov.end_of_day(timecov.bound("2024-01-12 01:00:00"))
-    return a.messages.filter(timecov.in_range(F.col("date"), lo, hi)).select("id", "date")
+    return a.slim_messages.filter(timecov.in_range(F.col("date"), lo, hi)).select("id", "date")
 
 
 # ---- filters
 
 @query
 def p1_message_scope(a):
-    return a.messages.filter(predicates.message_scope(FOCUS, START, END, {"none", "image", "video"})).select("id")
+    return a.slim_messages.filter(predicates.message_scope(FOCUS, START, END, {"none", "image", "video"})).select("id")
 
 
 @query
 def p1_message_scope_media(a):
-    return a.messages.filter(predicates.message_scope(media=predicates.parse_media("gif,document"))).select("id")
+    return a.slim_messages.filter(predicates.message_scope(media=predicates.parse_media("gif,document"))).select("id")
 
 
 def _origin_index(a):
     """Messages by month with the postings of origins beside them."""
     path = scratch_path(a.spark, "by-month")
-    merge.write_by_month(a.messages, path)
+    merge.write_by_month(a.slim_messages, path)
     index = origin_index.OriginIndex(a.spark, path, scratch_path(a.spark, "origins"))
     index.rebuild()
     return index
@@ -745,12 +751,13 @@ def p1_indexed_scopes_after_write_back(a):
 def p1_indexed_messages(a):
     """The stored messages of a scope, whole."""
     index = _origin_index(a)
-    return index.whole(index.scope(FOCUS, START, END)).select("id", "telegram_message_id", F.md5("content").alias("content_md5"))
+    found = settle(index.whole(index.scope(FOCUS, START, END)).select("id", "telegram_message_id", "content", "text_ref"), "scope")
+    return texts.with_few_texts(found, a.message_texts).select("id", "telegram_message_id", F.md5("content").alias("content_md5"))
 
 
 @query
 def p2_origin_matches(a):
-    return a.messages.filter(fwd.origin_matches(F.col("fwd_from"), FOCUS - 1)).select("id")
+    return a.slim_messages.filter(fwd.origin_matches(F.col("fwd_from"), FOCUS - 1)).select("id")
 
 
 @query
@@ -760,7 +767,7 @@ def p3_link_scope(a):
 
 @query
 def p4_export_scope(a):
-    return a.messages.filter(predicates.export_scope(None, START, END, text_only=True, media_only=True, columns=a.messages.columns)).select("id")
+    return a.slim_messages.filter(predicates.export_scope(None, START, END, text_only=True, media_only=True, columns=a.slim_messages.columns)).select("id")
 
 
 @query
@@ -803,17 +810,17 @@ def p7_has_pixels(a):
 
 @query
 def j1_messages_with_peer(a):
-    return listing.with_peer(a.messages.select("id", "peer_external_id"), a.peers).select("id", "peer_type", "peer_title", "peer_username")
+    return listing.with_peer(a.slim_messages.select("id", "peer_external_id"), a.peers).select("id", "peer_type", "peer_title", "peer_username")
 
 
 @query
 def j2_first_phash(a):
-    return a.messages.select(F.col("id").alias("message_id")).join(listing.first_phash(a.image_blob_messages), "message_id", "left")
+    return a.slim_messages.select(F.col("id").alias("message_id")).join(listing.first_phash(a.image_blob_messages), "message_id", "left")
 
 
 @query
 def j3_unlinked_forwards(a):
-    return forwards.unlinked_forwards(a.messages, a.forward_edge_messages).select("id")
+    return forwards.unlinked_forwards(a.slim_messages, a.forward_edge_messages).select("id")
 
 
 @query
@@ -823,7 +830,7 @@ def j4_images_of_peer(a):
 
 @query
 def j5_stored_originals(a):
-    return listing.stored_originals(a.messages, forwards.origin_keys(a.messages)).select("id", "peer_external_id", "telegram_message_id")
+    return listing.stored_originals(a.slim_messages, forwards.origin_keys(a.slim_messages)).select("id", "peer_external_id", "telegram_message_id")
 
 
 @query
@@ -833,13 +840,13 @@ def j6_blobs_with_links(a):
 
 @query
 def j7_pending_by_model(a):
-    return knn.pending_text(a.messages, a.message_text_embeddings, "t1").select("message_id")
+    return knn.pending_text(a.slim_messages, a.message_text_embeddings, "t1").select("message_id")
 
 
 @query
 def j8_count_spine(a):
     parts = [
-        counts.message_counts(a.messages).select("peer_external_id"),
+        counts.message_counts(a.slim_messages).select("peer_external_id"),
         counts.image_counts(a.image_blob_messages, a.image_blobs, a.image_cache).select("peer_external_id"),
         counts.edge_totals(a.forward_edges).select("peer_external_id"),
     ]
@@ -865,17 +872,17 @@ def j11_edge_titles(a):
 
 @query
 def j12_items_of_peer(a):
-    return rollups.media_items(a.messages, "video", FOCUS).select("item_id", "id")
+    return rollups.media_items(a.slim_messages, "video", FOCUS).select("item_id", "id")
 
 
 @query
 def j13_first_message_dates(a):
-    return coverage.first_message_dates(a.peers, a.messages).select("external_id", "first_message_id", "first_message_at")
+    return coverage.first_message_dates(a.peers, a.slim_messages).select("external_id", "first_message_id", "first_message_at")
 
 
 @query
 def j14_named_fan_out(a):
-    return rollups.with_peer_names(images.image_peers(a.image_blob_messages, a.messages), a.peers).select(
+    return rollups.with_peer_names(images.image_peers(a.image_blob_messages, a.slim_messages), a.peers).select(
         "phash", "peer_external_id", "peer_type", "peer_title", "appearances", "forwarded"
     )
 
@@ -889,12 +896,12 @@ def j15_unpersisted_images(a):
 
 @query
 def a1_peer_counts(a):
-    return counts.peer_counts(a.messages, a.image_blob_messages, a.image_blobs, a.image_cache, a.forward_edges)
+    return counts.peer_counts(a.slim_messages, a.image_blob_messages, a.image_blobs, a.image_cache, a.forward_edges)
 
 
 @query
 def a2_message_deltas(a):
-    return counts.message_deltas(a.messages)
+    return counts.message_deltas(a.slim_messages)
 
 
 @query
@@ -921,13 +928,13 @@ def a4_snapshot_diff(a):
 
 @query
 def a5_media_windows(a):
-    return coverage.media_windows(a.messages, a.image_blob_messages)
+    return coverage.media_windows(a.slim_messages, a.image_blob_messages)
 
 
 @query
 def a6_fetch_coverage(a):
     floor = a.peers.select(F.col("external_id").alias("peer_external_id"), (F.col("first_message_id") + 1).alias("min_id"))
-    return coverage.fetch_coverage(a.messages, floor)
+    return coverage.fetch_coverage(a.slim_messages, floor)
 
 
 @query
@@ -936,7 +943,7 @@ def a7_media_coverage(a):
         "peer_external_id", F.lit(True).alias("videos_excluded"), F.lit(False).alias("large_excluded"),
         F.expr("CASE WHEN peer_external_id % 6 = 0 THEN 777 END").cast("bigint").alias("max_media_bytes"),
     )
-    return coverage.media_coverage(a.messages, policy, a.peer_media_coverage)
+    return coverage.media_coverage(a.slim_messages, policy, a.peer_media_coverage)
 
 
 @query
@@ -951,42 +958,42 @@ def a8_image_rollup_of_peer(a):
 
 @query
 def a9_image_peers(a):
-    return images.image_peers(a.image_blob_messages, a.messages)
+    return images.image_peers(a.image_blob_messages, a.slim_messages)
 
 
 @query
 def a10_video_rollup(a):
-    return rollups.video_rollup(a.messages)
+    return rollups.video_rollup(a.slim_messages)
 
 
 @query
 def a10_video_rollup_of_peer(a):
-    return rollups.video_rollup(a.messages, FOCUS)
+    return rollups.video_rollup(a.slim_messages, FOCUS)
 
 
 @query
 def a11_file_rollup(a):
-    return rollups.file_rollup(a.messages)
+    return rollups.file_rollup(a.slim_messages)
 
 
 @query
 def a12_video_peers(a):
-    return rollups.item_peers(a.messages, "video")
+    return rollups.item_peers(a.slim_messages, "video")
 
 
 @query
 def a12_file_peers(a):
-    return rollups.item_peers(a.messages, "document")
+    return rollups.item_peers(a.slim_messages, "document")
 
 
 @query
 def a13_kind_histogram(a):
-    return counts.kind_histogram(a.messages, a.peer_fetch_coverage)
+    return counts.kind_histogram(a.slim_messages, a.peer_fetch_coverage)
 
 
 @query
 def a14_catalog_totals(a):
-    return counts.catalog_totals(a.messages, a.peer_counts, a.image_blobs)
+    return counts.catalog_totals(a.slim_messages, a.peer_counts, a.image_blobs)
 
 
 @query
@@ -1006,7 +1013,7 @@ def a15_graph_endpoints(a):
 
 @query
 def a16_id_span(a):
-    return coverage.id_span(a.messages, a.peers)
+    return coverage.id_span(a.slim_messages, a.peers)
 
 
 @query
@@ -1031,7 +1038,7 @@ def a19_edge_totals(a):
 
 @query
 def u1_id_spine(a):
-    spine = a.messages.select("peer_external_id").unionByName(a.image_blob_messages.select("peer_external_id"))
+    spine = a.slim_messages.select("peer_external_id").unionByName(a.image_blob_messages.select("peer_external_id"))
     return spine.unionByName(a.forward_edges.select(F.col("from_external_id").alias("peer_external_id"))).distinct()
 
 
@@ -1044,7 +1051,7 @@ def u2_edge_ends(a):
 @query
 def u3_node_kinds(a):
     peers_, _ = graph.forward_graph(a.forward_edges, a.peers, a.peer_fetch_coverage)
-    notes, _ = graph.message_layer(graph.scoped_forwards(a.messages), a.messages)
+    notes, _ = graph.message_layer(graph.scoped_forwards(a.slim_messages), a.slim_messages)
     shared, _ = graph.shared_image_graph(a.image_blob_messages, a.peers, a.peer_fetch_coverage)
     nodes = peers_.unionByName(notes).unionByName(shared.filter("kind = 'image'"))
     return nodes.groupBy("kind").agg(F.count("*").alias("nodes"))
@@ -1054,13 +1061,13 @@ def u3_node_kinds(a):
 
 @query
 def t1_message_page(a):
-    rows = listing.message_page(a.messages, a.peers, limit=50, offset=100)
+    rows = listing.message_page(a.slim_messages, a.peers, limit=50, offset=100, texts=a.message_texts)
     return rows.select("id", "date", "telegram_message_id", "peer_title", F.md5("content").alias("content"), "total")
 
 
 @query
 def t1_message_page_after(a):
-    rows = a.messages.select("id", "date", "telegram_message_id")
+    rows = a.slim_messages.select("id", "date", "telegram_message_id")
     return listing.page_after(rows, ["date", "telegram_message_id", "id"], ("2024-01-15 00:00:00", 0, 0), 50)
 
 
@@ -1077,19 +1084,19 @@ def t2_image_page_by_date(a):
 
 @query
 def t1_video_page(a):
-    rows = rollups.video_rollup(a.messages)
+    rows = rollups.video_rollup(a.slim_messages)
     return listing.page(rows, rollups.item_order(), 50, 5, with_total=True).select("item_id", "appearances", "unique_peers", "last_seen_at", "total")
 
 
 @query
 def t1_file_page(a):
-    rows = rollups.file_rollup(a.messages)
+    rows = rollups.file_rollup(a.slim_messages)
     return listing.page(rows, rollups.item_order(), 50, with_total=True).select("item_id", "appearances", "unique_peers", "last_seen_at", "total")
 
 
 @query
 def t3_newest_with_flag(a):
-    rows = a.messages.select("id", "date")
+    rows = a.slim_messages.select("id", "date")
     return listing.newest(rows, 100, [F.desc_nulls_last("date"), F.asc("id")])
 
 
@@ -1109,12 +1116,12 @@ def t4_peer_order_subscribers(a):
 
 @query
 def t5_latest_sample(a):
-    return forwards.latest_sample(a.messages)
+    return forwards.latest_sample(a.slim_messages)
 
 
 @query
 def t6_video_sources(a):
-    return rollups.media_sources(a.messages, "video", k=16).select("item_id", "id", "rank")
+    return rollups.media_sources(a.slim_messages, "video", k=16).select("item_id", "id", "rank")
 
 
 @query
@@ -1126,10 +1133,10 @@ def t6_image_sources(a):
 def t1_indexed_pages(a):
     """A page of seven at every 997th place of the listing, and of every peer the third to fifth newest, found by counts."""
     path = scratch_path(a.spark, "by-month")
-    merge.write_by_month(a.messages, path)
+    merge.write_by_month(a.slim_messages, path)
     index = offset_index.OffsetIndex(a.spark, path, scratch_path(a.spark, "offsets"))
     index.rebuild()
-    places = a.messages.agg(F.explode(F.sequence(F.lit(0), F.count("*"), F.lit(997))).alias("offset"))
+    places = a.slim_messages.agg(F.explode(F.sequence(F.lit(0), F.count("*"), F.lit(997))).alias("offset"))
     of_all = places.select(F.concat(F.lit("all:"), "offset").alias("page"), F.lit(None).cast("long").alias("peer"), "offset", F.lit(7).alias("limit"))
     of_peers = a.peers.select(
         F.concat(F.lit("peer:"), "external_id").alias("page"), F.col("external_id").alias("peer"), F.lit(2).alias("offset"), F.lit(3).alias("limit")
@@ -1149,7 +1156,7 @@ def _forward_graph(a):
 
 
 def _message_layer(a, **limits):
-    return graph.message_layer(graph.scoped_forwards(a.messages, **limits), a.messages)
+    return graph.message_layer(graph.scoped_forwards(a.slim_messages, **limits), a.slim_messages)
 
 
 def _whole_graph(a):
@@ -1171,7 +1178,7 @@ def g1_forward_graph_edges(a):
 
 @query
 def g2_origin_keys(a):
-    return forwards.origin_keys(a.messages)
+    return forwards.origin_keys(a.slim_messages)
 
 
 @query
@@ -1187,7 +1194,7 @@ def g3_message_layer_edges(a):
 @query
 def g3_message_graph_newest(a):
     """The newest 500 forwards of a scope, as a screen with that limit would ask for."""
-    nodes, _, _ = graph.newest_message_graph(a.messages, 500, start=START, end=END)
+    nodes, _, _ = graph.newest_message_graph(a.slim_messages, 500, start=START, end=END)
     return nodes.select("id", "label", "date", "message_id")
 
 
@@ -1212,12 +1219,12 @@ def g4_shared_image_nodes_of_peer(a):
 
 @query
 def g5_graph_stats(a):
-    return graph.graph_stats(a.forward_edges, a.forward_edge_messages, a.messages)
+    return graph.graph_stats(a.forward_edges, a.forward_edge_messages, a.slim_messages)
 
 
 @query
 def g5_graph_stats_of_peer(a):
-    return graph.graph_stats(a.forward_edges, a.forward_edge_messages, a.messages, peer=FOCUS, media={"image", "none"})
+    return graph.graph_stats(a.forward_edges, a.forward_edge_messages, a.slim_messages, peer=FOCUS, media={"image", "none"})
 
 
 @query
@@ -1361,7 +1368,7 @@ def v2_knn_images_whole(a):
 @query
 def v3_hydrate_messages_whole(a):
     hits = knn.knn_messages(a.message_text_embeddings, _every_hundredth(a), 20, "t0").withColumnRenamed("message_id", "id")
-    rows = listing.list_messages(a.messages, a.peers)
+    rows = listing.list_messages(a.slim_messages, a.peers)
     return knn.hydrate(hits, rows, "id").select("query_id", "id", "rank", "score", "peer_title", "media_kind", "forwarded")
 
 
@@ -1377,7 +1384,7 @@ def v3_hydrate_images_whole(a):
 @query
 def v3_hit_peers_whole(a):
     hits = knn.knn_images(a.image_embeddings, _every_hundredth(a), 20, "m0")
-    found = images.hit_peers(hits, a.image_blob_messages, a.messages, a.peers)
+    found = images.hit_peers(hits, a.image_blob_messages, a.slim_messages, a.peers)
     return found.select("query_id", "phash", "peer_external_id", "peer_title", "appearances", "forwarded", "last_seen_at", "place")
 
 
@@ -1405,7 +1412,7 @@ def v2_index_images(a):
 
 @query
 def v1_knn_messages_of_peer(a):
-    return knn.knn_messages(a.message_text_embeddings, _questions(a), 5, "t0", a.messages, FOCUS).select("query_id", "message_id", "rank")
+    return knn.knn_messages(a.message_text_embeddings, _questions(a), 5, "t0", a.slim_messages, FOCUS).select("query_id", "message_id", "rank")
 
 
 @query
@@ -1421,7 +1428,7 @@ def v2_knn_images_of_peer(a):
 @query
 def v3_hydrate_messages(a):
     hits = knn.knn_messages(a.message_text_embeddings, _questions(a), 20, "t0").withColumnRenamed("message_id", "id")
-    rows = listing.list_messages(a.messages, a.peers)
+    rows = listing.list_messages(a.slim_messages, a.peers)
     return knn.hydrate(hits, rows, "id").select("query_id", "id", "rank", "score", "peer_title", "media_kind", "forwarded")
 
 
@@ -1437,13 +1444,13 @@ def v3_hydrate_images(a):
 @query
 def v3_hit_peers(a):
     hits = knn.knn_images(a.image_embeddings, _questions(a), 20, "m0")
-    found = images.hit_peers(hits, a.image_blob_messages, a.messages, a.peers)
+    found = images.hit_peers(hits, a.image_blob_messages, a.slim_messages, a.peers)
     return found.select("query_id", "phash", "peer_external_id", "peer_title", "appearances", "forwarded", "last_seen_at", "place")
 
 
 @query
 def v4_pending_text(a):
-    return knn.pending_text(a.messages, a.message_text_embeddings, "t0").select("message_id", "date")
+    return knn.pending_text(a.slim_messages, a.message_text_embeddings, "t0").select("message_id", "date")
 
 
 @query
@@ -1459,7 +1466,7 @@ def _numbers_text(embedding):
 
 @query
 def v6_embed_text(a):
-    pending = knn.pending_text(a.messages, a.message_text_embeddings, "multilingual-e5-small")
+    pending = knn.pending_text(a.slim_messages, a.message_text_embeddings, "multilingual-e5-small", texts=a.message_texts)
     done = encode.embed_text(pending, encode.HashingEncoder, "multilingual-e5-small")
     return done.select("message_id", "model_id", "dim", _numbers_text(F.col("embedding")).alias("vector"))
 
@@ -1587,7 +1594,7 @@ def v11_hash_images(a):
 
 @query
 def v12_missing_phash(a):
-    return images.missing_phash(a.messages).select("id", "peer_external_id", "telegram_message_id")
+    return images.missing_phash(a.slim_messages).select("id", "peer_external_id", "telegram_message_id")
 
 
 @query
@@ -1631,7 +1638,7 @@ def c2_list_peers(a):
 @query
 def c3_peer_coverage(a):
     report = coverage.peer_coverage(
-        a.peers, a.messages, a.image_blob_messages, a.peer_counts, a.peer_fetch_coverage, a.peer_media_coverage, NOW
+        a.peers, a.slim_messages, a.image_blob_messages, a.peer_counts, a.peer_fetch_coverage, a.peer_media_coverage, NOW
     )
     layer = [
         F.col(f"media_layers.{k}.{f}").alias(f"{k}_{f}") for k in MEDIA_KINDS for f in ("covered_after", "covered_before", "fill")
@@ -1650,18 +1657,18 @@ def c3_peer_coverage(a):
 
 @query
 def c4_list_messages(a):
-    return listing.list_messages(a.messages, a.peers).withColumn("content", F.md5("content")).drop("peer_usernames")
+    return listing.list_messages(a.slim_messages, a.peers, texts=a.message_texts).withColumn("content", F.md5("content")).drop("peer_usernames")
 
 
 @query
 def c4_list_messages_cut(a):
     """The same as a screen asks for it, texts cut at 2000 characters."""
-    return listing.list_messages(a.messages, a.peers, content_chars=2000).select("id", F.md5("content").alias("content"))
+    return listing.list_messages(a.slim_messages, a.peers, content_chars=2000, texts=a.message_texts).select("id", F.md5("content").alias("content"))
 
 
 @query
 def c5_message_detail(a):
-    rows = listing.message_detail(a.messages, a.image_blob_messages)
+    rows = listing.message_detail(a.slim_messages, a.image_blob_messages, a.message_texts)
     return rows.select(
         "id", "telegram_message_id", "date", F.md5("content").alias("content"), "media_kind", F.col("media.phash").alias("phash"),
         F.col("media.size_label").alias("size_label"), F.col("media.duration").alias("duration"), F.col("media.width").alias("width"),
@@ -1670,7 +1677,7 @@ def c5_message_detail(a):
 
 @query
 def c6_lookup_origin(a):
-    return listing.lookup_origin(a.messages, forwards.origin_keys(a.messages))
+    return listing.lookup_origin(a.slim_messages, forwards.origin_keys(a.slim_messages))
 
 
 @query
@@ -1739,20 +1746,20 @@ def x1_saved_peer_files(a):
 
 @query
 def x3_export_messages(a):
-    return exports.export_messages(a.messages, a.peers, a.image_blob_messages).withColumn("content", F.md5("content"))
+    return exports.export_messages(a.slim_messages, a.peers, a.image_blob_messages, texts=a.message_texts).withColumn("content", F.md5("content"))
 
 
 @query
 def x3_export_messages_scoped(a):
     rows = exports.export_messages(
-        a.messages, a.peers, a.image_blob_messages, forwards=False, peer=FOCUS, start=START, end=END, text_only=True, media_only=True
+        a.slim_messages, a.peers, a.image_blob_messages, forwards=False, peer=FOCUS, start=START, end=END, text_only=True, media_only=True
     )
     return rows.select("id", "date", "peer_title", "forwarded", "fwd_from_peer_id", "fwd_from_name", "media_kind", "image_phash")
 
 
 @query
 def x3_export_messages_nested(a):
-    _, records = exports.export_messages_nested(a.messages, a.peers, a.image_blob_messages)
+    _, records = exports.export_messages_nested(a.slim_messages, a.peers, a.image_blob_messages)
     return records.select(
         "peer_external_id", "id", F.col("forward.from_peer_id").alias("from_peer_id"), F.col("forward.from_name").alias("from_name"),
         F.col("media.kind").alias("kind"), F.col("media.document_id").alias("document_id"), F.col("media.phash").alias("phash"),
@@ -1761,38 +1768,38 @@ def x3_export_messages_nested(a):
 
 @query
 def x3_export_message_headers(a):
-    headers, _ = exports.export_messages_nested(a.messages, a.peers, a.image_blob_messages)
+    headers, _ = exports.export_messages_nested(a.slim_messages, a.peers, a.image_blob_messages)
     return headers.drop("usernames")
 
 
 @query
 def x4_export_images(a):
-    return exports.export_images(a.image_blobs, a.image_blob_messages, a.messages, a.peers)[0]
+    return exports.export_images(a.image_blobs, a.image_blob_messages, a.slim_messages, a.peers)[0]
 
 
 @query
 def x4_export_image_peers(a):
-    return exports.export_images(a.image_blobs, a.image_blob_messages, a.messages, a.peers)[1]
+    return exports.export_images(a.image_blobs, a.image_blob_messages, a.slim_messages, a.peers)[1]
 
 
 @query
 def x5_export_videos(a):
-    return exports.export_videos(a.messages, a.peers)[0]
+    return exports.export_videos(a.slim_messages, a.peers)[0]
 
 
 @query
 def x5_export_video_peers(a):
-    return exports.export_videos(a.messages, a.peers, FOCUS)[1]
+    return exports.export_videos(a.slim_messages, a.peers, FOCUS)[1]
 
 
 @query
 def x6_export_files(a):
-    return exports.export_files(a.messages, a.peers)[0]
+    return exports.export_files(a.slim_messages, a.peers)[0]
 
 
 @query
 def x6_export_file_peers(a):
-    return exports.export_files(a.messages, a.peers)[1]
+    return exports.export_files(a.slim_messages, a.peers)[1]
 
 
 # ---- streams
@@ -1804,10 +1811,10 @@ STREAM_BUCKETS = 16
 def _deliveries(a):
     """The archive delivered once, then everything again with edits, as files for a stream."""
     path = scratch_path(a.spark, "deliveries")
-    first = a.messages.withColumn("seq", F.col("id"))
+    first = a.slim_messages.withColumn("seq", F.col("id"))
     again = redelivered_messages(message_base(a.source)).withColumn("seq", F.col("id"))
-    columns = jobs.DELIVERIES.fieldNames()
-    first.select(*columns).unionByName(again.select(*columns)).write.parquet(path)
+    columns = [c for c in jobs.DELIVERIES.fieldNames() if c in again.columns]
+    first.select(*columns, "text_ref").unionByName(again.select(*columns), allowMissingColumns=True).write.parquet(path)
     return path
 
 
@@ -1821,7 +1828,7 @@ def w1_message_stream(a):
     store = jobs.MessageStream(a.spark, scratch_path(a.spark, "w1"))
     _stream(a, store.on_batch)
     empty = a.spark.createDataFrame([], TABLES["messages"])
-    return _flat_message(store.merged(empty), "inserted")
+    return _flat_shared(a, store.merged(empty), "inserted")
 
 
 @query
@@ -1830,16 +1837,16 @@ def w1_message_stream_over_base(a):
     store = jobs.MessageStream(a.spark, scratch_path(a.spark, "w1"))
     path = scratch_path(a.spark, "deliveries")
     sent = three_deliveries(message_base(a.source)).withColumn("seq", F.col("seq").cast("long"))
-    sent.select(*jobs.DELIVERIES.fieldNames()).write.parquet(path)
+    sent.select(*[c for c in jobs.DELIVERIES.fieldNames() if c in sent.columns]).write.parquet(path)
     _stream(a, store.on_batch, path)
-    return _flat_message(store.merged(a.messages.filter("id % 2 = 0")), "inserted")
+    return _flat_shared(a, store.merged(a.slim_messages.filter("id % 2 = 0")), "inserted")
 
 
 @query
 def w2_counter_stream(a):
     store = jobs.CounterStream(a.spark, scratch_path(a.spark, "w2"), STREAM_BUCKETS)
     path = scratch_path(a.spark, "deliveries")
-    twice = a.messages.withColumn("seq", F.col("id"))
+    twice = a.slim_messages.withColumn("seq", F.col("id"))
     twice.unionByName(twice.withColumn("seq", F.col("seq") + 10**9)).write.parquet(path)
     _stream(a, store.on_batch, path)
     return store.counters()
@@ -1848,7 +1855,7 @@ def w2_counter_stream(a):
 def _delivered_twice(a):
     """Every message in two deliveries, as files for a stream."""
     path = scratch_path(a.spark, "deliveries")
-    twice = a.messages.withColumn("seq", F.col("id"))
+    twice = a.slim_messages.withColumn("seq", F.col("id"))
     twice.unionByName(twice.withColumn("seq", F.col("seq") + 10**9)).write.parquet(path)
     return jobs.read_deliveries(a.spark, path, files_per_batch=8)
 
@@ -1884,7 +1891,7 @@ def w3_forward_state(a):
 def w3_forward_stream(a):
     store = jobs.ForwardStream(a.spark, scratch_path(a.spark, "w3"), STREAM_BUCKETS)
     path = scratch_path(a.spark, "deliveries")
-    twice = a.messages.withColumn("seq", F.col("id"))
+    twice = a.slim_messages.withColumn("seq", F.col("id"))
     twice.unionByName(twice.withColumn("seq", F.col("seq") + 10**9)).write.parquet(path)
     _stream(a, store.on_batch, path)
     return store.edges()
@@ -1893,8 +1900,8 @@ def w3_forward_stream(a):
 @query
 def w4_coverage_stream(a):
     store = jobs.CoverageStream(a.spark, scratch_path(a.spark, "w4"))
-    _ = a.messages
-    _stream(a, store.on_batch, a.path("messages"))
+    _ = a.slim_messages
+    _stream(a, store.on_batch, a.path("slim_messages"))
     return store.coverage()
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from channelgraph.functions.text import excerpt, has_text
+from channelgraph.functions.text import any_excerpt, any_has_text
 from channelgraph.schemas import FWD_FROM, MEDIA, TABLES
 
 # Rows that are read together lie together; a hot key still spreads over several files.
 CLUSTERING = {
     "messages": ("peer_external_id", "date"),
+    "slim_messages": ("peer_external_id", "date"),
     "image_blob_messages": ("phash", "message_date"),
     "forward_edge_messages": ("from_external_id", "message_date"),
 }
@@ -41,8 +42,8 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
     What messages store about their text always follows from the text they carry.
     """
-    if table == "messages":
-        df = df.withColumns({"has_text": has_text(F.col("content")), "excerpt": excerpt(F.col("content"))})
+    if table in ("messages", "slim_messages"):
+        df = df.withColumns({"has_text": any_has_text(df.columns), "excerpt": any_excerpt(df.columns)})
     have = set(df.columns)
     return df.select(
         *[
@@ -52,10 +53,13 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def clustered(df: DataFrame, table: str) -> DataFrame:
-    """Lay rows out by the table's keys. Ranges split a hot key over several files, which hashing would not."""
+def clustered(df: DataFrame, table: str, parts: int | None = None) -> DataFrame:
+    """Lay rows out by the table's keys. Ranges split a hot key over several files, which hashing would not.
+
+    ``parts`` is for rows whose bytes say little of the work that follows; else Spark goes by their size.
+    """
     keys = CLUSTERING.get(table)
-    return df.repartitionByRange(*keys) if keys else df
+    return df.repartitionByRange(*([parts] if parts else []), *keys) if keys else df
 
 
 def write_table(df: DataFrame, root: str, table: str, is_clustered: bool = False) -> str:

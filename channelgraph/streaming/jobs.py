@@ -28,12 +28,13 @@ from channelgraph.operators.scope import (
     image_scores,
     with_scores,
 )
-from channelgraph.schemas import COUNT_COLUMNS, MESSAGES, TABLES
+from channelgraph.operators.texts import with_reference
+from channelgraph.schemas import COUNT_COLUMNS, MESSAGES, TABLES, TEXT_REF
 from channelgraph.session import drop_settled, settle
 from channelgraph.sources.archive import conform
 from channelgraph.streaming.log import BatchLog
 
-DELIVERIES = T.StructType([*MESSAGES.fields, T.StructField("seq", T.LongType())])
+DELIVERIES = T.StructType([*MESSAGES.fields, T.StructField("seq", T.LongType()), T.StructField("text_ref", TEXT_REF)])
 KEY_BUCKETS = 256
 
 
@@ -75,7 +76,7 @@ class MessageStream:
         self.log = BatchLog(spark, f"{path}/deliveries", DELIVERIES)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        self.log.write(batch, batch_id)
+        self.log.write(with_reference(batch), batch_id)
 
     def merged(self, base: DataFrame) -> DataFrame:
         """The archive's messages now."""
@@ -89,9 +90,9 @@ class MessageStream:
         """
         cutoff = self.log.newest() or 0
         folded = merge_messages(base, self.log.before(cutoff).drop("batch_id"), order="seq")
-        conform(folded, "messages").write.parquet(path)
+        conform(folded, "slim_messages").write.parquet(path)
         self.log.compact(lambda rows: rows.limit(0), cutoff)
-        return self.log.spark.read.schema(TABLES["messages"]).parquet(path)
+        return self.log.spark.read.schema(TABLES["slim_messages"]).parquet(path)
 
 
 # ---- counters

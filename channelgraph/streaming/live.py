@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from channelgraph.functions.forwards import fwd_origin
 from channelgraph.functions.media import has_phash, is_downloaded, media_kind
-from channelgraph.functions.text import is_dedupable, norm_phash, strip_to_null
+from channelgraph.functions.text import has_words, is_dedupable, norm_phash
 from channelgraph.operators.counts import sum_facts
 from channelgraph.operators.forwards import is_occurrence
 from channelgraph.operators.merge import MESSAGE_KEY
@@ -97,7 +97,7 @@ class LiveCounters:
         linked = is_dedupable(media["phash"]) & F.col("id").isNotNull() & F.col("date").isNotNull() & F.col("peer_external_id").isNotNull()
         facts = batch.select(
             *MESSAGE_KEY, "seq", media_kind(media).alias("kind"), is_downloaded(media).alias("downloaded"),
-            strip_to_null(F.col("content")).isNotNull().alias("text"), "text_embedded", has_phash(media).alias("hashed"),
+            has_words(batch.columns).alias("text"), "text_embedded", has_phash(media).alias("hashed"),
             F.when(linked, norm_phash(media["phash"])).alias("phash"), F.when(is_occurrence(), fwd_origin(F.col("fwd_from"))).alias("origin"),
         )
         columns = [c for c in facts.columns if c not in (*MESSAGE_KEY, "seq")]
