@@ -1580,8 +1580,9 @@ def v9_needs_rescore(a):
 
 @query
 def v11_hash_images(a):
-    """Vectors drawn as 8 x 8 grey images."""
-    cell = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round(x * 255 + 128))).cast("bigint")), 2, "0")
+    """Vectors drawn as 8 x 8 grey images, in the precision of their components."""
+    scale, middle = F.lit(255).cast("float"), F.lit(128).cast("float")
+    cell = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round(x * scale + middle))).cast("bigint")), 2, "0")
     drawn = a.source.embeddings.select(
         "vec_id",
         F.struct(
