@@ -1,21 +1,24 @@
 """Free-text search over peers through postings of short character strings.
 
 The index holds for every peer the strings of none, one, two and three characters that its title, handle and id contain. A text
-of up to three characters is answered by its own postings; of a longer one the rarest strings are looked up, the
-peers that hold all of them are its candidates, and the whole text is looked for in those alone. Types are few, so a text that
-is part of one brings the peers of that type.
+of up to three characters is answered by its own postings. Longer ones are met by equality too: where a place of a title,
+handle or id begins like some texts do, the strings of their lengths are cut out there and compared with the texts. What is done
+so grows with the peers and with what is found, not with texts times peers. Types are few, so a text that is part of one
+brings the peers of that type.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channelgraph.functions.text import strip
 
 LONGEST = 3
-#: Strings of a text that are looked up. More make fewer candidates and longer lookups; the result is the same.
-LOOKED_UP = 3
+#: Characters at a place that say which longer texts may begin there.
+HEAD = LONGEST + 1
+#: Peers whose strings one task cuts. Their files are small beside what comes of them, so bytes are no measure.
+PEERS_A_TASK = 20_000
 SHOWN = ("title", "username", "external_id")
 
 
@@ -43,8 +46,16 @@ def normal(needle: Column) -> Column:
     return F.when(F.startswith(low, F.lit("@")), F.substring(low, F.lit(2), F.length(low))).otherwise(low)
 
 
+def places(peers: DataFrame) -> DataFrame:
+    """head, place, field, external_id: each place of a title, handle or id where a longer text can begin."""
+    fields = peers.select("external_id", F.explode(F.array(*[_field(name) for name in SHOWN])).alias("field"))
+    starts = F.when(F.length("field") >= HEAD, F.sequence(F.lit(1), F.length("field") - (HEAD - 1)))
+    started = fields.select("external_id", "field", F.explode(starts).alias("place"))
+    return started.withColumn("head", F.substring(F.col("field"), F.col("place"), F.lit(HEAD)))
+
+
 class PeerIndex:
-    """Postings in order of their string, their numbers, and what is shown of each peer, at ``root``."""
+    """Postings in order of their string, and what is shown of each peer, at ``root``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -53,10 +64,8 @@ class PeerIndex:
         """Ranges of (string, peer) split a string that nearly every peer has over several files."""
         shown = peers.select("external_id", "title", "username", "peer_type")
         shown.write.mode("overwrite").parquet(f"{self.root}/peers")
-        laid = peer_grams(self.peers()).repartitionByRange("gram", "external_id").sortWithinPartitions("gram", "external_id")
+        laid = peer_grams(self._spread()).repartitionByRange(self._tasks(), "gram", "external_id").sortWithinPartitions("gram", "external_id")
         laid.write.mode("overwrite").parquet(f"{self.root}/postings")
-        counted = self.postings().groupBy("gram").agg(F.count("*").alias("peers"))
-        counted.sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.root}/counts")
         return self
 
     def peers(self) -> DataFrame:
@@ -65,29 +74,32 @@ class PeerIndex:
     def postings(self) -> DataFrame:
         return self.spark.read.schema("gram string, external_id long").parquet(f"{self.root}/postings")
 
-    def counts(self) -> DataFrame:
-        return self.spark.read.schema("gram string, peers long").parquet(f"{self.root}/counts")
+    def _tasks(self) -> int:
+        return 1 + self.peers().count() // PEERS_A_TASK
+
+    def _spread(self) -> DataFrame:
+        return self.peers().repartition(self._tasks(), "external_id")
 
-    def looked_up(self, texts: DataFrame) -> DataFrame:
-        """text, gram, wanted: the rarest strings of each text and how many they are; none where one is in no peer."""
-        pieces = F.when(F.length("text") > LONGEST, grams(F.col("text"), LONGEST)).otherwise(F.array("text"))
-        held = texts.select("text", F.explode(pieces).alias("gram")).join(self.counts(), "gram", "left")
-        rarest = Window.partitionBy("text").orderBy(F.coalesce("peers", F.lit(0)), "gram")
-        kept = held.withColumn("place", F.row_number().over(rarest)).filter(F.col("place") <= LOOKED_UP)
-        return kept.withColumn("wanted", F.count("*").over(Window.partitionBy("text"))).select("text", "gram", "wanted")
+    def _longer(self, texts: DataFrame) -> DataFrame:
+        """text, external_id for texts that have no postings, once for each place."""
+        asked = texts.filter(F.length("text") > LONGEST)
+        heads = asked.groupBy(F.left("text", F.lit(HEAD)).alias("head")).agg(F.collect_set(F.length("text")).alias("lengths"))
+        begun = places(self._spread()).join(heads, "head")
+        room = F.length("field") - F.col("place") + 1
+        fitting = begun.select("external_id", "field", "place", F.explode(F.filter("lengths", lambda n: n <= room)).alias("n"))
+        cut = fitting.select(F.substring(F.col("field"), F.col("place"), F.col("n")).alias("text"), "external_id")
+        return cut.join(asked, "text", "left_semi")
 
     def search(self, needles: DataFrame, needle: str = "needle") -> DataFrame:
         """needle, external_id: for each different search text the peers that it matches, as ``peer_matches`` defines it."""
         asked = needles.select(F.col(needle).alias("needle")).distinct().withColumn("text", normal(F.col("needle")))
         texts = asked.select("text").distinct()
-        held = self.looked_up(texts).join(self.postings(), "gram").groupBy("text", "external_id")
-        candidates = held.agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")).filter(F.col("n") == F.col("wanted"))
-        inside = F.lit(False)
-        for name in SHOWN:
-            inside = inside | F.contains(_field(name), F.col("text"))
-        by_text = candidates.select("text", "external_id").join(self.peers().drop("peer_type"), "external_id").filter(inside)
+        # many peers meet one text: the side that has each text once is the one that a join may hold
+        short = self.postings().withColumnRenamed("gram", "text").join(texts, "text", "left_semi")
         types = self.peers().select("peer_type").distinct().filter(F.col("peer_type").isNotNull())
         named = texts.filter(F.length("text") > 0).join(types, F.contains(F.lower("peer_type"), F.col("text")))
-        by_type = named.join(self.peers().select("external_id", "peer_type"), "peer_type")
-        found = by_text.select("text", "external_id").unionByName(by_type.select("text", "external_id")).distinct()
-        return asked.join(found, "text").select("needle", "external_id")
+        by_type = self._spread().select("external_id", "peer_type").join(named, "peer_type")
+        found = short.unionByName(self._longer(texts)).filter("external_id IS NOT NULL").unionByName(by_type.select("text", "external_id"))
+        # a place or a type may find a peer again; dealt out by both columns first, so that a task keeps its own share only
+        once = found.repartition(self._tasks(), "text", "external_id").distinct()
+        return once.join(asked, "text").select("needle", "external_id")

@@ -122,6 +122,32 @@ def test_many_texts_find_what_single_searches_find(spark, archive, tmp_path):
         assert sorted(found[None]) == sorted(found[""])
 
 
+def _rows_of_joins(plan):
+    """The rows that the joins of a finished query gave out."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _rows_of_joins(plan.executedPlan())
+    below = [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in name and plan.metrics().contains("numOutputRows") else []
+    return own + [n for child in below for n in _rows_of_joins(child)]
+
+
+def test_many_texts_do_not_meet_all_peers_that_hold_their_pieces(spark, tmp_path):
+    """All names are made of the same few pieces of three characters."""
+    names = ["".join("ab"[i >> k & 1] for k in range(9)) for i in range(512)]
+    peers = spark.createDataFrame([(i + 1, None, n, "user") for i, n in enumerate(names)], "external_id long, title string, username string, peer_type string")
+    found = peer_search.PeerIndex(spark, str(tmp_path / "pieces")).build(peers).search(spark.createDataFrame([(n,) for n in names], "needle string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((n, i + 1) for i, n in enumerate(names))
+    assert max(_rows_of_joins(found._jdf.queryExecution().executedPlan())) <= 6 * 512
+
+
+def test_postings_are_cut_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(peer_search, "PEERS_A_TASK", 100, raising=False)
+    made = spark.range(1, 1001).selectExpr("id AS external_id", "'Title ' || id AS title", "'u' || id AS username", "'user' AS peer_type")
+    index = peer_search.PeerIndex(spark, str(tmp_path / "tasks")).build(made.coalesce(1))
+    assert len(index.postings().inputFiles()) >= 10
+
+
 def test_no_peers(spark, archive, tmp_path):
     index = peer_search.PeerIndex(spark, str(tmp_path / "none")).build(archive.peers.limit(0))
     assert index.search(spark.createDataFrame([("a",), ("",)], "needle string")).collect() == []
