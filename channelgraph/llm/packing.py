@@ -11,7 +11,7 @@ import os
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from channelgraph.llm.common import documents, settle, utf8
+from channelgraph.llm.common import byte_slices, documents, settle, utf8
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -32,10 +32,61 @@ EDGE_MARKS = '!"#$%&()*+,-./:;=?@[\\]^_`{}~'
 #: White space of the tokenizer's pattern. str.split() also takes the four separators below for it.
 WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Pieces that a worker remembers, and as many older ones.
+PIECES = 200_000
+#: Bytes of texts whose pieces are told apart together.
+SLICE = 4_000_000
+#: Kinds of the characters up to U+00FF after lower-casing, as the tokenizer's pattern has them: white space, letters, numbers, others.
+SPACE, LETTER, NUMBER, OTHER = range(4)
+KINDS = np.array(
+    [SPACE if WHITE.match(chr(c)) else LETTER if chr(c).isalpha() else NUMBER if chr(c).isnumeric() else OTHER for c in range(256)], dtype=np.uint8
+)
+#: The character by which the model knows a byte.
+PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+ALPHABET = {b: b for b in PRINTED} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTED)}
 #: Ranks are counted in so many groups per length.
 BUCKETS = 256
 
 
+class Remembered(dict):
+    """Values of keys, made when first asked for. When full it sets its entries aside; what is asked for again comes back."""
+
+    def __init__(self, make: Callable[[bytes], bytes], most: int = PIECES):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) < 100:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+def split_pieces(raw: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Where the pieces of the tokenizer's pattern begin in lower-cased text of one byte a character, and the pieces.
+
+    A piece is a run of letters, one number, a run of other marks, or an apostrophe with s, t, m, d, re, ve or ll where no
+    mark comes before it.
+    """
+    kind = np.append(KINDS[raw], [SPACE] * 3).astype(np.uint8)
+    begins = (kind[:-3] != SPACE) & ((kind[:-3] != np.append(SPACE, kind[:-4])) | (kind[:-3] == NUMBER))
+    quotes = np.flatnonzero((raw == ord("'")) & begins)
+    next_, after = (np.append(raw, [0, 0])[quotes + n] for n in (1, 2))
+    one = np.isin(next_, np.frombuffer(b"stmd", dtype=np.uint8))
+    two = (np.isin(next_, np.frombuffer(b"rv", dtype=np.uint8)) & (after == ord("e"))) | ((next_ == ord("l")) & (after == ord("l")))
+    begins[quotes[one | two] + 1] = False
+    ends = np.append(quotes[one] + 2, quotes[two] + 3)
+    begins[ends[kind[ends] == LETTER]] = True
+    starts = np.flatnonzero(begins)
+    inside = kind[:-3] != SPACE
+    offsets = np.append((np.cumsum(inside, dtype=np.int32) - 1)[starts], inside.sum()).astype(np.int32)
+    return starts, pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+
+
 class WordTokens:
     """Ids of a text, word by word: this kind of tokenizer drops white space and joins nothing across it.
 
@@ -50,6 +101,39 @@ class WordTokens:
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.pieces = Remembered(self._piece)
+
+    def _piece(self, piece: bytes) -> bytes:
+        alphabet = piece.decode("latin-1")
+        if not piece.isalpha():  # of ASCII
+            alphabet = alphabet.encode().decode("latin-1").translate(ALPHABET)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(alphabet)])
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """:meth:`ids` of each text. Pieces of texts with characters up to U+00FF are told apart together.
+
+        Such texts look the same in the tokenizer's normal form but for their case, and each different piece is looked up once.
+        """
+        found, plain, at = [b""] * len(texts), [], []
+        for n, text in enumerate(texts):
+            try:
+                if "<|" in text:  # there may be special tokens
+                    raise ValueError
+                plain.append(text.lower().encode("latin-1"))
+                at.append(n)
+            except ValueError:
+                found[n] = self.ids(text)
+        if plain:
+            starts, pieces = split_pieces(np.frombuffer(b"\n".join(plain), dtype=np.uint8))
+            coded = pieces.dictionary_encode()
+            ids = pa.array(map(self.pieces.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), pa.binary()).take(coded.indices)
+            first = np.cumsum([0, *[len(p) + 1 for p in plain]])
+            ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, dtype=np.int32)
+            cuts = ends[np.searchsorted(starts, first)].tolist()
+            data = memoryview(ids.buffers()[2] or b"")
+            for k, n in enumerate(at):
+                found[n] = bytes(data[cuts[k] : cuts[k + 1]])
+        return found
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -112,17 +196,20 @@ def _pieces(path: str, capacity: int, with_ids: bool):
         tokens, end, width = _tokens[path], np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             out: dict[str, list] = defaultdict(list)
-            for row, text in enumerate(utf8(batch.column(1))):
-                ids = tokens.ids(text.as_py().decode("utf-8")) + end
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    out["row"].append(row)
-                    out["piece"].append(piece)
-                    out["start"].append(at // 4)
-                    out["length"].append(len(part) // 4)
-                    out["crc"].append(zlib.crc32(part))
-                    if with_ids:
-                        out["ids"].append(part)
+            texts = utf8(batch.column(1))
+            for first, last in byte_slices(batch, texts, SLICE):
+                given = [t.decode("utf-8") for t in texts[first:last].to_numpy(zero_copy_only=False)]
+                for row, ids in enumerate(tokens.all_ids(given), first):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), width)):
+                        part = ids[at : at + width]
+                        out["row"].append(row)
+                        out["piece"].append(piece)
+                        out["start"].append(at // 4)
+                        out["length"].append(len(part) // 4)
+                        out["crc"].append(zlib.crc32(part))
+                        if with_ids:
+                            out["ids"].append(part)
             if not out:
                 continue
             columns = [batch.column(0).take(pa.array(out["row"])), pa.array(out["piece"], pa.int32()), pa.array(out["start"], pa.int64()), pa.array(out["length"], pa.int64()), pa.array(out["crc"], pa.int64())]

@@ -13,6 +13,9 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = "don't WE'LL <|endoftext|> a|b x--y $$$abc!!! 12ab ÀÉß ΣΑΣ K\x1fk\x1ck  widé éa ≠ 日本語 İstanbul \x00z ​q ...'s"
 
 
+OWN = WordTokens(PATH)
+
+
 def reference(text):
     return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 1]
 
@@ -25,6 +28,24 @@ def test_word_tokens_equal_the_tokenizer(text):
         assert np.frombuffer(own.ids(text), dtype="<u4").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.characters(max_codepoint=255) | st.sampled_from("''''sstmdrevell .,É9"), max_size=30) | st.sampled_from(ODD.split(" ")), max_size=6))
+def test_ids_of_many_texts_equal_the_tokenizer(texts):
+    got = OWN.all_ids(texts)
+    assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in got] == [OWN.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_piece_is_tokenised_once_however_the_words_around_it_are_marked():
+    own, asked = WordTokens(PATH), []
+    make = own.pieces.make
+    own.pieces.make = lambda piece: asked.append(piece) or make(piece)
+    marks = [".", ",", "!!", "***", "(", ";"]
+    texts = [f"Été{m} {m}été it's{m} ÉTÉ{n}" for n, m in enumerate(marks)]
+    for _ in range(2):
+        assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in own.all_ids(texts)] == [reference(t)[:-1] for t in texts]
+    assert len(asked) == len(set(asked)) and not own.words  # é was no plain letter before: each marked word went to the tokenizer
+
+
 def best_fit(lengths, capacity):
     """Plain best-fit decreasing."""
     room = []
