@@ -49,8 +49,9 @@ def any_has_text(columns: list[str]) -> Column:
     return _referred(columns, "has_text", has_text(F.col("content")))
 
 
-def any_excerpt(columns: list[str]) -> Column:
-    return _referred(columns, "excerpt", excerpt(F.col("content")))
+def own_excerpt(columns: list[str]) -> Column:
+    """What a message stores beside its text: where it refers to a shared one, the reference has the excerpt already."""
+    return F.when(F.col("text_ref").isNull(), excerpt(F.col("content"))) if "text_ref" in columns else excerpt(F.col("content"))
 
 
 def has_words(columns: list[str]) -> Column:
@@ -64,7 +65,7 @@ def stored_has_text(columns: list[str]) -> Column:
 
 
 def stored_excerpt(columns: list[str]) -> Column:
-    return F.col("excerpt") if "excerpt" in columns else any_excerpt(columns).alias("excerpt")
+    return _referred(columns, "excerpt", F.col("excerpt") if "excerpt" in columns else excerpt(F.col("content"))).alias("excerpt")
 
 
 def norm_phash(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from channelgraph.functions.ids import infer_type
 from channelgraph.functions.media import is_downloaded, media_kind
-from channelgraph.functions.text import any_excerpt, any_has_text, is_dedupable, norm_phash
+from channelgraph.functions.text import any_has_text, is_dedupable, norm_phash, own_excerpt
 from channelgraph.operators.texts import with_reference
 from channelgraph.schemas import MEDIA, MEDIA_FIELDS, PROFILE_COLUMNS, TEXT_REF
 from channelgraph.session import drop_settled, settle
@@ -194,7 +194,7 @@ def write_back(spark: SparkSession, path: str, delta: DataFrame, order: str | No
     touched = stored.filter(F.col("month").isin(names)).drop("month")
     merged = merge_messages(touched, delta, order, strict_kind).drop("inserted")
     for column in set(schema.fieldNames()) - set(merged.columns):
-        merged = merged.withColumn(column, {"has_text": any_has_text, "excerpt": any_excerpt}[column](merged.columns))
+        merged = merged.withColumn(column, {"has_text": any_has_text, "excerpt": own_excerpt}[column](merged.columns))
     fresh = settle(merged.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), "rewritten")
     write_by_month(fresh, path)
     drop_settled(fresh)

@@ -1819,6 +1819,14 @@ def _deliveries(a):
     return path
 
 
+def _twice(a):
+    """Every message delivered two times, as files for a stream: what a delivery holds, without what the archive stores beside it."""
+    path = scratch_path(a.spark, "deliveries")
+    once = a.slim_messages.withColumn("seq", F.col("id")).select(*jobs.DELIVERIES.fieldNames())
+    once.unionByName(once.withColumn("seq", F.col("seq") + 10**9)).write.parquet(path)
+    return path
+
+
 def _stream(a, on_batch, path=None):
     stream = jobs.read_deliveries(a.spark, path or _deliveries(a), files_per_batch=8)
     jobs.run_available(stream, on_batch, scratch_path(a.spark, "stream"))
@@ -1846,19 +1854,13 @@ def w1_message_stream_over_base(a):
 @query
 def w2_counter_stream(a):
     store = jobs.CounterStream(a.spark, scratch_path(a.spark, "w2"), STREAM_BUCKETS)
-    path = scratch_path(a.spark, "deliveries")
-    twice = a.slim_messages.withColumn("seq", F.col("id"))
-    twice.unionByName(twice.withColumn("seq", F.col("seq") + 10**9)).write.parquet(path)
-    _stream(a, store.on_batch, path)
+    _stream(a, store.on_batch, _twice(a))
     return store.counters()
 
 
 def _delivered_twice(a):
-    """Every message in two deliveries, as files for a stream."""
-    path = scratch_path(a.spark, "deliveries")
-    twice = a.slim_messages.withColumn("seq", F.col("id"))
-    twice.unionByName(twice.withColumn("seq", F.col("seq") + 10**9)).write.parquet(path)
-    return jobs.read_deliveries(a.spark, path, files_per_batch=8)
+    """Every message in two deliveries, as a stream."""
+    return jobs.read_deliveries(a.spark, _twice(a), files_per_batch=8)
 
 
 @query
@@ -1891,10 +1893,7 @@ def w3_forward_state(a):
 @query
 def w3_forward_stream(a):
     store = jobs.ForwardStream(a.spark, scratch_path(a.spark, "w3"), STREAM_BUCKETS)
-    path = scratch_path(a.spark, "deliveries")
-    twice = a.slim_messages.withColumn("seq", F.col("id"))
-    twice.unionByName(twice.withColumn("seq", F.col("seq") + 10**9)).write.parquet(path)
-    _stream(a, store.on_batch, path)
+    _stream(a, store.on_batch, _twice(a))
     return store.edges()
 
 

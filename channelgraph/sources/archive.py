@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from channelgraph.functions.text import any_excerpt, any_has_text
+from channelgraph.functions.text import any_has_text, own_excerpt
 from channelgraph.schemas import FWD_FROM, MEDIA, TABLES
 
 # Rows that are read together lie together; a hot key still spreads over several files.
@@ -43,7 +43,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     What messages store about their text always follows from the text they carry.
     """
     if table in ("messages", "slim_messages"):
-        df = df.withColumns({"has_text": any_has_text(df.columns), "excerpt": any_excerpt(df.columns)})
+        df = df.withColumns({"has_text": any_has_text(df.columns), "excerpt": own_excerpt(df.columns)})
     have = set(df.columns)
     return df.select(
         *[

@@ -5,10 +5,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from channelgraph.functions.text import has_words
+from channelgraph.functions.text import excerpt, has_words
 from channelgraph.operators import coverage, counts, merge, texts
+from channelgraph.plans import queries
 from channelgraph.schemas import MESSAGES, TABLES
 from channelgraph.sources.derived import message_base, redelivered_messages
+from channelgraph.streaming import jobs
 
 CORE = MESSAGES.fieldNames()
 
@@ -31,6 +33,21 @@ def test_given_texts_are_not_written_again(archive):
     assert all(f.startswith(f"file://{archive.source.sf_dir}/") for f in archive.message_texts.inputFiles())
 
 
+def test_an_excerpt_is_stored_once_and_shown_everywhere(spark, archive, tmp_path):
+    twice = F.col("text_ref").isNotNull() & F.col("excerpt").isNotNull()
+    assert archive.slim_messages.filter(twice).count() == 0
+    assert rows(archive.messages.filter("content = excerpt OR left(content, 20) = left(excerpt, 20)"), "id") == rows(archive.messages.filter("trim(content) <> ''"), "id")
+    path = str(tmp_path / "by-month")
+    merge.write_by_month(archive.slim_messages, path)
+    merge.write_back(spark, path, redelivered_messages(message_base(archive.source)).filter("id % 3 = 0"))
+    stored = spark.read.schema(TABLES["slim_messages"]).parquet(path)
+    assert stored.filter(twice).count() == 0
+    held = F.expr("excerpt")
+    assert rows(texts.with_texts(stored, archive.message_texts).filter(~held.eqNullSafe(excerpt(F.col("content")))), "id") == []
+    sent = spark.read.parquet(queries._twice(archive))
+    assert sent.columns == jobs.DELIVERIES.fieldNames() and sent.count() == 2 * archive.slim_messages.count()
+
+
 @pytest.mark.parametrize("order", [None, "id"])
 def test_merging_references_equals_merging_texts(archive, order):
     delta = redelivered_messages(message_base(archive.source)).filter("id % 3 = 0")
