@@ -50,7 +50,7 @@ def any_has_text(columns: list[str]) -> Column:
 
 
 def own_excerpt(columns: list[str]) -> Column:
-    """What a message stores beside its text: where it refers to a shared one, the reference has the excerpt already."""
+    """What a message stores beside its text; that of a shared text is cut from it where it is shown."""
     return F.when(F.col("text_ref").isNull(), excerpt(F.col("content"))) if "text_ref" in columns else excerpt(F.col("content"))
 
 
@@ -65,7 +65,13 @@ def stored_has_text(columns: list[str]) -> Column:
 
 
 def stored_excerpt(columns: list[str]) -> Column:
-    return _referred(columns, "excerpt", F.col("excerpt") if "excerpt" in columns else excerpt(F.col("content"))).alias("excerpt")
+    """The excerpt of a text of the message's own; null where it refers to a shared one."""
+    return (F.col("excerpt") if "excerpt" in columns else own_excerpt(columns)).alias("excerpt")
+
+
+def has_excerpt(columns: list[str]) -> Column:
+    """Whether there is an excerpt, of a shared text too."""
+    return _referred(columns, "has_excerpt", stored_excerpt(columns).isNotNull())
 
 
 def norm_phash(c: Column) -> Column:

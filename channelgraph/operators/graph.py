@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from channelgraph.functions.media import media_kind
 from channelgraph.functions.predicates import message_scope
-from channelgraph.functions.text import peer_label, stored_excerpt
+from channelgraph.functions.text import has_excerpt, peer_label, stored_excerpt
 from channelgraph.operators.forwards import is_occurrence, with_origin
 from channelgraph.operators.images import image_appearances, shared_images
 from channelgraph.operators.listing import newest
+from channelgraph.operators.texts import with_excerpts
 from channelgraph.schemas import MEDIA_KINDS, TABLES
 
 # Limits and size estimates. They label what a screen can show; no graph is cut by them.
@@ -107,26 +108,38 @@ def scoped_forwards(messages: DataFrame, **scope) -> DataFrame:
     joining that table instead would shuffle every message.
     """
     return messages.filter(message_scope(**scope) & is_occurrence()).select(
-        "id", "peer_external_id", "telegram_message_id", "date", stored_excerpt(messages.columns), "fwd_from",
-        media_kind(F.col("media")).alias("media_kind"),
+        "id", "peer_external_id", "telegram_message_id", "date", *_shown(messages.columns),
+        has_excerpt(messages.columns).alias("has_excerpt"), "fwd_from", media_kind(F.col("media")).alias("media_kind"),
     )
 
 
-def message_layer(forwards: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _shown(columns: list[str]) -> list[Column]:
+    """The excerpt of a message's own text, and the shared text it refers to."""
+    return [stored_excerpt(columns), *([F.col("text_ref.id").alias("text_id")] if "text_ref" in columns else [])]
+
+
+def message_layer(forwards: DataFrame, messages: DataFrame, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One node per original message, with an edge to the peer it came from and one from each peer that forwarded it.
 
     A stored original is used as it is. Any other becomes a stub put together from its forwards, newest first: the
     earliest date, the first text and the first media kind found, and the number of the row that last added one of
     these. The rows are never collected: each of the three is the row that comes first in that order, which
     ``max_by`` finds with partial aggregation, and the one latest in the order is the lowest of the three.
+    Of shared texts only the id goes through this; the excerpt is cut from ``texts`` for the nodes at the end.
     """
+    if texts is None and ("text_id" in forwards.columns or "text_ref" in messages.columns):
+        raise ValueError("messages refer to texts: give the texts too")
+    if "text_id" not in forwards.columns:
+        forwards = forwards.withColumn("text_id", F.lit(None).cast("long"))
+    if "has_excerpt" not in forwards.columns:
+        forwards = forwards.withColumn("has_excerpt", F.col("excerpt").isNotNull())
     key = ["origin_peer", "origin_mid"]
     fwd = with_origin(forwards).filter(F.col("origin_peer").isNotNull() & F.col("origin_mid").isNotNull())
     place = F.struct(F.col("date").alias("d"), (-F.col("id")).alias("i"))
-    has_text, has_kind = F.col("excerpt").isNotNull(), F.col("media_kind").isin(*MEDIA_KINDS)
+    has_text, has_kind = F.col("has_excerpt"), F.col("media_kind").isin(*MEDIA_KINDS)
     stubs = fwd.groupBy(*key).agg(
         F.min("date").alias("stub_date"),
-        F.max_by("excerpt", F.when(has_text, place)).alias("stub_excerpt"),
+        F.max_by(F.struct("text_id", "excerpt"), F.when(has_text, place)).alias("stub_text"),
         F.max_by("media_kind", F.when(has_kind, place)).alias("stub_kind"),
         F.least(
             F.max(place), F.max(F.when(has_text, place)), F.max(F.when(has_kind, place))
@@ -134,22 +147,29 @@ def message_layer(forwards: DataFrame, messages: DataFrame) -> tuple[DataFrame,
     )
     originals = messages.select(
         F.col("peer_external_id").alias("origin_peer"), F.col("telegram_message_id").alias("origin_mid"),
-        F.col("id").alias("stored_id"), "date", stored_excerpt(messages.columns),
-        media_kind(F.col("media")).alias("media_kind"),
+        F.col("id").alias("stored_id"), "date", *_shown(messages.columns), media_kind(F.col("media")).alias("media_kind"),
     )
+    if "text_id" not in originals.columns:
+        originals = originals.withColumn("text_id", F.lit(None).cast("long"))
     rows = stubs.join(originals, key, "left")
     stored = F.col("stored_id").isNotNull()
     stub_id = F.concat_ws(":", F.lit("m:orig"), "origin_peer", "origin_mid")
     node_id = F.when(stored, F.concat(F.lit("m:"), F.col("stored_id").cast("string"))).otherwise(stub_id)
     rows = rows.withColumn("node_id", node_id)
     none = F.lit(0)
+    labelled = rows.withColumn("label", F.when(stored, F.struct("text_id", "excerpt")).otherwise(F.col("stub_text")))
+    labelled = labelled.drop("text_id", "excerpt", "stub_text")
+    if texts is None:
+        labelled = labelled.withColumn("label", F.col("label.excerpt"))
+    else:
+        labelled = with_excerpts(labelled, texts, "label", "node_id")
     nodes = _nodes(
-        rows,
+        labelled,
         id=F.col("node_id"),
         kind=F.lit("message"),
         external_id=F.col("origin_peer"),
         peer_type=F.lit("message"),
-        label=F.when(stored, F.col("excerpt")).otherwise(F.col("stub_excerpt")),
+        label=F.col("label"),
         scraped=stored,
         is_scraping=F.lit(False),
         degree=none,
@@ -180,15 +200,15 @@ def message_layer(forwards: DataFrame, messages: DataFrame) -> tuple[DataFrame,
     return nodes, posted.unionByName(forwarded).withColumn("count", F.lit(1).cast("bigint"))
 
 
-def message_graph(messages: DataFrame, **scope) -> tuple[DataFrame, DataFrame]:
+def message_graph(messages: DataFrame, texts: DataFrame | None = None, **scope) -> tuple[DataFrame, DataFrame]:
     """The message layer of all forwards in scope."""
-    return message_layer(scoped_forwards(messages, **scope), messages)
+    return message_layer(scoped_forwards(messages, **scope), messages, texts)
 
 
-def newest_message_graph(messages: DataFrame, n: int, **scope) -> tuple[DataFrame, DataFrame, DataFrame]:
+def newest_message_graph(messages: DataFrame, n: int, texts: DataFrame | None = None, **scope) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The message layer of the newest ``n`` forwards in scope, and one row ``truncated``: whether there were more."""
     chosen = newest(scoped_forwards(messages, **scope), n, [F.desc_nulls_last("date"), F.asc("id")])
-    return *message_layer(chosen.drop("truncated"), messages), _truncated(chosen)
+    return *message_layer(chosen.drop("truncated"), messages, texts), _truncated(chosen)
 
 
 def _truncated(chosen: DataFrame) -> DataFrame:

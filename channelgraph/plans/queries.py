@@ -1051,7 +1051,7 @@ def u2_edge_ends(a):
 @query
 def u3_node_kinds(a):
     peers_, _ = graph.forward_graph(a.forward_edges, a.peers, a.peer_fetch_coverage)
-    notes, _ = graph.message_layer(graph.scoped_forwards(a.slim_messages), a.slim_messages)
+    notes, _ = graph.message_layer(graph.scoped_forwards(a.slim_messages), a.slim_messages, a.message_texts)
     shared, _ = graph.shared_image_graph(a.image_blob_messages, a.peers, a.peer_fetch_coverage)
     nodes = peers_.unionByName(notes).unionByName(shared.filter("kind = 'image'"))
     return nodes.groupBy("kind").agg(F.count("*").alias("nodes"))
@@ -1156,7 +1156,7 @@ def _forward_graph(a):
 
 
 def _message_layer(a, **limits):
-    return graph.message_layer(graph.scoped_forwards(a.slim_messages, **limits), a.slim_messages)
+    return graph.message_layer(graph.scoped_forwards(a.slim_messages, **limits), a.slim_messages, a.message_texts)
 
 
 def _whole_graph(a):
@@ -1194,7 +1194,7 @@ def g3_message_layer_edges(a):
 @query
 def g3_message_graph_newest(a):
     """The newest 500 forwards of a scope, as a screen with that limit would ask for."""
-    nodes, _, _ = graph.newest_message_graph(a.slim_messages, 500, start=START, end=END)
+    nodes, _, _ = graph.newest_message_graph(a.slim_messages, 500, a.message_texts, start=START, end=END)
     return nodes.select("id", "label", "date", "message_id")
 
 

@@ -70,8 +70,8 @@ STORED_MESSAGES = T.StructType([*MESSAGES.fields, *_struct(has_text=_bool, excer
 
 # A text that many messages share, stored once in ``message_texts``: its id there, and what counting, graphs and streams need
 # of it. A message that has one carries no ``content`` of its own.
-TEXT_REF = _struct(id=_long, has_text=_bool, excerpt=_str, has_words=_bool)
-# Its excerpt is that of the reference; ``excerpt`` beside it is for texts of a message's own.
+TEXT_REF = _struct(id=_long, has_text=_bool, has_excerpt=_bool, has_words=_bool)
+# Its excerpt is cut from the text where it is shown; ``excerpt`` beside it is for texts of a message's own.
 SLIM_MESSAGES = T.StructType([*STORED_MESSAGES.fields, *_struct(text_ref=TEXT_REF).fields])
 
 # The counters of a peer.
