@@ -18,6 +18,7 @@ from channelgraph.functions.media import media_kind
 from channelgraph.functions.predicates import date_window, media_in
 from channelgraph.functions.timecov import bound
 from channelgraph.operators.side_tables import SideTable
+from channelgraph.session import settle
 
 FOUND = ["id", "peer_external_id", "telegram_message_id", "date", "media_kind", "month"]
 
@@ -73,6 +74,9 @@ class OriginIndex(SideTable):
         return found.join(wanted, "external_id", "left_semi")
 
     def whole(self, found: DataFrame) -> DataFrame:
-        """The stored messages of a scope; only the months that it names are opened."""
-        keys = found.select("month", "peer_external_id", "telegram_message_id").distinct()
+        """The stored messages of a scope; only the months that it names are opened.
+
+        The keys are written first: only then Spark knows how few they are and leaves the stored messages where they lie.
+        """
+        keys = settle(found.select("month", "peer_external_id", "telegram_message_id").distinct(), "scope-keys")
         return self.stored().join(keys, ["month", "peer_external_id", "telegram_message_id"], "left_semi").drop("month")
