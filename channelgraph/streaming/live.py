@@ -1,10 +1,11 @@
 """All twenty counters of a peer kept up as messages and image facts arrive.
 
 Sums are deltas of messages seen for the first time. Distinct counts (images of a peer, origins it forwards from) are exact
-bitmaps: each image and each origin gets the next free number when it is first seen, so what arrives together lies
-together, and a peer has one bitmap for each 32 768 numbers it touches. Bitmaps of several batches merge by OR. Facts of
-images that come later (stored, embedded) make bitmaps over the same numbers: AND with those of a peer and a count of bits
-give its counters, and no message is read again.
+bitmaps: each image and each origin gets the next free number when it is first seen, and a peer has one word of 64 bits
+for each 64 numbers it touches. Words are plain numbers, so that a peer with few items among very many takes a few bytes for
+each, and nothing is sorted to merge them. Those of several batches merge by OR. Facts of images that come later (stored,
+embedded) make words over the same numbers: AND with those of a peer and a count of bits give its counters, and no message
+is read again.
 """
 
 from __future__ import annotations
@@ -36,16 +37,13 @@ FLAGS = T.StructType([T.StructField("phash", T.StringType()), *[T.StructField(f,
 _KEYS = T.StructType([*[T.StructField(k, _long) for k in MESSAGE_KEY], _bucket])
 _DELTAS = T.StructType([T.StructField("peer_external_id", _long), *[T.StructField(c, _long) for c in SUMS]])
 _NUMBERS = T.StructType([T.StructField("item", T.StringType()), T.StructField("number", _long), _bucket])
-_BITS = T.StructType([T.StructField("peer_external_id", _long), T.StructField("part", _long), T.StructField("bits", T.BinaryType())])
-
-
-def _parts(rows: DataFrame, *keys: str) -> DataFrame:
-    """Bitmaps of the numbers of each group, one for each 32 768."""
-    return rows.groupBy(*keys, F.bitmap_bucket_number("number").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+_BITS = T.StructType([T.StructField("peer_external_id", _long), T.StructField("part", _long), T.StructField("bits", _long)])
+#: A number is one bit of the word ``part``.
+_PART, _BIT = "shiftright(number, 6)", "shiftleft(1L, CAST(number & 63 AS INT))"
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("peer_external_id", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return rows.groupBy("peer_external_id", "part").agg(F.bit_or("bits").alias("bits"))
 
 
 class _DistinctItems:
@@ -61,11 +59,12 @@ class _DistinctItems:
         items = settle(pairs.select("item").distinct().withColumn("bucket", bucket_of("item", self.buckets)), "items")
         seen = self.numbers.before(batch_id, buckets_in(items)).select("item", "number")
         last = self.numbers.before(batch_id).agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
-        new = ranked_within(items.join(seen, "item", "left_anti"), [], [F.col("item")], "place")
-        new = settle(new.select("item", (F.col("place") + last).cast("long").alias("number"), "bucket"), "numbers")
+        ranked = ranked_within(items.join(seen, "item", "left_anti"), [], [F.col("item")], "place")
+        new = settle(ranked.select("item", (F.col("place") + last).cast("long").alias("number"), "bucket"), "numbers")
+        drop_settled(ranked)
         self.numbers.write(by_bucket(new, "item"), batch_id)
         known = seen.join(items, "item", "left_semi").unionByName(new.select("item", "number"))
-        self.bits.write(_parts(pairs.join(known, "item"), "peer_external_id"), batch_id)
+        self.bits.write(_merged(pairs.join(known, "item").selectExpr("peer_external_id", f"{_PART} AS part", f"{_BIT} AS bits")), batch_id)
         drop_settled(items)
         drop_settled(new)
 
@@ -124,7 +123,7 @@ class LiveCounters:
 
     def counters(self) -> DataFrame:
         """The twenty counters of every peer seen so far."""
-        origins = self.origins.merged().groupBy("peer_external_id").agg(F.sum(F.bitmap_count("bits")).alias("unique_forwards"))
+        origins = self.origins.merged().groupBy("peer_external_id").agg(F.sum(F.bit_count("bits")).alias("unique_forwards"))
         parts = [self._summed(self.deltas.all()), self._image_counts(), origins]
         stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         return stacked.groupBy("peer_external_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNT_COLUMNS])
@@ -133,12 +132,9 @@ class LiveCounters:
         names = [f for f in FACTS if f != "shown"]
         held = self.blobs.all().groupBy("phash").agg(*[F.max(f).alias(f) for f in names]).withColumn("shown", F.lit(True))
         numbers = self.images.numbers.all().select(F.col("item").alias("phash"), "number")
-        facts = numbers.join(held, "phash").select("number", F.explode(F.array(*[F.when(F.col(f), F.lit(f)) for f in FACTS])).alias("fact"))
-        masks = _parts(facts.filter("fact IS NOT NULL"), "fact").withColumnRenamed("bits", "mask")
-        both = self.images.merged().join(masks, "part").select("peer_external_id", "part", "fact", F.explode(F.array("bits", "mask")).alias("bits"))
-        common = both.groupBy("peer_external_id", "part", "fact").agg(F.bitmap_and_agg("bits").alias("bits"))
-        counted = common.groupBy("peer_external_id").pivot("fact", list(FACTS)).agg(F.sum(F.bitmap_count("bits")))
-        return counted.select("peer_external_id", *[F.col(f).alias(c) for f, c in FACTS.items()])
+        masks = numbers.join(held, "phash").groupBy(F.expr(_PART).alias("part")).agg(*[F.bit_or(F.when(F.col(f), F.expr(_BIT))).alias(f) for f in FACTS])
+        both = self.images.merged().join(masks, "part")
+        return both.groupBy("peer_external_id").agg(*[F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col(f)))).alias(c) for f, c in FACTS.items()])
 
     def _sums(self, fresh: DataFrame) -> DataFrame:
         def count(test: Column, name: str) -> Column:
