@@ -72,6 +72,15 @@ def drop_settled(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Unions do not claim to be partitioned as their parts are.
+
+    Spark 4.1 plans joins upon that claim; where adaptive execution then reads the parts otherwise, as it does in a merge over a
+    merge, the union has more partitions than the other side and the join fails.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give every executor this package: Python functions in tasks import it by name.
 

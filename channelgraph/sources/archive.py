@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from channelgraph.functions.text import any_has_text, own_excerpt
 from channelgraph.schemas import FWD_FROM, MEDIA, TABLES
+from channelgraph.session import plain_unions
 
 # Rows that are read together lie together; a hot key still spreads over several files.
 CLUSTERING = {
@@ -21,6 +22,7 @@ class Catalog:
     """Archive tables under one root. Attribute access gives the table as a DataFrame."""
 
     def __init__(self, spark: SparkSession, root: str):
+        plain_unions(spark)
         self.spark = spark
         self.root = root.rstrip("/")
 
